@@ -50,28 +50,30 @@ def discard(*tables: DataFrame) -> None:
 
 
 class Memo:
-    """A cache of two generations: at most 2 * size entries, what is used often stays."""
+    """A cache of two generations, at most 2 * size entries: what is used often stays. Filled in bulk."""
 
-    def __init__(self, compute, size: int = 300_000):
-        memo = self
-
-        class Young(dict):
-            def __missing__(self, key):
-                value = memo.old.get(key)
-                if value is None:
-                    value = compute(key)
-                self[key] = value
-                return value
-
-        self._new, self.size = Young, size
+    def __init__(self, compute_many, size: int = 400_000):
+        self.compute_many, self.size = compute_many, size
         self.old: dict = {}
-        self.young = Young()
+        self.young: dict = {}
 
-    def table(self):
-        """The mapping to look up in; call it once for each text."""
+    def fill(self, keys: set) -> dict:
+        """A mapping that holds all keys now; compute_many(list) gives the values of those not cached."""
         if len(self.young) > self.size:
-            self.old, self.young = self.young, self._new()
-        return self.young
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing, new = [], keys - young.keys()
+        if not old:
+            missing, new = list(new), ()
+        for key in new:
+            value = old.get(key)
+            if value is None:
+                missing.append(key)
+            else:
+                young[key] = value
+        if missing:
+            young.update(zip(missing, self.compute_many(missing), strict=True))
+        return young
 
 
 def word_hash(word: str) -> int:

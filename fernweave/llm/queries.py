@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import chat_format, url_filter
+from fernweave.llm import bpe, chat_format, token_orc, url_filter
+from fernweave.llm.common import shared_folder
 
 URL_RULES = (
     url_filter.Rule("block", "com", "/en/"),
@@ -34,12 +38,24 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/fernweave/token-orc-{uuid.uuid4().hex}"
+    token_orc.write_token_orc(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_orc.checksums(token_orc.read_token_orc(spark, path))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op4_bpe": op4_bpe,
+    "op6_token_orc": op6_token_orc,
     "op7_url_filter": op7_url_filter,
 }
 
