@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, chat_format, jaccard_join, language_id, quality_rules, token_orc, url_filter
+from fernweave.llm import bpe, chat_format, jaccard_join, language_id, packing, quality_rules, token_orc, url_filter
 from fernweave.llm.common import shared_folder
 
 URL_RULES = (
@@ -42,6 +42,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -71,6 +75,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_format": op2_chat_format,
+    "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op6_token_orc": op6_token_orc,
     "op7_url_filter": op7_url_filter,
