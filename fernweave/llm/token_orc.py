@@ -53,10 +53,11 @@ def write_token_orc(documents: DataFrame, tokenizer_path: str, path: str, end_id
 def read_token_orc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids. Filters on doc_id prune stripes by metadata."""
     files = spark.read.schema(f"part bigint, doc_id {id_type}, part_start bigint, n_tokens bigint, ids array<int>").orc(path)
-    # One row a file: the largest end in it is its total.
+    # One row a file: the largest end in it is its total. So many rows as files (two longs each) are broadcast.
     totals = files.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.join(totals.select("part", before.alias("before")), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    starts = F.broadcast(totals.select("part", before.alias("before")))
+    return files.join(starts, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:

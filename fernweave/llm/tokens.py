@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,7 +11,6 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from fernweave.llm.bpe import byte_letters
-from fernweave.llm.common import Memo
 
 #: Words of these characters only are lower-cased and cut here as the library would; all others go through it whole.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -20,40 +20,50 @@ _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-ö
 class WordCodec:
     """Ids of texts under a lower-casing word BPE file (white space dropped), as the library's encode() gives them.
 
-    White space separates words for good in such a vocabulary, so a text's ids are its words' ids in turn; words are
-    cached, the cache is bounded.
+    White space separates words for good in such a vocabulary, so a text's ids are its words' ids in turn. Words are
+    cached in two generations of at most `cache` entries: what is used often stays.
     """
 
-    def __init__(self, tokenizer_json: str, cache: int = 400_000):
+    def __init__(self, tokenizer_json: str, cache: int = 250_000):
         self.whole = Tokenizer.from_str(tokenizer_json)
         self.whole.no_padding()
         self.whole.no_truncation()
         self.tokenize = self.whole.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
-        self.memo = Memo(self._words, cache)
+        self.cache, self.old = cache, {}
+        codec = self
+
+        class Words(dict):
+            def __missing__(self, word: str) -> bytes:
+                ids = codec.old.get(word)
+                if ids is None:
+                    ids = codec._encode(word)
+                self[word] = ids
+                return ids
+
+        self.kind, self.young = Words, Words()
         self.size = self.whole.get_vocab_size()
 
-    def _piece(self, piece: str) -> list[int]:
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenize(piece)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for w in words:
-            if "<|" in w or not _PLAIN.fullmatch(w):
-                cut.append(None)
-                continue
-            w = w.lower()
-            cut.append([w] if w.isalpha() else _CUT.findall(w))
-        of = {p: np.array(self._piece(p), "<u4").tobytes() for p in {p for c in cut if c for p in c}}
-        return [b"".join(map(of.__getitem__, c)) if c is not None else np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w, c in zip(words, cut, strict=True)]
+    def _encode(self, word: str) -> bytes:
+        if "<|" in word or not _PLAIN.fullmatch(word):
+            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
+        lower = word.lower()
+        if lower != word:
+            return self.young[lower]
+        if not word.isalpha():
+            pieces = _CUT.findall(word)
+            if len(pieces) > 1:
+                return b"".join(map(self.young.__getitem__, pieces))
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
 
     def encode_many(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        table = self.memo.fill(set().union(*cut))
-        return [b"".join(map(table.__getitem__, words)) for words in cut]
+        if len(self.young) > self.cache:
+            self.old, self.young = self.young, self.kind()
+        find = self.young.__getitem__
+        return [b"".join(map(find, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def id_lists(blobs: Sequence[bytes]) -> pa.ListArray:
