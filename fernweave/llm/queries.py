@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, chat_format, jaccard_join, language_id, packing, pii, quality_rules, token_orc, url_filter
+from fernweave.llm import ann, bpe, chat_format, jaccard_join, language_id, packing, pii, quality_rules, token_orc, url_filter
 from fernweave.llm.common import shared_folder
 
 URL_RULES = (
@@ -50,6 +50,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/fernweave/token-orc-{uuid.uuid4().hex}"
     token_orc.write_token_orc(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), path)
@@ -86,6 +91,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
+    "op5_ann": op5_ann,
     "op6_token_orc": op6_token_orc,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
