@@ -138,7 +138,7 @@ def test_python_parser():
 
 def test_typescript_parser():
     source = b'/** Doc */\nexport abstract class S<T> extends Base<T, K> implements I {\n  private readonly x: number = 1;\n  constructor(private a: Foo, b?: string) { super(a); }\n  static async get(id: string, ...r: any[]): Promise<T> { return this.repo.find(id); }\n}\nenum E { A, B = 2 }\ntype Al = string | Foo;\nimport d, { p as q } from "m";\nconst f = (x = 10) => x + g(x), LIM = 5;\n'
-    rows = {r["name"]: r for r in rows_of("a.ts", "typescript", source) if r["node_type"] in ("type-definition", "function", "variable")}
+    rows = {r["name"]: r for r in rows_of("a.ts", "typescript", source) if r["node_type"] in ("type-definition", "function", "variable") and r["kind"] != "parameter"}
     assert rows["S"]["base_types"] == ["Base<T, K>", "I"] and rows["S"]["is_abstract"] and rows["S"]["docstring"] == "/** Doc */"
     assert (rows["x"]["kind"], rows["x"]["visibility"], rows["x"]["data_type"]) == ("field", "private", "number")
     assert rows["get"]["is_static"] and rows["get"]["is_async"] and rows["get"]["return_type"] == "Promise<T>"
