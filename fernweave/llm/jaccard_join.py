@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -166,8 +167,8 @@ def _postings(levels, s: Settings):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([m[0] for m in made])),
-                        pa.array(np.concatenate([m[1] for m in made])),
-                        pa.array(np.concatenate([m[2] for m in made])),
+                        pa.array(np.concatenate([m[1] for m in made]).astype(np.int32)),
+                        pa.array(np.concatenate([m[2] for m in made]).astype(np.int32)),
                         pa.array([m[3] for m in made], pa.binary()).take(pa.array(np.repeat(np.arange(len(made)), size))),
                         pa.array(np.repeat(np.array([m[4] for m in made], np.int32), size)),
                         pa.array((np.arange(ends[-1]) - np.repeat(ends - size, size)).astype(np.int32)),
@@ -224,15 +225,33 @@ def _verify(s: Settings):
     return run
 
 
-def _payloads(s: Settings):
+#: Bits of the filter that spares texts no pair asks for; full, it spares none and nothing is lost.
+_ASKED_BITS = 1 << 23
+
+
+def _asked(nodes: DataFrame) -> np.ndarray:
+    """A one-hash Bloom filter of nodes, of fixed size, as 64-bit words."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(_ASKED_BITS))
+    words = nodes.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(_ASKED_BITS // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _payloads(s: Settings, asked):
+    """(node, packed): the texts of nodes that asked holds (and of a few more); xxh64 as Spark's xxhash64."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, pack = Hasher(), zstandard.ZstdCompressor(level=3).compress
+        hasher, pack, filled = Hasher(), zstandard.ZstdCompressor(level=3).compress, asked.value
         for batch in batches:
             texts = _utf8(batch.column(0))
             nodes, packed, seen = [], [], set()
             for text, shingles in zip(texts, hasher.sets(texts, s.k), strict=True):
                 node = _node(shingles) if len(shingles) >= s.least else None
-                if node is not None and node not in seen:
+                if node is None or node in seen:
+                    continue
+                bit = xxhash.xxh64_intdigest(node, 42) % _ASKED_BITS
+                if int(filled[bit // 64]) >> (bit % 64) & 1:
                     seen.add(node)
                     nodes.append(node)
                     packed.append(pack(text))
@@ -248,7 +267,8 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     counts = pairs.groupBy("hub").agg((1 + F.floor(F.count("*") / 2_000)).alias("salts"))
     dealt = stash(pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node"), "pairs")
     wanted = dealt.unionByName(dealt.select("hub", "salt", F.col("hub").alias("node")).distinct())
-    payload = texts.mapInArrow(_payloads(s), "node binary, packed binary")
+    asked = texts.sparkSession.sparkContext.broadcast(_asked(wanted))
+    payload = texts.mapInArrow(_payloads(s, asked), "node binary, packed binary")
     rows = wanted.join(payload, "node").select("hub", "node", "packed", "salt")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node") != F.col("hub"), "node")
     return stash(rows.select("hub", "node", "packed").mapInArrow(_verify(s), "a binary, b binary"), "links")
@@ -305,7 +325,7 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
     held = spark.sparkContext.broadcast(levels.tobytes())
 
     texts = rows.select("text")
-    postings = texts.mapInArrow(_postings(held, s), "h bigint, salts bigint, salt bigint, node binary, n int, pos int")
+    postings = texts.mapInArrow(_postings(held, s), "h bigint, salts int, salt int, node binary, n int, pos int")
     block = Window.partitionBy("h", "salt")
     head = F.struct("pos", "n", "node")
     blocks = postings.withColumn("head", F.min(head).over(block)).withColumn("many", F.max("node").over(block) != F.min("node").over(block))
