@@ -27,7 +27,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document of the smallest id stays.
 
-    Of repeated rows with one id in a group one stays; documents without words stay all.
+    Rows of one id, or without one, go only if all of them go; of rows with the same id and text one stays. Documents
+    without words stay.
     """
     groups = jaccard_join.link_documents(docs, jaccard_join.Settings(k=5, percent=80)).where((F.col("component_id") == F.col("doc_id")) | F.col("component_id").isNull())
     heads = groups.select(F.col("doc_id").alias("head")).distinct()

@@ -95,32 +95,36 @@ def _utf8(column: pa.Array) -> list[bytes]:
 
 
 _SKETCH_SLICE = 1 << 14
+#: Hash classes whose sizes are kept for each set, for the suffix filter of pairs.
+_CLASSES = 64
 
 
 def _profile(s: Settings):
-    """Rows of documents (doc_id, node, n), and at a partition's end rows of its sketch (slice, counts)."""
+    """Rows of documents (doc_id, node, n, classes), and at a partition's end rows of its sketch (slice, counts)."""
+    names = ["doc_id", "node", "n", "classes", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = Hasher(), np.zeros(1 << s.sketch_bits, np.uint32)
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            nodes, sizes = [], []
+            nodes, sizes, classes = [], [], []
             for shingles in hasher.sets(_utf8(batch.column(1)), s.k):
                 nodes.append(_node(shingles))
                 sizes.append(len(shingles))
+                classes.append(np.minimum(255, np.bincount((shingles & np.uint64(_CLASSES - 1)).astype(np.int64), minlength=_CLASSES)).astype(np.int32) if len(shingles) >= s.least else None)
                 at = shingles >> np.uint64(64 - s.sketch_bits)
                 # Sorted, so equal buckets are neighbours.
                 new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
                 counts[at[new].astype(np.int64)] += np.diff(np.append(new, len(at))).astype(np.uint32)
             n = len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "node", "n", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(classes, pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if kind is not None:
             rows = counts.reshape(-1, min(_SKETCH_SLICE, len(counts)))
             used = np.flatnonzero(rows.any(axis=1))
             pack = zstandard.ZstdCompressor(level=1).compress
             n = len(used)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(used.astype(np.int32)), pa.array([pack(rows[i].tobytes()) for i in used], pa.binary())], ["doc_id", "node", "n", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(used.astype(np.int32)), pa.array([pack(rows[i].tobytes()) for i in used], pa.binary())], names)
 
     return run
 
@@ -185,6 +189,19 @@ def _may_link(s: Settings, n1, pos1, n2, pos2):
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * s.percent) & (1 + F.least(n1 - pos1, n2 - pos2) - 1 >= need)
 
 
+def _close(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (hub, node) that the suffix filter lets through, by sets (node, n, classes).
+
+    Sets cut into classes of their hashes: each class's difference in size is a lower bound of what is not shared.
+    """
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("classes").alias(f"{name}_c"))
+    rows = pairs.join(side("node"), "node").join(side("hub"), "hub")
+    total = F.col("node_n") + F.col("hub_n")
+    need = F.ceil(F.lit(s.percent) * total / F.lit(100 + s.percent))
+    apart = F.aggregate(F.zip_with("node_c", "hub_c", lambda a, b: F.abs(a - b)), F.lit(0), lambda t, x: t + x)
+    return rows.where(apart <= total - 2 * need).select("hub", "node")
+
+
 def overlap(a: np.ndarray, b: np.ndarray, need: int) -> int:
     """|a & b| of sorted arrays, or -1 where the suffix filter shows that it is below need.
 
@@ -266,6 +283,8 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     """
     counts = pairs.groupBy("hub").agg((1 + F.floor(F.count("*") / 2_000)).alias("salts"))
     dealt = stash(pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node"), "pairs")
+    if dealt.isEmpty():
+        return dealt.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     wanted = dealt.unionByName(dealt.select("hub", "salt", F.col("hub").alias("node")).distinct())
     asked = texts.sparkSession.sparkContext.broadcast(_asked(wanted))
     payload = texts.mapInArrow(_payloads(s, asked), "node binary, packed binary")
@@ -274,6 +293,15 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     return stash(rows.select("hub", "node", "packed").mapInArrow(_verify(s), "a binary, b binary"), "links")
 
 
+def _oriented(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (hub, node), with the side that has more pairs as the hub: members' texts travel, hubs' once."""
+    pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    degree = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).groupBy("x").agg(F.count("*").alias("d"))
+    rows = pairs.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    more = F.col("da") > F.col("db")
+    return rows.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("node"))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of links (a, b). Label propagation with shortcuts.
 
@@ -314,8 +342,8 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
     spark = documents.sparkSession
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    profile = stash(rows.mapInArrow(_profile(s), f"doc_id {kind}, node binary, n bigint, slice int, counts binary"), "profile")
-    docs = profile.where(F.col("slice").isNull()).select("doc_id", "node", "n")
+    profile = stash(rows.mapInArrow(_profile(s), f"doc_id {kind}, node binary, n bigint, classes array<int>, slice int, counts binary"), "profile")
+    docs = profile.where(F.col("slice").isNull()).select("doc_id", "node", "n", "classes")
 
     slices = profile.where(F.col("slice").isNotNull()).select("slice", "counts").repartition("slice").sortWithinPartitions("slice")
     levels = np.zeros(1 << s.sketch_bits, np.uint8)
@@ -347,10 +375,23 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
     # Of two components in a block one is not its largest.
     small = named.join(sizes, "h").where(F.col("label") != F.col("main")).select("h", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "label")), "main")
     rest = small.join(named, "h").where((F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x_node") < F.col("node"))) & _may_link(s, F.col("x_n"), F.col("x_pos"), F.col("n"), F.col("pos")))
-    pairs = rest.select(F.col("node").alias("hub"), F.col("x_node").alias("node")).distinct()
-    pairs = pairs.select(F.least("hub", "node").alias("node"), F.greatest("hub", "node").alias("hub")).distinct()
-    more = verify_pairs(texts, pairs, s)
-    label = components(links.unionByName(more))
+    pairs = rest.select(F.least("x_node", "node").alias("node"), F.greatest("x_node", "node").alias("hub")).groupBy("node", "hub").agg(F.count("*").alias("shared"))
+    sets = docs.where(F.col("classes").isNotNull()).join(named.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("classes").alias("classes"))
+    pairs = stash(_close(pairs, sets, s).join(pairs, ["hub", "node"]), "close")
+    # First each node with the one it shares most with in another component, then what that leaves apart.
+    label = stash(label.select("node", "label"), "labels")
+    both = pairs.select("hub", "node", "shared").union(pairs.select("node", "hub", "shared").toDF("hub", "node", "shared"))
+    other = both.join(label.select(F.col("node").alias("hub"), "label"), "hub", "left").select("node", "hub", "shared", F.coalesce("label", "hub").alias("label"))
+    top = other.groupBy("node", "label").agg(F.max(F.struct("shared", "hub")).alias("top")).select(F.col("top.hub").alias("hub"), "node")
+    more = verify_pairs(texts, _oriented(top), s)
+    links = links.unionByName(more)
+    label = components(links)
+    of = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"{name}_l"))
+    apart = pairs.join(of("node"), "node", "left").join(of("hub"), "hub", "left").where(F.coalesce("node_l", "node") != F.coalesce("hub_l", "hub")).select("hub", "node")
+    apart = apart.join(_oriented(top).select(F.least("hub", "node").alias("node"), F.greatest("hub", "node").alias("hub")), ["hub", "node"], "left_anti")
+    last = verify_pairs(texts, _oriented(apart), s)
+    label = components(links.unionByName(last))
+    discard(blocks, named, pairs)
 
     nodes = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
