@@ -1,4 +1,4 @@
-"""Lexical retrieval packing: a sharded BM25 index finds unused neighbours that fill each seed's window."""
+"""Lexical retrieval packing: BM25 indexes over shards of like texts find unused neighbours that fill each seed's window."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import stash
+from fernweave.llm.common import mix, stash
 from fernweave.llm.tokens import WordCodec
 
 _DF_SLICE = 4096
@@ -118,6 +118,121 @@ def _full_windows(s: Settings, with_ids: bool):
     return run
 
 
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(x.astype(np.uint64) * np.uint64(2) + np.uint64(1) + np.uint64(salt << 40))
+
+
+def lexical_keys(ids: np.ndarray, idf: np.ndarray, df: np.ndarray, s: Settings) -> tuple[int, int]:
+    """Two of the words that a text shares with others, drawn by weighted min-hash; -1 where there is none.
+
+    Weights are those of BM25, so the chance that two texts draw the same word is their weighted similarity.
+    """
+    terms, tf = np.unique(ids, return_counts=True)
+    some = (terms < len(df)) & (df[np.minimum(terms, len(df) - 1)] > 1)
+    terms, tf = terms[some], tf[some]
+    if not len(terms):
+        return -1, -1
+    weight = idf[terms] * tf * (s.k1 + 1) / (tf + s.k1)
+    draws = [-np.log((_mixed(terms, salt) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) / weight for salt in (1, 2)]
+    return int(terms[draws[0].argmin()]), int(terms[draws[1].argmin()])
+
+
+def _keyed(stats, s: Settings):
+    """Columns key and other from the rows' tails, before all columns. Columns: uid, doc_id, n, tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, df, _ = stats.value
+        for batch in batches:
+            keys = [lexical_keys(np.frombuffer(blob, "<u2" if len(blob) == 2 * (n % s.window) else "<u4"), idf, df, s) for n, blob in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keys = np.array(keys, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *batch.columns], ["key", "other", *batch.schema.names])
+
+    return run
+
+
+class Dealing:
+    """Shards of keys, of about shard_tokens at most.
+
+    A key larger than a shard is parted by the other word, and what is still larger by row. tokens: for each key;
+    parted: for each key and part, where sizes are known.
+    """
+
+    def __init__(self, tokens: dict[int, int], limit: int):
+        self.limit = limit
+        size = max(tokens, default=-1) + 2
+        #: Parts of a key; the key of texts without one is the first.
+        self.parts = np.ones(size, np.int64)
+        for key, n in tokens.items():
+            if n > limit:
+                self.parts[key + 1] = 8 * -(-n // limit)
+        self.first_part = np.cumsum(self.parts) - self.parts
+
+    @property
+    def large(self) -> list[int]:
+        return [int(k) - 1 for k in np.flatnonzero(self.parts > 1)]
+
+    def settle(self, tokens: dict[int, int], parted: dict[tuple[int, int], int]) -> None:
+        sizes = np.zeros(int(self.parts.sum()), np.int64)
+        for key, n in tokens.items():
+            if self.parts[key + 1] == 1:
+                sizes[self.first_part[key + 1]] = n
+        for (key, part), n in parted.items():
+            sizes[self.first_part[key + 1] + part] = n
+        self.shard, self.shares = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // self.limit))
+        shard, held = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if held and held + n > self.limit:
+                shard, held = shard + 1, 0
+            self.shard[i] = shard
+            if self.shares[i] > 1:
+                shard, held = shard + int(self.shares[i]), 0
+            else:
+                held += n
+
+    def part(self, key: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return (_mixed(other + 1, 3) % self.parts[key + 1].astype(np.uint64)).astype(np.int64)
+
+    def of(self, key: np.ndarray, other: np.ndarray, uid: np.ndarray) -> np.ndarray:
+        slot = self.first_part[key + 1] + self.part(key, other)
+        return self.shard[slot] + (_mixed(uid, 4) % self.shares[slot].astype(np.uint64)).astype(np.int64)
+
+
+def _dealt(dealing):
+    """Column shard before uid, doc_id, n and tail. Columns: key, other, uid, doc_id, n, tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = dealing.value.of(*(batch.column(i).to_numpy() for i in range(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns[2:]], ["shard", *batch.schema.names[2:]])
+
+    return run
+
+
+def _parts(dealing):
+    """(key, part, n): tokens of each part in a partition. Columns: key, other, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, other, n = (c.to_numpy() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(dealing.value.part(key, other)), pa.array(n)], ["key", "part", "n"])
+
+    return run
+
+
+def deal(tails: DataFrame, s: Settings) -> Dealing:
+    """How rows (key, other, uid, doc_id, n, tail) go to shards; what the driver holds is bounded by the vocabulary and the number of shards."""
+    size = F.pmod(F.col("n"), F.lit(s.window))
+    tokens = {r["key"]: r["n"] for r in tails.groupBy("key").agg(F.sum(size).alias("n")).collect()}
+    dealing, parted = Dealing(tokens, s.shard_tokens), {}
+    if dealing.large:
+        held = tails.sparkSession.sparkContext.broadcast(dealing)
+        large = tails.where(F.col("key").isin(dealing.large)).select("key", "other", size.alias("n")).mapInArrow(_parts(held), "key bigint, part bigint, n bigint")
+        parted = {(r["key"], r["part"]): r["n"] for r in large.groupBy("key", "part").agg(F.sum("n").alias("n")).collect()}
+    dealing.settle(tokens, parted)
+    return dealing
+
+
 class ShardIndex:
     """BM25 over the pieces of one shard, as one sorted array of postings."""
 
@@ -183,8 +298,9 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, settings: Settings
     but one for each shard at most.
 
     A null or empty text is its end id alone. Repeated rows are documents of their own, null ids are kept. Other
-    columns are not read; an empty table gives an empty result. Shards are dealt by a row number, so no source, id or
-    group of copies fills one; a shard's size is bounded, and so is what a task holds.
+    columns are not read; an empty table gives an empty result. Texts that draw the same word by weighted min-hash share
+    a shard, so near copies and texts of a topic mostly meet; a word of too many texts is parted by a second draw, then
+    by row. So a shard's size is bounded, and so is what a task holds. One shard holds all of a small table.
     """
     s, spark = settings, documents.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -197,21 +313,26 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, settings: Settings
     docs, tokens = sum(r["documents"] for r in got), sum(r["n"] for r in got)
     df = np.concatenate([np.frombuffer(r["df"], np.int64) for r in got]) if got else np.zeros(1, np.int64)
     idf, mean = np.log1p((docs - df + 0.5) / (df + 0.5)), max(1.0, min(tokens / max(1, docs), s.window))
-    stats = spark.sparkContext.broadcast((idf, mean))
+    stats = spark.sparkContext.broadcast((idf, df, mean))
 
     texts = coded.where(F.col("slice").isNull())
     full = texts.where(F.col("n") >= s.window).select("doc_id", "n", "ids").mapInArrow(_full_windows(s, with_ids), _piece_schema(kind, with_ids))
     rest = F.pmod(F.col("n"), F.lit(s.window))
     wide = F.octet_length("ids") / F.col("n")
-    shards = max(1, -(-tokens // s.shard_tokens))
-    tails = texts.where(rest > 0).select(F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"), "uid", "doc_id", "n", F.substr("ids", ((F.col("n") - rest) * wide + 1).cast("int"), (rest * wide).cast("int")).alias("tail"))
+    tails = texts.where(rest > 0).select("uid", "doc_id", "n", F.substr("ids", ((F.col("n") - rest) * wide + 1).cast("int"), (rest * wide).cast("int")).alias("tail"))
+    if tokens > s.shard_tokens:
+        keyed = stash(tails.mapInArrow(_keyed(stats, s), f"key bigint, other bigint, uid bigint, doc_id {kind}, n bigint, tail binary"), "tails")
+        dealing = spark.sparkContext.broadcast(deal(keyed, s))
+        tails = keyed.mapInArrow(_dealt(dealing), f"shard bigint, uid bigint, doc_id {kind}, n bigint, tail binary")
+    else:
+        tails = tails.select(F.lit(0).cast("bigint").alias("shard"), "*")
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("uid").combine_chunks()
         shard, field = key[0].as_py(), group.schema.field("doc_id").type
         ids, n, blobs = (group.column(c).to_pylist() for c in ("doc_id", "n", "tail"))
         pieces = [np.frombuffer(b, "<u2" if len(b) == 2 * (m % s.window) else "<u4").astype("<u4") for b, m in zip(blobs, n, strict=True)]
-        idf, mean = stats.value
+        idf, _, mean = stats.value
         out, sequence = [], (shard << 34) + 1
         for window in pack_shard(pieces, np.append(idf, np.zeros(max(0, s.end_id + 1 - len(idf)))), mean, s):
             offset = 0

@@ -114,6 +114,26 @@ def test_packing_prefers_neighbours():
     assert all(len({piece % 2 for piece, _, _ in w}) == 1 for w in windows)
 
 
+def test_packing_keeps_near_copies_in_one_shard(spark):
+    r = random.Random(8)
+    words = [w for i, w in enumerate(Tokenizer.from_file(WORD_BPE).get_vocab()) if w.isalpha() and i % 10 == 0]
+    texts = [r.choices(words, k=120) for _ in range(150)]
+    docs = spark.createDataFrame([(2 * i + j, " ".join(t[j:])) for i, t in enumerate(texts) for j in range(2)], "doc_id long, text string").repartition(3)
+    s = packing.Settings(shard_tokens=8_000)
+    rows = packing.pack_documents(docs, WORD_BPE, s, with_ids=False).collect()
+    shards = {x.doc_id: x.sequence_id >> 34 for x in rows}
+    held = Counter()
+    for x in rows:
+        held[x.sequence_id >> 34] += x.length
+    assert len(held) > 5 and max(held.values()) < 2 * s.shard_tokens
+    assert np.mean([shards[2 * i] == shards[2 * i + 1] for i in range(150)]) > 0.8
+    copies = spark.createDataFrame([(i, " ".join(texts[0])) for i in range(200)], "doc_id long, text string")
+    held = Counter()
+    for x in packing.pack_documents(copies, WORD_BPE, s, with_ids=False).collect():
+        held[x.sequence_id >> 34] += x.length
+    assert len(held) > 5 and max(held.values()) < 2 * s.shard_tokens
+
+
 def test_bm25_scores_equal_brute_force():
     rng, s = np.random.default_rng(1), packing.Settings()
     pieces = [rng.integers(0, 40, rng.integers(1, 50)).astype("<u4") for _ in range(12)]
