@@ -302,26 +302,36 @@ def _oriented(pairs: DataFrame) -> DataFrame:
     return rows.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("node"))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node reachable, for every node of links (a, b). Label propagation with shortcuts.
+def _star(edges: DataFrame, both: bool) -> DataFrame:
+    """Edges (u, v) with u > v, rewired to the smallest neighbour: of both sides for larger ones, else of the smaller side.
 
-    Each round halves what is left of a path; rounds is a guard against a wrong input, not a cap (it raises).
+    Connects what the edges connect; repeated in turns, each component becomes a star around its smallest node.
     """
-    edges = stash(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    label = stash(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    for _ in range(rounds):
-        near = edges.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        stepped = label.join(near, "node").select("node", F.least("label", "m").alias("stepped"), F.col("label").alias("old"))
-        ends = label.select(F.col("node").alias("stepped"), F.col("label").alias("end"))
-        new = stash(stepped.join(ends, "stepped").select("node", F.least("stepped", "end").alias("label"), F.col("old")), "labels")
-        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
-        discard(label)
-        label = new.select("node", "label")
-        label.stash_path = new.stash_path
-        if not changed:
-            discard(edges)
-            return label
-    raise RuntimeError("labels did not settle")
+    near = edges.union(edges.select("v", "u").toDF("u", "v")) if both else edges
+    least = near.groupBy("u").agg(F.min("v").alias("m"))
+    if both:
+        return near.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node reachable, for every node of links (a, b), a and b distinct. Large and small stars in turns.
+
+    Rounds go on until the edges stay as they are; their number grows with the logarithm of the longest path in practice.
+    """
+    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    mark = [F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))]
+    was = tuple(edges.agg(*mark).first())
+    while True:
+        new = stash(_star(_star(edges, True), False), "edges")
+        discard(edges)
+        edges, now = new, tuple(new.agg(*mark).first())
+        if now == was:
+            break
+        was = now
+    label = stash(edges.toDF("node", "label").union(edges.select("v", "v").distinct()), "labels")
+    discard(edges)
+    return label
 
 
 def link_documents(documents: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -62,6 +62,16 @@ def test_components_equal_brute_force(spark, seed, k, percent, settings):
     assert sorted((tuple(r) for r in got), key=str) == components(rows, k, percent)
 
 
+def test_components_of_long_chains(spark):
+    names = [bytes([i // 256, i % 256]) for i in range(1_003)]
+    random.Random(5).shuffle(names)
+    chain, pair = names[:1_000], names[1_001:]
+    links = spark.createDataFrame([*zip(chain, chain[1:]), tuple(pair), tuple(pair[::-1])], "a binary, b binary").coalesce(1)
+    got = {bytes(r.node): bytes(r.label) for r in jaccard_join.components(links).collect()}
+    assert got == {**dict.fromkeys(chain, min(chain)), **dict.fromkeys(pair, min(pair))}
+    assert jaccard_join.components(links.limit(0)).count() == 0
+
+
 def test_no_documents(spark):
     assert jaccard_join.link_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
