@@ -27,18 +27,20 @@ ENDINGS = {
 
 _TITLES = "|".join(sorted((h for g in HONORIFICS.values() for h in g), key=len, reverse=True))
 _SECRET = r"""(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}["']?)"""
+#: A secret's value: up to the closing quote if one opened it, else all that is not blank but marks at its end.
+_VALUE = r"""(?:(?<=")(?=[^"\r\n]{6})[^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+(?=")|(?<=')(?=[^'\r\n]{6})[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+(?=')|(?!["'])\S{5,}[^\s.,;:!?)\]}>"'])"""
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What each kind looks like. Where two would start at one place, the earlier here wins.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": rf"(?<![A-Za-z0-9]){_SECRET}[A-Za-z0-9_/+=.~-]{{6,200}}",
+    "secret": rf"(?<![A-Za-z0-9]){_SECRET}{_VALUE}",
     "access_key": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9])(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])",
     "phone": r"(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
-    "hex": r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![A-Za-z0-9])",
+    "hex": r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}+(?![A-Za-z0-9])",
     "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
 }
 ALL = "|".join(PATTERNS.values())
@@ -60,7 +62,7 @@ def kind_of(m: Column) -> Column:
         "ip": F.rlike(m, F.lit(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")),
         "phone": F.rlike(m, F.lit(r"^(?:\+|\(|[0-9]{3}-[0-9]{3}-[0-9]{4}$)")),
         "ssn": F.rlike(m, F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
-        "hex": F.rlike(m, F.lit("^[0-9a-f]{32,128}$")) & F.rlike(m, F.lit("[a-f]")),
+        "hex": F.rlike(m, F.lit("^[0-9a-f]{32,}$")) & F.rlike(m, F.lit("[a-f]")),
         "iban": F.rlike(m, F.lit("^[A-Z]{2}[0-9]{2}")),
         "card": F.rlike(m, F.lit("^[0-9 -]+$")) & _luhn(F.regexp_replace(m, "[^0-9]", "")),
         "name": F.rlike(m, F.lit(_NAME)),
@@ -127,7 +129,7 @@ def _scramble(text: Column, digest: Column, hexadecimal: bool = False) -> Column
         n = _draw(digest, i)
         if hexadecimal:
             return F.when(F.rlike(c, F.lit("[0-9a-f]")), _letter(_HEX, n)).otherwise(c)
-        return F.when(F.rlike(c, F.lit("[0-9]")), _letter("0123456789", n)).when(F.rlike(c, F.lit("[a-z]")), _letter(_LOWER, n)).when(F.rlike(c, F.lit("[A-Z]")), _letter(_UPPER, n)).otherwise(c)
+        return F.when(F.rlike(c, F.lit("[0-9]")), _letter("0123456789", n)).when(F.rlike(c, F.lit("[a-z]")), _letter(_LOWER, n)).when(F.rlike(c, F.lit(r"\p{Lu}")), _letter(_UPPER, n)).when(F.rlike(c, F.lit(r"\p{L}")), _letter(_LOWER, n)).when(F.rlike(c, F.lit(r"\p{N}")), _letter("0123456789", n)).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), swap), "")
 

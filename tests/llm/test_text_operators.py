@@ -293,6 +293,25 @@ def test_pii(spark):
     assert pii.protect(docs.limit(0), "key").count() == 0
 
 
+def test_pii_replaces_secrets_to_their_end(spark):
+    r = random.Random(6)
+    token, key = ("".join(r.choices(alphabet, k=500)) for alphabet in ("abcdefghijkmnopqrstuvwxyzABCDEF0123456789_-.+/", "0123456789abcdef"))
+    token = token.strip("_-.+/") + "z"
+    texts = [f"token={token}, then", f"key {key} end", "password: hunter2!xyz9&more#9 end", 'pwd="correct horse, battery" end', "secret='пароль один2' end", 'token="" and no more', 'api_key = "ab\\"cdefgh9" end']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {x.doc_id: x for x in pii.protect(docs, "key", count="n").collect()}
+    assert [out[i].n for i in range(7)] == [1, 1, 1, 1, 1, 0, 1] and out[5].text == texts[5]
+    for i in (0, 1, 2, 3, 4, 6):
+        assert len(out[i].text) == len(texts[i]) and out[i].text[-4:] == texts[i][-4:]
+    assert out[0].text.startswith("token=") and out[0].text.endswith(", then")
+    for i, secret in ((0, token), (1, key)):
+        at = texts[i].index(secret)
+        assert not any(secret[j : j + 12] in out[i].text for j in range(len(secret) - 12)) and out[i].text[:at] == texts[i][:at]
+    for i, word in ((2, "xyz9"), (2, "more"), (3, "horse"), (3, "battery"), (4, "пароль"), (4, "один"), (6, "cdefgh")):
+        assert word in texts[i] and word not in out[i].text
+    assert pii.protect(docs.where("doc_id = 1").selectExpr("doc_id", f"'password=' || repeat('a1!', 20000) AS text"), "key").first().text[-60_000:] != "a1!" * 20_000
+
+
 def test_pii_surrogates_stay_distinct(spark):
     """With few possible surrogates they meet, and are drawn again until none is shared or is an entity."""
     ips = [f"192.168.{i // 200}.{i % 200}" for i in range(2_000)]
