@@ -186,12 +186,15 @@ def _like_case(m: Column, s: Column) -> Column:
 
 
 def replacements(mentions: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(m, new, surname, new_surname): what stands in texts for each mention, in its own format."""
+    """(m, new, names): what stands in texts for each mention, in its own format; for names also (token, rank, s) of each
+    token, in lower case. Rank 0 is a surname.
+    """
     m, k = F.col("m"), F.col("kind")
     s = F.regexp_replace("s", "^[^:]*:", "")
-    rows = entities(mentions).join(drawn.select("entity", "s"), "entity").withColumn("form", F.when(k == "name", _like_case(F.col("token"), s)).otherwise(s))
-    rows = rows.groupBy("m", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "form", "token"))).alias("forms"))
-    rows = rows.select("m", "kind", F.transform("forms", lambda x: x["form"]).alias("forms"), F.transform("forms", lambda x: x["token"]).alias("tokens"))
+    rank = F.when(F.startswith("entity", F.lit("surname:")), F.lit("0")).otherwise(F.substring_index("entity", ":", 1))
+    rows = entities(mentions).join(drawn.select("entity", "s"), "entity").withColumn("plain", s).withColumn("form", F.when(k == "name", _like_case(F.col("token"), F.col("plain"))).otherwise(F.col("plain")))
+    rows = rows.groupBy("m", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "form"))).alias("forms"), F.collect_list(F.when(k == "name", F.struct(F.lower("token").alias("token"), rank.alias("rank"), F.col("plain").alias("s")))).alias("names"))
+    rows = rows.select("m", "kind", F.transform("forms", lambda x: x["form"]).alias("forms"), "names")
     form = F.get("forms", F.lit(0))
     new = (
         F.when(k == "name", F.concat(F.regexp_extract(m, _NAME, 1), F.regexp_extract(m, _NAME, 2), F.array_join("forms", " ")))
@@ -200,8 +203,7 @@ def replacements(mentions: DataFrame, drawn: DataFrame) -> DataFrame:
         .when(k == "email", F.array_join(F.zip_with(F.split(m, ""), F.split(form, ""), lambda a, b: F.when(F.rlike(a, F.lit("[A-Z]")), F.upper(b)).otherwise(b)), ""))
         .otherwise(form)
     )
-    name = k == "name"
-    return rows.select("m", new.alias("new"), F.when(name, F.element_at("tokens", -1)).alias("surname"), F.when(name, F.element_at("forms", -1)).alias("new_surname"))
+    return rows.select("m", new.alias("new"), "names")
 
 
 def find(text: Column) -> Column:
@@ -237,8 +239,8 @@ def protect(documents: DataFrame, key: str, text_column: str = "text", count: st
     Emails, credentials, keys, IP addresses, phone, card (Luhn-valid) and social-security numbers, IBANs, long hex
     tokens, and names after honorifics. A surrogate is drawn from a keyed digest of the entity's canonical form, so one
     entity has one surrogate in all documents and formats; distinct entities have distinct ones, which is checked over
-    all documents and drawn again where it fails. Names keep gender and script, and their surnames are replaced
-    wherever the same text has them; cards keep issuer digit and check digit; all keep length, case and separators.
+    all documents and drawn again where it fails. Names keep gender and script, and their given names and
+    surnames are replaced wherever the same text has them as capitalised words; cards keep issuer digit and check digit; all keep length, case and separators.
 
     A null text stays null, an empty one empty; texts without entities come out unchanged, byte for byte. Repeated rows
     and clashing names of other columns don't matter; an empty table gives an empty result. Only texts that hold an
@@ -251,17 +253,21 @@ def protect(documents: DataFrame, key: str, text_column: str = "text", count: st
     drawn = settle(entities(mentions).select("entity").distinct(), key)
     per_row = hits.join(replacements(mentions, drawn), "m").groupBy("row").agg(
         F.map_from_entries(F.collect_list(F.struct("m", "new"))).alias("new"),
-        F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("surname").isNotNull(), F.struct("surname", "new_surname"))))).alias("surnames"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"),
     )
+    # A token that is a surname and a given name in one text is taken for the surname.
+    first = F.filter("names", lambda x, i: (i == 0) | (F.get("names", i - 1)["token"] != x["token"]))
+    per_row = per_row.select("row", "new", F.map_from_entries(F.transform(first, lambda x: F.struct(x["token"], x["s"]))).alias("names"))
     # Only the text, the hash and a row of all columns: names of the table cannot clash.
     packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row_of"), text.alias("text"), find(text).alias("m"))
     some = packed.where(F.size("m") > 0).withColumn("row", F.xxhash64("text")).join(per_row, "row", "left")
     pieces = F.split("text", ALL, -1)
     made = F.transform("m", lambda m: F.coalesce(F.try_element_at("new", m), m))
-    some = some.select("row_of", "m", "new", "surnames", F.array_join(F.zip_with(pieces, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"))
-    named = F.array_join(F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}'’-]+|[^\p{L}'’-]+"), F.lit(0)), lambda t: F.coalesce(F.try_element_at("surnames", t), t)), "")
+    some = some.select("row_of", "m", "new", "names", F.array_join(F.zip_with(pieces, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"))
+    again = lambda t: F.when(F.rlike(t, F.lit(r"^\p{Lu}")), F.try_element_at("names", F.lower(t)))
+    named = F.array_join(F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}'’-]+|[^\p{L}'’-]+"), F.lit(0)), lambda t: F.coalesce(_like_case(t, again(t)), t)), "")
     n = F.size(F.filter("m", lambda m: F.coalesce(F.map_contains_key("new", m), F.lit(False))))
-    some = some.select("row_of", F.when(F.coalesce(F.size("surnames"), F.lit(0)) > 0, named).otherwise(F.col("text")).alias("text"), n.alias("n"))
+    some = some.select("row_of", F.when(F.coalesce(F.size("names"), F.lit(0)) > 0, named).otherwise(F.col("text")).alias("text"), n.alias("n"))
     rest = packed.where(F.coalesce(F.size("m"), F.lit(0)) <= 0).select("row_of", "text", F.lit(0).alias("n"))
     both = some.unionByName(rest)
     columns = [F.col("text").alias(c) if c == text_column else F.col("row_of").getField(c).alias(c) for c in documents.columns if c != count]

@@ -312,6 +312,22 @@ def test_pii_replaces_secrets_to_their_end(spark):
     assert pii.protect(docs.where("doc_id = 1").selectExpr("doc_id", f"'password=' || repeat('a1!', 20000) AS text"), "key").first().text[-60_000:] != "a1!" * 20_000
 
 
+def test_pii_names_without_honorific(spark):
+    text = "Mrs Anna Smith came. Anna said that ANNA SMITH, Anna Smith and Smith agree; an annal of smith work. Mr Robin Hill, Mrs Robin Hill, Mr Anna, Robin."
+    got = pii.protect(spark.createDataFrame([(1, text), (2, "Mr SMITH and Smith met Anna.")], "doc_id long, text string"), "key")
+    out = {r.doc_id: r.text for r in got.collect()}
+    import re
+
+    given, sur = re.match(r"Mrs (\w+) (\w+) came", out[1]).groups()
+    anna = re.match(r".* came\. (\w+) said that (\w+) (\w+), (\w+) (\w+) and (\w+) agree; an annal of smith work\.", out[1]).groups()
+    assert anna[0] == anna[3] and anna[1] == anna[0].upper() and anna[2] == sur.upper() and anna[4] == anna[5] == sur
+    assert not re.search("(?i)\\b(anna|robin|hill)\\b", out[1]) and not re.search("(?i)smith", out[1].replace("smith work", ""))
+    upper, other, last = re.match(r"Mr (\w+) and (\w+) met (\w+)\.", out[2]).groups()
+    assert upper == other.upper() == sur.upper() and last == "Anna"
+    one = pii.protect(spark.createDataFrame([(1, "Mrs Anna Smith. Anna Smith.")], "doc_id long, text string"), "key").first().text
+    assert re.match(r"Mrs (\w+ \w+)\. \1\.$", one)
+
+
 def test_pii_surrogates_stay_distinct(spark):
     """With few possible surrogates they meet, and are drawn again until none is shared or is an entity."""
     ips = [f"192.168.{i // 200}.{i % 200}" for i in range(2_000)]
