@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ class Settings:
     sketch_bits: int = 22
     #: Blocks of a shingle estimated over this many documents are dealt out to several tasks.
     block: int = 20_000
+    #: Rows of an open block that one task compares with the rest of it.
+    share: int = 4_000
 
     def prefix(self, n: np.ndarray | int):
         return n - (self.percent * n + 99) // 100 + 1
@@ -99,32 +102,39 @@ _SKETCH_SLICE = 1 << 14
 _CLASSES = 64
 
 
+def _class_sizes(shingles: np.ndarray) -> bytes:
+    return np.minimum(255, np.bincount((shingles & np.uint64(_CLASSES - 1)).astype(np.int64), minlength=_CLASSES)).astype(np.uint8).tobytes()
+
+
 def _profile(s: Settings):
-    """Rows of documents (doc_id, node, n, classes), and at a partition's end rows of its sketch (slice, counts)."""
-    names = ["doc_id", "node", "n", "classes", "slice", "counts"]
+    """Rows of documents (doc_id, key, n, classes, packed text), and at a partition's end rows of its sketch (slice, counts)."""
+    names = ["doc_id", "key", "n", "classes", "packed", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = Hasher(), np.zeros(1 << s.sketch_bits, np.uint32)
+        hasher, counts, pack = Hasher(), np.zeros(1 << s.sketch_bits, np.uint32), zstandard.ZstdCompressor(level=1).compress
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            nodes, sizes, classes = [], [], []
-            for shingles in hasher.sets(_utf8(batch.column(1)), s.k):
-                nodes.append(_node(shingles))
+            texts = _utf8(batch.column(1))
+            keys, sizes, classes, packed = [], [], [], []
+            for text, shingles in zip(texts, hasher.sets(texts, s.k), strict=True):
+                some = len(shingles) >= s.least
+                keys.append(_node(shingles))
                 sizes.append(len(shingles))
-                classes.append(np.minimum(255, np.bincount((shingles & np.uint64(_CLASSES - 1)).astype(np.int64), minlength=_CLASSES)).astype(np.int32) if len(shingles) >= s.least else None)
+                classes.append(_class_sizes(shingles) if some else None)
+                packed.append(pack(text) if some else None)
                 at = shingles >> np.uint64(64 - s.sketch_bits)
                 # Sorted, so equal buckets are neighbours.
                 new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
                 counts[at[new].astype(np.int64)] += np.diff(np.append(new, len(at))).astype(np.uint32)
-            n = len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(classes, pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(packed, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if kind is not None:
             rows = counts.reshape(-1, min(_SKETCH_SLICE, len(counts)))
             used = np.flatnonzero(rows.any(axis=1))
-            pack = zstandard.ZstdCompressor(level=1).compress
+            shrink = zstandard.ZstdCompressor(level=1).compress
             n = len(used)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(used.astype(np.int32)), pa.array([pack(rows[i].tobytes()) for i in used], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(used.astype(np.int32)), pa.array([shrink(rows[i].tobytes()) for i in used], pa.binary())], names)
 
     return run
 
@@ -149,57 +159,70 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(levels, s: Settings):
-    """(h, salts, salt, node, n, pos) of each text's prefix: its rarest shingles by the sketch, ties by hash."""
+    """(block, hot, node, place) of each set's prefix: its rarest shingles by the sketch, ties by hash. Columns: node, packed.
+
+    place is 2**32 * position + set size. A frequent shingle's block is parted by node; hot then holds the shingle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, level_of = Hasher(), np.frombuffer(levels.value, np.uint8)
+        hasher, level_of, unpack = Hasher(), np.frombuffer(levels.value, np.uint8), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts, made = _utf8(batch.column(0)), []
-            for shingles in hasher.sets(texts, s.k):
+            nodes, made = batch.column(0).to_numpy(), []
+            for node, shingles in zip(nodes, hasher.sets([unpack(x) for x in batch.column(1).to_pylist()], s.k), strict=True):
                 n = len(shingles)
-                if n < s.least:
-                    continue
                 level = level_of[(shingles >> np.uint64(64 - s.sketch_bits)).astype(np.int64)]
                 p = int(s.prefix(n))
                 first = np.lexsort((shingles, level))[:p]
-                node = _node(shingles)
-                spread = np.maximum(1, (2.0 ** (level[first] / 8.0) / s.block)).astype(np.int64)
-                made.append((shingles[first].view(np.int64), spread, int.from_bytes(node[:7], "little") % spread, node, n, p))
+                spread = np.maximum(1, 2.0 ** (level[first] / 8.0) / s.block).astype(np.uint64)
+                made.append((shingles[first], spread, n, p))
             if made:
-                size = np.array([m[5] for m in made])
+                size = np.array([m[3] for m in made])
                 ends = np.cumsum(size)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([m[0] for m in made])),
-                        pa.array(np.concatenate([m[1] for m in made]).astype(np.int32)),
-                        pa.array(np.concatenate([m[2] for m in made]).astype(np.int32)),
-                        pa.array([m[3] for m in made], pa.binary()).take(pa.array(np.repeat(np.arange(len(made)), size))),
-                        pa.array(np.repeat(np.array([m[4] for m in made], np.int32), size)),
-                        pa.array((np.arange(ends[-1]) - np.repeat(ends - size, size)).astype(np.int32)),
-                    ],
-                    ["h", "salts", "salt", "node", "n", "pos"],
-                )
+                h, spread = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+                of, pos = np.repeat(nodes, size), np.arange(ends[-1]) - np.repeat(ends - size, size)
+                with np.errstate(over="ignore"):
+                    part = mix(of.astype(np.uint64)) % spread
+                    block = np.where(part > 0, mix(h + part * np.uint64(_BASE)), h)
+                place = (pos << 32) + np.repeat(np.array([m[2] for m in made], np.int64), size)
+                yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(h.view(np.int64), mask=spread < 2), pa.array(of), pa.array(place)], ["block", "hot", "node", "place"])
 
     return run
 
 
-def _may_link(s: Settings, n1, pos1, n2, pos2):
+def _size(place: str):
+    return F.call_function("mod", F.col(place), F.lit(1 << 32))
+
+
+def _may_link(s: Settings, place1: str, place2: str):
     """Length filter, and positional filter for a shingle that both hold at these places of their order."""
+    n1, n2 = _size(place1), _size(place2)
+    left = lambda n, place: n - F.shiftright(F.col(place), 32)
     need = F.ceil(F.lit(s.percent) * (n1 + n2) / F.lit(100 + s.percent))
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * s.percent) & (1 + F.least(n1 - pos1, n2 - pos2) - 1 >= need)
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * s.percent) & (F.least(left(n1, place1), left(n2, place2)) >= need)
 
 
-def _close(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (hub, node) that the suffix filter lets through, by sets (node, n, classes).
+def _suffix_filter(s: Settings):
+    """Pairs whose sets may link by the sizes of their hash classes: what they differ by in each is not shared.
 
-    Sets cut into classes of their hashes: each class's difference in size is a lower bound of what is not shared.
+    Columns: hub, node, shared, must, hub_n, hub_c, node_n, node_c; the first four stay.
     """
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("classes").alias(f"{name}_c"))
-    rows = pairs.join(side("node"), "node").join(side("hub"), "hub")
-    total = F.col("node_n") + F.col("hub_n")
-    need = F.ceil(F.lit(s.percent) * total / F.lit(100 + s.percent))
-    apart = F.aggregate(F.zip_with("node_c", "hub_c", lambda a, b: F.abs(a - b)), F.lit(0), lambda t, x: t + x)
-    return rows.where(apart <= total - 2 * need).select("hub", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, _CLASSES).astype(np.int16) for i in (5, 7)]
+            total = batch.column(4).to_numpy() + batch.column(6).to_numpy()
+            need = -(-s.percent * total // (100 + s.percent))
+            near = np.abs(sizes[0] - sizes[1]).sum(axis=1) <= total - 2 * need
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], batch.schema.names[:4]).filter(pa.array(near))
+
+    return run
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (hub, node, shared, must) that the suffix filter lets through."""
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("classes").alias(f"{name}_c"))
+    rows = pairs.join(side("node"), "node").join(side("hub"), "hub").select("hub", "node", "shared", "must", "hub_n", "hub_c", "node_n", "node_c")
+    return rows.mapInArrow(_suffix_filter(s), "hub bigint, node bigint, shared bigint, must boolean")
 
 
 def overlap(a: np.ndarray, b: np.ndarray, need: int) -> int:
@@ -224,20 +247,20 @@ def _verify(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, unpack, hub, of = Hasher(), zstandard.ZstdDecompressor().decompress, None, None
         for batch in batches:
-            hubs, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = [], []
+            left, right, shared, union = [], [], [], []
             sets = hasher.sets([unpack(x) for x in batch.column(2).to_pylist()], s.k)
-            for h, node, shingles in zip(hubs, nodes, sets, strict=True):
+            for h, node, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
                 if h == node:
                     hub, of = h, shingles
                 elif h == hub:
                     a, b = len(of), len(shingles)
-                    need = -(-s.percent * (a + b) // (100 + s.percent))
-                    both = overlap(of, shingles, need)
+                    both = overlap(of, shingles, -(-s.percent * (a + b) // (100 + s.percent)))
                     if both >= 0 and 100 * both >= s.percent * (a + b - both):
                         left.append(h)
                         right.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+                        shared.append(both)
+                        union.append(a + b - both)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, shared, union)], ["a", "b", "shared", "joint"])
 
     return run
 
@@ -255,92 +278,129 @@ def _asked(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _payloads(s: Settings, asked):
-    """(node, packed): the texts of nodes that asked holds (and of a few more); xxh64 as Spark's xxhash64."""
+def _payloads(asked):
+    """The rows (node, packed) that asked holds (and a few more); xxh64 as Spark's xxhash64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, pack, filled = Hasher(), zstandard.ZstdCompressor(level=3).compress, asked.value
+        filled = asked.value
         for batch in batches:
-            texts = _utf8(batch.column(0))
-            nodes, packed, seen = [], [], set()
-            for text, shingles in zip(texts, hasher.sets(texts, s.k), strict=True):
-                node = _node(shingles) if len(shingles) >= s.least else None
-                if node is None or node in seen:
-                    continue
-                bit = xxhash.xxh64_intdigest(node, 42) % _ASKED_BITS
-                if int(filled[bit // 64]) >> (bit % 64) & 1:
-                    seen.add(node)
-                    nodes.append(node)
-                    packed.append(pack(text))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], ["node", "packed"])
+            raw = batch.column(0).to_numpy().astype("<i8").tobytes()
+            bit = np.array([xxhash.xxh64_intdigest(raw[i : i + 8], 42) % _ASKED_BITS for i in range(0, len(raw), 8)], np.uint64)
+            yield batch.filter(pa.array((filled[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)))
 
     return run
 
 
-def verify_pairs(texts: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (hub, node) whose sets link, as (a, b). Each pair is compared once; a hub's text is sent once for
-    each salt of its pairs, a member's once for each hub.
+def verify_pairs(nodes: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """The distinct pairs (hub, node) whose sets link, as (a, b, shared, joint): sizes of intersection and union.
+
+    Each pair is compared once; a hub's text is sent once for each salt of its pairs, a member's once for each hub.
     """
-    counts = pairs.groupBy("hub").agg((1 + F.floor(F.count("*") / 2_000)).alias("salts"))
+    counts = pairs.groupBy("hub").agg((1 + F.floor(F.count("*") / 250)).alias("salts"))
     dealt = stash(pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node"), "pairs")
-    if dealt.isEmpty():
-        return dealt.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     wanted = dealt.unionByName(dealt.select("hub", "salt", F.col("hub").alias("node")).distinct())
-    asked = texts.sparkSession.sparkContext.broadcast(_asked(wanted))
-    payload = texts.mapInArrow(_payloads(s, asked), "node binary, packed binary")
+    asked = nodes.sparkSession.sparkContext.broadcast(_asked(wanted))
+    payload = nodes.where(F.col("packed").isNotNull()).select("node", "packed").mapInArrow(_payloads(asked), "node bigint, packed binary")
     rows = wanted.join(payload, "node").select("hub", "node", "packed", "salt")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node") != F.col("hub"), "node")
-    return stash(rows.select("hub", "node", "packed").mapInArrow(_verify(s), "a binary, b binary"), "links")
+    links = stash(rows.select("hub", "node", "packed").mapInArrow(_verify(s), "a bigint, b bigint, shared bigint, joint bigint"), "links")
+    discard(dealt)
+    return links
 
 
-def _oriented(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (hub, node), with the side that has more pairs as the hub: members' texts travel, hubs' once."""
-    pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    degree = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).groupBy("x").agg(F.count("*").alias("d"))
-    rows = pairs.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
-    more = F.col("da") > F.col("db")
-    return rows.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("node"))
+def _small_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v, moved) sorted by u, v: u keeps its smallest neighbour, to which its others are tied. A run's least in memory."""
+    last_u = last_v = least = None
+    for batch in batches:
+        u, v, moved = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(u):
+            continue
+        new = np.concatenate([[u[0] != last_u], u[1:] != u[:-1]])
+        again = ~new & np.concatenate([[v[0] == last_v], v[1:] == v[:-1]])
+        run = np.cumsum(new)
+        mins = np.concatenate([[0 if least is None else least], v[new]])[run]
+        last_u, last_v, least = u[-1], v[-1], mins[-1]
+        keep = ~again
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(new, u, v)[keep]), pa.array(np.where(new, v, mins)[keep]), pa.array((moved | ~new)[keep])], batch.schema.names)
 
 
-def _star(edges: DataFrame, both: bool) -> DataFrame:
-    """Edges (u, v) with u > v, rewired to the smallest neighbour: of both sides for larger ones, else of the smaller side.
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node reachable, for every node of links (a, b), a and b distinct.
 
-    Connects what the edges connect; repeated in turns, each component becomes a star around its smallest node.
+    Edges lead from larger to smaller nodes. Each round ties a node's neighbours to the smallest of them and moves every
+    edge to its end's smallest neighbour, which halves paths, until nothing moves. No round holds a node's edges at once.
     """
-    near = edges.union(edges.select("v", "u").toDF("u", "v")) if both else edges
-    least = near.groupBy("u").agg(F.min("v").alias("m"))
-    if both:
-        return near.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-    return edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
+    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(False).alias("moved"))
+    edges = None
+    while True:
+        if edges is not None:
+            up = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("up"))
+            pairs = edges.select("u", "v").join(up, "v", "left").select("u", F.coalesce("up", "v").alias("v"), F.col("up").isNotNull().alias("moved"))
+        pairs = pairs.repartition("u").sortWithinPartitions("u", "v", F.desc("moved"))
+        new = stash(pairs.mapInArrow(_small_star, "u bigint, v bigint, moved boolean"), "edges")
+        if edges is not None:
+            discard(edges)
+            if new.where("moved").isEmpty():
+                return new.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        edges = new
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable, for every node of links (a, b), a and b distinct. Large and small stars in turns.
+def _named(blocks: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Rows (h, node, place, label) of blocks; without labels each node is its own."""
+    rows = blocks.select(F.coalesce("hot", "block").alias("h"), "node", "place")
+    return rows.withColumn("label", F.col("node")) if label is None else rows.join(label, "node", "left").select("h", "node", "place", F.coalesce("label", "node").alias("label"))
 
-    Rounds go on until the edges stay as they are; their number grows with the logarithm of the longest path in practice.
+
+def cross_pairs(named: DataFrame, s: Settings) -> DataFrame:
+    """(hub, node, shared, must): pairs of nodes of other labels that meet in a block and pass length and positional filters.
+
+    Of two labels in a block one is not its main one: nodes of the others meet those of like size (bands of the length
+    filter), a share of a large block in each task.
     """
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = [F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))]
-    was = tuple(edges.agg(*mark).first())
-    while True:
-        new = stash(_star(_star(edges, True), False), "edges")
-        discard(edges)
-        edges, now = new, tuple(new.agg(*mark).first())
-        if now == was:
-            break
-        was = now
-    label = stash(edges.toDF("node", "label").union(edges.select("v", "v").distinct()), "labels")
-    discard(edges)
-    return label
+    labels = named.groupBy("h", "label").agg(F.count("*").alias("c"))
+    split = labels.groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), (1 + F.floor(F.sum("c") / s.share)).alias("salts")).where("labels > 1").drop("labels")
+    # Sizes of linked sets are in the same band or in neighbouring ones.
+    band = F.floor(F.log(_size("place").cast("double")) / F.lit(math.log(100 / s.percent) * 1.000001))
+    open_ = named.join(split, "h").withColumn("band", band)
+    x = open_.where(F.col("label") != F.col("main")).select("h", "band", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "main", *(F.col(c).alias(f"x_{c}") for c in ("node", "place", "label")))
+    y = open_.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).select("h", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "salt", "node", "place", "label")
+    met = x.join(y, ["h", "band", "salt"]).where((F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x_node") < F.col("node"))) & _may_link(s, "x_place", "place"))
+    return met.groupBy(F.least("x_node", "node").alias("node"), F.greatest("x_node", "node").alias("hub")).agg(F.count("*").alias("shared")).select("hub", "node", "shared", F.lit(False).alias("must"))
+
+
+def _profiled(documents: DataFrame, s: Settings, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of documents (doc_id, key, n), nodes (node, key, least, n, classes, packed) and blocks (block, hot, node, place, head, head_place)."""
+    spark = documents.sparkSession
+    rows = documents.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    profile = stash(rows.mapInArrow(_profile(s), f"doc_id {kind}, key binary, n bigint, classes binary, packed binary, slice int, counts binary"), "profile")
+    docs = profile.where(F.col("slice").isNull()).select("doc_id", "key", "n", "classes", "packed")
+
+    slices = profile.where(F.col("slice").isNotNull()).select("slice", "counts").repartition("slice").sortWithinPartitions("slice")
+    levels = np.zeros(1 << s.sketch_bits, np.uint8)
+    for r in slices.mapInArrow(_sum_slices, "slice int, levels binary").collect():
+        part = np.frombuffer(r["levels"], np.uint8)
+        levels[r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
+    held = spark.sparkContext.broadcast(levels.tobytes())
+
+    # Equal sets are one node, with one text, from here on.
+    nodes = docs.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "classes", "packed")).alias("one"))
+    nodes = stash(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "one.*"), "nodes")
+    postings = nodes.where(F.col("packed").isNotNull()).select("node", "packed").mapInArrow(_postings(held, s), "block bigint, hot bigint, node bigint, place bigint")
+    ordered = Window.partitionBy("block").orderBy("place", "node")
+    blocks = postings.withColumn("head", F.first(F.struct("node", "place")).over(ordered)).withColumn("next", F.lead("node").over(ordered))
+    blocks = blocks.where(F.col("next").isNotNull() | (F.col("node") != F.col("head.node")) | F.col("hot").isNotNull())
+    blocks = stash(blocks.select("block", "hot", "node", "place", F.col("head.node").alias("head"), F.col("head.place").alias("head_place")), "blocks")
+    return docs.select("doc_id", "key", "n"), nodes, blocks
 
 
 def link_documents(documents: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest document id reachable by links, its own included.
 
     Texts with equal sets are one node from the start. Every node is then compared with the head of one of its blocks
-    (the documents that share a prefix shingle; the head has the fewest rarer shingles), which joins most copies; what
-    is left are the pairs inside blocks that are not connected yet: all of them that pass the length and positional
-    filters are verified. So components are exact, and a large group of copies costs a comparison for each copy
+    (the nodes that share a prefix shingle; the head has the fewest rarer shingles), which joins most copies; what
+    is left are the pairs inside blocks that are not connected yet: all of them that pass the length, positional and
+    suffix filters are verified. So components are exact, and a large group of copies costs a comparison for each copy
     instead of each pair.
 
     A null or empty text, or one without words, has an empty set: n_shingles 0, linked with nothing, its own
@@ -349,63 +409,59 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
     64-bit hashes; whole texts count.
     """
     s = settings
-    spark = documents.sparkSession
-    rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    profile = stash(rows.mapInArrow(_profile(s), f"doc_id {kind}, node binary, n bigint, classes array<int>, slice int, counts binary"), "profile")
-    docs = profile.where(F.col("slice").isNull()).select("doc_id", "node", "n", "classes")
+    docs, nodes, blocks = _profiled(documents, s, id_column, text_column)
+    pair = lambda rows: rows.select("node", "place", F.col("head").alias("hub"), "head_place", F.col("hot").isNotNull().alias("must"))
+    # Heads of a parted block meet the first of them.
+    heads = blocks.where(F.col("hot").isNotNull() & (F.col("node") == F.col("head"))).withColumn("first", F.min(F.struct("place", "node")).over(Window.partitionBy("hot")))
+    heads = heads.select("block", "hot", "node", "place", F.col("first.node").alias("head"), F.col("first.place").alias("head_place"))
+    met = pair(blocks).withColumn("must", F.lit(False)).unionByName(pair(heads)).where((F.col("node") != F.col("hub")) & _may_link(s, "place", "head_place"))
+    near = _close(met.groupBy("hub", "node").agg(F.count("*").alias("shared"), F.max("must").alias("must")), nodes, s)
+    # A node is compared with the head that it shares most blocks with.
+    best = near.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("top"), F.array_distinct(F.collect_list(F.when(F.col("must"), F.col("hub")))).alias("also"))
+    best = best.select("node", F.explode(F.array_union(F.array("top.hub"), "also")).alias("hub"))
+    links = verify_pairs(nodes, best, s)
+    label = components(links)
 
-    slices = profile.where(F.col("slice").isNotNull()).select("slice", "counts").repartition("slice").sortWithinPartitions("slice")
-    levels = np.zeros(1 << s.sketch_bits, np.uint8)
-    for r in slices.mapInArrow(_sum_slices, "slice int, levels binary").collect():
-        part = np.frombuffer(r["levels"], np.uint8)
-        levels[r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
-    held = spark.sparkContext.broadcast(levels.tobytes())
+    cross = stash(_close(cross_pairs(_named(blocks, label), s), nodes, s).join(best.select("hub", "node"), ["hub", "node"], "left_anti"), "cross")
+    while True:
+        of = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"{name}_l"))  # noqa: E731, B023
+        ends = cross.join(of("node"), "node", "left").join(of("hub"), "hub", "left").withColumns({"node_l": F.coalesce("node_l", "node"), "hub_l": F.coalesce("hub_l", "hub")})
+        apart = stash(ends.where("node_l != hub_l").select("hub", "node", "shared", "must", "node_l", "hub_l"), "apart")
+        discard(cross)
+        pairs, members = apart.agg(F.count("*"), F.approx_count_distinct("node")).first()
+        if not pairs:
+            break
+        asked = apart
+        if pairs > 8 * members:
+            # Far more pairs than nodes: first each node with its likeliest partner in each other component.
+            both = apart.union(apart.select("node", "hub", "shared", "must", "hub_l", "node_l"))
+            top = both.groupBy("node", "hub_l").agg(F.max(F.struct("shared", "hub")).alias("top")).select("node", F.col("top.hub").alias("hub"))
+            asked = stash(top.select(F.greatest("hub", "node").alias("hub"), F.least("hub", "node").alias("node")).distinct(), "asked")
+        more = verify_pairs(nodes, asked.select("hub", "node"), s)
+        if not more.isEmpty():
+            label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b").unionByName(more.select("a", "b")))
+        if asked is apart:
+            break
+        cross = stash(apart.join(asked, ["hub", "node"], "left_anti").select("hub", "node", "shared", "must"), "cross")
+        discard(apart, asked)
+    discard(blocks)
 
-    texts = rows.select("text")
-    postings = texts.mapInArrow(_postings(held, s), "h bigint, salts int, salt int, node binary, n int, pos int")
-    block = Window.partitionBy("h", "salt")
-    head = F.struct("pos", "n", "node")
-    blocks = postings.withColumn("head", F.min(head).over(block)).withColumn("many", F.max("node").over(block) != F.min("node").over(block))
-    blocks = stash(blocks.where(F.col("many") | (F.col("salts") > 1)).drop("many"), "blocks")
-
-    heads = blocks.where((F.col("salts") > 1) & (F.col("node") == F.col("head.node")) & (F.col("pos") == F.col("head.pos"))).drop("head")
-    heads = heads.withColumn("head", F.min(head).over(Window.partitionBy("h")))
-    met = blocks.unionByName(heads).where((F.col("node") != F.col("head.node")) & _may_link(s, F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
-    # A node is compared with the head that it shares most blocks with; heads of salted blocks with theirs too.
-    best = met.groupBy("node", F.col("head.node").alias("hub")).agg(F.count("*").alias("shared"), F.max("salts").alias("salts"))
-    best = best.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("top")).select("node", F.col("top.hub").alias("hub")).unionByName(best.where(F.col("salts") > 1).select("node", "hub")).distinct()
-    links = verify_pairs(texts, best, s)
-    label = components(links)
+    named = nodes.select("node", "key", "least").join(label, "node", "left").select("key", "least", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    found = named.join(least, "label").select("key", "component_id")
+    out = docs.join(found, "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
-    named = blocks.join(label, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
-    split = named.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("other")).where(F.col("one") != F.col("other"))
-    named = stash(named.join(split.select("h"), "h"), "open")
-    sizes = named.groupBy("h", "label").agg(F.countDistinct("node").alias("c")).groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    # Of two components in a block one is not its largest.
-    small = named.join(sizes, "h").where(F.col("label") != F.col("main")).select("h", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "label")), "main")
-    rest = small.join(named, "h").where((F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x_node") < F.col("node"))) & _may_link(s, F.col("x_n"), F.col("x_pos"), F.col("n"), F.col("pos")))
-    pairs = rest.select(F.least("x_node", "node").alias("node"), F.greatest("x_node", "node").alias("hub")).groupBy("node", "hub").agg(F.count("*").alias("shared"))
-    sets = docs.where(F.col("classes").isNotNull()).join(named.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("classes").alias("classes"))
-    pairs = stash(_close(pairs, sets, s).join(pairs, ["hub", "node"]), "close")
-    # First each node with the one it shares most with in another component, then what that leaves apart.
-    label = stash(label.select("node", "label"), "labels")
-    both = pairs.select("hub", "node", "shared").union(pairs.select("node", "hub", "shared").toDF("hub", "node", "shared"))
-    other = both.join(label.select(F.col("node").alias("hub"), "label"), "hub", "left").select("node", "hub", "shared", F.coalesce("label", "hub").alias("label"))
-    top = other.groupBy("node", "label").agg(F.max(F.struct("shared", "hub")).alias("top")).select(F.col("top.hub").alias("hub"), "node")
-    more = verify_pairs(texts, _oriented(top), s)
-    links = links.unionByName(more)
-    label = components(links)
-    of = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"{name}_l"))
-    apart = pairs.join(of("node"), "node", "left").join(of("hub"), "hub", "left").where(F.coalesce("node_l", "node") != F.coalesce("hub_l", "hub")).select("hub", "node")
-    apart = apart.join(_oriented(top).select(F.least("hub", "node").alias("node"), F.greatest("hub", "node").alias("hub")), ["hub", "node"], "left_anti")
-    last = verify_pairs(texts, _oriented(apart), s)
-    label = components(links.unionByName(last))
-    discard(blocks, named, pairs)
-
-    nodes = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = nodes.join(least, "label").select("node", "component_id")
-    out = docs.join(found, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+def similar_pairs(documents: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and the members of each set: (node_a, node_b, shared, joint) and (doc_id, node).
+
+    node is the set's 64-bit name within this result; null for an empty set. Each candidate pair is verified once; the
+    result grows with the links, so with the square of a group of near copies that all differ. Rows, nulls and other
+    columns as in link_documents.
+    """
+    s = settings
+    docs, nodes, blocks = _profiled(documents, s, id_column, text_column)
+    links = verify_pairs(nodes, _close(cross_pairs(_named(blocks, None), s), nodes, s).select("hub", "node"), s)
+    discard(blocks)
+    return links.select(F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b"), "shared", "joint"), docs.join(nodes.select("key", "node"), "key", "left").select("doc_id", "node")

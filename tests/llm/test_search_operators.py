@@ -62,16 +62,51 @@ def test_components_equal_brute_force(spark, seed, k, percent, settings):
     assert sorted((tuple(r) for r in got), key=str) == components(rows, k, percent)
 
 
+def test_similar_pairs_equal_brute_force(spark):
+    rows, k, percent = corpus(7), 3, 70
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links, members = jaccard_join.similar_pairs(docs, jaccard_join.Settings(k=k, percent=percent, share=7))
+    sets, named = {}, {}
+    for r in members.collect():
+        named.setdefault(r.node, []).append(r.doc_id)
+    texts = {}
+    for doc, text in rows:
+        texts.setdefault(doc, []).append(shingles(text, k))
+    assert sorted((str(x) for m in named.values() for x in m)) == sorted(str(d) for d, _ in rows)
+    for node, docs_ in named.items():
+        own = set.intersection(*(set(texts[d]) for d in docs_))
+        assert node is None and own == {frozenset()} or len(own) == 1 or len(docs_) == 1
+        sets[node] = next(iter(own)) if len(own) == 1 else None
+    got = {frozenset((r.node_a, r.node_b)): (r.shared, r.joint) for r in links.collect()}
+    distinct = [(n, x) for n, x in sets.items() if n is not None and x]
+    want = {frozenset((n, m)): (len(x & y), len(x | y)) for i, (n, x) in enumerate(distinct) for m, y in distinct[:i] if 100 * len(x & y) >= percent * len(x | y)}
+    assert len(want) > 20 and {p: v for p, v in got.items() if all(sets[n] is not None for n in p)} == want
+
+
 def test_components_of_long_chains(spark):
-    names = [bytes([i // 256, i % 256]) for i in range(1_003)]
+    names = list(range(1_003))
     random.Random(5).shuffle(names)
     chain, pair = names[:1_000], names[1_001:]
-    links = spark.createDataFrame([*zip(chain, chain[1:]), tuple(pair), tuple(pair[::-1])], "a binary, b binary").coalesce(1)
-    got = {bytes(r.node): bytes(r.label) for r in jaccard_join.components(links).collect()}
+    links = spark.createDataFrame([*zip(chain, chain[1:]), tuple(pair), tuple(pair[::-1])], "a long, b long").coalesce(1)
+    got = {r.node: r.label for r in jaccard_join.components(links).collect()}
     assert got == {**dict.fromkeys(chain, min(chain)), **dict.fromkeys(pair, min(pair))}
     assert jaccard_join.components(links.limit(0)).count() == 0
 
 
+def test_many_copies_and_very_long_texts(spark):
+    """50,000 copies of one text among variants of it, and texts of a megabyte that differ in a word."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(500)}" for _ in range(60)]
+    variants = [" ".join(base[:i] + ["new"] + base[i + 1 :]) for i in (0, 59)] + [" ".join(base[:30])]
+    long = [f"v{r.randrange(10_000)}" for _ in range(160_000)]
+    texts = [*variants, " ".join(long), " ".join(long[:-1] + ["other"]), " ".join(long[:80_000])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(spark.range(100, 50_100).select("id", F.lit(" ".join(base))))
+    got = jaccard_join.link_documents(docs).groupBy("component_id").agg(F.count("*").alias("c"), F.min("doc_id").alias("least")).collect()
+    assert sorted(tuple(x) for x in got) == [(0, 50_002, 0), (2, 1, 2), (3, 2, 3), (5, 1, 5)]
+    pairs, members = jaccard_join.similar_pairs(docs)
+    assert members.count() == 50_006 and pairs.count() == 4
+
+
 def test_no_documents(spark):
     assert jaccard_join.link_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
