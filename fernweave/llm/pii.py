@@ -25,28 +25,50 @@ ENDINGS = {
     "greek": {"m": ("ος", "ης", "ας", "ων"), "f": ("α", "η", "ια", "ω"), "n": ("ι", "ιδι", "ακι", "ου")},
 }
 
+#: Words before a name that tell no gender, in any case; the last two before two capitalised words at least.
+CUES = ("my name is", "mein Name ist", "ich heiße", "je m'appelle", "je m’appelle", "me llamo", "mi nombre es")
+LABELS = ("full name:", "name:")
+#: Beginnings of tokens of well-known providers, and of JSON web tokens; they stay in surrogates.
+TOKEN_STARTS = (r"gh[pousr]_", r"github_pat_", r"glpat-", r"xox[abprs]-", r"[rs]k_(?:live|test)_", r"sk-", r"AIza", r"npm_", r"hf_", r"eyJ", r"A(?:KIA|SIA)")
+
 _TITLES = "|".join(sorted((h for g in HONORIFICS.values() for h in g), key=len, reverse=True))
+_CUES, _LABELS = f"(?iu:{'|'.join(CUES)})", f"(?i:{'|'.join(LABELS)})"
+_STARTS = "|".join(TOKEN_STARTS)
 _SECRET = r"""(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}["']?)"""
+_BEARER = "(?i:bearer) {1,3}"
 #: A secret's value: up to the closing quote if one opened it, else all that is not blank but marks at its end.
 _VALUE = r"""(?:(?<=")(?=[^"\r\n]{6})[^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+(?=")|(?<=')(?=[^'\r\n]{6})[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+(?=')|(?!["'])\S{5,}[^\s.,;:!?)\]}>"'])"""
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: What each kind looks like. Where two would start at one place, the earlier here wins.
-PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": rf"(?<![A-Za-z0-9]){_SECRET}{_VALUE}",
-    "access_key": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "ip": rf"(?<![0-9])(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])",
-    "phone": r"(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
-    "hex": r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}+(?![A-Za-z0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
+_H = "[0-9A-Fa-f]{1,4}"
+_ONE = r"\p{Lu}[\p{L}'’-]+"
+#: What each kind looks like, after a character that is no letter or digit. The earlier wins where two start at one place.
+_AFTER_WORD = {
+    "email": r"(?<![._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "secret": _SECRET + _VALUE,
+    "bearer": rf"{_BEARER}(?=[A-Za-z._~+/=-]*[0-9])[A-Za-z0-9._~+/=-]{{15,}}[A-Za-z0-9~+/=-]",
+    "token": r"(?:A(?:KIA|SIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_[A-Za-z0-9_]{20,}+|glpat-[A-Za-z0-9_-]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{30,}+|(?:npm|hf)_[A-Za-z0-9]{30,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?)(?![A-Za-z0-9])",
+    "hex": r"(?=[0-9a-f]{32})(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}+(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv6": rf"(?<![:.])(?=[0-9A-Fa-f]{{1,4}}:)(?:(?:{_H}:){{7}}{_H}|(?=[0-9A-Fa-f]{{3,4}}:)(?=[A-Fa-f:]*[0-9])(?:{_H}:){{1,6}}(?::{_H}){{1,6}})(?![0-9A-Za-z:])",
+}
+#: The same after a character that is no digit.
+_AFTER_DIGIT = {
+    "ip": rf"(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])",
+    "phone": r"(?:(?<!\+)\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?<![-.])[0-9]{3}-[0-9]{3}-[0-9]{4}|(?<![-.])[2-9][0-9]{2}\.[2-9][0-9]{2}\.[0-9]{4}(?!\.[0-9]))(?![0-9])",
+    "ssn": r"(?:(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![0-9] )(?!000|666|9)[0-9]{3} [0-9]{2} [0-9]{4}(?![0-9])(?! [0-9]))",
+    "card": r"(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
 }
-ALL = "|".join(PATTERNS.values())
+ALL = "|".join(
+    (
+        r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[^-]*+-----END (?:[A-Z]+ )*PRIVATE KEY-----",
+        rf"(?<![A-Za-z0-9])(?=[A-Za-z0-9])(?:{'|'.join(_AFTER_WORD.values())})",
+        rf"(?<![0-9])(?=[0-9(+])(?:{'|'.join(_AFTER_DIGIT.values())})",
+        rf"(?<![\p{{L}}])(?=[MHSDPгΚκmIiJjFfNn])(?:(?:(?:{_TITLES})\.?|{_CUES}) {_ONE}(?: {_ONE}){{0,2}}|{_LABELS} {_ONE}(?: {_ONE}){{1,2}})",
+    )
+)
 #: Texts without any of these hold no entity; one cheap look spares the rest.
-MAYBE = rf"[0-9@=:]|(?:{_TITLES})[. ]"
-_NAME = rf"^({_TITLES})(\.? )(.*)$"
+MAYBE = rf"[0-9@=:]|(?<![\p{{L}}])(?:(?:{_TITLES})[. ]|{_CUES})|[Bb]earer|-----BEGIN"
+_NAME = rf"^({_TITLES}|{_CUES}|{_LABELS})(\.? )(.*)$"
 
 
 def _luhn(digits: Column) -> Column:
@@ -56,12 +78,15 @@ def _luhn(digits: Column) -> Column:
 def kind_of(m: Column) -> Column:
     """The kind of a match of ALL; null for a number that only looks like a card."""
     tests = {
-        "email": F.contains(m, F.lit("@")) & ~F.rlike(m, F.lit(rf"^{_SECRET}")),
-        "secret": F.rlike(m, F.lit(rf"^{_SECRET}")),
-        "access_key": F.rlike(m, F.lit("^A(?:KIA|SIA)[A-Z0-9]{16}$")),
+        "pem": F.startswith(m, F.lit("-----BEGIN")),
+        "secret": F.rlike(m, F.lit(f"^{_SECRET}")),
+        "bearer": F.rlike(m, F.lit(f"^{_BEARER}")),
+        "email": F.contains(m, F.lit("@")),
+        "token": F.rlike(m, F.lit(f"^(?:{_STARTS})")),
         "ip": F.rlike(m, F.lit(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")),
-        "phone": F.rlike(m, F.lit(r"^(?:\+|\(|[0-9]{3}-[0-9]{3}-[0-9]{4}$)")),
-        "ssn": F.rlike(m, F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
+        "ipv6": F.rlike(m, F.lit("^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+$")),
+        "phone": F.rlike(m, F.lit(r"^(?:\+|\(|[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}$)")),
+        "ssn": F.rlike(m, F.lit("^[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}$")),
         "hex": F.rlike(m, F.lit("^[0-9a-f]{32,}$")) & F.rlike(m, F.lit("[a-f]")),
         "iban": F.rlike(m, F.lit("^[A-Z]{2}[0-9]{2}")),
         "card": F.rlike(m, F.lit("^[0-9 -]+$")) & _luhn(F.regexp_replace(m, "[^0-9]", "")),
@@ -83,26 +108,34 @@ def _name_tokens(m: Column) -> Column:
 
 def _gender(m: Column) -> Column:
     title = F.regexp_extract(m, _NAME, 1)
-    return F.when(title.isin(*HONORIFICS["m"]), "m").when(title.isin(*HONORIFICS["f"]), "f").otherwise("n")
+    return F.when(title.isin(*HONORIFICS["m"]), "m").when(title.isin(*HONORIFICS["f"]), "f")
 
 
-def entities(mentions: DataFrame) -> DataFrame:
-    """mentions (m, kind) with at and entity: "kind:canonical form". Mentions of one entity in other formats give the same.
+def entities(hits: DataFrame) -> DataFrame:
+    """hits (row, m, kind) with at, token and entity: "kind:canonical form". Mentions of one entity in other formats give the same.
 
-    Names give a row for each token: the last is a surname, those before are given names of the honorific's gender.
+    Names give a row for each token: the last is a surname, those before are given names. A given name is of its
+    honorific's gender; where that tells none, of the one gender that other mentions in the same text give it.
     """
     m, k = F.col("m"), F.col("kind")
     value = (
-        F.when(k == "secret", F.regexp_replace(m, rf"^{_SECRET}", ""))
+        F.when(k == "secret", F.regexp_replace(m, f"^{_SECRET}", ""))
+        .when(k == "bearer", F.regexp_replace(m, f"^{_BEARER}", ""))
         .when(k.isin("phone", "card", "ssn"), _digits(m))
-        .when(k.isin("email", "hex"), F.lower(m))
+        .when(k.isin("email", "ipv6"), F.lower(m))
         .when(k == "iban", F.replace(m, F.lit(" "), F.lit("")))
         .otherwise(m)
     )
-    plain = mentions.where(k != "name").select("m", "kind", F.lit(0).alias("at"), F.lit(None).cast("string").alias("token"), F.concat(k, F.lit(":"), value).alias("entity"))
-    names = mentions.where(k == "name").select("m", "kind", F.size(_name_tokens(m)).alias("n"), F.posexplode(_name_tokens(m)).alias("at", "token"))
-    role = F.when(F.col("at") == F.col("n") - 1, F.lit("surname:")).otherwise(F.concat(F.lit("given_"), _gender(m), F.lit(":")))
-    return plain.unionByName(names.select("m", "kind", "at", "token", F.concat(role, F.lower("token")).alias("entity")))
+    # A credential is one entity whatever stands before it.
+    of = F.when(k.isin("secret", "bearer", "token", "hex"), "secret").otherwise(k)
+    plain = hits.where(k != "name").select("row", "m", "kind", F.lit(0).alias("at"), F.lit(None).cast("string").alias("token"), F.concat(of, F.lit(":"), value).alias("entity"))
+    names = hits.where(k == "name").select("row", "m", "kind", _gender(m).alias("gender"), F.size(_name_tokens(m)).alias("n"), F.posexplode(_name_tokens(m)).alias("at", "token"))
+    names = names.withColumn("lower", F.lower("token"))
+    told = names.where((F.col("at") < F.col("n") - 1) & F.col("gender").isNotNull()).groupBy("row", "lower").agg(F.min("gender").alias("one"), F.max("gender").alias("other"))
+    names = names.join(told, ["row", "lower"], "left")
+    gender = F.coalesce("gender", F.when(F.col("one") == F.col("other"), F.col("one")), F.lit("n"))
+    role = F.when(F.col("at") == F.col("n") - 1, F.lit("surname:")).otherwise(F.concat(F.lit("given_"), gender, F.lit(":")))
+    return plain.unionByName(names.select("row", "m", "kind", "at", "token", F.concat(role, "lower").alias("entity")))
 
 
 def _pick(choices: tuple[str, ...], number: Column) -> Column:
@@ -134,13 +167,22 @@ def _scramble(text: Column, digest: Column, hexadecimal: bool = False) -> Column
     return F.array_join(F.transform(F.split(text, ""), swap), "")
 
 
+#: Names are cut at these; a piece of one letter stays, as in O'Neil.
+_NAME_PARTS = "[^'’-]+|['’-]"
+
+
 def _new_name(token: Column, digest: Column, gender: str | None) -> Column:
-    def of(script: str) -> Column:
-        parts = [_pick(SYLLABLES[script], _draw(digest, i)) for i in range(3)]
-        last = _pick(ENDINGS[script][gender], _draw(digest, 5)) if gender else _pick(SYLLABLES[script], _draw(digest, 5))
+    def of(script: str, d: Column) -> Column:
+        parts = [_pick(SYLLABLES[script], _draw(d, i)) for i in range(3)]
+        last = _pick(ENDINGS[script][gender], _draw(d, 5)) if gender else _pick(SYLLABLES[script], _draw(d, 5))
         return F.concat(*parts, last)
 
-    return F.when(F.rlike(token, F.lit(r"\p{IsCyrillic}")), of("cyrillic")).when(F.rlike(token, F.lit(r"\p{IsGreek}")), of("greek")).otherwise(of("latin"))
+    def part(p: Column, i: Column) -> Column:
+        d = F.sha2(F.concat(digest, i.cast("string")), 512)
+        made = F.when(F.rlike(p, F.lit(r"\p{IsCyrillic}")), of("cyrillic", d)).when(F.rlike(p, F.lit(r"\p{IsGreek}")), of("greek", d)).otherwise(of("latin", d))
+        return F.when(F.length(p) < 2, p).otherwise(made)
+
+    return F.array_join(F.transform(F.regexp_extract_all(token, F.lit(_NAME_PARTS), F.lit(0)), part), "")
 
 
 def surrogates(known: DataFrame, key: str) -> DataFrame:
@@ -166,9 +208,15 @@ def surrogates(known: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("body", F.when(kind == "card", body))
     card = F.concat("body", F.get(F.filter(F.array(*(F.lit(str(i)) for i in range(10))), lambda x: _luhn(F.concat(F.col("body"), x))), F.lit(0)))
     keep = lambda n: F.concat(F.substr(value, F.lit(1), F.lit(n)), _scramble(F.substr(value, F.lit(n + 1)), d))
-    secret = F.when(F.rlike(value, F.lit("^[0-9a-f]+$")), _scramble(value, d, hexadecimal=True)).otherwise(_scramble(value, d))
+    start = F.regexp_extract(value, f"^(?:{_STARTS})", 0)
+    token = F.concat(start, _scramble(F.substr(value, F.length(start) + 1), d))
+    secret = F.when(F.rlike(value, F.lit("^[0-9a-f]+$")), _scramble(value, d, hexadecimal=True)).otherwise(token)
+    lines = F.regexp_extract_all(value, F.lit("-----[A-Z ]+-----|(?s:(?!-----).)+"), F.lit(0))
+    pem = F.array_join(F.transform(lines, lambda x: F.when(F.startswith(x, F.lit("-----")), x).otherwise(_scramble(x, d))), "")
+    group = F.length(F.substring_index(value, ":", 1))
+    ipv6 = F.concat(F.substr(value, F.lit(1), group), _scramble(F.substr(value, group + 1), d, hexadecimal=True))
     made = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", _scramble(value, d))
-    made = made.when(kind == "access_key", keep(4)).when(kind == "iban", keep(2)).when(kind == "hex", _scramble(value, d, hexadecimal=True))
+    made = made.when(kind == "iban", keep(2)).when(kind == "pem", pem).when(kind == "ipv6", ipv6)
     for gender in HONORIFICS:
         made = made.when(kind == f"given_{gender}", _new_name(value, d, gender))
     made = made.when(kind == "surname", _new_name(value, d, None)).otherwise(secret)
@@ -181,29 +229,33 @@ def _into_digits(m: Column, s: Column) -> Column:
 
 
 def _like_case(m: Column, s: Column) -> Column:
-    """s, all upper-case as m is, or capitalised as m is."""
-    return F.when((F.upper(m) == m) & (F.length(m) > 1), F.upper(s)).when(F.upper(F.substr(m, F.lit(1), F.lit(1))) == F.substr(m, F.lit(1), F.lit(1)), F.concat(F.upper(F.substr(s, F.lit(1), F.lit(1))), F.substr(s, F.lit(2)))).otherwise(s)
+    """s, all upper-case as m is, or each part capitalised as m's is."""
+    first = lambda x: F.substr(x, F.lit(1), F.lit(1))
+    part = lambda a, b: F.when(F.upper(first(a)) == first(a), F.concat(F.upper(first(b)), F.substr(b, F.lit(2)))).otherwise(b)
+    parts = lambda x: F.regexp_extract_all(x, F.lit(_NAME_PARTS), F.lit(0))
+    return F.when((F.upper(m) == m) & (F.length(m) > 1), F.upper(s)).otherwise(F.array_join(F.zip_with(parts(m), parts(s), part), ""))
 
 
-def replacements(mentions: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(m, new, names): what stands in texts for each mention, in its own format; for names also (token, rank, s) of each
-    token, in lower case. Rank 0 is a surname.
+def replacements(found: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(row, m, new, names): what stands in a text for each of its mentions, in its own format; for names also (token,
+    rank, s) of each token, in lower case. Rank 0 is a surname. found: as entities() gives.
     """
     m, k = F.col("m"), F.col("kind")
     s = F.regexp_replace("s", "^[^:]*:", "")
     rank = F.when(F.startswith("entity", F.lit("surname:")), F.lit("0")).otherwise(F.substring_index("entity", ":", 1))
-    rows = entities(mentions).join(drawn.select("entity", "s"), "entity").withColumn("plain", s).withColumn("form", F.when(k == "name", _like_case(F.col("token"), F.col("plain"))).otherwise(F.col("plain")))
-    rows = rows.groupBy("m", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "form"))).alias("forms"), F.collect_list(F.when(k == "name", F.struct(F.lower("token").alias("token"), rank.alias("rank"), F.col("plain").alias("s")))).alias("names"))
-    rows = rows.select("m", "kind", F.transform("forms", lambda x: x["form"]).alias("forms"), "names")
+    rows = found.join(drawn.select("entity", "s"), "entity").withColumn("plain", s).withColumn("form", F.when(k == "name", _like_case(F.col("token"), F.col("plain"))).otherwise(F.col("plain")))
+    rows = rows.groupBy("row", "m", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "form"))).alias("forms"), F.collect_list(F.when(k == "name", F.struct(F.lower("token").alias("token"), rank.alias("rank"), F.col("plain").alias("s")))).alias("names"))
+    rows = rows.select("row", "m", "kind", F.transform("forms", lambda x: x["form"]).alias("forms"), "names")
     form = F.get("forms", F.lit(0))
     new = (
         F.when(k == "name", F.concat(F.regexp_extract(m, _NAME, 1), F.regexp_extract(m, _NAME, 2), F.array_join("forms", " ")))
-        .when(k == "secret", F.concat(F.regexp_extract(m, rf"^{_SECRET}", 0), form))
+        .when(k == "secret", F.concat(F.regexp_extract(m, f"^{_SECRET}", 0), form))
+        .when(k == "bearer", F.concat(F.regexp_extract(m, f"^{_BEARER}", 0), form))
         .when(k.isin("phone", "card", "ssn", "iban"), _into_digits(m, form))
-        .when(k == "email", F.array_join(F.zip_with(F.split(m, ""), F.split(form, ""), lambda a, b: F.when(F.rlike(a, F.lit("[A-Z]")), F.upper(b)).otherwise(b)), ""))
+        .when(k.isin("email", "ipv6"), F.array_join(F.zip_with(F.split(m, ""), F.split(form, ""), lambda a, b: F.when(F.rlike(a, F.lit("[A-Z]")), F.upper(b)).otherwise(b)), ""))
         .otherwise(form)
     )
-    return rows.select("m", new.alias("new"), "names")
+    return rows.select("row", "m", new.alias("new"), "names")
 
 
 def find(text: Column) -> Column:
@@ -236,39 +288,43 @@ def settle(found: DataFrame, key: str, rounds: int = 40) -> DataFrame:
 def protect(documents: DataFrame, key: str, text_column: str = "text", count: str | None = None) -> DataFrame:
     """documents with every detected entity replaced; with `count`, a column of that name tells how many per row.
 
-    Emails, credentials, keys, IP addresses, phone, card (Luhn-valid) and social-security numbers, IBANs, long hex
-    tokens, and names after honorifics. A surrogate is drawn from a keyed digest of the entity's canonical form, so one
-    entity has one surrogate in all documents and formats; distinct entities have distinct ones, which is checked over
-    all documents and drawn again where it fails. Names keep gender and script, and their given names and
-    surnames are replaced wherever the same text has them as capitalised words; cards keep issuer digit and check digit; all keep length, case and separators.
+    Emails, credentials (after a label or `Bearer`, or of a well-known form), private keys, IP addresses, phone, card
+    (Luhn-valid) and social-security numbers, IBANs, long hex tokens, and names after honorifics and phrases that
+    introduce one. A surrogate is drawn from a keyed digest of the entity's canonical form, so one entity has one
+    surrogate in all documents and formats; distinct entities have distinct ones, which is checked over all documents
+    and drawn again where it fails. Names keep gender, script, apostrophes and hyphens, and their given names and
+    surnames are replaced wherever the same text has them as capitalised words; cards keep issuer digit and check
+    digit; all keep length, case and separators.
 
     A null text stays null, an empty one empty; texts without entities come out unchanged, byte for byte. Repeated rows
-    and clashing names of other columns don't matter; an empty table gives an empty result. Only texts that hold an
-    entity are shuffled, by a hash of the text, to meet their replacements.
+    and clashing names of other columns don't matter; an empty table gives an empty result. Texts are searched once;
+    only those that hold an entity are shuffled, by a 256-bit hash of the text, to meet their replacements.
     """
-    text = F.col(f"`{text_column}`")
-    hits = documents.select(F.xxhash64(text).alias("row"), F.explode(find(text)).alias("m")).distinct()
-    hits = stash(hits.select("row", "m", kind_of(F.col("m")).alias("kind")).where(F.col("kind").isNotNull()), "mentions")
-    mentions = hits.select("m", "kind").distinct()
-    drawn = settle(entities(mentions).select("entity").distinct(), key)
-    per_row = hits.join(replacements(mentions, drawn), "m").groupBy("row").agg(
+    names = documents.columns
+    at = names.index(text_column)
+    plain = documents.toDF(*(f"c{i}" for i in range(len(names))))
+    packed = stash(plain.select(F.struct(*plain.columns).alias("all"), find(F.col(f"c{at}")).alias("m")), "searched")
+    text = F.col("all").getField(f"c{at}")
+    some = packed.where(F.size("m") > 0).select("all", "m", text.alias("text"), F.sha2(text, 256).alias("row"))
+    hits = some.select("row", F.explode("m").alias("m")).distinct()
+    found = stash(entities(hits.select("row", "m", kind_of(F.col("m")).alias("kind")).where(F.col("kind").isNotNull())), "mentions")
+    drawn = settle(found.select("entity").distinct(), key)
+    per_row = replacements(found, drawn).groupBy("row").agg(
         F.map_from_entries(F.collect_list(F.struct("m", "new"))).alias("new"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"),
     )
     # A token that is a surname and a given name in one text is taken for the surname.
     first = F.filter("names", lambda x, i: (i == 0) | (F.get("names", i - 1)["token"] != x["token"]))
     per_row = per_row.select("row", "new", F.map_from_entries(F.transform(first, lambda x: F.struct(x["token"], x["s"]))).alias("names"))
-    # Only the text, the hash and a row of all columns: names of the table cannot clash.
-    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row_of"), text.alias("text"), find(text).alias("m"))
-    some = packed.where(F.size("m") > 0).withColumn("row", F.xxhash64("text")).join(per_row, "row", "left")
+    some = some.join(per_row, "row", "left")
     pieces = F.split("text", ALL, -1)
     made = F.transform("m", lambda m: F.coalesce(F.try_element_at("new", m), m))
-    some = some.select("row_of", "m", "new", "names", F.array_join(F.zip_with(pieces, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"))
+    some = some.select("all", "m", "new", "names", F.array_join(F.zip_with(pieces, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"))
     again = lambda t: F.when(F.rlike(t, F.lit(r"^\p{Lu}")), F.try_element_at("names", F.lower(t)))
     named = F.array_join(F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}'’-]+|[^\p{L}'’-]+"), F.lit(0)), lambda t: F.coalesce(_like_case(t, again(t)), t)), "")
     n = F.size(F.filter("m", lambda m: F.coalesce(F.map_contains_key("new", m), F.lit(False))))
-    some = some.select("row_of", F.when(F.coalesce(F.size("names"), F.lit(0)) > 0, named).otherwise(F.col("text")).alias("text"), n.alias("n"))
-    rest = packed.where(F.coalesce(F.size("m"), F.lit(0)) <= 0).select("row_of", "text", F.lit(0).alias("n"))
-    both = some.unionByName(rest)
-    columns = [F.col("text").alias(c) if c == text_column else F.col("row_of").getField(c).alias(c) for c in documents.columns if c != count]
-    return both.select(*columns, *([F.col("n").alias(count)] if count else []))
+    some = some.select("all", F.when(F.coalesce(F.size("names"), F.lit(0)) > 0, named).otherwise(F.col("text")).alias("text"), n.alias("n"))
+    both = some.unionByName(packed.where(F.coalesce(F.size("m"), F.lit(0)) <= 0).select("all", text.alias("text"), F.lit(0).alias("n")))
+    kept = [i for i, c in enumerate(names) if c != count]
+    out = both.select(*(F.col("text").alias(f"c{i}") if i == at else F.col("all").getField(f"c{i}").alias(f"c{i}") for i in kept), *([F.col("n")] if count else []))
+    return out.toDF(*(names[i] for i in kept), *([count] if count else []))
