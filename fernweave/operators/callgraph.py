@@ -2,38 +2,94 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernweave.session import shared_folder
+
 #: Columns: nodes (file, id, name, start_byte, end_byte, node_ordinal, is_definition, is_reference);
 #: occurrences (file, symbol, text, start_byte, end_byte, ordinal, is_definition), bytes of the identifier.
 
 
-def _inside(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Node and occurrence of one file and one name, the node around the occurrence: the name drives the join."""
-    n = nodes.where(F.col("name") != "").select("file", F.col("name").alias("text"), F.col("id").alias("node"), F.col("start_byte").alias("ns"), F.col("end_byte").alias("ne"), "node_ordinal", F.col("is_definition").alias("node_defines"), "is_reference")
-    o = occurrences.where((F.col("symbol") != "") & (F.col("text") != "") & (F.col("start_byte") <= F.col("end_byte"))).select("file", "text", "symbol", "ordinal", F.col("start_byte").alias("os"), F.col("end_byte").alias("oe"), F.col("is_definition").alias("defines"))
-    return n.join(o, ["file", "text"]).where((F.col("ns") <= F.col("os")) & (F.col("oe") <= F.col("ne")))
-
-
-def innermost(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
+def _nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.where(F.col("name") != "").select("file", F.col("name").alias("text"), F.col("id").alias("node"), F.col("start_byte").cast("bigint").alias("start"), F.col("end_byte").cast("bigint").alias("end"), F.col("node_ordinal").cast("bigint").alias("ord"), F.col("is_definition").alias("defines"), "is_reference")
+
+
+def _occurrences(occurrences: DataFrame) -> DataFrame:
+    return occurrences.where((F.col("symbol") != "") & (F.col("text") != "") & (F.col("start_byte") <= F.col("end_byte"))).select("file", "text", "symbol", F.col("ordinal").cast("bigint").alias("ord"), F.col("start_byte").cast("bigint").alias("start"), F.col("end_byte").cast("bigint").alias("end"), F.col("is_definition").alias("defines"))
+
+
+#: Comparisons of a node with an occurrence at once.
+_CELLS = 1 << 22
+
+
+def contained(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """What one look at each name of each file tells: rows (file, text, use, ordinal, symbol, defines, node).
+
+    Where use is false: an occurrence and the node around it, definitions first, then the smallest. Where it is true: a
+    reference node and the first occurrence inside it that does not define. A file is bounded by the scan, and the
+    nodes of one name in it meet its occurrences in blocks of bounded size, so no pair of them ever becomes a row.
+    """
+    n, o = _nodes(nodes), _occurrences(occurrences)
+    file, node, ordinal = n.schema["file"].dataType.simpleString(), n.schema["node"].dataType.simpleString(), occurrences.schema["ordinal"].dataType.simpleString()
+    schema = f"file {file}, text string, use boolean, ordinal bigint, symbol string, defines boolean, node {node}"
+
+    def pair(key: tuple, own: pa.Table, seen: pa.Table) -> pa.Table:
+        column = lambda t, c: t.column(c).to_numpy(zero_copy_only=False)
+        flag = lambda t, c: t.column(c).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+        # In the order in which a node is chosen, the first that holds an occurrence is the one.
+        own = own.take(pa.array(np.lexsort((column(own, "ord"), column(own, "end") - column(own, "start"), ~flag(own, "defines")))))
+        seen = seen.take(pa.array(np.argsort(column(seen, "ord"), kind="stable")))
+        start, end, refers = column(own, "start"), column(own, "end"), flag(own, "is_reference")
+        left, right, defines = column(seen, "start"), column(seen, "end"), flag(seen, "defines")
+        around, first = np.full(len(left), -1), np.full(len(start), -1)
+        for at in range(0, len(left), max(1, _CELLS // max(1, len(start)))):
+            part = slice(at, at + max(1, _CELLS // max(1, len(start))))
+            if not len(start):
+                break
+            inside = (start[:, None] <= left[part]) & (right[part] <= end[:, None])
+            around[part] = np.where(inside.any(axis=0), inside.argmax(axis=0), -1)
+            uses = inside & ~defines[part]
+            first = np.where((first < 0) & uses.any(axis=1), at + uses.argmax(axis=1), first)
+        hit, used = np.flatnonzero(around >= 0), np.flatnonzero((first >= 0) & refers)
+        symbols, ids = seen.column("symbol").combine_chunks(), own.column("node").combine_chunks()
+        k, m = len(hit), len(used)
+        return pa.table(
+            {
+                "file": pa.array([key[0].as_py()] * (k + m), own.schema.field("file").type),
+                "text": pa.array([key[1].as_py()] * (k + m), pa.string()),
+                "use": pa.array(np.arange(k + m) >= k),
+                "ordinal": pa.array(column(seen, "ord")[np.concatenate([hit, first[used]])], pa.int64()),
+                "symbol": pa.concat_arrays([symbols.take(pa.array(hit)), symbols.take(pa.array(first[used]))]),
+                "defines": pa.array(defines[np.concatenate([hit, first[used]])], pa.bool_()),
+                "node": pa.concat_arrays([ids.take(pa.array(around[hit])), ids.take(pa.array(used))]),
+            }
+        )
+
+    found = n.groupBy("file", "text").cogroup(o.groupBy("file", "text")).applyInArrow(pair, schema)
+    return found.withColumn("ordinal", F.col("ordinal").cast(ordinal))
+
+
+def innermost(nodes: DataFrame, occurrences: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """file, ordinal, symbol, node: for each occurrence the node around it, definitions first, then the smallest."""
-    order = F.struct(~F.col("node_defines"), F.col("ne") - F.col("ns"), F.col("node_ordinal"))
-    return _inside(nodes, occurrences).groupBy("file", "ordinal", "symbol").agg(F.min_by("node", order).alias("node"))
+    found = contained(nodes, occurrences) if found is None else found
+    return found.where(~F.col("use")).select("file", "ordinal", "symbol", "node")
 
 
-def definitions(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
+def definitions(nodes: DataFrame, occurrences: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """symbol, node: the definition of each symbol. The first in order of file, first appearance of the text, occurrence."""
-    own = occurrences.where("is_definition")
-    first_text = own.groupBy("file", "text").agg(F.min("ordinal").alias("text_ordinal"))
-    found = innermost(nodes, own).join(own.select("file", "ordinal", "text"), ["file", "ordinal"]).join(first_text, ["file", "text"])
-    return found.groupBy("symbol").agg(F.min_by("node", F.struct("file", "text_ordinal", "ordinal")).alias("node"))
+    found = contained(nodes, occurrences) if found is None else found
+    first_text = occurrences.where("is_definition").groupBy("file", "text").agg(F.min("ordinal").alias("text_ordinal"))
+    own = found.where(~F.col("use") & F.col("defines")).join(first_text, ["file", "text"])
+    return own.groupBy("symbol").agg(F.min_by("node", F.struct("file", "text_ordinal", "ordinal")).alias("node"))
 
 
-def references(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
+def references(nodes: DataFrame, occurrences: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """node, symbol: for each reference node the first occurrence inside it that does not define."""
-    rows = _inside(nodes.where("is_reference"), occurrences.where(~F.col("is_definition")))
-    return rows.groupBy("file", "node").agg(F.min_by("symbol", "ordinal").alias("symbol")).select("node", "symbol")
+    found = contained(nodes, occurrences) if found is None else found
+    return found.where("use").groupBy("file", "node").agg(F.min_by("symbol", "ordinal").alias("symbol")).select("node", "symbol")
 
 
 def resolve(refs: DataFrame, defs: DataFrame) -> DataFrame:
@@ -55,6 +111,13 @@ def external_symbols(referenced: DataFrame, defined: DataFrame) -> DataFrame:
     return referenced.select("symbol").distinct().join(defined.select("symbol"), "symbol", "left_anti").where(~F.col("symbol").startswith("local "))
 
 
+def linked(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """resolve() of a project's references and definitions, from one look at its files, which is written in between."""
+    shared_folder(nodes.sparkSession)
+    found = contained(nodes, occurrences).checkpoint()
+    return resolve(references(nodes, occurrences, found), definitions(nodes, occurrences, found))
+
+
 def build(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
     """The REFERENCE_TO edges of a project."""
-    return edges(resolve(references(nodes, occurrences), definitions(nodes, occurrences)))
+    return edges(linked(nodes, occurrences))

@@ -54,71 +54,102 @@ Span = tuple[int, int, Node | None]
 def split_plain(source: bytes, start: int, end: int, options: ChunkOptions, node: Node | None = None) -> list[Span]:
     """Spans of at most max_size; they end after a line if one fits, else after a blank, else where they must.
 
-    Never inside a UTF-8 character, unless one alone is over the limit.
+    Never inside a UTF-8 character, unless one alone is over the limit. Each step looks as far as one span reaches.
     """
-    spans = []
-    while start < end:
-        stop = end
-        if options.measure(source[start:end]) > options.max_size:
-            hard = _furthest(source, start, end, options)
-            line = source.rfind(b"\n", start, hard)
-            blank = max(source.rfind(c, start, hard) for c in (b"\t", b"\r", b" "))
-            stop = line + 1 if line >= 0 else blank + 1 if blank >= 0 else hard
-            while start < stop < end and source[stop] & 0xC0 == 0x80:
-                stop -= 1
-            if stop <= start:
-                stop = hard
-        spans.append((start, stop, node))
-        start = stop
-    return spans
-
-
-def _furthest(source: bytes, start: int, end: int, options: ChunkOptions) -> int:
-    if options.unit == "byte":
-        return min(end, start + options.max_size)
-    # The longest prefix of at most max_size words: sizes don't fall as the end moves on.
-    ends = range(start + 1, end + 1)
-    fit = bisect_right(ends, options.max_size, key=lambda e: options.measure(source[start:e]))
-    return ends[max(fit, 1) - 1]
+    limits = _Limits(source, start, end, options)
+    cuts = [start]
+    while (reach := limits.furthest(cuts[-1])) < end:
+        cuts.append(_break_before(source, cuts[-1], reach))
+    if cuts[-1] < end:
+        cuts.append(end)
+    return [(a, b, node) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+class _Limits:
+    """How far a span from any place may reach."""
+
+    def __init__(self, source: bytes, start: int, end: int, options: ChunkOptions):
+        self.end, self.options = end, options
+        self.starts: list[int] = []
+        if options.unit == "word":
+            # Where each word starts, in bytes: text before a word that is one too many still fits.
+            text = source[start:end].decode("utf-8", "surrogateescape")
+            at = place = 0
+            for m in _WORDS.finditer(text):
+                place += len(text[at : m.start()].encode("utf-8", "surrogateescape"))
+                at = m.start()
+                self.starts.append(start + place)
+
+    def furthest(self, at: int) -> int:
+        if self.options.unit == "byte":
+            return min(self.end, at + self.options.max_size)
+        # A cut inside a word leaves its rest as a word of its own, which starts where the cut is.
+        later = bisect_right(self.starts, at)
+        inside = self.options.max_size if later < 1 or self.starts[later - 1] != at else self.options.max_size - 1
+        n = later + inside
+        return self.starts[n] if n < len(self.starts) else self.end
+
+
+def _break_before(source: bytes, at: int, reach: int) -> int:
+    """The best place to end a span that starts at `at` and may go to reach."""
+    for marks in (b"\n", b"\t\r "):
+        found = max(source.rfind(bytes([m]), at, reach) for m in marks)
+        if found >= 0:
+            return found + 1
+    stop = reach
+    while stop > at and stop < len(source) and source[stop] & 0xC0 == 0x80:
+        stop -= 1
+    return stop if stop > at else reach
 
 
 def _parts(node: Node, source: bytes, start: int, end: int) -> list[Span]:
-    """A span as its node's children and the gaps between them; a child takes the indent before it along."""
-    spans: list[Span] = []
-    at = start
-    for child in sorted(node.children, key=lambda c: (c.start, c.end)):
-        if child.start < at or child.end > end or child.end <= child.start:
-            continue
-        indent = len(source[at : child.start]) - len(source[at : child.start].rstrip(b" \t"))
-        first = child.start - indent
-        if first > at and source[first - 1] not in b"\r\n":
-            first = child.start
-        if first > at:
-            spans.append((at, first, None))
-        spans.append((first, child.end, child))
-        at = child.end
-    if at < end:
-        spans.append((at, end, None))
-    return spans
+    """A span as its node's children and the gaps between them; a child takes the indent before it along.
 
+    Of children that overlap the one that starts first stays, the shorter of two at one place; those that are empty or
+    stand out of the span are left to the gaps.
+    """
+    inner = sorted((c for c in node.children if start <= c.start < c.end <= end), key=lambda c: (c.start, c.end))
+    kept, free = [], start
+    for child in inner:
+        if child.start >= free:
+            kept.append(child)
+            free = child.end
+    edges = [start, *(c.end for c in kept)]
+    heads = [_with_indent(source, floor, c.start) for floor, c in zip(edges, kept, strict=False)]
+    spans = [(a, b, None) for a, b in zip(edges, [*heads, end], strict=True) if a < b]
+    return sorted([*spans, *((h, c.end, c) for h, c in zip(heads, kept, strict=True))], key=lambda s: s[0])
 
-def split_tree(root: Node, source: bytes, options: ChunkOptions) -> list[Span]:
-    """The spans of a file. A node over the limit is its parts, merged again as far as they fit."""
 
-    def walk(node: Node, start: int, end: int) -> list[Span]:
-        if start == end:
-            return []
-        if options.measure(source[start:end]) <= options.max_size:
-            return [(start, end, node)]
-        parts = _parts(node, source, start, end)
-        if all(p[2] is None for p in parts):
-            return split_plain(source, start, end, options, node)
-        small: list[Span] = []
-        for a, b, child in parts:
-            small += split_plain(source, a, b, options) if child is None else walk(child, a, b)
-        return merge(small, source, node, options) if options.merge else small
+def _with_indent(source: bytes, floor: int, at: int) -> int:
+    """Where a line's indent before `at` starts, if nothing else is before it on its line."""
+    line = max(source.rfind(b"\n", floor, at), source.rfind(b"\r", floor, at)) + 1
+    first = max(line, floor)
+    return first if not source[first:at].strip(b" \t") else at
 
-    return walk(root, 0, len(source))
+
+def split_tree(root: Node, source: bytes, options: ChunkOptions) -> list[Span]:
+    """The spans of a file. A node over the limit is its parts, merged again as far as they fit. Trees of any depth."""
+    done: list[list[Span]] = [[]]
+    # Work still to do: a span to split, or (None) the parts of a node that are ready to be merged.
+    todo: list[tuple[Node | None, int, int, Node | None]] = [(root, 0, len(source), None)]
+    while todo:
+        node, start, end, parent = todo.pop()
+        if parent is not None:
+            own = done.pop()
+            done[-1] += merge(own, source, parent, options) if options.merge else own
+        elif start < end:
+            parts = None
+            if node is not None and options.measure(source[start:end]) > options.max_size:
+                parts = _parts(node, source, start, end)
+            if parts is None:
+                done[-1] += [(start, end, node)] if node is not None else split_plain(source, start, end, options)
+            elif all(p[2] is None for p in parts):
+                done[-1] += split_plain(source, start, end, options, node)
+            else:
+                done.append([])
+                todo.append((None, 0, 0, node))
+                todo += [(child, a, b, None) for a, b, child in reversed(parts)]
+    return done[0]
 
 
 def merge(spans: list[Span], source: bytes, parent: Node, options: ChunkOptions) -> list[Span]:
@@ -173,6 +204,32 @@ def chunk_files(files: DataFrame, nodes: DataFrame | None = None, options: Chunk
     return rows.mapInPandas(run, CHUNKS)
 
 
+def mismatches(files: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
+    """file_path, problem of files (file_path, parsed_path, content, content_hash, source_size_bytes) that must not be chunked."""
+    tests = {
+        "no content": F.col("content").isNull(),
+        "path mismatch": ~F.col("file_path").eqNullSafe(F.col("parsed_path")),
+        "size mismatch": ~F.col("source_size_bytes").eqNullSafe(F.octet_length("content").cast("bigint")),
+        "hash mismatch": ~F.col("content_hash").eqNullSafe(F.sha2("content", 256)),
+    }
+    return files.select("file_path", F.explode(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items())))).alias("problem"))
+
+
+def chunk_batch(changes: DataFrame, files: DataFrame, nodes: DataFrame | None = None, options: ChunkOptions = ChunkOptions()) -> dict[str, DataFrame]:
+    """chunks of the added and modified files, and what goes along: unchanged and deleted paths, and the current snapshot.
+
+    changes: as snapshot.diff() gives. files (file_path, content, ...): chunking a file whose content has another hash than
+    its change says raises, and so does a changed file without content.
+    """
+    new = changes.where(F.col("change").isin("added", "modified")).select(F.col("relative_path").alias("file_path"), "current_hash")
+    own = new.join(files, "file_path", "left")
+    wrong = F.raise_error(F.concat(F.lit("content does not match its hash: "), "file_path")).cast("binary")
+    own = own.withColumn("content", F.when(F.sha2("content", 256) == F.col("current_hash"), F.col("content")).otherwise(wrong)).drop("current_hash")
+    paths_of = lambda change: changes.where(F.col("change") == change).select("relative_path")
+    current = changes.where(F.col("current_hash").isNotNull()).select("relative_path", F.col("current_hash").alias("content_hash"))
+    return {"chunks": chunk_files(own, nodes, options), "unchanged": paths_of("unchanged"), "deleted": paths_of("deleted"), "current": current}
+
+
 def coverage(chunks: DataFrame, files: DataFrame, max_size: int, unit: str = "byte") -> DataFrame:
     """file_path, total, covered, missing and overlap bytes, issues and is_exact, by windows over each file's chunks."""
     order = Window.partitionBy("file_path").orderBy("chunk_index")
@@ -206,5 +263,11 @@ def coverage(chunks: DataFrame, files: DataFrame, max_size: int, unit: str = "by
     return both.select("file_path", "total_bytes", (F.col("total_bytes") - missing).alias("covered_bytes"), missing.alias("missing_bytes"), F.coalesce("overlap_bytes", F.lit(0)).alias("overlap_bytes"), all_issues.alias("issues"), (F.size(all_issues) == 0).alias("is_exact"))
 
 
+def totals(coverage_: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row over a batch: files, chunks, and whether every file is covered exactly."""
+    files = coverage_.agg(F.count("*").alias("files"), F.coalesce(F.bool_and("is_exact"), F.lit(True)).alias("all_exact"))
+    return files.crossJoin(chunks.agg(F.count("*").alias("chunks")))
+
+
 def statistics(chunks: DataFrame, max_size: int) -> DataFrame:
     return chunks.groupBy("file_path").agg(F.count("*").alias("chunk_count"), F.count_if(F.col("size") > max_size).alias("over_limit_count"), F.min("size").alias("min_size"), F.max("size").alias("max_size"))

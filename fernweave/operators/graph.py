@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernweave.session import shared_folder
+
 
-def subtree(nodes: DataFrame, roots: DataFrame, levels: int = 100) -> DataFrame:
+def subtree(nodes: DataFrame, roots: DataFrame, levels: int = 10_000) -> DataFrame:
     """root, id, depth of every node below each root, itself included. nodes (id, parent_id); roots (id).
 
-    levels is how deep a tree may be: a deeper one raises.
+    A level is one join with the nodes, written before the next. levels guards against a cycle, which no tree has: it raises.
     """
-    spark, tag = nodes.sparkSession, uuid.uuid4().hex
-    nodes.select("id", "parent_id").createOrReplaceTempView(f"nodes_{tag}")
-    roots.select("id").createOrReplaceTempView(f"roots_{tag}")
-    return spark.sql(f"""
-        WITH RECURSIVE below(root, id, depth) MAX RECURSION LEVEL {levels} AS (
-          SELECT id, id, 0 FROM roots_{tag}
-          UNION ALL SELECT b.root, n.id, b.depth + 1 FROM below b JOIN nodes_{tag} n ON n.parent_id = b.id)
-        SELECT root, id, depth FROM below""")
+    shared_folder(nodes.sparkSession)
+    below = nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("id")).where(F.col("id").isNotNull())
+    frontier = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).checkpoint()
+    known = [frontier]
+    for depth in range(1, levels + 1):
+        frontier = frontier.join(below, "id").select("root", F.col("child").alias("id"), F.lit(depth).alias("depth")).checkpoint()
+        if frontier.isEmpty():
+            return _together(known)
+        known = _merged([*known, frontier])
+    raise RuntimeError(f"a tree deeper than {levels} levels, or a cycle")
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _merged(tables: list[DataFrame], most: int = 16) -> list[DataFrame]:
+    """The tables as they are, or as one, so that plans over them stay short: each row is rewritten every `most` rounds."""
+    return [_together(tables).checkpoint()] if len(tables) >= most else tables
 
 
 def outline(nodes: DataFrame, roots: DataFrame, kinds: tuple[str, ...] = ("type-definition", "function")) -> DataFrame:
@@ -40,27 +54,80 @@ def callees(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def node_source(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """id, source: the bytes of a node's span as text."""
+    """id, source: the bytes of a node's span as text; null without the file. Malformed UTF-8 raises."""
     span = F.substr("content", (F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int"))
-    return nodes.join(files.select("file_path", "content"), "file_path").select("id", F.make_valid_utf8(span.cast("string")).alias("source"))
+    return nodes.join(files.select("file_path", "content"), "file_path", "left").select("id", F.validate_utf8(span.cast("string")).alias("source"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1_000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Every node that edges (src, dst) reach from roots (id), them included. Cycles are fine.
 
-    A frontier grows by joins; what is known leaves it by an anti join. Each round's tables are checkpointed, so lineage
+    A frontier grows by joins; what is known leaves it by an anti join. Each round writes its new nodes only, so lineage
     stays short and a lost executor costs one round.
     """
-    known = frontier = roots.select("id").distinct().checkpoint()
+    shared_folder(edges.sparkSession)
+    frontier = roots.select("id").distinct().checkpoint()
+    known = [frontier]
     for _ in range(rounds):
         step = frontier.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(known, "id", "left_anti").checkpoint()
+        frontier = step.join(_together(known), "id", "left_anti").checkpoint()
         if frontier.isEmpty():
-            return known
-        known = known.unionByName(frontier).checkpoint()
+            return _together(known)
+        known = _merged([*known, frontier])
     raise RuntimeError(f"not closed after {rounds} rounds")
 
 
 def cascade(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """The nodes that stay when roots and all they reach are deleted."""
     return nodes.join(reachable(edges, roots), "id", "left_anti")
+
+
+def by_id(table: DataFrame, id_: Column | str, column: str = "id") -> DataFrame:
+    """The row of an id; raises if there is none."""
+    found = table.where(F.col(column) == id_)
+    if found.isEmpty():
+        raise LookupError(f"no row of {column} {id_}")
+    return found
+
+
+def file_listing(files: DataFrame) -> DataFrame:
+    """path and id of every file that has a path, in order of paths."""
+    return files.where(F.col("path").isNotNull()).select("path", "id").orderBy("path", "id")
+
+
+def node_info(nodes: DataFrame) -> DataFrame:
+    """id, name, file_path and where a node stands: bytes, and points of row and column."""
+    point = lambda side: F.struct(F.col(f"{side}_row").alias("row"), F.col(f"{side}_column").alias("column")).alias(f"{side}_point")
+    return nodes.select("id", "name", "file_path", "start_byte", "end_byte", (F.col("end_byte") - F.col("start_byte")).alias("byte_size"), point("start"), point("end"))
+
+
+def callers_of(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """The nodes that refer to a function of this name."""
+    wanted = nodes.where((F.col("name") == name) & (F.col("node_type") == "function")).select(F.col("id").alias("dst"))
+    return usages(edges.join(wanted, "dst", "left_semi"), nodes)
+
+
+def file_dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """file_path, depends_on: pairs of different files between which a reference leads."""
+    of = lambda end, name: nodes.select(F.col("id").alias(end), F.col("file_path").alias(name))
+    pairs = edges.join(of("src", "file_path"), "src").join(of("dst", "depends_on"), "dst")
+    return pairs.where(F.col("file_path") != F.col("depends_on")).select("file_path", "depends_on").distinct()
+
+
+def self_loops(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("src") == F.col("dst"))
+
+
+def write_tree(nodes: DataFrame, files: DataFrame, folder: str) -> None:
+    """Parsed files as two tables, files and nodes by language; nodes of a file without its root raise before anything is written."""
+    roots = nodes.where((F.col("node_type") == "container") & (F.col("kind") == "file")).select("file_path")
+    orphans = nodes.select("file_path").distinct().join(roots, "file_path", "left_anti")
+    if not orphans.isEmpty():
+        raise ValueError(f"no root node: {orphans.first()[0]}")
+    files.write.mode("append").parquet(f"{folder}/files")
+    nodes.join(files.select("file_path", "language"), "file_path").write.partitionBy("language").mode("append").parquet(f"{folder}/nodes")
+
+
+def as_json(table: DataFrame, leave_out: tuple[str, ...] = ("content",)) -> DataFrame:
+    """One JSON text for each row, large contents left out."""
+    return table.select(F.to_json(F.struct(*(c for c in table.columns if c not in leave_out)), {"ignoreNullFields": "false"}).alias("json"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +25,60 @@ def top_k(table: DataFrame, query: Sequence[float], k: int = TOP_K_DEFAULT, wher
 
 
 def top_k_batch(table: DataFrame, queries: DataFrame, k: int = TOP_K_DEFAULT, id_column: str = "vec_id", vector_column: str = "embedding", max_queries: int = 10_000) -> DataFrame:
-    """query_id, rank, id, score for each row of queries (query_id, query); the table is read once.
+    """query_id, rank, id, score for each row of queries (query_id, query); ties go to the smaller id.
 
-    Queries are broadcast, so their number is bounded: more than max_queries raises. Each task keeps k rows a query
-    before the shuffle.
+    Exact, so every vector meets every query: queries go out in blocks of max_queries at most, a block is one matrix
+    product with each batch of vectors, and a task keeps k rows a query. Scores that agree to 12 digits are ties. Null
+    and zero vectors take no part, nor do those of another length than the queries.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search in parts")
-    pairs = table.join(F.broadcast(queries), F.col(id_column) != F.col("query_id"))
-    scored = pairs.select("query_id", id_column, vectors.cosine(F.col(vector_column), F.col("query")).alias("score")).where(F.col("score").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_column))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", id_column, "score")
+    spark, n = table.sparkSession, queries.count()
+    # A quarter more than needed, as blocks are dealt by hash.
+    blocks = -(-5 * n // (4 * max_queries)) if n > max_queries else 1
+    kind = table.schema[id_column].dataType.simpleString()
+    rows = table.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("vector")).where(F.col("vector").isNotNull())
+    found = None
+    for block in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", F.col("query").cast("array<double>").alias("query")).toArrow()
+        held = spark.sparkContext.broadcast((part.column("query_id").to_pylist(), part.column("query").to_pylist()))
+        made = rows.mapInArrow(_nearest(held, k), f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, score double")
+        found = made if found is None else found.unionByName(made)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
+
+
+def _nearest(held, k: int):
+    """Each query's k nearest vectors of a partition. Columns: id, vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors_ = held.value
+        usable = [i for i, v in enumerate(vectors_) if v and None not in v and np.linalg.norm(v) > 0]
+        names, dims = [names[i] for i in usable], len(vectors_[usable[0]]) if usable else 0
+        usable = [i for i in usable if len(vectors_[i]) == dims]
+        q = np.array([vectors_[i] for i in usable], float).reshape(-1, max(dims, 1))
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        best: list[list[tuple[float, object, float]]] = [[] for _ in usable]
+        worst = np.full(len(usable), -np.inf)
+        for batch in batches if usable else ():
+            rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(v) == dims and None not in v]
+            x = np.array([v for _, v in rows], float).reshape(-1, dims)
+            length = np.linalg.norm(x, axis=1)
+            ids = [i for (i, _), n in zip(rows, length, strict=True) if n > 0]
+            x = x[length > 0] / length[length > 0, None]
+            for at in range(0, len(x), 4_096):
+                score = q @ x[at : at + 4_096].T
+                few, close = min(k + 1, score.shape[1]), np.round(score, 12)
+                # All that are not below the k-th, so that ties reach the order by id.
+                bar = np.maximum(np.partition(close, -few, axis=1)[:, -few], worst)
+                for j, i in zip(*np.nonzero(close >= bar[:, None]), strict=True):
+                    if ids[at + i] != names[j]:
+                        best[j].append((-float(close[j, i]), ids[at + i], float(score[j, i])))
+                best = [sorted(b)[:k] for b in best]
+                worst = np.array([-b[-1][0] if len(b) == k else -np.inf for b in best])
+        found = [(names[j], i, s) for j, mine in enumerate(best) for _, i, s in mine]
+        if found:
+            yield pa.RecordBatch.from_pylist([{"query_id": a, "id": b, "score": c} for a, b, c in found])
+
+    return run
 
 
 def payload_filter(workspace_id: int | None = None, branch_id: int | None = None) -> Column:
@@ -51,10 +96,26 @@ def hits(found: DataFrame) -> DataFrame:
 
 
 def upsert_points(points: DataFrame, new: DataFrame, version: str = "version") -> DataFrame:
-    """points and new keyed by point_id; the latest version stays, rows without a vector are left out."""
+    """points and new keyed by point_id; the latest version stays (a partial maximum), rows without a vector are left out."""
     rows = points.unionByName(new.where(F.col("vector").isNotNull()))
-    last = F.row_number().over(Window.partitionBy("point_id").orderBy(F.desc(version)))
-    return rows.withColumn("__n", last).where("__n = 1").drop("__n")
+    rest = [c for c in rows.columns if c != "point_id"]
+    last = rows.groupBy("point_id").agg(F.max_by(F.struct(*rest), version).alias("last"))
+    return last.select(*(F.col(c) if c == "point_id" else F.col(f"last.{c}").alias(c) for c in rows.columns))
+
+
+def search(points: DataFrame, query: str, embed: Callable[[str], Sequence[float]], top_k_: int = TOP_K_DEFAULT, workspace_id: int | None = None, branch_id: int | None = None) -> DataFrame:
+    """The hits of a query text among points, within a workspace or a branch if given. A blank query has none."""
+    none = not query or not query.strip()
+    rows = points.where(payload_filter(workspace_id, branch_id) & F.lit(not none))
+    vector = embed(query) if not none else [1.0]
+    found = top_k(rows, vector, top_k_, id_column="node_id", vector_column="vector")
+    return hits(found)
+
+
+def search_branch(points: DataFrame, branches: DataFrame, query: str, embed: Callable[[str], Sequence[float]], repository_id: int, branch_name: str, top_k_: int = TOP_K_DEFAULT) -> DataFrame:
+    """search() within the branch of this repository and name; an unknown branch has no hits."""
+    branch = branches.where((F.col("repository_id") == repository_id) & (F.col("name") == branch_name)).select(F.col("id").alias("branch_id"))
+    return search(points.join(branch, "branch_id", "left_semi"), query, embed, top_k_)
 
 
 def point_ids(nodes: DataFrame) -> DataFrame:

@@ -8,14 +8,39 @@ from pyspark.sql import functions as F
 from fernweave.functions import paths
 
 
+def _keyed(snapshot: DataFrame, name: str) -> DataFrame:
+    """One row for each path; an invalid path, or one that stands there twice, raises."""
+    path = paths.normalize(F.col("relative_path"))
+    path = F.coalesce(path, F.raise_error(F.concat(F.lit("invalid path: "), F.coalesce("relative_path", F.lit("null")))).cast("string"))
+    rows = snapshot.select(path.alias("relative_path"), "content_hash").groupBy("relative_path").agg(F.count("*").alias("n"), F.max("content_hash").alias("hash"))
+    once = F.when(F.col("n") == 1, F.col("hash")).otherwise(F.raise_error(F.concat(F.lit("more than one row of path: "), "relative_path")).cast("string"))
+    return rows.select("relative_path", once.alias(name))
+
+
+def violations(snapshot: DataFrame) -> DataFrame:
+    """relative_path, problem: why diff() would raise. Empty for a sound snapshot."""
+    path = paths.normalize(F.col("relative_path"))
+    bad = snapshot.where(path.isNull()).select("relative_path", F.lit("invalid path").alias("problem"))
+    twice = duplicates(snapshot.select(path.alias("relative_path")).where(F.col("relative_path").isNotNull()), "relative_path")
+    return bad.unionByName(twice.select("relative_path", F.lit("more than one row").alias("problem")))
+
+
 def diff(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """relative_path, previous_hash, current_hash, change over two tables (relative_path, content_hash)."""
-    side = lambda df, name: df.select(paths.normalize(F.col("relative_path")).alias("relative_path"), F.col("content_hash").alias(name))
-    both = side(previous, "previous_hash").join(side(current, "current_hash"), "relative_path", "full_outer")
+    """relative_path, previous_hash, current_hash, change over two tables (relative_path, content_hash).
+
+    Paths are normalised first. An invalid path or a doubled one raises; violations() lists them.
+    """
+    both = _keyed(previous, "previous_hash").join(_keyed(current, "current_hash"), "relative_path", "full_outer")
     change = F.when(F.col("previous_hash").isNull(), "added").when(F.col("current_hash").isNull(), "deleted").when(F.col("previous_hash") == F.col("current_hash"), "unchanged").otherwise("modified")
     return both.withColumn("change", change)
 
 
+def summary(changes: DataFrame) -> DataFrame:
+    """One row: files of each change, and has_changes."""
+    counts = [F.count_if(F.col("change") == c).alias(c) for c in ("added", "modified", "unchanged", "deleted")]
+    return changes.agg(*counts, F.coalesce(F.bool_or(F.col("change") != "unchanged"), F.lit(False)).alias("has_changes"))
+
+
 def duplicates(table: DataFrame, *keys: str) -> DataFrame:
     """Keys that more than one row has, with n."""
     return table.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernweave.functions import hashing, paths, symbols, text, vectors
-from fernweave.operators import callgraph, catalog, chunking, graph, index_plan, jobs, positions, search, snapshot
+from fernweave.operators import callgraph, catalog, chunking, embedding, graph, index_plan, jobs, positions, search, snapshot
 from fernweave.sources import files as scans
+from fernweave.streaming import incremental
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -50,10 +51,10 @@ def knn_filtered(spark, sf_dir):
 
 @query(f"""SELECT query_id, rank::INT AS rank, vec_id, round(s, 6) AS score FROM (
   SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
-  FROM embeddings e JOIN embeddings q ON q.vec_id < 10 AND e.vec_id <> q.vec_id) WHERE rank <= 5""")
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5""")
 def knn_batch(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return search.top_k_batch(v, asked, 5).withColumn("score", F.round("score", 6))
 
 
@@ -230,7 +231,16 @@ def chunk_fixed(spark, sf_dir):
     return made.select(F.col("file_path").cast("bigint").alias("file_path"), "chunk_index", "start_byte", "end_byte")
 
 
-@query()
+_BYTES = r"regexp_replace(regexp_replace(regexp_replace(text, '[\x{80}-\x{7FF}]', 'xx', 'g'), '[\x{800}-\x{FFFF}]', 'xxx', 'g'), '[\x{10000}-\x{10FFFF}]', 'xxxx', 'g')"
+#: A letter stands for each byte of another one, so places of characters are places of bytes.
+_FALLBACK = f"""WITH RECURSIVE d AS (SELECT doc_id, {_BYTES} AS t FROM documents WHERE text <> ''),
+  c(doc_id, i, a, b) AS (SELECT doc_id, -1, 0::BIGINT, 0::BIGINT FROM d UNION ALL
+    SELECT doc_id, i + 1, b, b + CASE WHEN length(t) - b <= 500 THEN length(t) - b WHEN contains(w, chr(10)) THEN 501 - strpos(reverse(w), chr(10)) WHEN regexp_matches(w, '[\\t\\r ]') THEN length(regexp_extract(w, '^(?s:.*)[\\t\\r ]')) ELSE 500 END
+    FROM (SELECT c.doc_id, c.i, c.b, d.t, substr(d.t, c.b + 1, 500) AS w FROM c JOIN d USING (doc_id) WHERE c.b < length(d.t)))
+  SELECT doc_id::VARCHAR AS file_path, i::INT AS chunk_index, a AS start_byte, b AS end_byte, b - a AS size FROM c WHERE i >= 0"""
+
+
+@query(_FALLBACK)
 def chunk_fallback(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.lit("python").alias("language"), F.lit("python").alias("parser_name"), F.col("text").cast("binary").alias("content"))
     return chunking.chunk_files(d).select("file_path", "chunk_index", "start_byte", "end_byte", "size")
@@ -250,6 +260,78 @@ def chunk_coverage(spark, sf_dir):
     return chunking.coverage(_line_chunks(d), sources, 1 << 30).select("file_path", F.col("missing_bytes").cast("bigint").alias("missing_bytes"))
 
 
+@query("""SELECT doc_id AS file_path, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, s AS start_byte, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s), n) AS end_byte FROM (SELECT doc_id, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n FROM documents), unnest(CASE WHEN n <= 200 THEN [0] ELSE generate_series(0, n - 1, 180) END) t(s) WHERE n > 0 AND (s = 0 OR n - s > 20)""")
+def chunk_merge(spark, sf_dir):
+    """Nodes of 60 bytes under a limit of 200: three make a chunk, and a short rest joins the last."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.lit("python").alias("language"), F.lit("python").alias("parser_name"), F.regexp_replace("text", "[^a-z]", "").cast("binary").alias("content"))
+    size = F.octet_length("content")
+    at = d.where(size > 0).select("file_path", size.alias("n"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(60))).alias("s"))
+    none = F.lit(None).cast("string")
+    root = d.select("file_path", F.lit("root").alias("id"), none.alias("parent_id"), F.lit(0).cast("bigint").alias("start_byte"), size.cast("bigint").alias("end_byte"), none.alias("name"), F.lit("file").alias("kind"), F.lit("container").alias("node_type"))
+    parts = at.select("file_path", F.col("s").cast("string").alias("id"), F.lit("root").alias("parent_id"), F.col("s").cast("bigint").alias("start_byte"), F.least(F.col("s") + 60, "n").cast("bigint").alias("end_byte"), F.concat(F.lit("f"), F.col("s").cast("string")).alias("name"), F.lit("function").alias("kind"), F.lit("function").alias("node_type"))
+    made = chunking.chunk_files(d, root.unionByName(parts), chunking.ChunkOptions(200))
+    return made.select(F.col("file_path").cast("bigint").alias("file_path"), F.col("chunk_index").cast("bigint").alias("chunk_index"), "start_byte", "end_byte")
+
+
+@query(f"""WITH c AS (SELECT file_path, line, greatest(start_byte - 2, 0) AS a, start_byte + strlen(line_text) AS b, n FROM ({_LINES}) JOIN (SELECT doc_id AS d, strlen(text) AS n FROM documents) ON d = doc_id),
+  v AS (SELECT *, coalesce(max(b) OVER (PARTITION BY file_path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor FROM c)
+  SELECT file_path, coalesce(sum(CASE WHEN b > a THEN greatest(least(cursor, b) - a, 0) END), 0)::BIGINT AS overlap_bytes, coalesce(sum(CASE WHEN b > a THEN greatest(a - cursor, 0) END), 0)::BIGINT + any_value(n) - max(b) AS missing_bytes, bool_or(b <= a) AS has_invalid FROM v GROUP BY file_path""")
+def chunk_overlaps(spark, sf_dir):
+    """Lines that reach two bytes back overlap the line before by one."""
+    d = table(spark, sf_dir, "documents")
+    sources = d.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").cast("binary").alias("content"))
+    wide = _line_chunks(d).withColumn("start_byte", F.greatest(F.col("start_byte") - 2, F.lit(0)))
+    got = chunking.coverage(wide, sources, 1 << 30)
+    return got.select("file_path", F.col("overlap_bytes").cast("bigint").alias("overlap_bytes"), F.col("missing_bytes").cast("bigint").alias("missing_bytes"), F.array_contains("issues", "invalid range").alias("has_invalid"))
+
+
+@query(f"""SELECT 'chunks' AS part, count(*) AS n FROM (SELECT unnest(generate_series(0, strlen(text) - 1, 1000000)) FROM documents JOIN ({_DIFF}) ON relative_path = source || '/' || doc_id WHERE change IN ('added', 'modified') AND text <> '')
+  UNION ALL SELECT 'unchanged', count(*) FROM ({_DIFF}) WHERE change = 'unchanged' UNION ALL SELECT 'deleted', count(*) FROM ({_DIFF}) WHERE change = 'deleted' UNION ALL SELECT 'current', count(*) FROM ({_DIFF}) WHERE current_hash IS NOT NULL""")
+def chunk_batch(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
+    files = d.select(path.alias("file_path"), F.lit("python").alias("language"), F.lit("python").alias("parser_name"), F.col("text").cast("binary").alias("content"))
+    parts = chunking.chunk_batch(snapshot.diff(*_snapshots(d)), files, options=chunking.ChunkOptions(1_000_000))
+    rows = [parts[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k in ("chunks", "unchanged", "deleted", "current")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+_ODD_CHUNKS = "SELECT p_partkey AS k, 'p' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN '.md' ELSE '.py' END AS f FROM part"
+
+
+@query(f"""SELECT f AS file_path, problem FROM ({_ODD_CHUNKS}), unnest(CASE WHEN k % 5 = 0 THEN ['unknown language'] ELSE [] END || CASE WHEN k % 7 = 0 THEN ['chunk over limit'] ELSE [] END || CASE WHEN k % 11 = 0 THEN ['chunk index'] ELSE [] END || CASE WHEN k % 13 = 0 AND k % 23 <> 0 THEN ['malformed hash'] ELSE [] END || CASE WHEN k % 17 = 0 THEN ['inexact coverage'] ELSE [] END || CASE WHEN k % 5 <> 0 AND k % 19 = 0 THEN ['language mismatch'] ELSE [] END || CASE WHEN k % 23 = 0 THEN ['unexpected chunks'] ELSE [] END) t(problem)""")
+def index_problems(spark, sf_dir):
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(k, F.concat(F.lit("p"), k.cast("string"), F.when(k % 5 == 0, ".md").otherwise(".py")).alias("file_path"))
+    lit = lambda x: F.lit(x).cast("bigint")
+    chunks = parts.select("file_path", F.when(k % 11 == 0, 3).otherwise(0).alias("chunk_index"), F.when(k % 19 == 0, "javascript").otherwise("python").alias("language"), F.lit("python").alias("parser_name"), lit(0).alias("start_byte"), lit(5).alias("end_byte"), F.when(k % 7 == 0, lit(900)).otherwise(lit(5)).alias("size"), F.lit("x = 1").alias("content"))
+    changes = parts.where(k % 23 != 0).select(F.col("file_path").alias("relative_path"), F.lit(None).cast("string").alias("previous_hash"), F.when(k % 13 == 0, "xyz").otherwise(F.sha2("file_path", 256)).alias("current_hash"), F.lit("added").alias("change"))
+    covered = parts.select("file_path", (k % 17 != 0).alias("is_exact"))
+    return index_plan.problems(chunks, changes, covered, 500)
+
+
+@query("SELECT source || '/x' AS relative_path, 'more than one row' AS problem FROM documents GROUP BY source HAVING count(*) > 1 UNION ALL SELECT '../' || page_id, 'invalid path' FROM pages")
+def snapshot_violations(spark, sf_dir):
+    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    rows = d.select(F.concat(F.col("source"), F.lit("\\x")).alias("relative_path")).union(p.select(F.concat(F.lit("../"), F.col("page_id").cast("string"))))
+    return snapshot.violations(rows)
+
+
+@query(f"SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change = 'deleted') AS deleted, bool_or(change <> 'unchanged') AS has_changes FROM ({_DIFF})")
+def snapshot_summary(spark, sf_dir):
+    return snapshot.summary(snapshot_diff(spark, sf_dir))
+
+
+@query(f"""SELECT doc_id, line::INT AS line, (start_byte + strlen(line_text[1:3]))::BIGINT AS start_byte, CASE WHEN line % 2 = 0 THEN start_byte + strlen(line_text[1:9]) WHEN next IS NULL THEN start_byte + strlen(line_text) ELSE next + strlen(after[1:2]) END::BIGINT AS end_byte
+  FROM (SELECT *, lead(start_byte) OVER w AS next, lead(line_text) OVER w AS after FROM ({_LINES}) WINDOW w AS (PARTITION BY doc_id ORDER BY line))""")
+def scip_spans(spark, sf_dir):
+    """Ranges of three numbers inside a line, and of four that reach into the next one or past the end of the file."""
+    lines = positions.line_table(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    at = F.col("line")
+    spans = lines.select("doc_id", "line", F.when(at % 2 == 0, F.array(at, F.lit(3), F.lit(9))).otherwise(F.array(at, F.lit(3), at + 1, F.lit(2))).alias("scip_range"))
+    return positions.scip_spans(spans, lines, "doc_id").select("doc_id", "line", F.col("start_byte").cast("bigint").alias("start_byte"), F.col("end_byte").cast("bigint").alias("end_byte"))
+
+
 # --- text functions ---------------------------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -264,9 +346,29 @@ def identifier_terms(spark, sf_dir):
     return p.select("p_partkey", F.array_join(text.identifier_terms(names), ",").alias("terms"))
 
 
-@query(rf"""SELECT conv_id, turn, length(trim(text, '"'' ')) >= 25 AND len(list_filter(list_distinct(regexp_extract_all(lower(text), '[\w\x{{80}}-\x{{10FFFF}}]+')), lambda x: x <> 'user' AND x NOT IN ({_STOP}))) >= 3 AS useful FROM conversations""")
+_NAMED = "CASE turn % 3 WHEN 0 THEN 'get_user' WHEN 1 THEN regexp_extract(text, '[A-Za-z]+') ELSE 'userName' END"
+
+
+@query(rf"""SELECT conv_id, turn, length(trim(text, '"'' ')) >= 25 AND len(list_filter(list_distinct(regexp_extract_all(lower(text), '[\w\x{{80}}-\x{{10FFFF}}]+')), lambda x: x <> lower({_NAMED}) AND x NOT IN ({_STOP}))) >= 3 AS useful FROM conversations""")
 def useful_docstring(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.useful_docstring(F.col("text"), F.lit("user")).alias("useful"))
+    name = F.when(F.col("turn") % 3 == 0, "get_user").when(F.col("turn") % 3 == 1, F.regexp_extract("text", "[A-Za-z]+", 0)).otherwise("userName")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.useful_docstring(F.col("text"), name).alias("useful"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'async def ' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'unnamed_function' END || '(a: Any)' WHEN 1 THEN 'class ' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'unnamed_class' END || CASE WHEN p_partkey % 5 = 0 THEN '(' || p_type || ', B)' ELSE '' END ELSE 'construct ' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'unnamed' END END AS signature FROM part""")
+def node_signature(spark, sf_dir):
+    k = F.col("p_partkey")
+    kind = F.when(F.col("p_size") % 3 == 0, "function").when(F.col("p_size") % 3 == 1, "type-definition").otherwise("variable")
+    name = F.when(k % 2 == 0, F.col("p_brand")).when(k % 4 == 1, "")
+    params = F.array(F.struct(F.lit("a").alias("name"), F.when(k % 3 == 0, "").alias("type"), F.lit("").alias("value")))
+    bases = F.when(k % 5 == 0, F.array(F.col("p_type"), F.lit("B"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.node_signature(kind, name, params, F.lit(""), F.lit(True), bases).alias("signature"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE p_brand END AS shown FROM part")
+def embedding_input(spark, sf_dir):
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", text.embedding_input(F.when(k % 3 == 0, F.col("p_name")).when(k % 2 == 0, ""), F.when(k % 3 == 1, F.col("p_type")).when(k % 2 == 0, ""), F.col("p_brand")).alias("shown"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'async def ' ELSE 'def ' END || 'f' || o_orderkey || '(' || string_agg('p' || l_linenumber || ': ' || coalesce(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, 'Any') || CASE WHEN l_linestatus = 'O' THEN ' = ' || l_suppkey ELSE '' END, ', ' ORDER BY l_linenumber, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END NULLS FIRST, CASE WHEN l_linestatus = 'O' THEN l_suppkey::VARCHAR END NULLS FIRST) || ') -> ' || o_orderstatus AS signature
@@ -300,15 +402,15 @@ def _events_with_symbol(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("symbol", F.when(u % 4 == 0, F.concat(F.lit("local "), (u % 50).cast("string"))).otherwise(F.concat(F.lit("sym "), u.cast("string"))))
 
 
-@query(f"SELECT DISTINCT {_SYMBOL} AS symbol FROM events WHERE user_id % 4 <> 0 AND {_SYMBOL} NOT IN (SELECT {_SYMBOL} FROM events WHERE event_type = 'signup')")
+@query(f"SELECT DISTINCT {_SYMBOL} AS symbol FROM events WHERE user_id % 4 <> 0 AND {_SYMBOL} NOT IN (SELECT {_SYMBOL} FROM events WHERE event_type = 'signup' AND user_id % 3 = 0)")
 def external_symbols(spark, sf_dir):
     e = _events_with_symbol(spark, sf_dir)
-    return callgraph.external_symbols(e, e.where("event_type = 'signup'"))
+    return callgraph.external_symbols(e, e.where("event_type = 'signup' AND user_id % 3 = 0"))
 
 
 # --- call graph -------------------------------------------------------------------------------------------------------
 
-_NODES = "SELECT l_suppkey % 50 AS file, 'n' || (l_partkey % 3) AS name, l_orderkey * 10 + l_linenumber AS id, l_partkey % 97 AS s, l_partkey % 97 + (l_quantity * 4)::BIGINT AS e, l_orderkey * 10 + l_linenumber AS ord, l_returnflag = 'A' AS defines FROM lineitem WHERE l_orderkey % 8 = 0"
+_NODES = "SELECT l_suppkey % 50 AS file, 'n' || (l_partkey % 3) AS name, l_orderkey * 10 + l_linenumber AS id, l_partkey % 97 AS s, l_partkey % 97 + (l_quantity * 4)::BIGINT AS e, l_orderkey * 10 + l_linenumber AS ord, l_returnflag = 'A' AS defines FROM lineitem"
 _OCCS = "SELECT o_custkey % 50 AS file, 'n' || (o_orderkey % 3) AS text, 'sym' || (o_orderkey % 211) AS symbol, o_orderkey AS ord, o_custkey % 150 AS s, o_custkey % 150 + 3 AS e, o_orderstatus = 'F' AS defines FROM orders"
 _INNER = f"SELECT o.file, o.ord, o.symbol, o.text, arg_min(n.id, (NOT n.defines, n.e - n.s, n.ord)) AS node FROM ({_NODES}) n JOIN ({_OCCS}) o ON n.file = o.file AND n.name = o.text AND n.s <= o.s AND o.e <= n.e"
 _DEFS = f"SELECT symbol, arg_min(node, (file, tord, ord)) AS node FROM (SELECT i.*, t.tord FROM ({_INNER} WHERE o.defines GROUP BY ALL) i JOIN (SELECT file, text, min(ord) AS tord FROM ({_OCCS}) WHERE defines GROUP BY ALL) t USING (file, text)) GROUP BY symbol"
@@ -318,7 +420,7 @@ _RESOLVED = f"SELECT r.node, r.symbol, d.node AS target FROM ({_REFS}) r LEFT JO
 
 def _code(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     q = F.col
-    li, o = table(spark, sf_dir, "lineitem").where("l_orderkey % 8 = 0"), table(spark, sf_dir, "orders")
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     ident = q("l_orderkey") * 10 + q("l_linenumber")
     start = q("l_partkey") % 97
     nodes = li.select((q("l_suppkey") % 50).alias("file"), ident.alias("id"), F.concat(F.lit("n"), (q("l_partkey") % 3).cast("string")).alias("name"), start.alias("start_byte"), (start + (q("l_quantity") * 4).cast("bigint")).alias("end_byte"), ident.alias("node_ordinal"), (q("l_returnflag") == "A").alias("is_definition"), (q("l_returnflag") != "A").alias("is_reference"))
@@ -343,8 +445,7 @@ def first_reference(spark, sf_dir):
 
 @query(_RESOLVED)
 def resolve_references(spark, sf_dir):
-    code = _code(spark, sf_dir)
-    return callgraph.resolve(callgraph.references(*code), callgraph.definitions(*code))
+    return callgraph.linked(*_code(spark, sf_dir))
 
 
 @query(f"SELECT count(target) AS connected, count(*) - count(target) AS external FROM ({_RESOLVED})")
@@ -406,17 +507,50 @@ def file_outline(spark, sf_dir):
     return graph.outline(_tree(spark, sf_dir), _roots(spark)).select("root", "id", "depth")
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, (c_custkey * 7 + 3) % 100 AS dst FROM customer WHERE c_custkey < 100 UNION SELECT c_custkey, (c_custkey * 3) % 50 FROM customer WHERE c_custkey < 100 AND c_custkey % 2 = 0),
+@query("""WITH RECURSIVE c AS (SELECT c_custkey AS k, (SELECT count(*) FROM customer) AS n FROM customer), e AS (SELECT k AS src, (k * 7 + 3) % n AS dst FROM c UNION SELECT k, (k * 3) % n FROM c WHERE k % 2 = 0),
   r(id) AS (SELECT 5::BIGINT UNION SELECT e.dst FROM r JOIN e ON e.src = r.id) SELECT id FROM r""")
 def cascade_reach(spark, sf_dir):
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/fernweave-checkpoints")
-    c = table(spark, sf_dir, "customer").where("c_custkey < 100")
-    k = F.col("c_custkey")
-    e = c.select(k.alias("src"), ((k * 7 + 3) % 100).alias("dst")).union(c.where("c_custkey % 2 = 0").select(k, (k * 3) % 50))
+    c = table(spark, sf_dir, "customer")
+    k, n = F.col("c_custkey"), F.lit(c.count())
+    e = c.select(k.alias("src"), ((k * 7 + 3) % n).alias("dst")).union(c.where("c_custkey % 2 = 0").select(k, (k * 3) % n))
     return graph.reachable(e, spark.createDataFrame([(5,)], "id long"))
 
 
+@query(f"SELECT src, node_type FROM ({_EDGES}) JOIN ({_TREE}) ON id = src WHERE dst IN (SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey = 2)")
+def callers_of(spark, sf_dir):
+    named = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("function").alias("node_type"), F.when(F.col("s_suppkey") == 2, "wanted").alias("name"))
+    every = named.unionByName(_tree(spark, sf_dir).select("id", "node_type", F.lit(None).cast("string").alias("name")))
+    return graph.callers_of(_tree_edges(spark, sf_dir), every, "wanted").select("src", "node_type")
+
+
+@query("SELECT DISTINCT 'm' || c_mktsegment AS file_path, 'n' || n_regionkey AS depends_on FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def file_dependencies(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    ident = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    nodes = c.select(ident("c", "c_custkey").alias("id"), ident("m", "c_mktsegment").alias("file_path")).union(n.select(ident("n", "n_nationkey"), ident("n", "n_regionkey")))
+    edges = c.select(ident("c", "c_custkey").alias("src"), ident("n", "c_nationkey").alias("dst")).union(n.select(ident("n", "n_nationkey").alias("src"), ident("n", "n_nationkey").alias("dst")))
+    return graph.file_dependencies(edges, nodes)
+
+
+@query("SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END})::VARCHAR AS json FROM nation")
+def nodes_as_json(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")).alias("n_regionkey"), F.lit(b"x").alias("content"))
+    return graph.as_json(n)
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 > 0 THEN substr(p_name, 2, 3) END AS source FROM part")
+def node_source(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    nodes = p.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("file_path"), F.lit(1).alias("start_byte"), F.lit(4).alias("end_byte"))
+    return graph.node_source(nodes, p.where("p_partkey % 4 > 0").select(F.col("p_partkey").alias("file_path"), F.col("p_name").cast("binary").alias("content")))
+
+
+@query("""SELECT file_path, place::INT AS place, id FROM (SELECT l_orderkey AS file_path, id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, id) - 1 AS place FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_linenumber * 10000000 + l_suppkey * 10 + (l_returnflag = 'A')::INT AS id FROM lineitem WHERE l_returnflag <> 'N'))""")
+def embed_candidates(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_path"), F.col("l_linenumber").alias("ordinal"), (F.col("l_linenumber") * 10_000_000 + F.col("l_suppkey") * 10 + (F.col("l_returnflag") == "A").cast("int")).alias("id"), F.when(F.col("l_returnflag") == "A", "function").when(F.col("l_returnflag") == "R", "type-definition").otherwise("call").alias("node_type"))
+    return embedding.candidates(li.distinct()).select("file_path", "place", "id")
+
+
 # --- catalog ----------------------------------------------------------------------------------------------------------
 
 
@@ -454,17 +588,145 @@ def name_contains(spark, sf_dir):
     return catalog.name_contains(table(spark, sf_dir, "part"), "p_name", "AN").select("p_partkey", "p_name")
 
 
-@query("SELECT c_custkey, coalesce(u.seg, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT c_custkey AS k, 'NEW' AS seg FROM customer WHERE c_custkey % 5 = 0) u ON k = c_custkey UNION ALL SELECT -c_custkey, 'NEW' FROM customer WHERE c_custkey % 7 = 0")
+@query("SELECT c_custkey, coalesce(u.seg, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT c_custkey AS k, 'NEW' AS seg FROM customer WHERE c_custkey % 5 = 0) u ON k = c_custkey UNION ALL SELECT -c_custkey, 'NEW' FROM customer WHERE c_custkey % 7 = 0 AND c_custkey > 0")
 def catalog_upsert(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    new = c.where("c_custkey % 5 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment")).union(c.where("c_custkey % 7 = 0").select(-F.col("c_custkey"), F.lit("NEW")))
+    new = c.where("c_custkey % 5 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment")).union(c.where("c_custkey % 7 = 0 AND c_custkey > 0").select(-F.col("c_custkey"), F.lit("NEW")))
     return catalog.upsert(c, new, ["c_custkey"])
 
 
-@query("SELECT o_orderpriority, count(*) AS total, ceil(count(*) / 7)::BIGINT AS total_pages, 3 < ceil(count(*) / 7) AS has_next, true AS has_prev FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, count(*) AS total, ceil(count(*) / 7)::BIGINT AS total_pages, CASE WHEN o_orderpriority < '3' THEN 1 ELSE 50 END < ceil(count(*) / 7) AS has_next, o_orderpriority >= '3' AS has_prev FROM orders GROUP BY 1")
 def pagination(spark, sf_dir):
     t = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("total"))
-    return t.select("o_orderpriority", "total", *catalog.page(F.col("total"), 7, 3))
+    return t.select("o_orderpriority", "total", *catalog.page(F.col("total"), 7, F.when(F.col("o_orderpriority") < "3", 1).otherwise(50)))
+
+
+#: The star tables as a catalogue: nations are workspaces, customers users and members, suppliers repositories, parts branches.
+def _catalogue(spark, sf_dir) -> dict[str, DataFrame]:
+    of = lambda name: table(spark, sf_dir, name)
+    k = F.col("p_partkey")
+    return {
+        "workspaces": of("nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("bigint").alias("owner_id")),
+        "users": of("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.concat(F.col("c_name"), F.lit("@x")).alias("email"), F.when(F.col("c_custkey") % 3 == 0, "active").when(F.col("c_custkey") % 3 == 1, "true").otherwise("no").alias("is_active")),
+        "members": of("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("bigint").alias("workspace_id")),
+        "repositories": of("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("https://h/"), F.col("s_name")).alias("git_url")),
+        "repository_links": of("supplier").select(F.col("s_suppkey").alias("repository_id"), (F.col("s_nationkey") + F.when(F.col("s_suppkey") % 4 == 0, 100).otherwise(0)).cast("bigint").alias("workspace_id")),
+        "branches": of("part").select(k.alias("id"), (k % 10 + 1).alias("repository_id"), F.concat(F.lit("b"), (k % 7).cast("string")).alias("name")),
+        "branch_links": of("part").select(k.alias("branch_id"), (k % 25).alias("workspace_id")),
+        "projects": of("part").select((k * 2).alias("id"), k.alias("branch_id"), F.when(k % 3 > 0, k % 25).alias("workspace_id"), F.col("p_brand").alias("root_dir"), F.col("p_type").alias("language")),
+    }
+
+
+@query("SELECT DISTINCT c_nationkey::BIGINT AS workspace_id, n_name AS workspace, c_custkey AS user_id, c_name AS username FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def workspace_members(spark, sf_dir):
+    c = _catalogue(spark, sf_dir)
+    return catalog.members_of(c["members"].union(c["members"]), c["users"], c["workspaces"])
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation WHERE n_regionkey = 3")
+def owned_workspaces(spark, sf_dir):
+    return catalog.owned(_catalogue(spark, sf_dir)["workspaces"], 3).select("id", "name")
+
+
+@query("SELECT s_suppkey AS repository_id, s_nationkey::BIGINT AS workspace_id, s_name AS name, 'https://h/' || s_name AS git_url FROM supplier WHERE s_suppkey % 4 <> 0")
+def workspace_repositories(spark, sf_dir):
+    c = _catalogue(spark, sf_dir)
+    return catalog.repositories_of(c["repositories"], c["repository_links"], c["workspaces"])
+
+
+@query("SELECT p_partkey AS branch_id, p_partkey % 25 AS workspace_id, p_partkey % 10 + 1 AS repository_id, 'b' || (p_partkey % 7) AS name FROM part WHERE p_partkey % 10 + 1 = 4")
+def workspace_branches(spark, sf_dir):
+    c = _catalogue(spark, sf_dir)
+    return catalog.branches_of(c["branches"], c["branch_links"], 4)
+
+
+@query("SELECT p_partkey AS id, s_suppkey AS repository_id, 'b' || (p_partkey % 7) AS name, s_name AS repository, 'https://h/' || s_name AS git_url FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1")
+def branch_repositories(spark, sf_dir):
+    c = _catalogue(spark, sf_dir)
+    return catalog.branches_with_repository(c["branches"], c["repositories"])
+
+
+@query("SELECT p_partkey AS id, p_partkey % 10 + 1 AS repository_id, 'b' || (p_partkey % 7) AS name FROM part WHERE p_partkey % 25 = 6")
+def visible_branches(spark, sf_dir):
+    c = _catalogue(spark, sf_dir)
+    return catalog.visible_branches(c["branches"], c["branch_links"], 6)
+
+
+@query("SELECT p_partkey * 2 AS id, p_brand AS root_dir FROM part WHERE p_partkey % 10 + 1 = 3 AND p_partkey % 7 = 2 AND (p_partkey % 3 = 0 OR p_partkey % 25 = 7)")
+def branch_projects(spark, sf_dir):
+    c = _catalogue(spark, sf_dir)
+    return catalog.projects_of(c["projects"], c["branches"], 3, "b2", 7).select("id", "root_dir")
+
+
+@query("SELECT p_partkey AS branch_id, p_partkey % 25 AS workspace_id FROM part WHERE p_partkey % 25 <> 6 OR p_partkey % 4 > 0")
+def unlink_branches(spark, sf_dir):
+    links = _catalogue(spark, sf_dir)["branch_links"]
+    return catalog.unlink(links, links.where("workspace_id = 6 AND branch_id % 4 = 0"), "workspace_id", "branch_id").select("branch_id", "workspace_id")
+
+
+@query("SELECT p_partkey AS branch_id, p_partkey % 25 AS workspace_id FROM part WHERE NOT (p_partkey % 25 = 7 AND p_partkey % 10 + 1 = 3)")
+def remove_repository(spark, sf_dir):
+    c = _catalogue(spark, sf_dir)
+    return catalog.without_repository(c["branch_links"], c["branches"], 7, 3).select("branch_id", "workspace_id")
+
+
+@query("""SELECT p_partkey AS branch_id, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 25 END AS workspace_id, p_brand AS root_dir, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 5 = 0 THEN 'second' ELSE p_type END AS language FROM part
+  UNION ALL SELECT -p_partkey, 1, 'new', 'second' FROM part WHERE p_partkey % 9 = 0""")
+def upsert_projects(spark, sf_dir):
+    """Two changes of each key: the later stands. A change of a shared project is left out."""
+    p = _catalogue(spark, sf_dir)["projects"].select("branch_id", "workspace_id", "root_dir", "language", F.lit(0).alias("at"))
+    new = p.where("branch_id % 5 = 0").unionByName(p.where("branch_id % 9 = 0").select((-F.col("branch_id")).alias("branch_id"), F.lit(1).cast("bigint").alias("workspace_id"), F.lit("new").alias("root_dir"), "language", "at"))
+    both = new.withColumns({"language": F.lit("first"), "at": F.lit(1)}).unionByName(new.withColumns({"language": F.lit("second"), "at": F.lit(2)}))
+    return catalog.upsert_projects(p, both, ["at"]).drop("at")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_name = 'Customer#000000007' OR c_name || '@x' = 'Customer#000000007'")
+def user_by_login(spark, sf_dir):
+    return catalog.users_by_login(_catalogue(spark, sf_dir)["users"], "Customer#000000007").select("id")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 < 2 AND c_custkey % 5 > 0 AND c_custkey % 7 <> 1 AND sha256('t' || (c_custkey % 11)) = sha256('t4')")
+def token_owner(spark, sf_dir):
+    k = F.col("id")
+    users = _catalogue(spark, sf_dir)["users"]
+    now = F.timestamp_micros(F.lit(10**15))
+    tokens = users.select(k.alias("user_id"), F.sha2(F.concat(F.lit("t"), (k % 11).cast("string")), 256).alias("token_hash"), (k % 5 == 0).alias("is_revoked"), F.when(k % 7 == 1, F.timestamp_micros(F.lit(10**14))).when(k % 2 == 0, F.timestamp_micros(F.lit(2 * 10**15))).alias("expired_at"))
+    return catalog.token_owner(tokens, users, F.sha2(F.lit("t4"), 256), now).select("id")
+
+
+# --- search as a service ------------------------------------------------------------------------------------------------
+
+_POINTS = "SELECT vec_id, label, embedding, vec_id % 3 AS workspace_id, vec_id % 5 AS branch_id FROM embeddings"
+_HITS = f"SELECT e.vec_id::VARCHAR AS node_id, round({_COS}, 6) AS score, 'unnamed' AS name, 'k' || e.label AS kind FROM ({_POINTS}) e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+def _points(spark, sf_dir) -> tuple[DataFrame, object]:
+    v = table(spark, sf_dir, "embeddings")
+    none = F.lit(None).cast("string")
+    rows = v.select(F.col("vec_id").cast("string").alias("node_id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 3).alias("workspace_id"), (F.col("vec_id") % 5).alias("branch_id"), none.alias("name"), F.concat(F.lit("k"), F.col("label").cast("string")).alias("kind"), none.alias("file_path"), none.alias("signature"), none.alias("summary"), none.alias("docstring"), F.lit(None).cast("array<string>").alias("identifiers"))
+    return rows, lambda query: _query_vector(v)
+
+
+@query(f"{_HITS} WHERE workspace_id = 1 ORDER BY {_COS} DESC, e.vec_id::VARCHAR LIMIT 7")
+def search_workspace(spark, sf_dir):
+    points, embed = _points(spark, sf_dir)
+    return search.search(points, "any", embed, 7, workspace_id=1).select("node_id", F.round("score", 6).alias("score"), "name", "kind")
+
+
+@query(f"{_HITS} WHERE branch_id = 2 ORDER BY {_COS} DESC, e.vec_id::VARCHAR LIMIT 5")
+def search_branch(spark, sf_dir):
+    points, embed = _points(spark, sf_dir)
+    branches = spark.createDataFrame([(2, 1, "main"), (3, 1, "dev"), (4, 2, "main")], "id long, repository_id long, name string")
+    return search.search_branch(points, branches, "any", embed, 1, "main").select("node_id", F.round("score", 6).alias("score"), "name", "kind")
+
+
+@query("SELECT 'blank' AS asked, 0::BIGINT AS n UNION ALL SELECT 'no such branch', 0 UNION ALL SELECT 'found', 5")
+def search_counts(spark, sf_dir):
+    points, embed = _points(spark, sf_dir)
+    branches = spark.createDataFrame([(2, 1, "main")], "id long, repository_id long, name string")
+    found = {"blank": search.search(points, " \n", embed), "no such branch": search.search_branch(points, branches, "x", embed, 1, "gone"), "found": search.search_branch(points, branches, "x", embed, 1, "main")}
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("asked"), "n") for name, df in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 # --- jobs -------------------------------------------------------------------------------------------------------------
@@ -492,3 +754,26 @@ def running_cursor(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, -1)
     end = (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int")).cast("bigint")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(F.max(end).over(w), F.lit(0)).alias("cursor"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def events_incremental(spark, sf_dir):
+    return incremental.windowed_counts(table(spark, sf_dir, "events")).select(F.col("window.start").alias("hour"), "event_type", "n")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 20 WHEN 'click' THEN 100 END AS progress, CASE WHEN event_type = 'view' AND user_id % 2 = 0 THEN 'OUTDATED' WHEN event_type = 'view' THEN 'INDEXED' ELSE 'FAILED' END AS status FROM events")
+def job_progress(spark, sf_dir):
+    stage = F.when(F.col("event_type") == "view", "clone").when(F.col("event_type") == "click", "done").otherwise("other")
+    status = F.when(F.col("event_type") == "view", "INDEXED").otherwise("FAILED")
+    return table(spark, sf_dir, "events").select("event_id", jobs.milestone(stage).alias("progress"), jobs.outdated(status, F.lit("0"), (1 - F.col("user_id") % 2).cast("string")).alias("status"))
+
+
+@query("SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS updated_at FROM events GROUP BY user_id")
+def job_status(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.max_by("event_type", "event_id").alias("status")).select(F.col("user_id").alias("id"), "status", F.col("ts").alias("updated_at"))
+    return jobs.with_status(e.where("id % 2 = 0"), e.where("id % 2 = 1")).unionByName(jobs.with_status(e.limit(0), e.limit(0))).select("id", "status", "updated_at")
+
+
+@query("SELECT DISTINCT p_partkey AS branch_id, 'PENDING' AS status, 0 AS progress_pct FROM part WHERE p_partkey % 25 = 3")
+def workspace_jobs(spark, sf_dir):
+    return jobs.trigger_workspace(_catalogue(spark, sf_dir)["branch_links"], 3)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,9 @@ class ScanOptions:
 
 
 def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """relative_path, size_bytes, content of every file below root."""
+    """relative_path, size_bytes, content of every file below root, but those that Spark never lists: names that start with
+    `.` or `_`. read_mounted() has these too.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -39,6 +44,25 @@ def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
     return rows.select(F.substr(plain, F.lit(len(base) + 2)).alias("relative_path"), F.col("length").alias("size_bytes"), "content")
 
 
+def read_mounted(spark: SparkSession, root: str) -> DataFrame:
+    """read_tree() of a folder that the driver and all executors have mounted, all names included; links are not followed.
+
+    The driver lists names only; contents are read where they are used.
+    """
+    found = [(os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/"),) for folder, _, names in os.walk(root) for name in names if not os.path.islink(os.path.join(folder, name))]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                path = batch.column(0)[at].as_py()
+                with open(os.path.join(root, path), "rb") as f:
+                    content = f.read()
+                yield pa.RecordBatch.from_pydict({"relative_path": [path], "size_bytes": [len(content)], "content": [content]})
+
+    listed = spark.createDataFrame(found, "relative_path string").repartition(max(1, len(found) // 1_000), "relative_path")
+    return listed.mapInArrow(read, "relative_path string, size_bytes bigint, content binary")
+
+
 def is_binary(content: Column, probe: int) -> Column:
     return F.contains(F.substr(content, F.lit(1), F.lit(probe)), F.unhex(F.lit("00")))
 
@@ -77,3 +101,29 @@ def scan_statistics(scanned: DataFrame) -> DataFrame:
 
 def included(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.col("status") == "included").drop("pruned", "status")
+
+
+def read_source(spark: SparkSession, path: str) -> DataFrame:
+    """read_tree() of a folder, or the one row of a file; a missing path raises FileNotFoundError."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(base):
+        raise FileNotFoundError(path)
+    if system.getFileStatus(base).isDirectory():
+        return read_tree(spark, path)
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("relative_path"), F.col("length").alias("size_bytes"), "content")
+
+
+def unfiltered(files: DataFrame) -> DataFrame:
+    """Files of a known language, as the indexing pipeline takes them: no ignore rules, no limits; in order of paths."""
+    language = paths.language(F.col("relative_path"))
+    return files.where(language.isNotNull()).withColumn("language", language).orderBy("relative_path")
+
+
+#: Directories that a scan of Python files alone leaves out.
+PYTHON_PRUNED = (".venv", "venv", "__pycache__", ".git", ".idea", ".pytest_cache", "build", "dist", "node_modules", ".gemini")
+
+
+def python_files(files: DataFrame) -> DataFrame:
+    above = F.slice(F.split("relative_path", "/"), F.lit(1), F.greatest(F.size(F.split("relative_path", "/")) - 1, F.lit(0)))
+    return files.where(F.endswith("relative_path", F.lit(".py")) & ~F.arrays_overlap(above, F.array(*map(F.lit, PYTHON_PRUNED)))).orderBy("relative_path")

@@ -51,8 +51,16 @@ def node_id(path: str, kind: str, start: int, end: int, ordinal: int) -> str:
     return hashlib.sha256(f"{path}\0{kind}\0{start}\0{end}\0{ordinal}".encode()).hexdigest()[:32]
 
 
+def parse(language: str, source: bytes) -> tuple[list[dict], list[tuple[str, str, int, int]]]:
+    """A parser's nodes and problems. A file that is nested deeper than the parser can follow is one problem, without nodes."""
+    try:
+        return parser_of(language)(source)
+    except (RecursionError, MemoryError):
+        return [], [("too_deep", "nested too deeply", 0, len(source))]
+
+
 def rows_of(path: str, language: str, source: bytes) -> list[dict]:
-    nodes, _ = parser_of(language)(source)
+    nodes, _ = parse(language, source)
     point, out = _points(source), []
     root = {"type": "container", "kind": "file", "start": 0, "end": len(source), "parent": None, "name": path.rpartition("/")[2]}
     for ordinal, n in enumerate([root, *nodes]):
@@ -86,7 +94,7 @@ def diagnostics(files: DataFrame) -> DataFrame:
             out = []
             for f in batch.itertuples(index=False):
                 source = bytes(f.content)
-                for kind, message, start, end in sorted(parser_of(f.language)(source)[1], key=lambda p: (p[2], p[3], p[0])):
+                for kind, message, start, end in sorted(parse(f.language, source)[1], key=lambda p: (p[2], p[3], p[0])):
                     part = source[start : min(end, start + 120)] if end > start else source[max(0, start - 40) : start + 40]
                     shown = part.decode("utf-8", "replace").replace("\r", "\\r").replace("\n", "\\n")
                     out.append((f.file_path, kind, "error", message, "ERROR", start, end, shown or None))

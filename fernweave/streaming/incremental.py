@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fernweave.operators import snapshot
 
 
-def file_stream(spark: SparkSession, folder: str, schema, format: str = "parquet", files_per_batch: int = 100) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, schema, format: str = "parquet", files_per_batch: int = 1_000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(format).load(folder)
 
 
@@ -27,21 +27,31 @@ def run_once(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkp
     return query
 
 
-def diff_handler(state: str, out: str) -> Callable[[DataFrame, int], None]:
-    """A handler that compares each batch (relative_path, content_hash, as one whole snapshot) with the one before.
+def snapshot_handler(state: str, out: str) -> Callable[[DataFrame, int], None]:
+    """A handler of snapshots (snapshot, n_files, relative_path, content_hash) that may come in any number of batches.
 
-    Each batch writes folders of its own number, so a repeated batch overwrites itself.
+    Rows are kept below state. A snapshot is whole when n_files of its rows are there; in order of their ids, each whole
+    one is compared with the one before and its changes written to its own folder below out, so a repeated batch
+    overwrites itself. An unfinished snapshot holds back those after it.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            previous = spark.read.parquet(f"{state}/{number - 1}")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            previous = batch.select("relative_path", "content_hash").limit(0)
-        snapshot.diff(previous, batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        batch.select("relative_path", "content_hash").write.mode("overwrite").parquet(f"{state}/{number}")
+        batch.write.partitionBy("snapshot").mode("overwrite").parquet(f"{state}/batch={number}")
+        rows = spark.read.option("basePath", state).parquet(f"{state}/batch=*")
+        # One row for each snapshot.
+        known = sorted(rows.groupBy("snapshot").agg(F.max("n_files").alias("n_files"), F.count("*").alias("n")).collect())
+        touched = {r["snapshot"] for r in batch.select("snapshot").distinct().collect()}
+        before, changed = None, False
+        for snapshot_id, n_files, n in known:
+            if n < n_files:
+                return
+            changed = changed or snapshot_id in touched
+            if changed:
+                of = lambda s: rows.where(F.col("snapshot") == s).select("relative_path", "content_hash")
+                current = of(snapshot_id)
+                previous = current.limit(0) if before is None else of(before)
+                snapshot.diff(previous, current).write.mode("overwrite").parquet(f"{out}/snapshot={snapshot_id}")
+            before = snapshot_id
 
     return handle
