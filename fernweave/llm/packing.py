@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.llm.common import mix, stash
-from fernweave.llm.tokens import WordCodec
+from fernweave.llm.tokens import codec_of, runs, with_end
 
 _DF_SLICE = 4096
 
@@ -28,28 +28,41 @@ class Settings:
     b: float = 0.75
 
 
+class Distinct:
+    """The distinct ids of texts, by one table of the vocabulary instead of a sort for each text."""
+
+    def __init__(self, size: int):
+        self.last = np.zeros(size, np.int64)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each id once, and how often it is there."""
+        at = np.arange(len(ids))
+        self.last[ids] = at
+        last = self.last[ids]
+        return ids[last == at], np.bincount(last, minlength=len(ids))[last == at]
+
+
 def _encode(held, s: Settings):
     """Rows (uid, doc_id, n, ids), and at a partition's end its document frequencies (slice, df, documents, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, kind, seen, tokens = WordCodec(held.value), None, 0, 0
+        codec, kind, seen, tokens = codec_of(held.value), None, 0, 0
         df = np.zeros(-(-codec.size // _DF_SLICE) * _DF_SLICE, np.int64)
+        distinct = Distinct(len(df))
         wide = "<u2" if codec.size <= 1 << 16 else "<u4"
         first = TaskContext.get().partitionId() << 33
         names = ["uid", "doc_id", "n", "ids", "slice", "df", "documents"]
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                blobs, sizes = [], []
-                for raw in codec.encode_many([t or "" for t in part.column(1).to_pylist()]):
-                    ids = np.frombuffer(raw, "<u4")
-                    df[np.unique(ids)] += 1
-                    blobs.append(np.append(ids, s.end_id).astype(wide).tobytes())
-                    sizes.append(len(ids) + 1)
-                n = len(blobs)
-                tokens += sum(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + seen, first + seen + n)), part.column(0), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+            for a, b, ids, sizes in codec.encode_slices(batch.column(1)):
+                n = b - a
+                ends = np.cumsum(sizes)
+                for x, y in zip(ends - sizes, ends, strict=True):
+                    df[distinct.of(ids[x:y])[0]] += 1
+                ids, sizes = with_end(ids, sizes, s.end_id)
+                blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.dtype(wide).itemsize), pa.py_buffer(ids.astype(wide))])
+                tokens += int(sizes.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + seen, first + seen + n)), batch.column(0).slice(a, n), pa.array(sizes), blobs, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
                 seen += n
         if kind is not None:
             rows = df.reshape(-1, _DF_SLICE)
@@ -123,19 +136,24 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
         return mix(x.astype(np.uint64) * np.uint64(2) + np.uint64(1) + np.uint64(salt << 40))
 
 
-def lexical_keys(ids: np.ndarray, idf: np.ndarray, df: np.ndarray, s: Settings) -> tuple[int, int]:
+class LexicalKeys:
     """Two of the words that a text shares with others, drawn by weighted min-hash; -1 where there is none.
 
     Weights are those of BM25, so the chance that two texts draw the same word is their weighted similarity.
     """
-    terms, tf = np.unique(ids, return_counts=True)
-    some = (terms < len(df)) & (df[np.minimum(terms, len(df) - 1)] > 1)
-    terms, tf = terms[some], tf[some]
-    if not len(terms):
-        return -1, -1
-    weight = idf[terms] * tf * (s.k1 + 1) / (tf + s.k1)
-    draws = [-np.log((_mixed(terms, salt) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) / weight for salt in (1, 2)]
-    return int(terms[draws[0].argmin()]), int(terms[draws[1].argmin()])
+
+    def __init__(self, idf: np.ndarray, df: np.ndarray, s: Settings):
+        self.s, self.distinct = s, Distinct(len(df))
+        self.weight = np.where(df > 1, idf * (s.k1 + 1), 0.0)
+        self.draws = [-np.log((_mixed(np.arange(len(df)), salt) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) for salt in (1, 2)]
+
+    def of(self, ids: np.ndarray) -> tuple[int, int]:
+        terms, tf = self.distinct.of(ids[ids < len(self.weight)])
+        terms, tf = terms[self.weight[terms] > 0], tf[self.weight[terms] > 0]
+        if not len(terms):
+            return -1, -1
+        weight = self.weight[terms] * tf / (tf + self.s.k1)
+        return tuple(int(terms[(draw[terms] / weight).argmin()]) for draw in self.draws)
 
 
 def _keyed(stats, s: Settings):
@@ -143,8 +161,9 @@ def _keyed(stats, s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, df, _ = stats.value
+        draw = LexicalKeys(idf, df, s)
         for batch in batches:
-            keys = [lexical_keys(np.frombuffer(blob, "<u2" if len(blob) == 2 * (n % s.window) else "<u4"), idf, df, s) for n, blob in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keys = [draw.of(np.frombuffer(blob, "<u2" if len(blob) == 2 * (n % s.window) else "<u4")) for n, blob in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             keys = np.array(keys, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *batch.columns], ["key", "other", *batch.schema.names])
 
@@ -237,7 +256,8 @@ class ShardIndex:
     """BM25 over the pieces of one shard, as one sorted array of postings."""
 
     def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean: float, s: Settings):
-        own = [np.unique(p, return_counts=True) for p in pieces]
+        distinct = Distinct(max([len(idf), *(int(p.max()) + 1 for p in pieces if len(p))]))
+        own = [distinct.of(p) for p in pieces]
         self.terms = [t for t, _ in own]
         sizes = np.array([len(t) for t in self.terms])
         token = np.concatenate(self.terms)
@@ -254,8 +274,7 @@ class ShardIndex:
         """The BM25 score of every piece for the words of one."""
         terms = self.terms[piece]
         a, b = self.bounds[terms], self.bounds[terms + 1]
-        n = b - a
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = runs(a, b - a)
         return np.bincount(self.where[at], weights=self.weight[at], minlength=self.n)
 
 

@@ -11,9 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernweave.llm.tokens import WordCodec, id_lists
-
-SLICE = 512
+from fernweave.llm.tokens import codec_of, id_lists, with_end
 
 
 def write_token_orc(documents: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, stripe_bytes: int = 16 << 20, index_stride: int = 1_000, id_column: str = "doc_id", text_column: str = "text") -> None:
@@ -34,16 +32,13 @@ def write_token_orc(documents: DataFrame, tokenizer_path: str, path: str, end_id
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part, before = WordCodec(held.value), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        codec, part, before = codec_of(held.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(at, SLICE)
-                blobs = [b + end for b in codec.encode_many(piece.column(1).to_pylist())]
-                counts = np.array([len(b) // 4 for b in blobs], np.int64)
-                starts = before + np.cumsum(counts) - counts
-                before += int(counts.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), part, np.int64)), piece.column(0), pa.array(starts), pa.array(counts), id_lists(blobs)], ["part", "doc_id", "part_start", "n_tokens", "ids"])
+            for a, b, ids, sizes in codec.encode_slices(batch.column(1)):
+                ids, sizes = with_end(ids, sizes, end_id)
+                starts = before + np.cumsum(sizes) - sizes
+                before += int(sizes.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part, np.int64)), batch.column(0).slice(a, b - a), pa.array(starts), pa.array(sizes), id_lists(ids, sizes)], ["part", "doc_id", "part_start", "n_tokens", "ids"])
 
     out = ordered.mapInArrow(encode, f"part bigint, doc_id {kind}, part_start bigint, n_tokens bigint, ids array<int>")
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(index_stride), "orc.stripe.size": str(stripe_bytes)}

@@ -1,72 +1,139 @@
-"""Whole texts to ids with the tokenizers library, one library call for each new word."""
+"""Whole texts to ids with the tokenizers library: one library call for each new word piece, the rest on Arrow columns."""
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from fernweave.llm.bpe import byte_letters
 
 #: Words of these characters only are lower-cased and cut here as the library would; all others go through it whole.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")
+#: Texts are encoded in slices of about so many bytes.
+_SLICE_BYTES = 8 << 20
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run in turn."""
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return at + np.arange(len(at))
 
 
 class WordCodec:
     """Ids of texts under a lower-casing word BPE file (white space dropped), as the library's encode() gives them.
 
-    White space separates words for good in such a vocabulary, so a text's ids are its words' ids in turn. Words are
-    cached in two generations of at most `cache` entries: what is used often stays.
+    White space separates words for good in such a vocabulary, and a word's pieces (a run of letters, a digit, a run of
+    marks) don't merge, so a text's ids are those of its pieces in turn. Distinct words of a slice are cut once. Pieces
+    are cached, at most about `cache` of them and `cache_chars` characters; a full cache is emptied.
     """
 
-    def __init__(self, tokenizer_json: str, cache: int = 250_000):
+    def __init__(self, tokenizer_json: str, cache: int = 500_000, cache_chars: int = 8_000_000):
         self.whole = Tokenizer.from_str(tokenizer_json)
         self.whole.no_padding()
         self.whole.no_truncation()
         self.tokenize = self.whole.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
-        self.cache, self.old = cache, {}
+        self.size = self.whole.get_vocab_size()
+        self.cache, self.cache_chars = cache, cache_chars
         codec = self
 
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = codec.old.get(word)
-                if ids is None:
-                    ids = codec._encode(word)
-                self[word] = ids
-                return ids
+        class Pieces(dict):
+            def __missing__(self, piece: str) -> int:
+                self[piece] = at = codec._learn(piece)
+                return at
 
-        self.kind, self.young = Words, Words()
-        self.size = self.whole.get_vocab_size()
+        self.kind = Pieces
+        self._clear()
+
+    def _clear(self) -> None:
+        self.pieces = self.kind({"\n": -1})
+        self.ids, self.sizes = array("I"), array("q")
+        self.chars = 0
+
+    def _learn(self, piece: str) -> int:
+        self.chars += len(piece)
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        before = len(self.ids)
+        self.ids.extend([t.id for t in self.tokenize(piece)])
+        self.sizes.append(len(self.ids) - before)
+        return len(self.sizes) - 1
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: all in turn, and for each word where its own start and how many there are."""
+        if len(self.sizes) > self.cache or self.chars > self.cache_chars:
+            self._clear()
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        kept = words.filter(pa.array(plain))
+        cut = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), "\n")[0].as_py().lower()
+        at = np.fromiter(map(self.pieces.__getitem__, _CUT.findall(cut)), np.int64)
+        # Counted over the pieces of this call only: the store may hold many more.
+        known, which = np.unique(at, return_inverse=True)
+        stored = np.append(np.array(self.sizes, np.int64), 0)
+        ends = np.cumsum(stored)
+        size, first = stored[known], (ends - stored)[known]
+        size[known < 0] = 0
+        word = np.cumsum(at < 0)
+        flat = np.array(self.ids, np.uint32)[runs(first[which], size[which])]
+        if plain.any():
+            sizes[plain] = np.bincount(word, weights=size[which], minlength=int(plain.sum())).astype(np.int64)
+        starts[plain] = np.cumsum(sizes[plain]) - sizes[plain]
+        odd, end = [], len(flat)
+        for i in np.flatnonzero(~plain).tolist():
+            text = words[i].as_py()
+            ids = self.whole.encode(text, add_special_tokens=False).ids if text else []
+            odd.append(np.array(ids, np.uint32))
+            starts[i], sizes[i], end = end, len(ids), end + len(ids)
+        return np.concatenate([flat, *odd]), starts, sizes
 
-    def _encode(self, word: str) -> bytes:
-        if "<|" in word or not _PLAIN.fullmatch(word):
-            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
-        lower = word.lower()
-        if lower != word:
-            return self.young[lower]
-        if not word.isalpha():
-            pieces = _CUT.findall(word)
-            if len(pieces) > 1:
-                return b"".join(map(self.young.__getitem__, pieces))
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
-
-    def encode_many(self, texts: Sequence[str]) -> list[bytes]:
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn as unsigned 32-bit integers, and how many each has. A null is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        ids, starts, sizes = self._words(coded.dictionary)
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        total = np.concatenate([[0], np.cumsum(n)])
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]) if len(lists) else np.zeros(1, np.int64)
+        return ids[runs(starts[word], n)], np.diff(total[bounds])
+
+    def encode_slices(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, ids, sizes) of slices of bounded size; a slice holds one text at least."""
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        at, total = 0, np.concatenate([[0], np.cumsum(size)])
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + _SLICE_BYTES, "right")) - 1)
+            yield at, to, *self.encode_array(texts.slice(at, to - at))
+            at = to
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.young) > self.cache:
-            self.old, self.young = self.young, self.kind()
-        find = self.young.__getitem__
-        return [b"".join(map(find, t.replace("\n", " ").split(" "))) for t in texts]
+        ids, sizes = self.encode_array(pa.array(texts, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(texts) else []
+
+
+@lru_cache(maxsize=1)
+def codec_of(tokenizer_json: str) -> WordCodec:
+    """A worker's codec, kept from task to task with its cache."""
+    return WordCodec(tokenizer_json)
+
+
+def id_lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Ids of several texts in turn as an Arrow list column."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
 
 
-def id_lists(blobs: Sequence[bytes]) -> pa.ListArray:
-    """Blobs of 32-bit ids as an Arrow list column."""
-    ends = np.cumsum([0, *(len(b) // 4 for b in blobs)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
+def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with end_id after each text."""
+    return np.insert(ids, np.cumsum(sizes), end_id).astype(np.uint32), sizes + 1
