@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from fernweave.session import shared_folder
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -19,15 +21,6 @@ def ascii_lower(text: str) -> str:
     return text.translate(_LOWER) if not text.isascii() else text.lower()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see. Set here only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="fernweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stash(df: DataFrame, name: str, format: str = "parquet", **options) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, lost executors cost nothing.
 
@@ -49,18 +42,39 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_beside(rows: DataFrame, run, added: dict[str, str]) -> DataFrame:
+    """rows with the columns `added` (name to type) that run makes, by mapInArrow.
+
+    run sees the columns by place, so any names will do; beside() makes its batches.
+    """
+    plain = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
+    types = [f.dataType.simpleString() for f in plain.schema] + list(added.values())
+    return plain.mapInArrow(run, ", ".join(f"c{i} {t}" for i, t in enumerate(types))).toDF(*rows.columns, *added)
+
+
+def beside(batch: pa.RecordBatch, *columns: pa.Array) -> pa.RecordBatch:
+    every = [*batch.columns, *columns]
+    return pa.RecordBatch.from_arrays(every, [f"c{i}" for i in range(len(every))])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this package has stashed in the session's shared folder. For the job's owner, when no result is lazy any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/fernweave")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Memo:
-    """A cache of two generations, at most 2 * size entries: what is used often stays. Filled in bulk."""
+    """A cache of two generations, at most 2 * size entries of 2 * chars characters: what is used often stays. Filled in bulk."""
 
-    def __init__(self, compute_many, size: int = 400_000):
-        self.compute_many, self.size = compute_many, size
+    def __init__(self, compute_many, size: int = 400_000, chars: int = 16_000_000):
+        self.compute_many, self.size, self.chars, self.held = compute_many, size, chars, 0
         self.old: dict = {}
         self.young: dict = {}
 
     def fill(self, keys: set) -> dict:
         """A mapping that holds all keys now; compute_many(list) gives the values of those not cached."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
+        if len(self.young) > self.size or self.held > self.chars:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
         missing, new = [], keys - young.keys()
         if not old:
@@ -71,6 +85,7 @@ class Memo:
                 missing.append(key)
             else:
                 young[key] = value
+        self.held += sum(map(len, new)) + sum(map(len, missing))
         if missing:
             young.update(zip(missing, self.compute_many(missing), strict=True))
         return young

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernweave.llm.common import beside, map_beside
+
 UNDETERMINED = "und"
 SLICE = 1_000
 
@@ -22,24 +24,23 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Settings:
-    #: The bounds of the labelled sample: documents of each language, and languages (the most frequent).
-    per_language: int = 800
-    languages: int = 200
+    #: The bound of the labelled sample: documents, dealt evenly to the languages.
+    rows: int = 1_200
     buckets: int = 1 << 16
     dim: int = 16
     longest: int = 4
-    epochs: int = 3
+    epochs: int = 2
     rate: float = 0.5
-    #: Cuts of each labelled document to learn from besides one of snippet_words words.
-    snippets: int = 3
-    snippet_words: int = 60
-    #: Of calibration documents with the right label, the share that rejection may cost at most.
+    #: Whole texts are learned from in consecutive pieces of 1 to piece_words words.
+    piece_words: int = 60
+    #: Of the right answers on calibration texts, the share that rejection may cost at most.
     reject_share: float = 0.001
-    #: The rejection threshold is never above this score.
-    reject_ceiling: float = 0.4
+    #: Pieces of fewer words don't count for the rejection threshold.
+    reject_words: int = 10
     seed: int = 7
-    #: Words whose logits a worker keeps.
+    #: Words, and their characters, whose logits a worker keeps.
     cache: int = 400_000
+    cache_chars: int = 32_000_000
 
 
 def letters_only(words: Sequence[str]) -> list[str]:
@@ -81,7 +82,11 @@ def subwords(words: Sequence[str], buckets: int, longest: int) -> tuple[np.ndarr
 
 @dataclass(frozen=True)
 class Model:
-    """table: the logits of each bucket (its embedding through the softmax layer), bias, temperature and reject_below."""
+    """table: the logits of each bucket (its embedding through the softmax layer), bias, temperature and reject_below.
+
+    foreign_rejected: the share of calibration texts below the threshold when their own language is left out of the
+    answer, as an estimate for texts of languages that were not learned (None for fewer than three languages).
+    """
 
     languages: list[str]
     table: np.ndarray
@@ -89,91 +94,126 @@ class Model:
     temperature: float
     reject_below: float
     settings: Settings
+    foreign_rejected: float | None = None
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
-        z = logits / self.temperature
-        z = np.exp(z - z.max(axis=-1, keepdims=True))
-        return z / z.sum(axis=-1, keepdims=True)
+        return _softmax(logits / self.temperature)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=-1, keepdims=True))
+    return z / z.sum(axis=-1, keepdims=True)
+
+
+class Bags:
+    """Whole texts as word numbers, and the n-gram buckets of each distinct word once."""
+
+    def __init__(self, texts: Sequence[str], s: Settings):
+        known: dict[str, int] = {}
+        self.tokens = [np.array([known.setdefault(w, len(known)) for w in t.split()], np.int64) for t in texts]
+        ids, owner = subwords(letters_only(list(known)), s.buckets, s.longest)
+        order = np.argsort(owner, kind="stable")
+        self.ids = ids[order].astype(np.int32)
+        self.sizes = np.bincount(owner, minlength=len(known))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def grams(self, pieces: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All buckets of several pieces in turn, and their number in each."""
+        words = np.concatenate(pieces)
+        n = self.sizes[words]
+        at = np.repeat(self.starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        edges = np.cumsum([0, *(len(p) for p in pieces)])
+        total = np.concatenate([[0], np.cumsum(n)])
+        return self.ids[at], np.diff(total[edges])
 
 
-def _grams(texts: Sequence[str], s: Settings) -> list[np.ndarray]:
-    return [subwords(letters_only(t.split()), s.buckets, s.longest)[0] for t in texts]
+def _pieces(words: np.ndarray, longest: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """Consecutive pieces of 1 to longest words; none is left out."""
+    ends = np.cumsum(rng.integers(1, longest + 1, len(words) + 1))
+    return [p for p in np.split(words, ends[ends < len(words)]) if len(p)]
 
 
 def train(texts: Sequence[str], labels: Sequence[str], settings: Settings = Settings()) -> Model:
-    """Stochastic gradient descent on short and longer cuts of the texts; a fifth is kept for calibration."""
+    """Stochastic gradient descent on pieces of the texts, which take in every word; a fifth of the texts is kept for calibration."""
     s, rng = settings, np.random.default_rng(settings.seed)
     languages = sorted(set(labels))
     k = len(languages)
     if not k:
         return Model([], np.zeros((s.buckets, 0), np.float32), np.zeros(0), 1.0, 0.0, s)
-    cuts: list[tuple[str, int, bool]] = []
-    for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
-        words = text.split()
-        for j in range(s.snippets + 1):
-            n = s.snippet_words if j == 0 else int(rng.integers(1, s.snippet_words // 2))
-            at = int(rng.integers(0, max(1, len(words) - n + 1)))
-            cuts.append((" ".join(words[at : at + n]), languages.index(label), i % 5 == 0))
-    grams, y, calibration = _grams([c[0] for c in cuts], s), np.array([c[1] for c in cuts]), np.array([c[2] for c in cuts])
-    some = np.array([len(g) > 0 for g in grams])
-    weight = 1.0 / np.maximum(1, np.bincount(y[~calibration], minlength=k))
+    bags, of = Bags(texts, s), [languages.index(x) for x in labels]
+    cut = [(p, of[i], i % 5 == 0) for i, words in enumerate(bags.tokens) for p in _pieces(words, s.piece_words, rng)]
+    cut = [c for c in cut if bags.sizes[c[0]].any()]
+    learn, check = [c for c in cut if not c[2]], [c for c in cut if c[2]]
+    y = np.array([c[1] for c in learn], np.int64)
+    weight = 1.0 / np.maximum(1, np.bincount(y, minlength=k))
     weight /= weight.mean()
     emb = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32)
     out = rng.normal(0, 0.1, (s.dim, k)).astype(np.float32)
     bias = np.zeros(k, np.float32)
-    rows = np.flatnonzero(some & ~calibration)
-    step, steps = 0, max(1, s.epochs * -(-len(rows) // 32))
+    step, steps = 0, max(1, s.epochs * -(-len(learn) // 32))
     for _ in range(s.epochs):
-        rng.shuffle(rows)
+        rows = rng.permutation(len(learn))
         for at in range(0, len(rows), 32):
             batch = rows[at : at + 32]
-            n = np.array([len(grams[i]) for i in batch])
-            ids = np.concatenate([grams[i] for i in batch])
-            starts = np.cumsum(n) - n
-            mean = np.add.reduceat(emb[ids], starts, axis=0) / n[:, None]
-            z = mean @ out + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
+            ids, n = bags.grams([learn[i][0] for i in batch])
+            mean = np.add.reduceat(emb[ids], np.cumsum(n) - n, axis=0) / n[:, None]
+            p = _softmax(mean @ out + bias)
             p[np.arange(len(batch)), y[batch]] -= 1
             p *= weight[y[batch], None] / len(batch)
             rate = s.rate * (1 - step / steps)
             back = (p @ out.T) / n[:, None]
             used, where = np.unique(ids, return_inverse=True)
-            owner = np.repeat(np.arange(len(batch)), n)
-            counts = np.bincount(where * len(batch) + owner, minlength=len(used) * len(batch)).reshape(len(used), len(batch)).astype(np.float32)
+            counts = np.bincount(where * len(batch) + np.repeat(np.arange(len(batch)), n), minlength=len(used) * len(batch)).reshape(len(used), len(batch)).astype(np.float32)
             emb[used] -= (rate * 32) * (counts @ back).astype(np.float32)
             out -= rate * (mean.T @ p).astype(np.float32)
             bias -= rate * p.sum(axis=0).astype(np.float32)
             step += 1
     table = emb @ out
-    check = np.flatnonzero(some & calibration)
-    z = np.array([table[grams[i]].mean(axis=0) + bias for i in check]).reshape(len(check), k)
-    best = (np.inf, 1.0)
-    for t in np.geomspace(0.05, 20, 60) if len(check) else []:
-        q = z / t
-        q -= q.max(axis=1, keepdims=True)
-        loss = float((np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(check)), y[check]]).mean())
-        best = min(best, (loss, float(t)))
-    model = Model(languages, table.astype(np.float32), bias.astype(np.float64), best[1], 0.0, s)
-    whole = [r for r, i in enumerate(check) if i % (s.snippets + 1) == 0]
-    p = model.probabilities(z[whole]) if whole else np.zeros((0, k))
-    right = p.max(axis=1)[p.argmax(axis=1) == y[check][whole]] if whole else np.zeros(0)
-    below = min(s.reject_ceiling, float(np.quantile(right, s.reject_share))) if len(right) else 0.0
-    return Model(languages, model.table, model.bias, model.temperature, below, s)
+    model = Model(languages, table.astype(np.float32), bias.astype(np.float64), 1.0, 0.0, s)
+    return calibrated(model, bags, check + [(w, of[i], True) for i, w in enumerate(bags.tokens) if i % 5 == 0 and bags.sizes[w].any()])
+
+
+def calibrated(model: Model, bags: Bags, texts: Sequence[tuple[np.ndarray, int, bool]]) -> Model:
+    """The temperature of the least loss on texts (words, language), and the score that reject_share of right answers miss."""
+    s, k = model.settings, len(model.languages)
+    if not texts:
+        return model
+    y = np.array([t[1] for t in texts])
+    z = []
+    for words, _, _ in texts:
+        ids, n = bags.grams([words])
+        z.append(model.table[ids].sum(axis=0) / n[0] + model.bias)
+    z = np.array(z)
+    loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-300)).mean()
+    model = replace(model, temperature=float(min(np.geomspace(0.05, 20, 60), key=loss)))
+    long = np.array([len(t[0]) >= s.reject_words for t in texts])
+    z, y = z[long], y[long]
+    p = model.probabilities(z) if len(z) else np.zeros((0, k))
+    right = p.max(axis=1)[p.argmax(axis=1) == y] if len(z) else np.zeros(0)
+    if not len(right):
+        return model
+    below = float(np.quantile(right, s.reject_share, method="lower"))
+    foreign = None
+    if k > 2:
+        z[np.arange(len(y)), y] = -np.inf
+        foreign = float((model.probabilities(z).max(axis=1) < below).mean())
+    return replace(model, reject_below=below, foreign_rejected=foreign)
 
 
 def labelled_sample(documents: DataFrame, settings: Settings = Settings()) -> pd.DataFrame:
-    """text, lang: at most per_language documents of each language, chosen by the hash of their id; never held-out ones."""
+    """text, lang: at most rows documents, as many of each language, chosen by the hash of their id; never held-out ones."""
     s = settings
-    rows = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
+    rows = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return pd.DataFrame({"text": [], "lang": []})
-    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(s.per_language / r["count"]))]), F.col("lang"))
+    each = max(1, s.rows // len(counts))
+    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(each / r["count"]))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.where(F.col("text").isNotNull() & (draw < share)).select("text", "lang", draw.alias("draw")).toPandas()
+    # A little more than asked for, so that the draw rarely falls short; the surplus goes.
+    got = rows.where(draw < share * 1.2 + 1e-6).select("text", "lang", draw.alias("draw")).toPandas()
     got = got.sort_values(["lang", "draw", "text"])
-    return got[got.groupby("lang").cumcount() < s.per_language][["text", "lang"]].reset_index(drop=True)
+    return got[got.groupby("lang").cumcount() < each][["text", "lang"]].reset_index(drop=True)
 
 
 def fit(documents: DataFrame, settings: Settings = Settings()) -> Model:
@@ -190,16 +230,18 @@ class Scorer:
 
     def _clear(self) -> None:
         self.row: dict[str, int] = {}
+        self.chars = 0
         self.sums = np.zeros((1024, len(self.m.languages) + 1))
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.row) > self.cache:
+        if len(self.row) > self.cache or self.chars > self.m.settings.cache_chars:
             self._clear()
         new = list(words - self.row.keys())
         if not new:
             return
         ids, owner = subwords(letters_only(new), self.m.settings.buckets, self.m.settings.longest)
         at = len(self.row)
+        self.chars += sum(map(len, new))
         while at + len(new) > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
         made = self.sums[at : at + len(new)]
@@ -232,16 +274,15 @@ def predict(documents: DataFrame, model: Model, text_column: str = "text", lang:
     gives an empty result; a model without languages answers "und". Map-only; the model's size is fixed by Settings.
     """
     rows = documents.drop(lang, score, rejected)
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    held, at_text = documents.sparkSession.sparkContext.broadcast(model), rows.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                best, p = scorer.predict(part.column(text_column).to_pylist())
+                best, p = scorer.predict(part.column(at_text).to_pylist())
                 no = [b == UNDETERMINED or x < scorer.m.reject_below for b, x in zip(best, p, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(p, pa.float64()), pa.array(no, pa.bool_())], [*part.schema.names, lang, score, rejected])
+                yield beside(part, pa.array(best, pa.string()), pa.array(p, pa.float64()), pa.array(no, pa.bool_()))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{lang} string, {score} double, {rejected} boolean"])
-    return rows.mapInArrow(run, schema)
+    return map_beside(rows, run, {lang: "string", score: "double", rejected: "boolean"})
