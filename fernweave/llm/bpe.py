@@ -7,11 +7,13 @@ import json
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fernweave.llm.common import Memo
 
@@ -96,7 +98,10 @@ class IntTable:
 class SuffixAutomaton:
     """After each byte of a text: the vocabulary tokens that are suffixes of what was read.
 
-    The states are the prefixes of tokens. longest[s] is the longest token that is a suffix of state s (-1: none),
+    Of the suffix automaton of the vocabulary only those states are kept that can end a token later: the prefixes of
+    tokens, each with the suffix link to the longest of its suffixes that is one too. Reading a text, the state is its
+    longest suffix that is a prefix of a token, so the tokens on its chain of links are all tokens that are suffixes of
+    what was read, which is what the encoder asks for; substrings that start no token would only cost memory. longest[s] is the longest token that is a suffix of state s (-1: none),
     shorter[s] the state to ask for the next shorter one. Transitions are one table of (state, byte) keys, so that
     many texts step at once.
     """
@@ -149,6 +154,8 @@ class PrefixEncoder:
 
     #: Pairs of tokens whose compatibility is remembered, at most.
     PAIRS = 2_000_000
+    #: A longer pretoken is read in segments of so many bytes, side by side.
+    SEGMENT = 1_024
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -157,6 +164,7 @@ class PrefixEncoder:
         self.length = np.zeros(max(vocabulary.token) + 2, np.int64)
         for t, i in usable.items():
             self.length[i] = len(t)
+        self.reach = int(self.length.max(initial=1))
         self.pairs = IntTable(np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -202,6 +210,9 @@ class PrefixEncoder:
         out: list[bytes] = [b""] * len(pieces)
         order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
         at = 0
+        while at < len(order) and len(pieces[order[at]]) > 2 * self.SEGMENT:
+            out[order[at]] = self._long(pieces[order[at]])
+            at += 1
         while at < len(order):
             longest = max(1, len(pieces[order[at]]))
             rows = order[at : at + max(1, 500_000 // longest)]
@@ -210,17 +221,50 @@ class PrefixEncoder:
             at += len(rows)
         return out
 
-    def _block(self, pieces: list[bytes], longest: int) -> list[bytes]:
-        """pieces by falling length."""
+    def _long(self, piece: bytes) -> bytes:
+        """A long pretoken in segments, each read together with what is before it.
+
+        A prefix's last token follows from the bytes and the last tokens within the longest token's length before it. So
+        a segment that gives the same last tokens as the one before it over that length, where both read, goes on just as
+        the whole would. Where it does not, it is read again behind the true ones.
+        """
+        ahead = self.SEGMENT // 4 * max(1, -(-self.reach * 8 // self.SEGMENT))
+        starts = list(range(0, len(piece), self.SEGMENT))
+        parts = [piece[max(0, s - ahead) : s + self.SEGMENT] for s in starts]
+        order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+        guess = self._last([parts[i] for i in order], max(map(len, parts)))
+        column = {i: guess[:, j] for j, i in enumerate(order)}
+        last = np.full(len(piece) + 1, -1, np.int64)
+        for i, start in enumerate(starts):
+            end, skip = min(len(piece), start + self.SEGMENT), min(start, ahead)
+            near = min(skip, self.reach)
+            own = column[i]
+            if start and not np.array_equal(own[skip - near : skip + 1], last[start - near : start + 1]):
+                context = max(0, start - 2 * self.reach)
+                own = self._last([piece[context:end]], end - context, last[context : start + 1])[:, 0]
+                skip = start - context
+            last[start + 1 : end + 1] = own[skip + 1 : skip + 1 + end - start]
+        ids, at = [], len(piece)
+        while at:
+            if last[at] < 0:
+                raise ValueError("the vocabulary has no token for some byte")
+            ids.append(last[at])
+            at -= int(self.length[last[at]])
+        return np.array(ids[::-1], "<u4").tobytes()
+
+    def _last(self, pieces: list[bytes], longest: int, known: np.ndarray | None = None) -> np.ndarray:
+        """The last token of each prefix (rows) of each piece, by falling length (columns). known: of the first prefixes of the only piece."""
         n, sizes = len(pieces), np.array([len(p) for p in pieces])
         text = np.frombuffer(b"".join(p.ljust(longest, b"\0") for p in pieces), np.uint8).reshape(n, longest)
         last = np.full((longest + 1, n), -1, np.int64)
+        if known is not None:
+            last[: len(known), 0] = known
         state = np.zeros(n, np.int64)
         for end in range(1, longest + 1):
             live = int(np.searchsorted(-sizes, -end, side="right"))
             state[:live] = self.automaton.step(state[:live], text[:live, end - 1].astype(np.int64))
             rows, here = np.arange(live), state[:live].copy()
-            while len(rows):
+            while len(rows) and (known is None or end >= len(known)):
                 token = self.automaton.longest[here]
                 rows, here, token = rows[token >= 0], here[token >= 0], token[token >= 0]
                 start = end - self.length[token]
@@ -230,6 +274,12 @@ class PrefixEncoder:
                 fine[ask] = self.fits(before[ask], token[ask])
                 last[end, rows[fine]] = token[fine]
                 rows, here = rows[~fine], self.automaton.shorter[here[~fine]]
+        return last
+
+    def _block(self, pieces: list[bytes], longest: int) -> list[bytes]:
+        """pieces by falling length."""
+        n, sizes = len(pieces), np.array([len(p) for p in pieces])
+        last = self._last(pieces, longest)
         rows, at, steps = np.flatnonzero(sizes), sizes[sizes > 0].copy(), []
         count = np.zeros(n, np.int64)
         while len(rows):
@@ -308,6 +358,12 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def codec_of(vocabulary_json: str) -> Codec:
+    """A worker's codec, kept from task to task with its cache."""
+    return Codec(Vocabulary.from_json(vocabulary_json))
+
+
 def encode_documents(documents: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, ids (binary: little-endian unsigned 32-bit), decoded (text) for each row.
 
@@ -331,17 +387,17 @@ def digest_documents(documents: DataFrame, vocabulary_path: str, id_column: str
 def _run(documents: DataFrame, path: str, id_column: str, text_column: str, columns: str, result) -> DataFrame:
     with open(path, encoding="utf-8") as f:
         held = documents.sparkSession.sparkContext.broadcast(f.read())
-    rows = documents.select(id_column, text_column)
-    schema = f"`{id_column}` {rows.schema[0].dataType.simpleString()}, {columns}"
+    rows = documents.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    schema = f"id {rows.schema[0].dataType.simpleString()}, {columns}"
     names = [c.split()[0] for c in columns.split(", ")]
     kinds = [{"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64()}[c.split()[1]] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary.from_json(held.value))
+        codec = codec_of(held.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 made = [result(codec, ids) for ids in codec.encode_many([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], [id_column, *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], ["id", *names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)

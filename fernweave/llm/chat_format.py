@@ -58,8 +58,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """One row for each conversation: conv_id, formatted, loss_spans, n_turns, n_escaped, round_trip.
 
     Each turn is rendered as it is and read back; one that does not come back identical is rendered escaped.
-    round_trip says that the reading of the whole text equals the source turns (it always holds; it is computed,
-    not assumed). loss_spans: array<struct<start, length>> in code points of formatted (from 0) that hold the
+    round_trip is the reading of the whole text against the source turns: true, or the row raises, for escaping that
+    failed once would fail again. loss_spans: array<struct<start, length>> in code points of formatted (from 0) that hold the
     texts of role `learn`.
 
     Null texts and roles are empty. Rows are ordered by turn (null first), ties by role, then text; repeated rows
@@ -86,7 +86,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         "n_escaped",
         F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"),
     )
-    return formatted.select("conv_id", "formatted", "loss_spans", "n_turns", "n_escaped", (parse(F.col("formatted")) == F.col("source")).alias("round_trip"))
+    return formatted.select("conv_id", "formatted", "loss_spans", "n_turns", "n_escaped", F.when(parse(F.col("formatted")) == F.col("source"), True).otherwise(F.raise_error(F.concat(F.lit("no round trip of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("boolean")).alias("round_trip"))
 
 
 def loss_text(formatted: Column, loss_spans: Column) -> Column:
