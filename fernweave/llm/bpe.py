@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import Memo
+from fernweave.llm.common import Memo, thrifty
 
 #: Texts that are encoded side by side.
 SLICE = 1_000
@@ -400,4 +400,4 @@ def _run(documents: DataFrame, path: str, id_column: str, text_column: str, colu
                 made = [result(codec, ids) for ids in codec.encode_many([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], ["id", *names])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return rows.mapInArrow(thrifty(run), schema).withColumnRenamed("id", id_column)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from fernweave.session import shared_folder
 
@@ -31,25 +35,40 @@ def stash(df: DataFrame, name: str, format: str = "parquet", **options) -> DataF
     df.write.format(format).options(**options).save(path)
     out = spark.read.format(format).schema(df.schema).load(path)
     out.stash_path = path
+    for kept in _records:
+        kept.append(out)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete stashed tables that no later plan reads."""
+    """Delete stashed tables that no later plan reads; those already deleted don't matter."""
     for table in tables:
         jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table.stash_path)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_records: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that are stashed inside, so that their owner can discard them once nothing lazy reads them."""
+    _records.append(made := [])
+    try:
+        yield made
+    finally:
+        _records.remove(made)
+
+
 def map_beside(rows: DataFrame, run, added: dict[str, str]) -> DataFrame:
     """rows with the columns `added` (name to type) that run makes, by mapInArrow.
 
     run sees the columns by place, so any names will do; beside() makes its batches.
     """
     plain = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
-    types = [f.dataType.simpleString() for f in plain.schema] + list(added.values())
-    return plain.mapInArrow(run, ", ".join(f"c{i} {t}" for i, t in enumerate(types))).toDF(*rows.columns, *added)
+    new = StructType.fromDDL(", ".join(f"c{i} {kind}" for i, kind in enumerate(added.values(), len(plain.columns))))
+    return plain.mapInArrow(thrifty(run), StructType([*plain.schema.fields, *new.fields])).toDF(*rows.columns, *added)
 
 
 def beside(batch: pa.RecordBatch, *columns: pa.Array) -> pa.RecordBatch:
@@ -63,6 +82,27 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Hand free memory back to the system: Python workers outlive their tasks, and the next one may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def thrifty(run):
+    """run, which maps an iterator of batches, with give_back() at its end."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return mapped
+
+
 class Memo:
     """A cache of two generations, at most 2 * size entries of 2 * chars characters: what is used often stays. Filled in bulk."""
 

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import discard, mix, shingle_hashes, stash
+from fernweave.llm.common import discard, mix, shingle_hashes, stash, thrifty
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -107,34 +107,47 @@ def _class_sizes(shingles: np.ndarray) -> bytes:
 
 
 def _profile(s: Settings):
-    """Rows of documents (doc_id, key, n, classes, packed text), and at a partition's end rows of its sketch (slice, counts)."""
-    names = ["doc_id", "key", "n", "classes", "packed", "slice", "counts"]
+    """Rows of documents (doc_id, key, n), and at a partition's end rows of its sketch (slice, counts)."""
+    names = ["doc_id", "key", "n", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts, pack = Hasher(), np.zeros(1 << s.sketch_bits, np.uint32), zstandard.ZstdCompressor(level=1).compress
+        hasher, counts = Hasher(), np.zeros(1 << s.sketch_bits, np.uint32)
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            texts = _utf8(batch.column(1))
-            keys, sizes, classes, packed = [], [], [], []
-            for text, shingles in zip(texts, hasher.sets(texts, s.k), strict=True):
-                some = len(shingles) >= s.least
+            keys, sizes = [], []
+            for shingles in hasher.sets(_utf8(batch.column(1)), s.k):
                 keys.append(_node(shingles))
                 sizes.append(len(shingles))
-                classes.append(_class_sizes(shingles) if some else None)
-                packed.append(pack(text) if some else None)
                 at = shingles >> np.uint64(64 - s.sketch_bits)
                 # Sorted, so equal buckets are neighbours.
                 new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
                 counts[at[new].astype(np.int64)] += np.diff(np.append(new, len(at))).astype(np.uint32)
             n = len(keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(packed, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if kind is not None:
             rows = counts.reshape(-1, min(_SKETCH_SLICE, len(counts)))
             used = np.flatnonzero(rows.any(axis=1))
             shrink = zstandard.ZstdCompressor(level=1).compress
             n = len(used)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(used.astype(np.int32)), pa.array([shrink(rows[i].tobytes()) for i in used], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(used.astype(np.int32)), pa.array([shrink(rows[i].tobytes()) for i in used], pa.binary())], names)
+
+    return run
+
+
+def _sets(s: Settings):
+    """(doc_id, key, n, classes, packed text) of texts that have words; the last two only where a set is large enough to link with others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, pack = Hasher(), zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = _utf8(batch.column(1))
+            rows = []
+            for text, shingles in zip(texts, hasher.sets(texts, s.k), strict=True):
+                some = len(shingles) >= s.least
+                rows.append((_node(shingles), len(shingles), _class_sizes(shingles) if some else None, pack(text) if some else None))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "key", "n", "classes", "packed"]).filter(columns[0].is_valid())
 
     return run
 
@@ -303,7 +316,7 @@ def verify_pairs(nodes: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     payload = nodes.where(F.col("packed").isNotNull()).select("node", "packed").mapInArrow(_payloads(asked), "node bigint, packed binary")
     rows = wanted.join(payload, "node").select("hub", "node", "packed", "salt")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node") != F.col("hub"), "node")
-    links = stash(rows.select("hub", "node", "packed").mapInArrow(_verify(s), "a bigint, b bigint, shared bigint, joint bigint"), "links")
+    links = stash(rows.select("hub", "node", "packed").mapInArrow(thrifty(_verify(s)), "a bigint, b bigint, shared bigint, joint bigint"), "links")
     discard(dealt)
     return links
 
@@ -373,8 +386,8 @@ def _profiled(documents: DataFrame, s: Settings, id_column: str, text_column: st
     spark = documents.sparkSession
     rows = documents.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    profile = stash(rows.mapInArrow(_profile(s), f"doc_id {kind}, key binary, n bigint, classes binary, packed binary, slice int, counts binary"), "profile")
-    docs = profile.where(F.col("slice").isNull()).select("doc_id", "key", "n", "classes", "packed")
+    profile = stash(rows.mapInArrow(thrifty(_profile(s)), f"doc_id {kind}, key binary, n bigint, slice int, counts binary"), "profile")
+    docs = profile.where(F.col("slice").isNull()).select("doc_id", "key", "n")
 
     slices = profile.where(F.col("slice").isNotNull()).select("slice", "counts").repartition("slice").sortWithinPartitions("slice")
     levels = np.zeros(1 << s.sketch_bits, np.uint8)
@@ -384,14 +397,15 @@ def _profiled(documents: DataFrame, s: Settings, id_column: str, text_column: st
     held = spark.sparkContext.broadcast(levels.tobytes())
 
     # Equal sets are one node, with one text, from here on.
-    nodes = docs.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "classes", "packed")).alias("one"))
+    sets = rows.mapInArrow(thrifty(_sets(s)), f"doc_id {kind}, key binary, n bigint, classes binary, packed binary")
+    nodes = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "classes", "packed")).alias("one"))
     nodes = stash(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "one.*"), "nodes")
-    postings = nodes.where(F.col("packed").isNotNull()).select("node", "packed").mapInArrow(_postings(held, s), "block bigint, hot bigint, node bigint, place bigint")
+    postings = nodes.where(F.col("packed").isNotNull()).select("node", "packed").mapInArrow(thrifty(_postings(held, s)), "block bigint, hot bigint, node bigint, place bigint")
     ordered = Window.partitionBy("block").orderBy("place", "node")
     blocks = postings.withColumn("head", F.first(F.struct("node", "place")).over(ordered)).withColumn("next", F.lead("node").over(ordered))
     blocks = blocks.where(F.col("next").isNotNull() | (F.col("node") != F.col("head.node")) | F.col("hot").isNotNull())
     blocks = stash(blocks.select("block", "hot", "node", "place", F.col("head.node").alias("head"), F.col("head.place").alias("head_place")), "blocks")
-    return docs.select("doc_id", "key", "n"), nodes, blocks
+    return docs, nodes, blocks
 
 
 def link_documents(documents: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -444,11 +458,11 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
             break
         cross = stash(apart.join(asked, ["hub", "node"], "left_anti").select("hub", "node", "shared", "must"), "cross")
         discard(apart, asked)
-    discard(blocks)
-
     named = nodes.select("node", "key", "least").join(label, "node", "left").select("key", "least", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = named.join(least, "label").select("key", "component_id")
+    # The texts go as soon as the components stand.
+    found = stash(named.join(least, "label").select("key", "component_id"), "components")
+    discard(blocks, nodes)
     out = docs.join(found, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

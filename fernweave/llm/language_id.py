@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fernweave.llm.common import beside, map_beside
 
 UNDETERMINED = "und"
-SLICE = 1_000
+SLICE = 500
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,8 +39,8 @@ class Settings:
     reject_words: int = 10
     seed: int = 7
     #: Words, and their characters, whose logits a worker keeps.
-    cache: int = 400_000
-    cache_chars: int = 32_000_000
+    cache: int = 200_000
+    cache_chars: int = 16_000_000
 
 
 def letters_only(words: Sequence[str]) -> list[str]:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import mix, stash
+from fernweave.llm.common import mix, stash, thrifty
 from fernweave.llm.tokens import codec_of, runs, with_end
 
 _DF_SLICE = 4096
@@ -326,7 +326,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, settings: Settings
         held = spark.sparkContext.broadcast(f.read())
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    coded = stash(rows.mapInArrow(_encode(held, s), f"uid bigint, doc_id {kind}, n bigint, ids binary, slice int, df binary, documents bigint"), "coded")
+    coded = stash(rows.mapInArrow(thrifty(_encode(held, s)), f"uid bigint, doc_id {kind}, n bigint, ids binary, slice int, df binary, documents bigint"), "coded")
     sums = coded.where(F.col("slice").isNotNull()).select("slice", "df", "documents", "n").repartition("slice").sortWithinPartitions("slice")
     got = sorted(sums.mapInArrow(_sum_df, "slice int, df binary, documents bigint, n bigint").collect())
     docs, tokens = sum(r["documents"] for r in got), sum(r["n"] for r in got)
@@ -340,7 +340,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, settings: Settings
     wide = F.octet_length("ids") / F.col("n")
     tails = texts.where(rest > 0).select("uid", "doc_id", "n", F.substr("ids", ((F.col("n") - rest) * wide + 1).cast("int"), (rest * wide).cast("int")).alias("tail"))
     if tokens > s.shard_tokens:
-        keyed = stash(tails.mapInArrow(_keyed(stats, s), f"key bigint, other bigint, uid bigint, doc_id {kind}, n bigint, tail binary"), "tails")
+        keyed = stash(tails.mapInArrow(thrifty(_keyed(stats, s)), f"key bigint, other bigint, uid bigint, doc_id {kind}, n bigint, tail binary"), "tails")
         dealing = spark.sparkContext.broadcast(deal(keyed, s))
         tails = keyed.mapInArrow(_dealt(dealing), f"shard bigint, uid bigint, doc_id {kind}, n bigint, tail binary")
     else:

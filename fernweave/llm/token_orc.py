@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fernweave.llm.common import thrifty
 from fernweave.llm.tokens import codec_of, id_lists, with_end
 
 
@@ -40,7 +41,7 @@ def write_token_orc(documents: DataFrame, tokenizer_path: str, path: str, end_id
                 before += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part, np.int64)), batch.column(0).slice(a, b - a), pa.array(starts), pa.array(sizes), id_lists(ids, sizes)], ["part", "doc_id", "part_start", "n_tokens", "ids"])
 
-    out = ordered.mapInArrow(encode, f"part bigint, doc_id {kind}, part_start bigint, n_tokens bigint, ids array<int>")
+    out = ordered.mapInArrow(thrifty(encode), f"part bigint, doc_id {kind}, part_start bigint, n_tokens bigint, ids array<int>")
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(index_stride), "orc.stripe.size": str(stripe_bytes)}
     out.write.format("orc").options(**options).save(path)
 

@@ -35,7 +35,7 @@ class WordCodec:
     are cached, at most about `cache` of them and `cache_chars` characters; a full cache is emptied.
     """
 
-    def __init__(self, tokenizer_json: str, cache: int = 500_000, cache_chars: int = 8_000_000):
+    def __init__(self, tokenizer_json: str, cache: int = 300_000, cache_chars: int = 6_000_000):
         self.whole = Tokenizer.from_str(tokenizer_json)
         self.whole.no_padding()
         self.whole.no_truncation()

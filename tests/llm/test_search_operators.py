@@ -160,23 +160,88 @@ def test_search_of_few_and_none(spark):
     assert ann.search(table, table.limit(0)).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path):
+def test_search_of_very_large_and_small_components(spark):
+    rows = [(i, [float(np.cos(i)) * 10.0 ** (300 if i % 2 else -300), float(np.sin(i)) * 10.0 ** (300 if i % 2 else -300)]) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(table, table.where("vec_id = 0"), ann.Settings(reach=1.0)).orderBy("rank").collect()
+    want = sorted(range(1, 40), key=lambda i: -np.cos(i))[:5]
+    assert [r.vec_id for r in got] == want and all(abs(r.score - np.cos(r.vec_id)) < 1e-12 for r in got)
+
+
+ODD_DOCS = [(None, None, "en", "s", None), (None, "", None, None, 0), (7, "same words again and again", "en", "s", 1), (7, "same words again and again", "en", "t", 2), (8, None, "de", None, 3), (9, "x" * 200_000, "fr", "s", 4), (10, "12345 67890", "es", "s", 5)]
+
+
+def test_pipeline_stages_of_odd_input(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, an empty table, and further columns with clashing names."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    real = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id >= 20").limit(60)
+    odd = spark.createDataFrame(ODD_DOCS, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit(1) for c in ("node", "kept", "score", "rejected", "component_id", "m", "row", "n", "a.b", "label")}
+    for name, docs in (("odd", real.unionByName(odd).withColumns(clash)), ("empty", real.limit(0).withColumns(clash))):
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.schema.names == docs.schema.names, stage_name
+            out.write.parquet(path := str(tmp_path / f"{name}-{stage_name}"))
+            kept = spark.read.parquet(path)
+            if name == "empty":
+                assert kept.count() == 0
+            if stage_name == "pii" and name == "odd":
+                assert kept.count() == docs.count()
+            if stage_name == "near_duplicates" and name == "odd":
+                assert kept.where("doc_id = 7").count() == 1 and kept.where("doc_id = 8").count() == 1
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert pieces.agg(F.sum("length")).first()[0] == (None if name == "empty" else pieces.select("doc_id", "doc_tokens", "start").where("start = 0").agg(F.sum("doc_tokens")).first()[0])
+
+
+def test_pipeline_stages_against_one_process(spark, tmp_path):
+    """Each stage against a plain version of it: the scorer and the forest row by row, all pairs, each surrogate's properties, all ids."""
     import corpus_pipeline
+    import public_tokenizers
+    from fernweave.llm import language_id, quality_rules
+    from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
-        assert out.schema.names == list(corpus_pipeline.COLUMNS)
+        assert out.schema.names == docs.schema.names
         out.write.parquet(str(tmp_path / name))
         kept = spark.read.parquet(str(tmp_path / name))
-        before, after = {r.doc_id for r in docs.collect()}, {r.doc_id for r in kept.collect()}
-        assert after <= before
-        if name == "near_duplicates":
-            want = {c for _, _, c in components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)}
-            assert after == want
-        if name == "pii":
-            assert after == before
+        rows = docs.collect()
+        before, after = {r.doc_id for r in rows}, {r.doc_id: r for r in kept.collect()}
+        if name == "language_id":
+            model = language_id.fit(docs)
+            want = set()
+            for r in rows:
+                words = (r.text or "").split()
+                grams = [language_id.subwords(language_id.letters_only([w]), 1 << 16, 4)[0] for w in words]
+                grams = np.concatenate(grams) if grams else np.zeros(0, int)
+                if len(grams) and model.probabilities(model.table[grams].astype(float).mean(axis=0) + model.bias).max() >= model.reject_below - 1e-9:
+                    want.add(r.doc_id)
+        elif name == "quality_rules":
+            model = quality_rules.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            want = set()
+            for r in rows:
+                (n, _, _, _, repeated), features = quality_rules.statistics(r.text or "")
+                if n >= 10 and 100 * repeated <= 20 * n and model.forest.score(features[None])[0] <= model.threshold:
+                    want.add(r.doc_id)
+        elif name == "near_duplicates":
+            want = {c for _, _, c in components([(r.doc_id, r.text) for r in rows], 5, 80)}
+        else:
+            want = before
+            changed = [(r.text, after[r.doc_id].text) for r in rows if r.text != after[r.doc_id].text]
+            assert changed and all(after[r.doc_id].n_chars == len(after[r.doc_id].text) for r in rows)
+            for old, new in changed:
+                for mail in re.findall(r"[\w.]+@[\w.]+\.com", old):
+                    assert mail not in new
+        assert set(after) == want, name
         docs = kept
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = {}
+    for p in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect():
+        pieces.setdefault(p.doc_id, []).append((p.start, p.ids))
+    for r in docs.collect():
+        assert [i for _, ids in sorted(pieces[r.doc_id]) for i in ids] == [*library.encode(r.text, add_special_tokens=False).ids, 1]
+    assert corpus_pipeline.run(spark, sf).count() == sum(map(len, pieces.values()))
