@@ -128,6 +128,12 @@ def write_tree(nodes: DataFrame, files: DataFrame, folder: str) -> None:
     nodes.join(files.select("file_path", "language"), "file_path").write.partitionBy("language").mode("append").parquet(f"{folder}/nodes")
 
 
+def tree_text(nodes: DataFrame) -> DataFrame:
+    """file_path, tree: a line for each node of a file in pre-order, indented by depth. A file is bounded by the scan."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.coalesce("kind", "node_type"), F.coalesce(F.concat(F.lit(" "), F.col("name")), F.lit("")))
+    return nodes.groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda x: x["line"]), "\n").alias("tree"))
+
+
 def as_json(table: DataFrame, leave_out: tuple[str, ...] = ("content",)) -> DataFrame:
     """One JSON text for each row, large contents left out."""
     return table.select(F.to_json(F.struct(*(c for c in table.columns if c not in leave_out)), {"ignoreNullFields": "false"}).alias("json"))

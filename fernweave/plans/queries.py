@@ -777,3 +777,72 @@ def job_status(spark, sf_dir):
 @query("SELECT DISTINCT p_partkey AS branch_id, 'PENDING' AS status, 0 AS progress_pct FROM part WHERE p_partkey % 25 = 3")
 def workspace_jobs(spark, sf_dir):
     return jobs.trigger_workspace(_catalogue(spark, sf_dir)["branch_links"], 3)
+
+
+@query("SELECT user_id AS key, event_id FROM events WHERE value < 100 AND event_type <> 'error'")
+def jobs_in_flight(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", F.col("value").alias("progress_pct"), F.when(F.col("event_type") == "error", "failed").alias("error_message"))
+    return jobs.in_flight(e).select("key", "event_id")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def jobs_newest(spark, sf_dir):
+    """The first page of a list of jobs, newest first."""
+    top = jobs.newest(table(spark, sf_dir, "events"), "ts", "event_id").limit(20).agg(F.collect_list("event_id").alias("ids"))
+    return top.select(F.posexplode("ids").alias("place", "event_id")).select("event_id", (F.col("place") + 1).cast("bigint").alias("place"))
+
+
+@query("SELECT p_name AS path, p_partkey AS id FROM part WHERE p_partkey % 4 > 0")
+def file_listing(spark, sf_dir):
+    return graph.file_listing(table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 4 > 0, F.col("p_name")).alias("path"), F.col("p_partkey").alias("id")))
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_nationkey = 7")
+def node_by_id(spark, sf_dir):
+    return graph.by_id(table(spark, sf_dir, "nation"), 7, "n_nationkey").select(F.col("n_name").alias("name"))
+
+
+@query(f"SELECT (SELECT count(*) FROM ({_LINES}) JOIN ({_DIFF}) ON file_path = relative_path WHERE change IN ('added', 'modified')) AS documents, (SELECT count(*) FROM ({_DIFF}) WHERE change <> 'unchanged') AS deletes, true AS has_operations")
+def plan_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    changes = snapshot_diff(spark, sf_dir)
+    return index_plan.counts(index_plan.documents(_line_chunks(d), changes, "r1", "abc"), index_plan.deletes(changes, "r1", "abc"))
+
+
+@query("SELECT count(*) AS files, false AS all_exact, sum(len(string_split(text, chr(10)))) FILTER (text IS NOT NULL)::BIGINT AS chunks FROM documents")
+def chunk_totals(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    chunks = _line_chunks(d)
+    sources = d.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").cast("binary").alias("content"))
+    return chunking.totals(chunking.coverage(chunks, sources, 1 << 30), chunks)
+
+
+@query("""SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
+  FROM (SELECT c_custkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(c_name)) AS h FROM customer)""")
+def point_ids(spark, sf_dir):
+    return search.point_ids(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("node_id"))).select("c_custkey", "point_id")
+
+
+@query("SELECT p_partkey, p_name || chr(10) || chr(10) || p_type AS shown FROM part")
+def embed_text(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.embed_text(F.col("p_name"), F.concat(F.lit(" "), F.col("p_type"), F.lit("  "))).alias("shown"))
+
+
+@query("SELECT doc_id, nullif(replace(replace(CASE WHEN doc_id % 2 = 0 THEN substr(t, 6, 120) ELSE substr(t, 1, 45) END, chr(13), '\\r'), chr(10), '\\n'), '') AS excerpt FROM (SELECT doc_id, regexp_replace(text, '[^\x01-\x7F]', '', 'g') AS t FROM documents)")
+def excerpts(spark, sf_dir):
+    """The first 120 bytes of a long span, and what is around an empty one."""
+    content = F.regexp_replace("text", r"[^\x01-\x7F]", "").cast("binary")
+    even = F.col("doc_id") % 2 == 0
+    lit = lambda x: F.lit(x).cast("bigint")
+    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(content, lit(5), F.when(even, lit(100_000)).otherwise(lit(5))).alias("excerpt"))
+
+
+@query("SELECT n_regionkey AS file_path, string_agg(repeat('  ', n_nationkey % 3) || 'function' || CASE WHEN n_nationkey % 4 > 0 THEN ' ' || n_name ELSE '' END, chr(10) ORDER BY n_nationkey) AS tree FROM nation GROUP BY 1")
+def tree_text(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return graph.tree_text(n.select(F.col("n_regionkey").alias("file_path"), F.col("n_nationkey").alias("ordinal"), (F.col("n_nationkey") % 3).alias("depth"), F.lit(None).cast("string").alias("kind"), F.lit("function").alias("node_type"), F.when(F.col("n_nationkey") % 4 > 0, F.col("n_name")).alias("name")))
+
+
+@query("SELECT user_id % 4 = 0 AS is_local, count(*) AS n FROM events GROUP BY 1")
+def local_symbols(spark, sf_dir):
+    return _events_with_symbol(spark, sf_dir).groupBy(symbols.is_local(F.col("symbol")).alias("is_local")).agg(F.count("*").alias("n"))

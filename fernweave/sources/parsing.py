@@ -104,12 +104,15 @@ def diagnostics(files: DataFrame) -> DataFrame:
 
 
 def parse_results(files: DataFrame, problems: DataFrame) -> DataFrame:
-    """file_path, language, parser_name, status (success or partial), source_size_bytes, n_problems."""
+    """file_path, language, parser_name, status, source_size_bytes, n_problems of every file.
+
+    status: unsupported (no language), missing (no content), partial (with problems) or success.
+    """
     n = problems.groupBy("file_path").agg(F.count("*").alias("n_problems"))
     path = F.col("file_path")
-    rows = files.select("file_path", paths.language(path).alias("language"), paths.parser_name(path).alias("parser_name"), F.octet_length("content").cast("bigint").alias("source_size_bytes")).where(F.col("language").isNotNull())
+    rows = files.select("file_path", paths.language(path).alias("language"), paths.parser_name(path).alias("parser_name"), F.octet_length("content").cast("bigint").alias("source_size_bytes"))
     joined = rows.join(n, "file_path", "left").withColumn("n_problems", F.coalesce("n_problems", F.lit(0)))
-    return joined.withColumn("status", F.when(F.col("n_problems") > 0, "partial").otherwise("success"))
+    return joined.withColumn("status", F.when(F.col("language").isNull(), "unsupported").when(F.col("source_size_bytes").isNull(), "missing").when(F.col("n_problems") > 0, "partial").otherwise("success"))
 
 
 def for_call_graph(nodes: DataFrame) -> DataFrame:
