@@ -58,7 +58,7 @@ def recorded() -> Iterator[list[DataFrame]]:
     try:
         yield made
     finally:
-        _records.remove(made)
+        _records[:] = [r for r in _records if r is not made]
 
 
 def map_beside(rows: DataFrame, run, added: dict[str, str]) -> DataFrame:

@@ -31,6 +31,19 @@ LABELS = ("full name:", "name:")
 #: Beginnings of tokens of well-known providers, and of JSON web tokens; they stay in surrogates.
 TOKEN_STARTS = (r"gh[pousr]_", r"github_pat_", r"glpat-", r"xox[abprs]-", r"[rs]k_(?:live|test)_", r"sk-", r"AIza", r"npm_", r"hf_", r"eyJ", r"A(?:KIA|SIA)")
 
+#: How card numbers of the networks start, and how many digits they have.
+CARDS = (
+    "4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})",
+    "5[1-5][0-9]{14}",
+    "2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}",
+    "3[47][0-9]{13}",
+    "3(?:0[0-5]|[689][0-9])[0-9]{11}",
+    "35(?:2[89]|[3-8][0-9])[0-9]{12}",
+    "6(?:011|4[4-9][0-9]|5[0-9]{2})[0-9]{12}",
+    "62[0-9]{14,17}",
+    "(?:5018|5020|5038|5893|6304|6759|676[1-3])[0-9]{8,15}",
+)
+
 _TITLES = "|".join(sorted((h for g in HONORIFICS.values() for h in g), key=len, reverse=True))
 _CUES, _LABELS = f"(?iu:{'|'.join(CUES)})", f"(?i:{'|'.join(LABELS)})"
 _STARTS = "|".join(TOKEN_STARTS)
@@ -76,7 +89,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """The kind of a match of ALL; null for a number that only looks like a card."""
+    """The kind of a match of ALL; null for a number that is no network's or fails its check digit."""
     tests = {
         "pem": F.startswith(m, F.lit("-----BEGIN")),
         "secret": F.rlike(m, F.lit(f"^{_SECRET}")),
@@ -89,7 +102,7 @@ def kind_of(m: Column) -> Column:
         "ssn": F.rlike(m, F.lit("^[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}$")),
         "hex": F.rlike(m, F.lit("^[0-9a-f]{32,}$")) & F.rlike(m, F.lit("[a-f]")),
         "iban": F.rlike(m, F.lit("^[A-Z]{2}[0-9]{2}")),
-        "card": F.rlike(m, F.lit("^[0-9 -]+$")) & _luhn(F.regexp_replace(m, "[^0-9]", "")),
+        "card": F.rlike(m, F.lit("^[0-9 -]+$")) & F.rlike(_digits(m), F.lit(f"^(?:{'|'.join(CARDS)})$")) & _luhn(_digits(m)),
         "name": F.rlike(m, F.lit(_NAME)),
     }
     out = F.lit(None).cast("string")
@@ -289,7 +302,7 @@ def protect(documents: DataFrame, key: str, text_column: str = "text", count: st
     """documents with every detected entity replaced; with `count`, a column of that name tells how many per row.
 
     Emails, credentials (after a label or `Bearer`, or of a well-known form), private keys, IP addresses, phone, card
-    (Luhn-valid) and social-security numbers, IBANs, long hex tokens, and names after honorifics and phrases that
+    (of a network's form and Luhn-valid) and social-security numbers, IBANs, long hex tokens, and names after honorifics and phrases that
     introduce one. A surrogate is drawn from a keyed digest of the entity's canonical form, so one entity has one
     surrogate in all documents and formats; distinct entities have distinct ones, which is checked over all documents
     and drawn again where it fails. Names keep gender, script, apostrophes and hyphens, and their given names and

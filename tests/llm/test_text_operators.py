@@ -380,7 +380,9 @@ def test_pii_of_more_kinds(spark):
     pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(word(64) for _ in range(6)) + "\n-----END RSA PRIVATE KEY-----"
     secrets = [jwt, f"ghp_{word(36)}", f"github_pat_{word(40)}", f"xoxb-{word(24)}", f"sk_live_{word(24)}", f"AIza{word(35)}", "310.555.1212", "(310)555-1212", "123 45 6789", "2001:db8:85a3::8a2e:370:7334", "fe80:0:0:0:1:2:3:4", f"{'long.' * 20}name@corp.example.org"]
     texts = [f"See {s} here." for s in secrets] + [f"Authorization: Bearer {jwt}", f"key:\n{pem}\nend", "My name is Zelda Quick and Zelda said: name: Ann O'Neil-Smith. Ich heiße Karl Groß."]
-    clean = ["At 12:30:45 std::vector<a::b> face::add 1.2.3 and 3.14.15 happen; bearer of news; my name is nobody.", "Version 10.20.30, ratio 3:4:5, 2024-01-02 03:04:05, see 100 200 300 and BA 12 34."]
+    cards = ["4041894974608795", "5555555555554444", "378282246310005", "6011111111111117", "2223003122003222", "3530111333300000", "30569309025904"]
+    texts += [f"paid with {c} today" for c in cards]
+    clean = ["Order 9000000000000001 and 8247440297306505, 0997523947200289 and 1234567812345670 went out.", "At 12:30:45 std::vector<a::b> face::add 1.2.3 and 3.14.15 happen; bearer of news; my name is nobody.", "Version 10.20.30, ratio 3:4:5, 2024-01-02 03:04:05, see 100 200 300 and BA 12 34."]
     docs = spark.createDataFrame(list(enumerate([*texts, *clean])), "doc_id long, text string")
     out = {x.doc_id: x for x in pii.protect(docs, "key", count="n").collect()}
     for i, s in enumerate(secrets):
@@ -391,6 +393,9 @@ def test_pii_of_more_kinds(spark):
 
     first, again, ann = re.match(r"My name is (\w+) \w+ and (\w+) said: name: \w+ (\S+)\. Ich heiße \w+ \w+\.$", out[14].text).groups()
     assert first == again != "Zelda" and re.fullmatch("O'[A-Z][a-z]+-[A-Z][a-z]+", ann) and "Neil" not in ann and "Karl" not in out[14].text
+    for i, c in enumerate(cards):
+        new = re.fullmatch(r"paid with (\d+) today", out[15 + i].text)[1]
+        assert new != c and len(new) == len(c) and new[0] == c[0] and spark.sql(f"SELECT luhn_check('{new}')").first()[0]
     for i, text in enumerate(clean):
         assert out[len(texts) + i].text == text
 
