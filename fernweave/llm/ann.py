@@ -176,8 +176,6 @@ def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings
     asked = stash(tidy(queries).where(same), "asked")
     index = fit(_sample(base, s), dims["count"], s)
     held = spark.sparkContext.broadcast(index)
-    # Lists are of unlike size: the mean part is an eighth of what a task may hold.
-    parts = max(1, -(-8 * dims["count"] // (s.part * len(index.centres))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +193,12 @@ def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings
             at = pa.array(np.repeat(np.arange(batch.num_rows), few))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lists.ravel())], ["vec_id", "embedding", "list"])
 
-    listed = base.mapInArrow(assign, f"vec_id {kind}, embedding array<double>, list int").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    probes = asked.mapInArrow(probe, f"vec_id {kind}, embedding array<double>, list int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    listed = stash(base.mapInArrow(assign, f"vec_id {kind}, embedding array<double>, list int"), "lists")
+    # One row for each list, so 2,500 at most: a list is parted by its own size, however many vectors are alike.
+    parts = F.broadcast(listed.groupBy("list").agg(F.ceil(F.count("*") / s.part).cast("int").alias("parts")))
+    probes = asked.mapInArrow(probe, f"vec_id {kind}, embedding array<double>, list int").join(parts, "list")
+    probes = probes.select("vec_id", "embedding", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    listed = listed.join(parts, "list").select("vec_id", "embedding", "list", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         queries, ids, scores = [], [], []

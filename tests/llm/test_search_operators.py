@@ -153,6 +153,19 @@ def test_search_recall_scores_and_ties(spark):
     assert [r.vec_id for r in got[50]] == [49, 51, 52, 53, 54]
 
 
+def test_search_of_parted_lists(spark):
+    """A list of many like vectors is dealt out by its size; each part gives its own nearest."""
+    rows = vectors(3, n=400)
+    rows += [(1_000 + i, [1.0] + [0.0] * 15) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(table, table.where("vec_id IN (0, 1000)"), ann.Settings(part=40, reach=1.0)).collect()
+    assert sorted(r.vec_id for r in got if r.query_id == 1_000) == [1_001, 1_002, 1_003, 1_004, 1_005]
+    x = np.array([v for _, v in rows])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.argsort(-(unit @ unit[0]))[1:6]
+    assert len({r.vec_id for r in got if r.query_id == 0} & {rows[i][0] for i in best}) >= 4
+
+
 def test_search_of_few_and_none(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[:3] for r in ann.search(table, table.where("vec_id = 0")).collect()] == [(0, 1, 1)]
