@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import mix, stash, thrifty
+from fernweave.llm.common import give_back, mix, stash, thrifty
 from fernweave.llm.tokens import codec_of, runs, with_end
 
 _DF_SLICE = 4096
@@ -335,7 +335,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, settings: Settings
     stats = spark.sparkContext.broadcast((idf, df, mean))
 
     texts = coded.where(F.col("slice").isNull())
-    full = texts.where(F.col("n") >= s.window).select("doc_id", "n", "ids").mapInArrow(_full_windows(s, with_ids), _piece_schema(kind, with_ids))
+    full = texts.where(F.col("n") >= s.window).select("doc_id", "n", "ids").mapInArrow(thrifty(_full_windows(s, with_ids)), _piece_schema(kind, with_ids))
     rest = F.pmod(F.col("n"), F.lit(s.window))
     wide = F.octet_length("ids") / F.col("n")
     tails = texts.where(rest > 0).select("uid", "doc_id", "n", F.substr("ids", ((F.col("n") - rest) * wide + 1).cast("int"), (rest * wide).cast("int")).alias("tail"))
@@ -359,7 +359,10 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, settings: Settings
                 out.append((ids[piece], n[piece] - n[piece] % s.window + a, pieces[piece][a:b], n[piece], sequence, offset))
                 offset += b - a
             sequence += 2
-        return pa.Table.from_batches([_pieces(field, out, with_ids)])
+        made = pa.Table.from_batches([_pieces(field, out, with_ids)])
+        del group, blobs, pieces, out
+        give_back()
+        return made
 
     packed = tails.groupBy("shard").applyInArrow(pack, _piece_schema(kind, with_ids))
     return full.unionByName(packed)

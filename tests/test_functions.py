@@ -68,3 +68,31 @@ def test_decode_replaces(spark):
 def test_identifier_terms(spark):
     got = spark.sql("SELECT array('getUserName', 'user_id2', 'x', 'HTTPServer', '42') n").select(text.identifier_terms(F.col("n"))).first()[0]
     assert got == sorted({"user name", "user", "name", "user id2", "id2", "httpserver"})
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from fernweave.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda key, default: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+@pytest.mark.parametrize(
+    ("doc", "name", "want"),
+    [
+        ('  """Retrieve the ordered customer records quickly."""  ', "get", True),
+        ('"""Get user by id from the get_user table of it."""', "get_user", True),
+        ("get_user get_user get_user by id or name", "get_user", False),
+        ("'''short'''", "f", False),
+        (None, "f", False),
+        ("Ελληνικά και κείμενο εδώ με λέξεις", None, True),
+    ],
+)
+def test_useful_docstring(spark, doc, name, want):
+    rows = spark.createDataFrame([(doc, name)], "doc string, name string")
+    assert rows.select(text.useful_docstring(F.col("doc"), F.col("name"))).first()[0] is want
