@@ -12,7 +12,6 @@ from fernweave.llm import jaccard_join, language_id, packing, pii, quality_rules
 from fernweave.llm.common import discard, recorded, stash
 from fernweave.llm.queries import pii_key
 
-
 #: Each stage takes tables of documents with any further columns, of any names, and hands all columns on. It takes null
 #: and repeated ids as separate rows, keeps an empty table empty, and reads whole texts.
 
