@@ -18,7 +18,7 @@ from fernweave.llm.bpe import byte_letters
 _PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")
 #: Texts are encoded in slices of about so many bytes.
-_SLICE_BYTES = 3 << 20
+_SLICE_BYTES = 6 << 20
 
 
 def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -35,7 +35,7 @@ class WordCodec:
     are cached, at most about `cache` of them and `cache_chars` characters; a full cache is emptied.
     """
 
-    def __init__(self, tokenizer_json: str, cache: int = 200_000, cache_chars: int = 4_000_000):
+    def __init__(self, tokenizer_json: str, cache: int = 400_000, cache_chars: int = 8_000_000):
         self.whole = Tokenizer.from_str(tokenizer_json)
         self.whole.no_padding()
         self.whole.no_truncation()
