@@ -354,7 +354,9 @@ def components(links: DataFrame) -> DataFrame:
         if edges is not None:
             discard(edges)
             if new.where("moved").isEmpty():
-                return new.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+                out = new.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+                out.stash_path = new.stash_path
+                return out
         edges = new
 
 
@@ -429,14 +431,25 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
     heads = blocks.where(F.col("hot").isNotNull() & (F.col("node") == F.col("head"))).withColumn("first", F.min(F.struct("place", "node")).over(Window.partitionBy("hot")))
     heads = heads.select("block", "hot", "node", "place", F.col("first.node").alias("head"), F.col("first.place").alias("head_place"))
     met = pair(blocks).withColumn("must", F.lit(False)).unionByName(pair(heads)).where((F.col("node") != F.col("hub")) & _may_link(s, "place", "head_place"))
+    return connect(docs, nodes, blocks, met, s)
+
+
+def connect(docs: DataFrame, nodes: DataFrame, blocks: DataFrame, met: DataFrame, s: Settings) -> DataFrame:
+    """The components of docs (doc_id, key, n), as link_documents returns them; nodes and blocks are discarded.
+
+    met: pairs (node, place, hub, head_place, must) to begin with, some hub of a block for each of its nodes; those that
+    must be compared are, of the others each node's likeliest. blocks (block, hot, node, place) then give all other pairs.
+    """
     near = _close(met.groupBy("hub", "node").agg(F.count("*").alias("shared"), F.max("must").alias("must")), nodes, s)
     # A node is compared with the head that it shares most blocks with.
     best = near.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("top"), F.array_distinct(F.collect_list(F.when(F.col("must"), F.col("hub")))).alias("also"))
-    best = best.select("node", F.explode(F.array_union(F.array("top.hub"), "also")).alias("hub"))
+    best = stash(best.select("node", F.explode(F.array_union(F.array("top.hub"), "also")).alias("hub")), "best")
     links = verify_pairs(nodes, best, s)
     label = components(links)
+    discard(links)
 
     cross = stash(_close(cross_pairs(_named(blocks, label), s), nodes, s).join(best.select("hub", "node"), ["hub", "node"], "left_anti"), "cross")
+    discard(best)
     while True:
         of = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"{name}_l"))  # noqa: E731, B023
         ends = cross.join(of("node"), "node", "left").join(of("hub"), "hub", "left").withColumns({"node_l": F.coalesce("node_l", "node"), "hub_l": F.coalesce("hub_l", "hub")})
@@ -444,6 +457,7 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
         discard(cross)
         pairs, members = apart.agg(F.count("*"), F.approx_count_distinct("node")).first()
         if not pairs:
+            discard(apart)
             break
         asked = apart
         if pairs > 8 * members:
@@ -453,8 +467,11 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
             asked = stash(top.select(F.greatest("hub", "node").alias("hub"), F.least("hub", "node").alias("node")).distinct(), "asked")
         more = verify_pairs(nodes, asked.select("hub", "node"), s)
         if not more.isEmpty():
-            label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b").unionByName(more.select("a", "b")))
+            before, label = label, components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b").unionByName(more.select("a", "b")))
+            discard(before)
+        discard(more)
         if asked is apart:
+            discard(apart)
             break
         cross = stash(apart.join(asked, ["hub", "node"], "left_anti").select("hub", "node", "shared", "must"), "cross")
         discard(apart, asked)
@@ -462,7 +479,7 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     # The texts go as soon as the components stand.
     found = stash(named.join(least, "label").select("key", "component_id"), "components")
-    discard(blocks, nodes)
+    discard(blocks, nodes, label)
     out = docs.join(found, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

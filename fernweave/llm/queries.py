@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import ann, bpe, chat_format, conversation_repair, jaccard_join, language_id, packing, pii, quality_rules, source_audit, token_orc, url_filter
+from fernweave.llm import ann, bpe, chat_format, circulant_minhash, conversation_repair, jaccard_join, language_id, packing, pii, quality_rules, source_audit, token_orc, url_filter
 from fernweave.session import shared_folder
 
 URL_RULES = (
@@ -87,6 +87,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(documents, pii_key(spark), count="n_pii").select("doc_id", "text", "n_pii")
 
 
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant_minhash.link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row is damaged by its key's crc32 first: dropped, emptied, without sentence ends, doubled or with another role."""
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -114,6 +118,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
+    "op11_circulant_minhash": op11_circulant_minhash,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_source_audit": op13_source_audit,
 }
