@@ -8,21 +8,28 @@ from pyspark.sql import functions as F
 from fernweave.session import shared_folder
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, levels: int = 10_000) -> DataFrame:
+def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """root, id, depth of every node below each root, itself included. nodes (id, parent_id); roots (id).
 
-    A level is one join with the nodes, written before the next. levels guards against a cycle, which no tree has: it raises.
+    A level is one join with the nodes, written before the next: for a few roots of a table without labels. trees.label()
+    makes it a range for any number. A node that is met again below itself is a cycle, and raises, whatever the depth.
     """
     shared_folder(nodes.sparkSession)
     below = nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("id")).where(F.col("id").isNotNull())
     frontier = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).checkpoint()
-    known = [frontier]
-    for depth in range(1, levels + 1):
+    known, depth, looked = [frontier], 0, 64
+    while True:
+        depth += 1
         frontier = frontier.join(below, "id").select("root", F.col("child").alias("id"), F.lit(depth).alias("depth")).checkpoint()
         if frontier.isEmpty():
             return _together(known)
+        if depth == looked:
+            # A round that meets what it has met goes on for ever; looked for at depths that double.
+            again = frontier.join(_together(known).select("root", "id"), ["root", "id"], "left_semi")
+            if not again.isEmpty():
+                raise ValueError(f"a cycle of parents through {again.first()['id']}")
+            looked *= 2
         known = _merged([*known, frontier])
-    raise RuntimeError(f"a tree deeper than {levels} levels, or a cycle")
 
 
 def _together(tables: list[DataFrame]) -> DataFrame:
@@ -59,22 +66,20 @@ def node_source(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return nodes.join(files.select("file_path", "content"), "file_path", "left").select("id", F.validate_utf8(span.cast("string")).alias("source"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Every node that edges (src, dst) reach from roots (id), them included. Cycles are fine.
 
     A frontier grows by joins; what is known leaves it by an anti join. Each round writes its new nodes only, so lineage
-    stays short and a lost executor costs one round.
+    stays short and a lost executor costs one round. It ends when a round finds nothing new, however far that is.
     """
     shared_folder(edges.sparkSession)
     frontier = roots.select("id").distinct().checkpoint()
     known = [frontier]
-    for _ in range(rounds):
+    while not frontier.isEmpty():
         step = frontier.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id")).distinct()
         frontier = step.join(_together(known), "id", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return _together(known)
         known = _merged([*known, frontier])
-    raise RuntimeError(f"not closed after {rounds} rounds")
+    return _together(known)
 
 
 def cascade(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernweave.functions import hashing, paths, symbols, text, vectors
-from fernweave.operators import callgraph, catalog, chunking, embedding, graph, index_plan, jobs, positions, search, snapshot
+from fernweave.operators import callgraph, catalog, chunking, embedding, graph, index_plan, jobs, positions, search, snapshot, trees
 from fernweave.sources import files as scans
 from fernweave.streaming import incremental
 
@@ -497,6 +497,45 @@ def callees(spark, sf_dir):
     return graph.callees(_tree_edges(spark, sf_dir), _tree(spark, sf_dir), _roots(spark))
 
 
+#: Places in a walk with children by id: paths of ids sort as the walk goes; a node counts for each id of its path.
+_WALK = f"""WITH RECURSIVE t AS ({_TREE}), b(id, tree, depth, path) AS (SELECT id, id, 0, [id] FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, tree, depth + 1, path || [t.id] FROM b JOIN t ON t.parent_id = b.id),
+  w AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY path) - 1 AS first FROM b), z AS (SELECT a AS id, count(*) AS size FROM (SELECT unnest(path) AS a FROM b) GROUP BY a)"""
+
+
+def _labels(spark, sf_dir) -> DataFrame:
+    return trees.label(_tree(spark, sf_dir).select("*", F.col("id").alias("name"), F.col("node_type").alias("kind")))
+
+
+@query(f"{_WALK} SELECT id, tree, depth::BIGINT AS depth, first, first + size AS last FROM w JOIN z USING (id)")
+def tree_labels(spark, sf_dir):
+    return _labels(spark, sf_dir).select("id", "tree", "depth", "first", "last")
+
+
+@query(f"{_BELOW} SELECT root, id, depth::BIGINT AS level FROM b")
+def subtree_by_interval(spark, sf_dir):
+    return trees.below(_labels(spark, sf_dir), _roots(spark)).select("root", "id", "level")
+
+
+@query(f"{_WALK} SELECT b.id AS leaf, a AS id FROM (SELECT id, unnest(path) AS a FROM b) b")
+def ancestors_by_interval(spark, sf_dir):
+    labels = _labels(spark, sf_dir)
+    return trees.above(labels, labels).select("leaf", "id")
+
+
+@query(f"{_WALK}, e AS (SELECT * FROM ({_EDGES}) UNION ALL SELECT * FROM ({_EDGES}) WHERE src LIKE 'n%') SELECT r.id AS root, row_number() OVER (PARTITION BY r.id ORDER BY w.first, dst) - 1 AS place, src, dst FROM w r JOIN z USING (id) JOIN w ON w.tree = r.tree AND w.first >= r.first AND w.first < r.first + z.size JOIN e ON e.src = w.id WHERE r.id NOT LIKE 'c%'")
+def callees_in_order(spark, sf_dir):
+    edges = _tree_edges(spark, sf_dir)
+    labels = _labels(spark, sf_dir)
+    return trees.callees(edges.unionByName(edges.where("src LIKE 'n%'")), labels, labels.where("id NOT LIKE 'c%'"))
+
+
+@query("""WITH c AS (SELECT 'n' || c_nationkey AS n, string_agg('{"id":"c' || c_custkey || '","name":"c' || c_custkey || '","type":"function","children":[]}', ',' ORDER BY 'c' || c_custkey) AS j FROM customer GROUP BY 1),
+  n AS (SELECT 'r' || n_regionkey AS r, string_agg('{"id":"n' || n_nationkey || '","name":"n' || n_nationkey || '","type":"function","children":[' || coalesce(j, '') || ']}', ',' ORDER BY 'n' || n_nationkey) AS j FROM nation LEFT JOIN c ON n = 'n' || n_nationkey WHERE n_nationkey % 3 <> 0 GROUP BY 1)
+  SELECT 'r' || r_regionkey AS tree, '[' || coalesce(j, '') || ']' AS outline FROM region LEFT JOIN n ON r = 'r' || r_regionkey""")
+def outline_nested(spark, sf_dir):
+    return trees.outline_json(_labels(spark, sf_dir))
+
+
 @query(f"SELECT dst, src, node_type FROM ({_EDGES}) JOIN ({_TREE}) ON id = src WHERE dst = 's1'")
 def usages(spark, sf_dir):
     return graph.usages(_tree_edges(spark, sf_dir).where("dst = 's1'"), _tree(spark, sf_dir)).select("dst", "src", "node_type")
