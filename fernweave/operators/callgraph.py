@@ -21,16 +21,45 @@ def _occurrences(occurrences: DataFrame) -> DataFrame:
     return occurrences.where((F.col("symbol") != "") & (F.col("text") != "") & (F.col("start_byte") <= F.col("end_byte"))).select("file", "text", "symbol", F.col("ordinal").cast("bigint").alias("ord"), F.col("start_byte").cast("bigint").alias("start"), F.col("end_byte").cast("bigint").alias("end"), F.col("is_definition").alias("defines"))
 
 
-#: Comparisons of a node with an occurrence at once.
-_CELLS = 1 << 22
+def least_dominating(px: np.ndarray, py: np.ndarray, rank: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> np.ndarray:
+    """For each query the least rank of the points with px <= qx and py >= qy, -1 without any. Ranks are 0 to n - 1.
+
+    Points stand in the order of px, so a query asks a prefix of them: one block of each size that a binary digit of its
+    length names. Blocks are kept ordered by py with the least rank from each place on. O((n + m) log(n)^2), in whole arrays.
+    """
+    n, none = len(px), len(px)
+    best = np.full(len(qx), none, np.int64)
+    if not n or not len(qx):
+        return np.full(len(qx), -1, np.int64)
+    order = np.argsort(px, kind="stable")
+    prefix = np.searchsorted(px[order], qx, side="right")
+    levels, place = np.unique(py, return_inverse=True)
+    # Places of py are compared as integers; a query's is the first level that is large enough.
+    asked, wide = np.searchsorted(levels, qy, side="left"), len(levels) + 1
+    place, rank = place[order], rank[order]
+    for digit in range(int(n).bit_length()):
+        size = 1 << digit
+        which = np.flatnonzero((prefix >> digit) & 1)
+        if not len(which):
+            continue
+        key = (np.arange(n) // size) * wide + place
+        by = np.argsort(key, kind="stable")
+        least = np.full(-(-n // size) * size, none, np.int64)
+        least[:n] = rank[by]
+        least = np.minimum.accumulate(least.reshape(-1, size)[:, ::-1], axis=1)[:, ::-1].ravel()
+        block = (prefix[which] >> (digit + 1)) << 1
+        at = np.searchsorted(key[by], block * wide + asked[which], side="left")
+        inside = at < (block + 1) * size
+        best[which[inside]] = np.minimum(best[which[inside]], least[at[inside]])
+    return np.where(best == none, -1, best)
 
 
 def contained(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
     """What one look at each name of each file tells: rows (file, text, use, ordinal, symbol, defines, node).
 
     Where use is false: an occurrence and the node around it, definitions first, then the smallest. Where it is true: a
-    reference node and the first occurrence inside it that does not define. A file is bounded by the scan, and the
-    nodes of one name in it meet its occurrences in blocks of bounded size, so no pair of them ever becomes a row.
+    reference node and the first occurrence inside it that does not define. A file is bounded by the scan; the nodes of
+    one name in it and its occurrences are two ordered sets, and each asks the other: n log(n)^2 instead of every pair.
     """
     n, o = _nodes(nodes), _occurrences(occurrences)
     file, node, ordinal = n.schema["file"].dataType.simpleString(), n.schema["node"].dataType.simpleString(), occurrences.schema["ordinal"].dataType.simpleString()
@@ -44,15 +73,11 @@ def contained(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
         seen = seen.take(pa.array(np.argsort(column(seen, "ord"), kind="stable")))
         start, end, refers = column(own, "start"), column(own, "end"), flag(own, "is_reference")
         left, right, defines = column(seen, "start"), column(seen, "end"), flag(seen, "defines")
-        around, first = np.full(len(left), -1), np.full(len(start), -1)
-        for at in range(0, len(left), max(1, _CELLS // max(1, len(start)))):
-            part = slice(at, at + max(1, _CELLS // max(1, len(start))))
-            if not len(start):
-                break
-            inside = (start[:, None] <= left[part]) & (right[part] <= end[:, None])
-            around[part] = np.where(inside.any(axis=0), inside.argmax(axis=0), -1)
-            uses = inside & ~defines[part]
-            first = np.where((first < 0) & uses.any(axis=1), at + uses.argmax(axis=1), first)
+        around = least_dominating(start, end, np.arange(len(start)), left, right)
+        # A use inside a node is a point that dominates it in the other direction.
+        using = np.flatnonzero(~defines)
+        first = least_dominating(-left[using], -right[using], np.arange(len(using)), -start, -end)
+        first = np.where(first >= 0, using[first] if len(using) else -1, -1)
         hit, used = np.flatnonzero(around >= 0), np.flatnonzero((first >= 0) & refers)
         symbols, ids = seen.column("symbol").combine_chunks(), own.column("node").combine_chunks()
         k, m = len(hit), len(used)

@@ -410,8 +410,9 @@ def external_symbols(spark, sf_dir):
 
 # --- call graph -------------------------------------------------------------------------------------------------------
 
-_NODES = "SELECT l_suppkey % 50 AS file, 'n' || (l_partkey % 3) AS name, l_orderkey * 10 + l_linenumber AS id, l_partkey % 97 AS s, l_partkey % 97 + (l_quantity * 4)::BIGINT AS e, l_orderkey * 10 + l_linenumber AS ord, l_returnflag = 'A' AS defines FROM lineitem"
-_OCCS = "SELECT o_custkey % 50 AS file, 'n' || (o_orderkey % 3) AS text, 'sym' || (o_orderkey % 211) AS symbol, o_orderkey AS ord, o_custkey % 150 AS s, o_custkey % 150 + 3 AS e, o_orderstatus = 'F' AS defines FROM orders"
+#: A file is the code of 256 orders, so there are more files where there are more orders.
+_NODES = "SELECT l_orderkey // 256 AS file, 'n' || (l_partkey % 3) AS name, l_orderkey * 10 + l_linenumber AS id, l_partkey % 97 AS s, l_partkey % 97 + (l_quantity * 4)::BIGINT AS e, l_orderkey * 10 + l_linenumber AS ord, l_returnflag = 'A' AS defines FROM lineitem"
+_OCCS = "SELECT o_orderkey // 256 AS file, 'n' || (o_orderkey % 3) AS text, 'sym' || (o_orderkey % 211) AS symbol, o_orderkey AS ord, o_custkey % 150 AS s, o_custkey % 150 + 3 AS e, o_orderstatus = 'F' AS defines FROM orders"
 _INNER = f"SELECT o.file, o.ord, o.symbol, o.text, arg_min(n.id, (NOT n.defines, n.e - n.s, n.ord)) AS node FROM ({_NODES}) n JOIN ({_OCCS}) o ON n.file = o.file AND n.name = o.text AND n.s <= o.s AND o.e <= n.e"
 _DEFS = f"SELECT symbol, arg_min(node, (file, tord, ord)) AS node FROM (SELECT i.*, t.tord FROM ({_INNER} WHERE o.defines GROUP BY ALL) i JOIN (SELECT file, text, min(ord) AS tord FROM ({_OCCS}) WHERE defines GROUP BY ALL) t USING (file, text)) GROUP BY symbol"
 _REFS = f"SELECT n.id AS node, arg_min(o.symbol, o.ord) AS symbol FROM ({_NODES}) n JOIN ({_OCCS}) o ON n.file = o.file AND n.name = o.text AND n.s <= o.s AND o.e <= n.e WHERE NOT n.defines AND NOT o.defines GROUP BY n.file, n.id"
@@ -423,8 +424,8 @@ def _code(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     ident = q("l_orderkey") * 10 + q("l_linenumber")
     start = q("l_partkey") % 97
-    nodes = li.select((q("l_suppkey") % 50).alias("file"), ident.alias("id"), F.concat(F.lit("n"), (q("l_partkey") % 3).cast("string")).alias("name"), start.alias("start_byte"), (start + (q("l_quantity") * 4).cast("bigint")).alias("end_byte"), ident.alias("node_ordinal"), (q("l_returnflag") == "A").alias("is_definition"), (q("l_returnflag") != "A").alias("is_reference"))
-    occ = o.select((q("o_custkey") % 50).alias("file"), F.concat(F.lit("n"), (q("o_orderkey") % 3).cast("string")).alias("text"), F.concat(F.lit("sym"), (q("o_orderkey") % 211).cast("string")).alias("symbol"), q("o_orderkey").alias("ordinal"), (q("o_custkey") % 150).alias("start_byte"), (q("o_custkey") % 150 + 3).alias("end_byte"), (q("o_orderstatus") == "F").alias("is_definition"))
+    nodes = li.select(F.floor(q("l_orderkey") / 256).alias("file"), ident.alias("id"), F.concat(F.lit("n"), (q("l_partkey") % 3).cast("string")).alias("name"), start.alias("start_byte"), (start + (q("l_quantity") * 4).cast("bigint")).alias("end_byte"), ident.alias("node_ordinal"), (q("l_returnflag") == "A").alias("is_definition"), (q("l_returnflag") != "A").alias("is_reference"))
+    occ = o.select(F.floor(q("o_orderkey") / 256).alias("file"), F.concat(F.lit("n"), (q("o_orderkey") % 3).cast("string")).alias("text"), F.concat(F.lit("sym"), (q("o_orderkey") % 211).cast("string")).alias("symbol"), q("o_orderkey").alias("ordinal"), (q("o_custkey") % 150).alias("start_byte"), (q("o_custkey") % 150 + 3).alias("end_byte"), (q("o_orderstatus") == "F").alias("is_definition"))
     return nodes, occ
 
 
