@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fernweave.session import shared_folder
 
@@ -61,6 +62,30 @@ def recorded() -> Iterator[list[DataFrame]]:
         _records[:] = [r for r in _records if r is not made]
 
 
+#: A key of more rows than this, and than a ten-thousandth of all rows, is dealt to several tasks.
+_HOT_ROWS = 50_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = _HOT_ROWS) -> DataFrame:
+    """left joined with right on key, how being inner or left; right has few rows for each key.
+
+    Keys of very many rows in left are dealt to salts, and their rows of right copied to each. There are at most ten
+    thousand such keys, since each has more than a ten-thousandth of the rows, so their list is broadcast. left is read
+    twice, three times if there are any.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__c"))
+    largest, rows = counts.agg(F.max("__c"), F.sum("__c")).first()
+    if not rows or largest <= max(most, rows // 10_000):
+        return left.join(right, key, how)
+    bound = max(most, rows // 10_000)
+    hot = counts.where(F.col("__c") > bound).select(F.col(key).alias("__hot"), F.ceil(F.col("__c") / bound).alias("__salts")).collect()
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot, StructType([left.select(F.col(key).alias("__hot")).schema[0], StructField("__salts", LongType())])))
+    salted = lambda rows: rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
+    dealt = salted(left).withColumn("__salt", F.floor(F.rand(17) * F.col("__salts"))).drop("__hot", "__salts")
+    copied = salted(right).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1))).drop("__hot", "__salts")
+    return dealt.join(copied, [key, "__salt"], how).drop("__salt")
+
+
 def map_beside(rows: DataFrame, run, added: dict[str, str]) -> DataFrame:
     """rows with the columns `added` (name to type) that run makes, by mapInArrow.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernweave.llm.common import discard, stash
+from fernweave.llm.common import discard, salted_join, stash
 
 #: Honorifics by the gender that they tell, matched before capitalised names.
 HONORIFICS = {
@@ -79,8 +79,17 @@ ALL = "|".join(
         rf"(?<![\p{{L}}])(?=[MHSDPгΚκmIiJjFfNn])(?:(?:(?:{_TITLES})\.?|{_CUES}) {_ONE}(?: {_ONE}){{0,2}}|{_LABELS} {_ONE}(?: {_ONE}){{1,2}})",
     )
 )
-#: Texts without any of these hold no entity; one cheap look spares the rest.
-MAYBE = rf"[0-9@=:]|(?<![\p{{L}}])(?:(?:{_TITLES})[. ]|{_CUES})|[Bb]earer|-----BEGIN"
+#: What every match of a kind holds. Texts without any of it hold no entity; one cheap look spares the rest.
+NEEDS = {
+    **dict.fromkeys(("bearer", "hex", "iban", "ip", "phone", "ssn", "card"), "[0-9]"),
+    "email": "@",
+    "secret": "[=:]",
+    "token": _STARTS,
+    "ipv6": ":",
+    "pem": "-----BEGIN",
+    "name": rf"(?<![\p{{L}}])(?:(?:{_TITLES})[. ]|{_CUES}|{_LABELS})",
+}
+MAYBE = "|".join(dict.fromkeys(NEEDS.values()))
 _NAME = rf"^({_TITLES}|{_CUES}|{_LABELS})(\.? )(.*)$"
 
 
@@ -184,22 +193,36 @@ def _scramble(text: Column, digest: Column, hexadecimal: bool = False) -> Column
 _NAME_PARTS = "[^'’-]+|['’-]"
 
 
-def _new_name(token: Column, digest: Column, gender: str | None) -> Column:
+def _new_name(token: Column, digest: Column, gender: str | None, attempt: Column) -> Column:
+    """Each part of a name as syllables of its script, one more for each attempt; a name of single letters grows one too."""
+
     def of(script: str, d: Column) -> Column:
-        parts = [_pick(SYLLABLES[script], _draw(d, i)) for i in range(3)]
+        more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: _pick(SYLLABLES[script], _draw(d, i + 7))), "")).otherwise("")
+        parts = [*(_pick(SYLLABLES[script], _draw(d, i)) for i in range(3)), more]
         last = _pick(ENDINGS[script][gender], _draw(d, 5)) if gender else _pick(SYLLABLES[script], _draw(d, 5))
         return F.concat(*parts, last)
 
     def part(p: Column, i: Column) -> Column:
         d = F.sha2(F.concat(digest, i.cast("string")), 512)
         made = F.when(F.rlike(p, F.lit(r"\p{IsCyrillic}")), of("cyrillic", d)).when(F.rlike(p, F.lit(r"\p{IsGreek}")), of("greek", d)).otherwise(of("latin", d))
-        return F.when(F.length(p) < 2, p).otherwise(made)
+        return F.when((F.length(p) < 2) & ((attempt == 0) | ~F.rlike(p, F.lit(r"\p{L}"))), p).otherwise(made)
 
     return F.array_join(F.transform(F.regexp_extract_all(token, F.lit(_NAME_PARTS), F.lit(0)), part), "")
 
 
+def _more(alphabet: str, digest: Column, n: Column) -> Column:
+    """n characters drawn from a digest, none for n below 1."""
+    drawn = lambda i: _letter(alphabet, _draw(F.sha2(F.concat(digest, F.lit("more"), F.floor(i / 40).cast("string")), 512), i))
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), drawn), "")).otherwise("")
+
+
 def surrogates(known: DataFrame, key: str) -> DataFrame:
-    """known (entity, attempt) with s, the canonical surrogate as "kind:form". Another attempt draws another one."""
+    """known (entity, attempt) with s, the canonical surrogate as "kind:form". Another attempt draws another one.
+
+    Forms grow with the attempt, so that their number can't run out: addresses and credentials get two more characters for
+    each, names a syllable, numbers digits from the second; private IP addresses leave their network, then become IPv6.
+    Addresses of fewer than six letters and digits grow at once.
+    """
     rows = known.select(
         "entity",
         "attempt",
@@ -211,10 +234,14 @@ def surrogates(known: DataFrame, key: str) -> DataFrame:
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     kept = F.regexp_extract(domain, r"(?:^|\.)(example\.(?:com|org|net)|[^.]*)$", 1)
     free = F.substr(domain, F.lit(1), F.length(domain) - F.length(kept))
-    email = F.concat(_scramble(local, d), F.lit("@"), _scramble(free, F.sha2(F.concat(d, F.lit("@")), 512)), kept)
+    attempt = F.col("attempt")
+    short = F.greatest(F.lit(0), F.lit(6) - F.length(F.regexp_replace(F.concat(local, free), "[^a-z0-9]", "")))
+    email = F.concat(_scramble(local, d), _more(_LOWER, d, short + attempt * 2), F.lit("@"), _scramble(free, F.sha2(F.concat(d, F.lit("@")), 512)), kept)
     octets = [(F.pmod(_draw(d, i), F.lit(254)) + 1).cast("string") for i in (1, 2, 3)]
-    first = F.when(F.rlike(value, F.lit(r"^10\.")), "10").when(F.rlike(value, F.lit(r"^192\.168\.")), "192").otherwise((F.pmod(_draw(d, 0), F.lit(100)) + 11).cast("string"))
-    ip = F.concat_ws(".", first, F.when(F.rlike(value, F.lit(r"^192\.168\.")), "168").otherwise(octets[0]), *octets[1:])
+    private = F.when(F.rlike(value, F.lit(r"^192\.168\.")) & (attempt < 1), 2).when(F.rlike(value, F.lit(r"^(?:10|192\.168)\.")) & (attempt < 3), 1).otherwise(0)
+    first = F.when(private == 2, "192").when(private == 1, "10").otherwise((F.pmod(_draw(d, 0), F.lit(100)) + 11).cast("string"))
+    ipv4 = F.concat_ws(".", first, F.when(private == 2, "168").otherwise(octets[0]), *octets[1:])
+    ip = F.when(attempt < 6, ipv4).otherwise(F.concat_ws(":", F.lit("2001:db8"), *(F.substr(d, F.lit(1 + 4 * i), F.lit(4)) for i in range(6))))
     # A digit of 2 to 9 stays one, for area codes and exchanges don't start with 0 or 1.
     phone = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when((i == 0) | ~F.rlike(c, F.lit("[0-9]")), c).when(F.rlike(c, F.lit("[2-9]")), _letter("23456789", _draw(d, i))).otherwise(_letter("0123456789", _draw(d, i)))), "")
     body = F.concat(F.substr(value, F.lit(1), F.lit(1)), _scramble(F.substr(value, F.lit(2), F.length(value) - 2), d))
@@ -231,13 +258,23 @@ def surrogates(known: DataFrame, key: str) -> DataFrame:
     made = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", _scramble(value, d))
     made = made.when(kind == "iban", keep(2)).when(kind == "pem", pem).when(kind == "ipv6", ipv6)
     for gender in HONORIFICS:
-        made = made.when(kind == f"given_{gender}", _new_name(value, d, gender))
-    made = made.when(kind == "surname", _new_name(value, d, None)).otherwise(secret)
+        made = made.when(kind == f"given_{gender}", _new_name(value, d, gender, attempt))
+    made = made.when(kind == "surname", _new_name(value, d, None, attempt)).otherwise(secret)
+    later = F.greatest(F.lit(0), attempt - 1) * 2
+    grown = F.when(kind.isin("phone", "card", "ssn", "iban"), _more("0123456789", d, later)).when(kind == "ipv6", F.when(attempt > 1, F.concat(F.lit("%"), _more(_LOWER, d, later))))
+    grown = grown.when(kind.isin("secret", "pem"), _more(_HEX, d, attempt * 2))
+    made = F.concat(made, F.coalesce(grown, F.lit("")))
     return rows.select("entity", "attempt", F.concat(kind, F.lit(":"), made).alias("s"))
 
 
 def _into_digits(m: Column, s: Column) -> Column:
-    """The characters of s in the places of m's letters and digits."""
+    """The characters of s in the places of m's letters and digits; what s has more of follows an x."""
+    places = F.length(F.regexp_replace(m, "[^A-Za-z0-9]", ""))
+    rest = F.when(F.length(s) > places, F.concat(F.lit(" x"), F.substr(s, places + 1))).otherwise("")
+    return F.concat(_placed(m, s), rest)
+
+
+def _placed(m: Column, s: Column) -> Column:
     return F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(F.rlike(c, F.lit("[A-Za-z0-9]")), F.substr(s, F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^A-Za-z0-9]", "")), F.lit(1))).otherwise(c)), "")
 
 
@@ -256,7 +293,7 @@ def replacements(found: DataFrame, drawn: DataFrame) -> DataFrame:
     m, k = F.col("m"), F.col("kind")
     s = F.regexp_replace("s", "^[^:]*:", "")
     rank = F.when(F.startswith("entity", F.lit("surname:")), F.lit("0")).otherwise(F.substring_index("entity", ":", 1))
-    rows = found.join(drawn.select("entity", "s"), "entity").withColumn("plain", s).withColumn("form", F.when(k == "name", _like_case(F.col("token"), F.col("plain"))).otherwise(F.col("plain")))
+    rows = salted_join(found, drawn.select("entity", "s"), "entity").withColumn("plain", s).withColumn("form", F.when(k == "name", _like_case(F.col("token"), F.col("plain"))).otherwise(F.col("plain")))
     rows = rows.groupBy("row", "m", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "form"))).alias("forms"), F.collect_list(F.when(k == "name", F.struct(F.lower("token").alias("token"), rank.alias("rank"), F.col("plain").alias("s")))).alias("names"))
     rows = rows.select("row", "m", "kind", F.transform("forms", lambda x: x["form"]).alias("forms"), "names")
     form = F.get("forms", F.lit(0))
@@ -276,26 +313,26 @@ def find(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(MAYBE)), F.regexp_extract_all(text, F.lit(ALL), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def settle(found: DataFrame, key: str, rounds: int = 40) -> DataFrame:
+def settle(found: DataFrame, key: str) -> DataFrame:
     """entity, attempt, s for distinct entities: no two of a kind share a surrogate, and none is an entity itself.
 
     In each round all but the smallest entity behind a shared surrogate, and those whose surrogate is an entity, draw
-    again. rounds guards against a kind whose surrogates run out; it raises.
+    again from a larger space, so each round leaves a small share of the last one's. There is no limit of rounds.
     """
     known = stash(found.select("entity", F.lit(0).alias("attempt")), "entities")
-    for _ in range(rounds):
+    while True:
         drawn = stash(surrogates(known, key), "drawn")
         first = drawn.groupBy("s").agg(F.min("entity").alias("first"), F.count("*").alias("c"))
         clash = drawn.join(first.where(F.col("c") > 1), "s").where(F.col("entity") != F.col("first")).select("entity")
         taken = drawn.join(known.select(F.col("entity").alias("s")), "s", "left_semi").select("entity")
         again = stash(clash.union(taken).distinct(), "again")
         if again.isEmpty():
+            discard(known, again)
             return drawn
         moved = known.join(again.withColumn("hit", F.lit(1)), "entity", "left").select("entity", (F.col("attempt") + F.coalesce("hit", F.lit(0))).alias("attempt"))
         moved = stash(moved, "entities")
         discard(known, drawn, again)
         known = moved
-    raise RuntimeError("surrogates of a kind run out")
 
 
 def protect(documents: DataFrame, key: str, text_column: str = "text", count: str | None = None) -> DataFrame:
@@ -307,11 +344,12 @@ def protect(documents: DataFrame, key: str, text_column: str = "text", count: st
     surrogate in all documents and formats; distinct entities have distinct ones, which is checked over all documents
     and drawn again where it fails. Names keep gender, script, apostrophes and hyphens, and their given names and
     surnames are replaced wherever the same text has them as capitalised words; cards keep issuer digit and check
-    digit; all keep length, case and separators.
+    digit; all keep case and separators, and length but where a form is too small for its entities.
 
     A null text stays null, an empty one empty; texts without entities come out unchanged, byte for byte. Repeated rows
     and clashing names of other columns don't matter; an empty table gives an empty result. Texts are searched once;
-    only those that hold an entity are shuffled, by a 256-bit hash of the text, to meet their replacements.
+    only those that hold an entity are shuffled, by a 256-bit hash of the text, to meet their replacements; an entity or a
+    text that very many rows hold is dealt to several tasks.
     """
     names = documents.columns
     at = names.index(text_column)
@@ -329,7 +367,7 @@ def protect(documents: DataFrame, key: str, text_column: str = "text", count: st
     # A token that is a surname and a given name in one text is taken for the surname.
     first = F.filter("names", lambda x, i: (i == 0) | (F.get("names", i - 1)["token"] != x["token"]))
     per_row = per_row.select("row", "new", F.map_from_entries(F.transform(first, lambda x: F.struct(x["token"], x["s"]))).alias("names"))
-    some = some.join(per_row, "row", "left")
+    some = salted_join(some, per_row, "row", "left")
     pieces = F.split("text", ALL, -1)
     made = F.transform("m", lambda m: F.coalesce(F.try_element_at("new", m), m))
     some = some.select("all", "m", "new", "names", F.array_join(F.zip_with(pieces, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"))

@@ -78,8 +78,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret that surrogates are drawn with: spark.fernweave.pii.key; without it an example, good for tests only."""
-    return spark.conf.get("spark.fernweave.pii.key", "an example key")
+    """The secret that surrogates are drawn with, spark.fernweave.pii.key. Only a local session may do without: an example."""
+    key = spark.conf.get("spark.fernweave.pii.key", None)
+    if key is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.fernweave.pii.key: whoever knows the key of surrogates can try entities against them")
+    return key or "an example key"
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
