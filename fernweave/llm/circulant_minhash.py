@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,22 +14,24 @@ from pyspark.sql import functions as F
 
 from fernweave.llm import jaccard_join
 from fernweave.llm.common import discard, mix, stash, thrifty
-from fernweave.llm.jaccard_join import Hasher, _node, _sets, _utf8
+from fernweave.llm.jaccard_join import Hasher, _class_sizes, _node, _utf8
 
 
 @dataclass(frozen=True)
 class Settings:
     """Two sets link when 100 * |intersection| >= percent * |union|; sets are of k-word shingles.
 
-    A pair of similarity x shares a band with the probability 1 - (1 - x ** rows) ** bands: 0.9999999 at 0.8 for these.
+    A pair of similarity x shares a band with the probability 1 - (1 - x ** rows) ** bands: 0.999995 at 0.8 for these.
     """
 
     k: int = 2
     percent: int = 80
     bands: int = 40
-    rows: int = 5
+    rows: int = 6
     #: Places of the second permutation, as a power of two.
     bits: int = 20
+    #: Nodes of a bucket on each side of a comparison in one task.
+    share: int = 2_000
 
     @property
     def join(self) -> jaccard_join.Settings:
@@ -52,7 +55,7 @@ class Circulant:
     def signature(self, members: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             at = (mix(members + np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - self.s.bits)).astype(np.int64)
-        return np.minimum.reduce([self.shifted[at[i : i + 1024]].min(axis=0) for i in range(0, len(at), 1024)])
+        return np.minimum.reduce([self.shifted[at[i : i + 512]].min(axis=0) for i in range(0, len(at), 512)])
 
     def bands(self, members: np.ndarray) -> np.ndarray:
         """A 64-bit name for each band of the signature."""
@@ -77,18 +80,95 @@ def _keys(s: Settings):
 
 
 def _banded(s: Settings):
-    """(node, packed) to a row for each band: (block, node, place); place is the set's size."""
+    """(doc_id, text) to (doc_id, key, n, classes, packed, bands) for texts with words; the last three where a set is large enough to link with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, circulant, unpack = Hasher(), Circulant(s), zstandard.ZstdDecompressor().decompress
+        hasher, circulant, pack, least = Hasher(), Circulant(s), zstandard.ZstdCompressor(level=3).compress, s.join.least
+        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         for batch in batches:
-            names, sizes = [], []
-            for members in hasher.sets([unpack(x) for x in batch.column(1).to_pylist()], s.k):
-                names.append(circulant.bands(members))
-                sizes.append(len(members))
-            if names:
-                nodes = np.repeat(batch.column(0).to_numpy(), s.bands)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(nodes), pa.array(np.repeat(np.array(sizes, np.int64), s.bands))], ["block", "node", "place"])
+            texts, rows = _utf8(batch.column(1)), []
+            for text, members in zip(texts, hasher.sets(texts, s.k), strict=True):
+                some = len(members) >= least
+                rows.append((_node(members), len(members), _class_sizes(members) if some else None, pack(text) if some else None, circulant.bands(members).view(np.int64) if some else None))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "key", "n", "classes", "packed", "bands"]).filter(columns[0].is_valid())
+
+    return run
+
+
+def _open(blocks: DataFrame, label: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (h, node, place, label) of buckets, and for those with nodes of several labels (h, main, one, c, others): the
+    label of most, one node of it, and how many nodes the bucket has, of any label and of others.
+    """
+    named = jaccard_join._named(blocks, label)
+    labels = named.groupBy("h", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("h", "node", F.lit(turn)).alias("x"), "node", "place")).alias("one"))
+    split = labels.groupBy("h").agg(F.max_by(F.struct("label", "one", "c"), F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("labels")).where("labels > 1")
+    return named, split.select("h", F.col("top.label").alias("main"), F.col("top.one.node").alias("one"), F.col("top.one.place").alias("one_place"), "c", (F.col("c") - F.col("top.c")).alias("others"))
+
+
+def _pairs(s: Settings):
+    """Nodes of a bucket (h, x, other, label, main, node, n, classes, bands) to pairs that may link, of different labels.
+
+    x tells the rows that are compared with the rest. A pair comes from the first band that it shares, and passes the
+    length filter and the suffix filter: what the sizes of their hash classes differ by is not shared.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        h = table.column("h")[0].as_py()
+        column = lambda t, c: t.column(c).to_numpy(zero_copy_only=False)
+        matrix = lambda t: np.frombuffer(b"".join(t.column("classes").to_pylist()), np.uint8).reshape(len(t), -1).astype(np.int16)
+        bands = lambda t: t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        is_x = column(table, "x").astype(bool)
+        left, right = table.filter(pa.array(is_x)), table.filter(pa.array(~is_x))
+        out = ([], [], [])
+        if len(left) and len(right):
+            label, node, n, classes, names = column(right, "label"), column(right, "node"), column(right, "n"), matrix(right), bands(right)
+            in_main = label == column(right, "main")
+            for own_label, own, size, sizes, own_names in zip(column(left, "label"), column(left, "node"), column(left, "n"), matrix(left), bands(left), strict=True):
+                total = n + size
+                need = -(-s.percent * total // (100 + s.percent))
+                at = np.flatnonzero((label != own_label) & (in_main | (own < node)) & (np.minimum(n, size) >= need))
+                same = names[at] == own_names
+                first = same.argmax(axis=1) == np.flatnonzero(own_names == h)[0]
+                at, same = at[first], same[first]
+                close = np.abs(classes[at] - sizes).sum(axis=1) <= (total - 2 * need)[at]
+                at = at[close]
+                out[0].append(np.maximum(node[at], own))
+                out[1].append(np.minimum(node[at], own))
+                out[2].append(same[close].sum(axis=1))
+        hub, other, shared = (np.concatenate([np.zeros(0, np.int64), *x]) for x in out)
+        return pa.table({"hub": hub, "node": other, "shared": shared.astype(np.int64), "must": np.zeros(len(hub), bool)})
+
+    return run
+
+
+def _left_over(nodes: DataFrame, blocks: DataFrame, s: Settings):
+    """What connect() does between its first links and the pairs that are left."""
+    join = s.join
+
+    def run(label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # Nodes outside a bucket's main component meet one of it, another each time, for as long as a quarter of them links.
+        for turn in itertools.count():
+            named, split = _open(blocks, label, turn)
+            met = named.join(split, "h").where(F.col("label") != F.col("main")).select("node", "place", F.col("one").alias("hub"), "one_place").where(jaccard_join._may_link(join, "place", "one_place"))
+            near = jaccard_join._close(met.groupBy("hub", "node").agg(F.count("*").alias("shared"), F.lit(False).alias("must")), nodes, join)
+            best = stash(near.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("top")).select("node", F.col("top.hub").alias("hub")), "best")
+            links = jaccard_join.verify_pairs(nodes, best, join)
+            asked, found = best.count(), links.count()
+            if found:
+                label = jaccard_join.joined(label, links)
+            discard(best, links)
+            if 4 * found < asked or not found:
+                break
+        named, split = _open(blocks, label, 0)
+        salts = lambda c: 1 + F.floor(F.col(c) / s.share)
+        every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), salts(c) - 1))
+        of = lambda c: F.pmod(F.xxhash64("node"), salts(c))
+        rows = named.join(split.select("h", "main", "c", "others"), "h").join(nodes.select("node", "n", "classes", "bands"), "node")
+        columns = ["h", "label", "main", "node", "n", "classes", "bands"]
+        left = rows.where(F.col("label") != F.col("main")).select(*columns, F.lit(True).alias("x"), of("others").alias("i"), every("c").alias("j"))
+        right = rows.select(*columns, F.lit(False).alias("x"), of("c").alias("j"), every("others").alias("i"))
+        return label, stash(left.unionByName(right).groupBy("h", "i", "j").applyInArrow(_pairs(s), "hub bigint, node bigint, shared bigint, must boolean"), "cross")
 
     return run
 
@@ -99,7 +179,8 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
 
     Texts with equal sets are one node from the start. The others meet in the buckets of their bands. A node is first
     compared with the smallest of the bucket that it shares most with, which joins most copies at one comparison each;
-    then every pair that shares a bucket and is not connected yet is compared. All links are confirmed on the full sets of
+    those still outside a bucket's main component meet other nodes of it, as long as that joins many; then every pair that
+    shares a bucket, passes the filters and is not connected yet is compared. All links are confirmed on the full sets of
     64-bit hashes of whole texts; a pair is missed only if no band agrees.
 
     A null or empty text, or one without words, has an empty set: n_shingles 0, linked with nothing, its own component. A
@@ -110,15 +191,14 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
     rows = documents.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     docs = stash(rows.mapInArrow(thrifty(_keys(s)), f"doc_id {kind}, key binary, n bigint"), "keys")
-    sets = rows.mapInArrow(thrifty(_sets(join)), f"doc_id {kind}, key binary, n bigint, classes binary, packed binary")
-    nodes = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "classes", "packed")).alias("one"))
+    sets = rows.mapInArrow(thrifty(_banded(s)), f"doc_id {kind}, key binary, n bigint, classes binary, packed binary, bands array<bigint>")
+    nodes = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "classes", "packed", "bands")).alias("one"))
     nodes = stash(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "one.*"), "nodes")
-    postings = stash(nodes.where(F.col("packed").isNotNull()).select("node", "packed").mapInArrow(thrifty(_banded(s)), "block bigint, node bigint, place bigint"), "bands")
+    postings = nodes.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("block"), "node", F.col("n").alias("place"))
     # Heads are partial minima, so no bucket is gathered; of the join that follows Spark splits a large one.
     heads = postings.groupBy("block").agg(F.min(F.struct("place", "node")).alias("head"), F.count("*").alias("c")).where("c > 1")
     met = postings.join(heads, "block").select("block", F.lit(None).cast("bigint").alias("hot"), "node", "place", F.col("head.node").alias("head"), F.col("head.place").alias("head_place"))
     blocks = stash(met, "blocks")
-    discard(postings)
     pairs = blocks.select("node", "place", F.col("head").alias("hub"), "head_place", F.lit(False).alias("must")).where((F.col("node") != F.col("hub")) & jaccard_join._may_link(join, "place", "head_place"))
-    found = jaccard_join.connect(docs, nodes, blocks, pairs, join)
+    found = jaccard_join.connect(docs, nodes, blocks, pairs, join, _left_over(nodes, blocks, s))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -360,6 +360,13 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of those that components() gave and of further links; label is discarded."""
+    out = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b").unionByName(links.select("a", "b")))
+    discard(label)
+    return out
+
+
 def _named(blocks: DataFrame, label: DataFrame | None) -> DataFrame:
     """Rows (h, node, place, label) of blocks; without labels each node is its own."""
     rows = blocks.select(F.coalesce("hot", "block").alias("h"), "node", "place")
@@ -434,11 +441,12 @@ def link_documents(documents: DataFrame, settings: Settings = Settings(), id_col
     return connect(docs, nodes, blocks, met, s)
 
 
-def connect(docs: DataFrame, nodes: DataFrame, blocks: DataFrame, met: DataFrame, s: Settings) -> DataFrame:
+def connect(docs: DataFrame, nodes: DataFrame, blocks: DataFrame, met: DataFrame, s: Settings, left_over=None) -> DataFrame:
     """The components of docs (doc_id, key, n), as link_documents returns them; nodes and blocks are discarded.
 
     met: pairs (node, place, hub, head_place, must) to begin with, some hub of a block for each of its nodes; those that
-    must be compared are, of the others each node's likeliest. blocks (block, hot, node, place) then give all other pairs.
+    must be compared are, of the others each node's likeliest. blocks (block, hot, node, place) then give all other pairs;
+    left_over, if given, makes of the labels so far better ones and those pairs (hub, node, shared, must), as a stash.
     """
     near = _close(met.groupBy("hub", "node").agg(F.count("*").alias("shared"), F.max("must").alias("must")), nodes, s)
     # A node is compared with the head that it shares most blocks with.
@@ -448,7 +456,10 @@ def connect(docs: DataFrame, nodes: DataFrame, blocks: DataFrame, met: DataFrame
     label = components(links)
     discard(links)
 
-    cross = stash(_close(cross_pairs(_named(blocks, label), s), nodes, s).join(best.select("hub", "node"), ["hub", "node"], "left_anti"), "cross")
+    if left_over:
+        label, cross = left_over(label)
+    else:
+        cross = stash(_close(cross_pairs(_named(blocks, label), s), nodes, s).join(best.select("hub", "node"), ["hub", "node"], "left_anti"), "cross")
     discard(best)
     while True:
         of = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"{name}_l"))  # noqa: E731, B023
@@ -467,8 +478,7 @@ def connect(docs: DataFrame, nodes: DataFrame, blocks: DataFrame, met: DataFrame
             asked = stash(top.select(F.greatest("hub", "node").alias("hub"), F.least("hub", "node").alias("node")).distinct(), "asked")
         more = verify_pairs(nodes, asked.select("hub", "node"), s)
         if not more.isEmpty():
-            before, label = label, components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b").unionByName(more.select("a", "b")))
-            discard(before)
+            label = joined(label, more)
         discard(more)
         if asked is apart:
             discard(apart)

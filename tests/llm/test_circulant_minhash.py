@@ -11,11 +11,11 @@ from fernweave.llm.queries import QUERIES
 from test_search_operators import components, corpus, shingles
 
 
-@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 2, 80), (2, 5, 80), (5, 1, 80)])
-def test_components_equal_brute_force(spark, seed, k, percent):
+@pytest.mark.parametrize(("seed", "k", "percent", "share"), [(1, 2, 80, 2000), (2, 5, 80, 3), (5, 1, 80, 2000), (6, 2, 80, 2)])
+def test_components_equal_brute_force(spark, seed, k, percent, share):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("kept", F.lit("clash"))
-    got = cm.link_documents(docs, cm.Settings(k=k, percent=percent)).collect()
+    got = cm.link_documents(docs, cm.Settings(k=k, percent=percent, share=share)).collect()
     assert sorted((tuple(r)[:3] for r in got), key=str) == components(rows, k, percent)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
