@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernweave.functions import hashing, paths, symbols, text, vectors
 from fernweave.operators import callgraph, catalog, chunking, embedding, graph, index_plan, jobs, positions, search, snapshot, trees
 from fernweave.sources import files as scans
-from fernweave.streaming import incremental
+from fernweave.session import shared_folder
+from fernweave.streaming import branches, incremental
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -798,7 +801,66 @@ def running_cursor(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def events_incremental(spark, sf_dir):
-    return incremental.windowed_counts(table(spark, sf_dir, "events")).select(F.col("window.start").alias("hour"), "event_type", "n")
+    """The table comes in three parts, one after the other, with a seventh of the rows sent again, and in the last part rows
+    of the first one's time, which are too late by then. The stream starts again from its checkpoint for each part.
+    """
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    parts = _parts_in_time(e)
+    late = parts[0].select((-F.col("event_id") - 1).alias("event_id"), "ts", "event_type")
+    sent = [p.unionByName(p.where("event_id % 7 = 0")) for p in parts]
+    sent[2] = sent[2].unionByName(late)
+    end = e.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("interval 2 days")).alias("ts"), F.lit("end").alias("event_type"))
+    out = _streamed([*sent, end], e, incremental.counts_once)
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+def _parts_in_time(events: DataFrame) -> list[DataFrame]:
+    """Three parts of equal spans of time."""
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return [events] * 3
+    since = lambda c: F.unix_micros(c) - F.unix_micros(F.lit(first))
+    place = F.least(F.lit(2), F.floor(3 * since("ts") / F.greatest(F.lit(1), since(F.lit(last)))))
+    return [events.where(place == i) for i in range(3)]
+
+
+def _streamed(parts: list[DataFrame], like: DataFrame, plan) -> DataFrame:
+    """What plan makes of a stream that parts arrive in; after each the stream ends, and the next run goes on from its checkpoint."""
+    spark = like.sparkSession
+    home = f"{shared_folder(spark)}/fernweave/stream-{uuid.uuid4().hex}"
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{home}/in/part{i}")
+        stream = incremental.file_stream(spark, f"{home}/in/*", like.schema)
+        incremental.run_once(plan(stream), lambda b, n: b.write.mode("overwrite").parquet(f"{home}/out/batch={n}"), f"{home}/check")
+    return spark.read.parquet(f"{home}/out").drop("batch")
+
+
+@query("""WITH RECURSIVE e AS (
+    SELECT user_id AS b, event_id, ts, CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'request' WHEN 'signup' THEN 'commit' WHEN 'purchase' THEN 'finish' ELSE 'fail' END AS kind,
+           CASE WHEN event_type = 'signup' THEN 'c' || (event_id % 2) WHEN event_type IN ('view', 'click') AND event_id % 3 > 0 THEN 'c' || (event_id % 3 - 1) END AS commit,
+           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+  ), m(b, i, event_id, decision, status, indexed, head, wanted, job) AS (
+    SELECT DISTINCT b, 0::BIGINT, NULL::BIGINT, '', 'NEW', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT FROM e
+    UNION ALL
+    SELECT b, i, event_id, d, CASE d WHEN 'indexed' THEN 'INDEXED' WHEN 'failed' THEN 'FAILED' WHEN 'outdated' THEN 'OUTDATED' WHEN 'new_job' THEN 'INDEXING' WHEN 'reindex' THEN 'INDEXING' WHEN 'reuse_job' THEN 'INDEXING' ELSE status END,
+           CASE d WHEN 'indexed' THEN wanted ELSE indexed END, CASE kind WHEN 'commit' THEN commit ELSE head END,
+           CASE WHEN d IN ('new_job', 'reindex', 'reuse_job') THEN coalesce(commit, head) ELSE wanted END, job + (d IN ('new_job', 'reindex'))::BIGINT
+    FROM (SELECT m.* EXCLUDE (i, event_id), e.i, e.event_id, kind, commit, CASE
+            WHEN kind = 'request' AND (status = 'INDEXING' OR status = 'INDEXED' AND (commit IS NULL OR commit IS NOT DISTINCT FROM indexed)) THEN 'reject'
+            WHEN kind = 'request' THEN CASE status WHEN 'INDEXED' THEN 'reindex' WHEN 'FAILED' THEN 'reuse_job' ELSE 'new_job' END
+            WHEN kind = 'commit' THEN CASE WHEN status = 'INDEXED' AND commit IS DISTINCT FROM indexed THEN 'outdated' ELSE 'noted' END
+            WHEN status = 'INDEXING' THEN CASE kind WHEN 'finish' THEN 'indexed' ELSE 'failed' END ELSE 'ignored' END AS d
+          FROM m JOIN e ON e.b = m.b AND e.i = m.i + 1))
+  SELECT b AS branch_id, event_id, decision, status, job, wanted AS commit FROM m WHERE i > 0""")
+def branch_decisions(spark, sf_dir):
+    """Each user's events as a branch's, in three runs of one stream; state and watermark carry over."""
+    e, kind = table(spark, sf_dir, "events"), F.col("event_type")
+    named = F.when(kind.isin("view", "click"), "request").when(kind == "signup", "commit").when(kind == "purchase", "finish").otherwise("fail")
+    commit = F.when(kind == "signup", F.concat(F.lit("c"), F.col("event_id") % 2)).when(kind.isin("view", "click") & (F.col("event_id") % 3 > 0), F.concat(F.lit("c"), F.col("event_id") % 3 - 1))
+    e = e.select("event_id", F.col("user_id").alias("branch_id"), F.col("ts").cast("timestamp").alias("ts"), named.alias("kind"), commit.alias("commit"))
+    sent = [p.unionByName(p.where("event_id % 5 = 0")) for p in _parts_in_time(e)]
+    out = _streamed(sent, e, lambda s: branches.decisions(s, timeout="4000 days"))
+    return out.select("branch_id", "event_id", "decision", "status", "job", "commit")
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 20 WHEN 'click' THEN 100 END AS progress, CASE WHEN event_type = 'view' AND user_id % 2 = 0 THEN 'OUTDATED' WHEN event_type = 'view' THEN 'INDEXED' ELSE 'FAILED' END AS status FROM events")

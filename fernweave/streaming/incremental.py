@@ -27,31 +27,54 @@ def run_once(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkp
     return query
 
 
+def once(events: DataFrame, key: str = "event_id", time: str = "ts", late: str = "1 hour") -> DataFrame:
+    """events without those that were sent again while the watermark still holds the first one, and without later ones."""
+    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+
+def counts_once(events: DataFrame, key: str = "event_id", by: str = "event_type", time: str = "ts", window: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """windowed_counts() of events that may be sent again: each counts once, and not at all once its time is past."""
+    return once(events, key, time, late).groupBy(F.window(time, window), by).agg(F.count("*").alias("n"))
+
+
 def snapshot_handler(state: str, out: str) -> Callable[[DataFrame, int], None]:
     """A handler of snapshots (snapshot, n_files, relative_path, content_hash) that may come in any number of batches.
 
-    Rows are kept below state. A snapshot is whole when n_files of its rows are there; in order of their ids, each whole
-    one is compared with the one before and its changes written to its own folder below out, so a repeated batch
-    overwrites itself. An unfinished snapshot holds back those after it.
+    A snapshot is whole when n_files of its rows are there; in order of their ids, each whole one is compared with the one
+    before and its changes written to its own folder below out. Kept below state are the rows of the last whole one and of
+    those that are not whole yet, no others. An unfinished snapshot holds back those after it. A batch that comes again
+    changes nothing; one with a new row of an id before the last whole one raises.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        system = path(state).getFileSystem(spark._jsc.hadoopConfiguration())
+        listed = lambda pattern: [str(f.getPath().toString()) for f in system.globStatus(path(f"{state}/{pattern}")) or []]
+        # The name says up to which snapshot all is compared, and which batch came to that.
+        done = [tuple(map(int, p.rpartition("whole=")[2].split("-"))) for p in listed("whole=*") if system.exists(path(f"{p}/_SUCCESS"))]
+        last, by = max(done, default=(None, None))
+        if last is not None:
+            if by < number and not batch.where(F.col("snapshot") <= last).isEmpty():
+                raise ValueError(f"a row of a snapshot that is whole or older than {last}")
+            batch = batch.where(F.col("snapshot") > last)
         batch.write.partitionBy("snapshot").mode("overwrite").parquet(f"{state}/batch={number}")
-        rows = spark.read.option("basePath", state).parquet(f"{state}/batch=*")
-        # One row for each snapshot.
-        known = sorted(rows.groupBy("snapshot").agg(F.max("n_files").alias("n_files"), F.count("*").alias("n")).collect())
-        touched = {r["snapshot"] for r in batch.select("snapshot").distinct().collect()}
-        before, changed = None, False
-        for snapshot_id, n_files, n in known:
+        parts = listed("batch=*/snapshot=*")
+        if not parts:
+            return
+        of = lambda s: spark.read.schema(batch.schema).option("basePath", state).parquet(*[p for p in parts if p.endswith(f"/snapshot={s}")])
+        # Few are unfinished at a time; each is counted from its own rows.
+        for snapshot_id in sorted({int(p.rpartition("=")[2]) for p in parts}):
+            rows = of(snapshot_id)
+            n_files, n = rows.agg(F.max("n_files"), F.count("*")).first()
             if n < n_files:
                 return
-            changed = changed or snapshot_id in touched
-            if changed:
-                of = lambda s: rows.where(F.col("snapshot") == s).select("relative_path", "content_hash")
-                current = of(snapshot_id)
-                previous = current.limit(0) if before is None else of(before)
-                snapshot.diff(previous, current).write.mode("overwrite").parquet(f"{out}/snapshot={snapshot_id}")
-            before = snapshot_id
+            current = rows.select("relative_path", "content_hash")
+            previous = current.limit(0) if last is None else spark.read.parquet(f"{state}/whole={last}-{by}")
+            snapshot.diff(previous, current).write.mode("overwrite").parquet(f"{out}/snapshot={snapshot_id}")
+            current.write.mode("overwrite").parquet(f"{state}/whole={snapshot_id}-{number}")
+            for old in [f"{state}/whole={last}-{by}", *(p for p in parts if p.endswith(f"/snapshot={snapshot_id}"))]:
+                system.delete(path(old), True)
+            last, by = snapshot_id, number
 
     return handle
