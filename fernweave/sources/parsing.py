@@ -52,11 +52,16 @@ def node_id(path: str, kind: str, start: int, end: int, ordinal: int) -> str:
 
 
 def parse(language: str, source: bytes) -> tuple[list[dict], list[tuple[str, str, int, int]]]:
-    """A parser's nodes and problems. A file that is nested deeper than the parser can follow is one problem, without nodes."""
+    """A parser's nodes and problems. A file that is nested deeper than the parser can follow, or at which the parser fails,
+    is one problem without nodes: it takes no other file with it.
+    """
+    parser = parser_of(language)
     try:
-        return parser_of(language)(source)
+        return parser(source)
     except (RecursionError, MemoryError):
         return [], [("too_deep", "nested too deeply", 0, len(source))]
+    except Exception as error:
+        return [], [("parser_error", f"{type(error).__name__}: {error}", 0, len(source))]
 
 
 def rows_of(path: str, language: str, source: bytes) -> list[dict]:
@@ -97,7 +102,7 @@ def diagnostics(files: DataFrame) -> DataFrame:
                 for kind, message, start, end in sorted(parse(f.language, source)[1], key=lambda p: (p[2], p[3], p[0])):
                     part = source[start : min(end, start + 120)] if end > start else source[max(0, start - 40) : start + 40]
                     shown = part.decode("utf-8", "replace").replace("\r", "\\r").replace("\n", "\\n")
-                    out.append((f.file_path, kind, "error", message, "ERROR", start, end, shown or None))
+                    out.append((f.file_path, kind, "error", message, "MISSING" if kind == "missing_node" else "ERROR", start, end, shown or None))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DIAGNOSTICS.split(", ")])
 
     return rows.mapInPandas(run, DIAGNOSTICS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from fernweave.sources import parsing
 
@@ -120,24 +121,69 @@ def _own(node: ast.AST):
             yield from _own(child)
 
 
+#: Problems of a file that are told one by one; what follows the last of so many is one more.
+_PROBLEMS = 100
+_GOES_ON = re.compile(rb"[ \t\r)\]}#]|(?:else|elif|except|finally)\b|$")
+
+
+def _without(lines: list[bytes], first: int, last: int) -> list[bytes]:
+    return [*lines[:first], *(b" " * len(x) for x in lines[first:last]), *lines[last:]]
+
+
+def _statement(lines: list[bytes], line: int) -> tuple[int, int]:
+    """The lines of the top-level statement around a line."""
+    first = next((i for i in range(line, -1, -1) if not _GOES_ON.match(lines[i])), 0)
+    last = next((i for i in range(line + 1, len(lines)) if not _GOES_ON.match(lines[i])), len(lines))
+    return first, last
+
+
+def recovered(text: bytes) -> tuple[ast.Module, list[tuple[str, str, int, int]]]:
+    """The tree of text without what does not parse, and the problems. Places stay: what is taken out becomes blanks.
+
+    A line at which parsing fails becomes `pass`, or a bare block's head, if then other lines are all right, so the rest of
+    its block stays; else its whole top-level statement goes.
+    """
+    lines, problems = text.split(b"\n"), []
+    starts = [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x) + 1)
+
+    def failure(of: list[bytes]) -> tuple[int, str] | None:
+        try:
+            ast.parse(b"\n".join(of))
+        except (SyntaxError, ValueError) as error:
+            return min(max(1, getattr(error, "lineno", None) or 1), len(lines)) - 1, str(getattr(error, "msg", error))
+        return None
+
+    while (failed := failure(lines)) is not None:
+        line, message = failed
+        own = lines[line]
+        indent = len(own) - len(own.lstrip())
+        first, last = line, line + 1
+        for plain in (b"if 1:", b"pass") if own.rstrip().endswith(b":") else (b"pass",):
+            tried = [*lines[:line], (b" " * indent + plain).ljust(len(own)), *lines[line + 1 :]]
+            if len(problems) < _PROBLEMS and own.strip() and len(own) == len(tried[line]) and own != tried[line]:
+                after = failure(tried)
+                # A line that only now fails, right below, is one that the change has broken.
+                if after is None or after[0] not in (line, line + 1):
+                    lines = tried
+                    break
+        else:
+            first, last = _statement(lines, line) if len(problems) < _PROBLEMS else (line, len(lines))
+            if not b"".join(lines[first:last]).strip():
+                # Nothing is left around the line: what is wrong is before it.
+                first, last = 0, len(lines)
+            lines = _without(lines, first, last)
+            while last > first + 1 and not text[starts[last - 1] : starts[last]].strip():
+                last -= 1
+        problems.append(("syntax_error", message, starts[first], min(len(text), starts[last] - 1)))
+    problems.sort(key=lambda p: p[2:])
+    return ast.parse(b"\n".join(lines)), problems
+
+
 def parse(source: bytes):
-    """The longest run of whole lines from the start that parses gives the nodes; what is after it is a problem."""
-    text = source.replace(b"\0", b" ")
-    problems = []
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError) as error:
-        line = max(1, getattr(error, "lineno", None) or 1)
-        lines = text.split(b"\n")
-        start = sum(len(x) + 1 for x in lines[: line - 1])
-        problems.append(("syntax_error", str(getattr(error, "msg", error)), min(start, len(source)), min(len(source), start + len(lines[min(line, len(lines)) - 1]))))
-        tree = ast.parse(b"")
-        for keep in range(line - 1, 0, -1):
-            try:
-                tree = ast.parse(b"\n".join(lines[:keep]) + b"\n")
-                break
-            except (SyntaxError, ValueError):
-                continue
+    """The nodes of what parses, and the problems of what does not."""
+    tree, problems = recovered(source.replace(b"\0", b" "))
     walk = _Walk(source)
     for child in tree.body:
         walk.visit(child, None, False)

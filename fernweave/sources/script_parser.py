@@ -56,15 +56,28 @@ class _Scanner:
             if v in _PAIRS:
                 stack.append(i)
             elif v in _PAIRS.values():
-                if stack and _PAIRS[self.value[stack[-1]]] == v:
-                    match[stack.pop()] = i
-                else:
+                # A closer ends what it fits; brackets that are still open inside are missing theirs, and lose no more than that.
+                at = next((k for k in range(len(stack) - 1, -1, -1) if _PAIRS[self.value[stack[k]]] == v), None)
+                if at is None:
                     self.problems.append(("syntax_error", f"unmatched {v.decode()}", self.start[i], self.end[i]))
+                    continue
+                for k in reversed(stack[at + 1 :]):
+                    self.missing(k, self.start[i])
+                    match[k] = i - 1 if i - 1 > k else i
+                match[stack[at]] = i
+                del stack[at:]
         for i in stack:
-            self.problems.append(("missing_node", f"{self.value[i].decode()} is not closed", len(self.source), len(self.source)))
+            self.missing(i, len(self.source))
             match[i] = len(self.value) - 1
         return match
 
+    def missing(self, i: int, at: int) -> None:
+        self.problems.append(("missing_node", f"{self.value[i].decode()} is not closed", at, at))
+
+    def past(self, i: int, end: int) -> int:
+        """The partner of the bracket at i; without one, the last token of the span."""
+        return self.match.get(i, max(i, min(end, len(self.value)) - 1))
+
     def word(self, i: int) -> str | None:
         return self.value[i].decode("utf-8", "replace") if i < len(self.value) and self.kind[i] == "word" else None
 
@@ -125,7 +138,7 @@ class _Scanner:
 
     def parameters(self, i: int, parent: int) -> list[dict]:
         out = []
-        for a, b in self.comma_list(i + 1, self.match[i]):
+        for a, b in self.comma_list(i + 1, self.match.get(i, i)):
             modifiers = []
             while self.word(a) in _MODIFIERS and a + 1 < b and self.kind[a + 1] == "word":
                 modifiers.append(self.word(a))
@@ -183,19 +196,20 @@ class _Scanner:
             while self.op(j, "."):
                 j += 2
             if self.op(j, "("):
-                j = self.match[j] + 1
-            out.append(self.text(i, j))
+                j = self.past(j, len(self.value)) + 1
+            out.append(self.text(i, min(j, len(self.value))))
             i = j
         return i, out
 
     def block(self, i: int, end: int, parent: int | None) -> None:
+        end = min(end, len(self.value))
         while i < end:
             i = max(i + 1, self.statement(i, end, parent))
 
     def statement(self, i: int, end: int, parent: int | None) -> int:
         first, doc = i, self.doc[i]
         i, decorators = self.decorators(i)
-        exported = self.word(i) == "export"
+        exported = i < end and self.word(i) == "export"
         if exported:
             i += 1 + (self.word(i + 1) == "default")
             i, more = self.decorators(i)
@@ -204,7 +218,7 @@ class _Scanner:
             if self.op(i, "{") or self.op(i, "*"):
                 stop = self.until(i, (";",), end) if self.op(i, "*") else self.match.get(i, i) + 1
                 source = next((self.value[k].decode().strip("\"'`") for k in range(i, min(end, stop + 2)) if self.kind[k] == "string"), None)
-                names = [self.word(a) for a, b in self.comma_list(i + 1, self.match[i])] if self.op(i, "{") else ["*"]
+                names = [self.word(a) for a, b in self.comma_list(i + 1, self.past(i, end))] if self.op(i, "{") else ["*"]
                 stop = min(end, stop + 2 * (source is not None and self.op(i, "{")))
                 self.add(first, stop, parent, "import" if source else "export", module_path=source, imported_names=names if source else None, metadata=None if source else {"exported_names": ",".join(n or "" for n in names)})
                 return stop
@@ -233,14 +247,14 @@ class _Scanner:
         if w == "import" and not self.op(i + 1, "(") and not self.op(i + 1, "."):
             return self.imports(first, i, end, parent)
         if w in ("namespace", "module") and self.op(i + 2, "{"):
-            self.block(i + 3, self.match[i + 2], parent)
-            return self.match[i + 2] + 1
+            self.block(i + 3, self.past(i + 2, end), parent)
+            return self.past(i + 2, end) + 1
         if self.op(i, "{"):
-            self.block(i + 1, self.match[i], parent)
-            return self.match[i] + 1
+            self.block(i + 1, self.past(i, end), parent)
+            return self.past(i, end) + 1
         if w in ("if", "for", "while", "switch", "catch", "with") and self.op(i + 1, "("):
-            self.expressions(i + 2, self.match[i + 1], parent)
-            return self.match[i + 1] + 1
+            self.expressions(i + 2, self.past(i + 1, end), parent)
+            return self.past(i + 1, end) + 1
         if w in ("else", "try", "do", "finally", "return", "throw", "await", "case", "default", "yield"):
             return i + 1
         stop = max(i + 1, self.statement_end(i, end))
@@ -258,7 +272,7 @@ class _Scanner:
                 names.append("*")
                 alias["*"] = self.word(b + 2)
             if self.op(b, "{"):
-                for a, z in self.comma_list(b + 1, self.match[b]):
+                for a, z in self.comma_list(b + 1, self.past(b, stop)):
                     a += self.word(a) == "type" and z - a > 1
                     names.append(self.word(a))
                     if self.word(a + 1) == "as":
@@ -318,7 +332,7 @@ class _Scanner:
 
     def single_arrow(self, first: int, at: int, end: int, parent, name: str, flags: set, more: dict) -> int:
         body = at + 2
-        stop = self.match[body] + 1 if self.op(body, "{") else self.statement_end(body, end)
+        stop = self.past(body, end) + 1 if self.op(body, "{") else self.statement_end(body, end)
         me = self.add(first, stop, parent, "function", kind="function", name=name, is_async="async" in flags, is_generator=False, params=[{"name": self.word(at), "type": None, "value": None}], **more)
         self.add(at, at + 1, me, "variable", kind="parameter", name=self.word(at))
         self.block(body + 1, stop - 1, me) if self.op(body, "{") else self.expressions(body, stop, me)
