@@ -30,6 +30,8 @@ class Settings:
     rows: int = 6
     #: Places of the second permutation, as a power of two.
     bits: int = 20
+    #: Hash classes whose sizes are kept for each set: the more, the more of the pairs below the bound the suffix filter tells.
+    classes: int = 256
     #: Nodes of a bucket on each side of a comparison in one task.
     share: int = 2_000
 
@@ -89,7 +91,7 @@ def _banded(s: Settings):
             texts, rows = _utf8(batch.column(1)), []
             for text, members in zip(texts, hasher.sets(texts, s.k), strict=True):
                 some = len(members) >= least
-                rows.append((_node(members), len(members), _class_sizes(members) if some else None, pack(text) if some else None, circulant.bands(members).view(np.int64) if some else None))
+                rows.append((_node(members), len(members), _class_sizes(members, s.classes) if some else None, pack(text) if some else None, circulant.bands(members).view(np.int64) if some else None))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "key", "n", "classes", "packed", "bands"]).filter(columns[0].is_valid())
 
@@ -147,7 +149,7 @@ def _left_over(nodes: DataFrame, blocks: DataFrame, s: Settings):
     join = s.join
 
     def run(label: DataFrame) -> tuple[DataFrame, DataFrame]:
-        # Nodes outside a bucket's main component meet one of it, another each time, for as long as a quarter of them links.
+        # Nodes outside a bucket's main component meet one of it, another each time, for as long as an eighth of them links.
         for turn in itertools.count():
             named, split = _open(blocks, label, turn)
             met = named.join(split, "h").where(F.col("label") != F.col("main")).select("node", "place", F.col("one").alias("hub"), "one_place").where(jaccard_join._may_link(join, "place", "one_place"))
@@ -158,7 +160,7 @@ def _left_over(nodes: DataFrame, blocks: DataFrame, s: Settings):
             if found:
                 label = jaccard_join.joined(label, links)
             discard(best, links)
-            if 4 * found < asked or not found:
+            if 8 * found < asked or not found:
                 break
         named, split = _open(blocks, label, 0)
         salts = lambda c: 1 + F.floor(F.col(c) / s.share)

@@ -102,8 +102,8 @@ _SKETCH_SLICE = 1 << 14
 _CLASSES = 64
 
 
-def _class_sizes(shingles: np.ndarray) -> bytes:
-    return np.minimum(255, np.bincount((shingles & np.uint64(_CLASSES - 1)).astype(np.int64), minlength=_CLASSES)).astype(np.uint8).tobytes()
+def _class_sizes(shingles: np.ndarray, classes: int = _CLASSES) -> bytes:
+    return np.minimum(255, np.bincount((shingles & np.uint64(classes - 1)).astype(np.int64), minlength=classes)).astype(np.uint8).tobytes()
 
 
 def _profile(s: Settings):
@@ -222,7 +222,9 @@ def _suffix_filter(s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, _CLASSES).astype(np.int16) for i in (5, 7)]
+            if not batch.num_rows:
+                continue
+            sizes = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for i in (5, 7)]
             total = batch.column(4).to_numpy() + batch.column(6).to_numpy()
             need = -(-s.percent * total // (100 + s.percent))
             near = np.abs(sizes[0] - sizes[1]).sum(axis=1) <= total - 2 * need
