@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.functions import hashing, paths
+from fernweave.sources.repository import read_repository
 
 #: Directories that a scan never enters, at any depth.
 PRUNED = (
@@ -47,20 +45,9 @@ def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
 def read_mounted(spark: SparkSession, root: str) -> DataFrame:
     """read_tree() of a folder that the driver and all executors have mounted, all names included; links are not followed.
 
-    The driver lists names only; contents are read where they are used.
+    The data source of repositories lists folders in its parts; nothing is listed whole.
     """
-    found = [(os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/"),) for folder, _, names in os.walk(root) for name in names if not os.path.islink(os.path.join(folder, name))]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                path = batch.column(0)[at].as_py()
-                with open(os.path.join(root, path), "rb") as f:
-                    content = f.read()
-                yield pa.RecordBatch.from_pydict({"relative_path": [path], "size_bytes": [len(content)], "content": [content]})
-
-    listed = spark.createDataFrame(found, "relative_path string").repartition(max(1, len(found) // 1_000), "relative_path")
-    return listed.mapInArrow(read, "relative_path string, size_bytes bigint, content binary")
+    return read_repository(spark, root, whole="false").select("relative_path", "size_bytes", "content")
 
 
 def is_binary(content: Column, probe: int) -> Column:
