@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernweave.functions.measures import Measure, furthest, measure_of
 from fernweave.functions.text import decode, word_size
 from fernweave.schemas import CHUNKS
 
@@ -27,14 +28,13 @@ class ChunkOptions:
     unit: str = "byte"
     merge: bool = True
 
+    #: A registered measure; what it is goes along to the workers.
+    measure: Measure = field(init=False, repr=False, compare=False)
+
     def __post_init__(self):
         if self.max_size <= 0:
             raise ValueError("max_size must be greater than zero")
-        if self.unit not in ("byte", "word"):
-            raise ValueError("unit is byte or word")
-
-    def measure(self, part: bytes) -> int:
-        return len(part) if self.unit == "byte" else len(_WORDS.findall(part.decode("utf-8", "replace")))
+        object.__setattr__(self, "measure", measure_of(self.unit))
 
 
 @dataclass
@@ -69,7 +69,7 @@ class _Limits:
     """How far a span from any place may reach."""
 
     def __init__(self, source: bytes, start: int, end: int, options: ChunkOptions):
-        self.end, self.options = end, options
+        self.source, self.end, self.options = source, end, options
         self.starts: list[int] = []
         if options.unit == "word":
             # Where each word starts, in bytes: text before a word that is one too many still fits.
@@ -83,6 +83,9 @@ class _Limits:
     def furthest(self, at: int) -> int:
         if self.options.unit == "byte":
             return min(self.end, at + self.options.max_size)
+        if self.options.unit != "word":
+            # One character at least, even if it alone is over the limit.
+            return max(at + 1, furthest(self.options.measure, self.source, at, self.end, self.options.max_size))
         # A cut inside a word leaves its rest as a word of its own, which starts where the cut is.
         later = bisect_right(self.starts, at)
         inside = self.options.max_size if later < 1 or self.starts[later - 1] != at else self.options.max_size - 1
@@ -230,6 +233,44 @@ def chunk_batch(changes: DataFrame, files: DataFrame, nodes: DataFrame | None =
     return {"chunks": chunk_files(own, nodes, options), "unchanged": paths_of("unchanged"), "deleted": paths_of("deleted"), "current": current}
 
 
+def _measured(unit: str):
+    """Sizes by a registered measure, a batch of texts at a time."""
+    measure = measure_of(unit)
+
+    @F.pandas_udf("bigint")
+    def size(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: measure(t.encode()), na_action="ignore")
+
+    return size
+
+
+def chunk_parsed(files: DataFrame, results: DataFrame, nodes: DataFrame, options: ChunkOptions = ChunkOptions(), verify: bool = True) -> DataFrame:
+    """Chunks of files (file_path, content, language, parser_name) that were parsed (results: file_path, source_size_bytes;
+    nodes with a container as root of each).
+
+    A file whose content is not as long as its result says, or that has no root that holds all of it, raises; with verify
+    also one whose chunks do not cover every byte once.
+    """
+    roots = nodes.where("depth = 0 and node_type = 'container'").groupBy("file_path").agg(F.max(F.struct("end_byte", "start_byte")).alias("root"))
+    known = files.join(results.select("file_path", F.col("source_size_bytes").alias("__said"), F.lit(True).alias("__parsed")), "file_path", "left").join(roots, "file_path", "left")
+    length = F.octet_length("content").cast("bigint")
+    problem = (
+        F.when(F.col("__parsed").isNull() | F.col("content").isNull(), "not parsed: ")
+        .when(~length.eqNullSafe(F.col("__said")), "content and parse result differ in length: ")
+        .when(F.col("root").isNull(), "no root container: ")
+        .when((F.col("root.start_byte") != 0) | (F.col("root.end_byte") != length), "the root does not hold the whole file: ")
+    )
+    checked = known.withColumn("content", F.when(problem.isNull(), F.col("content")).otherwise(F.raise_error(F.concat(problem, "file_path")).cast("binary"))).drop("__said", "__parsed", "root")
+    chunks = chunk_files(checked, nodes, options)
+    if not verify:
+        return chunks
+    exact = coverage(chunks, checked, options.max_size, options.unit).select("file_path", "is_exact", "issues")
+    inexact = F.raise_error(F.concat(F.lit("inexact coverage of "), "file_path", F.lit(": "), F.array_join("issues", ", "))).cast("string")
+    # A character that alone is over the limit is no gap: only what is missing, doubled or wrong counts.
+    wrong = F.size(F.array_except("issues", F.array(F.lit("exceeds max"), F.lit("content mismatch")))) > 0
+    return chunks.join(exact, "file_path").withColumn("content", F.when(wrong, inexact).otherwise(F.col("content"))).select(*chunks.columns)
+
+
 def coverage(chunks: DataFrame, files: DataFrame, max_size: int, unit: str = "byte") -> DataFrame:
     """file_path, total, covered, missing and overlap bytes, issues and is_exact, by windows over each file's chunks."""
     order = Window.partitionBy("file_path").orderBy("chunk_index")
@@ -238,7 +279,7 @@ def coverage(chunks: DataFrame, files: DataFrame, max_size: int, unit: str = "by
     cursor = F.coalesce(F.max("end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     c = c.withColumn("cursor", F.least(cursor, F.col("total_bytes"))).withColumn("expected", F.row_number().over(order) - 1).withColumn("before", F.lag("start_byte").over(order))
     own = decode(F.substr("source", (F.col("start_byte") + 1).cast("int"), F.greatest(F.col("end_byte") - F.col("start_byte"), F.lit(0)).cast("int")))
-    size = F.octet_length("content").cast("bigint") if unit == "byte" else word_size(F.col("content")).cast("bigint")
+    size = F.octet_length("content").cast("bigint") if unit == "byte" else word_size(F.col("content")).cast("bigint") if unit == "word" else _measured(unit)("content")
     valid = (F.col("start_byte") >= 0) & (F.col("end_byte") > F.col("start_byte")) & (F.col("end_byte") <= F.col("total_bytes"))
     gap = F.greatest(F.col("start_byte") - F.col("cursor"), F.lit(0))
     overlap = F.greatest(F.least("cursor", "end_byte") - F.col("start_byte"), F.lit(0))
