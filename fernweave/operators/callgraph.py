@@ -58,8 +58,8 @@ def contained(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
     """What one look at each name of each file tells: rows (file, text, use, ordinal, symbol, defines, node).
 
     Where use is false: an occurrence and the node around it, definitions first, then the smallest. Where it is true: a
-    reference node and the first occurrence inside it that does not define. A file is bounded by the scan; the nodes of
-    one name in it and its occurrences are two ordered sets, and each asks the other: n log(n)^2 instead of every pair.
+    reference node and the first occurrence inside it that does not define. A file is bounded by the scan; its nodes and
+    its occurrences are two ordered sets, and each asks the other: n log(n)^2 instead of every pair.
     """
     n, o = _nodes(nodes), _occurrences(occurrences)
     file, node, ordinal = n.schema["file"].dataType.simpleString(), n.schema["node"].dataType.simpleString(), occurrences.schema["ordinal"].dataType.simpleString()
@@ -73,27 +73,32 @@ def contained(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
         seen = seen.take(pa.array(np.argsort(column(seen, "ord"), kind="stable")))
         start, end, refers = column(own, "start"), column(own, "end"), flag(own, "is_reference")
         left, right, defines = column(seen, "start"), column(seen, "end"), flag(seen, "defines")
-        around = least_dominating(start, end, np.arange(len(start)), left, right)
+        # Only what has one name meets: with the name's number in front of both places, no other dominates.
+        number = pa.concat_arrays([c.combine_chunks() for c in (own.column("text"), seen.column("text"))]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        spread = 1 + 2 * max((int(np.abs(x).max()) for x in (start, end, left, right) if len(x)), default=0)
+        of_own, of_seen = number[: len(start)] * spread, number[len(start) :] * spread
+        around = least_dominating(of_own + start, of_own + end, np.arange(len(start)), of_seen + left, of_seen + right)
         # A use inside a node is a point that dominates it in the other direction.
         using = np.flatnonzero(~defines)
-        first = least_dominating(-left[using], -right[using], np.arange(len(using)), -start, -end)
+        first = least_dominating(-(of_seen + left)[using], -(of_seen + right)[using], np.arange(len(using)), -(of_own + start), -(of_own + end))
         first = np.where(first >= 0, using[first] if len(using) else -1, -1)
         hit, used = np.flatnonzero(around >= 0), np.flatnonzero((first >= 0) & refers)
-        symbols, ids = seen.column("symbol").combine_chunks(), own.column("node").combine_chunks()
         k, m = len(hit), len(used)
+        told = np.concatenate([hit, first[used]])
+        some = seen.take(pa.array(told))
         return pa.table(
             {
                 "file": pa.array([key[0].as_py()] * (k + m), own.schema.field("file").type),
-                "text": pa.array([key[1].as_py()] * (k + m), pa.string()),
+                "text": some.column("text"),
                 "use": pa.array(np.arange(k + m) >= k),
-                "ordinal": pa.array(column(seen, "ord")[np.concatenate([hit, first[used]])], pa.int64()),
-                "symbol": pa.concat_arrays([symbols.take(pa.array(hit)), symbols.take(pa.array(first[used]))]),
-                "defines": pa.array(defines[np.concatenate([hit, first[used]])], pa.bool_()),
-                "node": pa.concat_arrays([ids.take(pa.array(around[hit])), ids.take(pa.array(used))]),
+                "ordinal": some.column("ord"),
+                "symbol": some.column("symbol"),
+                "defines": pa.array(defines[told], pa.bool_()),
+                "node": own.column("node").take(pa.array(np.concatenate([around[hit], used]))),
             }
         )
 
-    found = n.groupBy("file", "text").cogroup(o.groupBy("file", "text")).applyInArrow(pair, schema)
+    found = n.groupBy("file").cogroup(o.groupBy("file")).applyInArrow(pair, schema)
     return found.withColumn("ordinal", F.col("ordinal").cast(ordinal))
 
 
