@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.llm import jaccard_join
-from fernweave.llm.common import discard, mix, stash, thrifty
+from fernweave.llm.common import discard, give_back, mix, stash, thrifty
 from fernweave.llm.jaccard_join import Hasher, _class_sizes, _node, _utf8
 
 
@@ -33,7 +33,7 @@ class Settings:
     #: Hash classes whose sizes are kept for each set: the more, the more of the pairs below the bound the suffix filter tells.
     classes: int = 256
     #: Nodes of a bucket on each side of a comparison in one task.
-    share: int = 2_000
+    share: int = 1_000
 
     @property
     def join(self) -> jaccard_join.Settings:
@@ -69,13 +69,29 @@ class Circulant:
         return mix(name)
 
 
+#: Bytes of text that are hashed at once: a worker stays small beside a full heap.
+_AT_ONCE = 1 << 18
+
+
+def _sets_of(hasher: Hasher, texts: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, in slices of bounded size."""
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) < _AT_ONCE:
+            size += len(texts[end])
+            end += 1
+        yield from hasher.sets(texts[at:end], k)
+        at = end
+
+
 def _keys(s: Settings):
     """(doc_id, text) to (doc_id, key, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            sets = [(_node(x), len(x)) for x in hasher.sets(_utf8(batch.column(1)), s.k)]
+            sets = [(_node(x), len(x)) for x in _sets_of(hasher, _utf8(batch.column(1)), s.k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in sets], pa.binary()), pa.array([x[1] for x in sets], pa.int64())], ["doc_id", "key", "n"])
 
     return run
@@ -89,7 +105,7 @@ def _banded(s: Settings):
         kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         for batch in batches:
             texts, rows = _utf8(batch.column(1)), []
-            for text, members in zip(texts, hasher.sets(texts, s.k), strict=True):
+            for text, members in zip(texts, _sets_of(hasher, texts, s.k), strict=True):
                 some = len(members) >= least
                 rows.append((_node(members), len(members), _class_sizes(members, s.classes) if some else None, pack(text) if some else None, circulant.bands(members).view(np.int64) if some else None))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
@@ -139,6 +155,9 @@ def _pairs(s: Settings):
                 out[1].append(np.minimum(node[at], own))
                 out[2].append(same[close].sum(axis=1))
         hub, other, shared = (np.concatenate([np.zeros(0, np.int64), *x]) for x in out)
+        if table.nbytes > 1 << 20:
+            del left, right, table
+            give_back()
         return pa.table({"hub": hub, "node": other, "shared": shared.astype(np.int64), "must": np.zeros(len(hub), bool)})
 
     return run
