@@ -41,6 +41,21 @@ def summary(changes: DataFrame) -> DataFrame:
     return changes.agg(*counts, F.coalesce(F.bool_or(F.col("change") != "unchanged"), F.lit(False)).alias("has_changes"))
 
 
+def changed_paths(changes: DataFrame) -> DataFrame:
+    """Paths that are added, modified or deleted."""
+    return changes.where(F.col("change") != "unchanged").select("relative_path")
+
+
+def current_hashes(changes: DataFrame, folder: int = 1) -> DataFrame:
+    """folder, hashes: a map of path to current hash for each folder of that depth ("" for files above it), deleted ones left out.
+
+    A map of a whole repository would be one row that grows with it; folders keep rows small.
+    """
+    above = F.array_join(F.slice(F.split("relative_path", "/"), F.lit(1), F.least(F.lit(folder), F.size(F.split("relative_path", "/")) - 1)), "/")
+    rows = changes.where(F.col("current_hash").isNotNull()).groupBy(above.alias("folder"))
+    return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("relative_path", "current_hash")))).alias("hashes"))
+
+
 def duplicates(table: DataFrame, *keys: str) -> DataFrame:
     """Keys that more than one row has, with n."""
     return table.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)

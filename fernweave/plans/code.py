@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernweave.operators import chunking, project_graph
+from fernweave.operators import chunking, project_graph, snapshot
 from fernweave.plans.queries import query, table
-from fernweave.sources import captures, languages, parsing, scip
+from fernweave.session import shared_folder
+from fernweave.sources import captures, languages, parsing, points, scip
 
 #: What a part k of size z plants. In the SQL a text is the same pieces joined by ||.
 _PY = ["import m", "{k7}", "\n\n@seen\nclass C", "{k}", "(B", "{k3}", "):\n    def __init__(self, a):\n        self.a = a\n\n    @cached\n    def run", "{k5}", "(self, x: int = ", "{z}", ") -> str:\n        return f", "{b}", "(x)\n\ndef f", "{k}", "():\n    pass\n"]
@@ -210,3 +213,56 @@ def languages_by_pattern(spark, sf_dir):
     ending = F.when(place == 0, "dev").when(place == 1, "_test.ts").when(place == 2, ".TSX").when(place == 3, ".Py").when(place == 4, ".mjs").otherwise(".java")
     path = F.concat(name, F.col("page_id").cast("string"), ending)
     return table(spark, sf_dir, "pages").select("page_id", registry.language(path).alias("language"), registry.parser_name(path).alias("parser"))
+
+
+@query(f"""SELECT count(*) FILTER (path IS NOT NULL) AS processed, count(*) FILTER (k % 4 = 0) AS partial, (SELECT count(*) FROM pages) AS skipped FROM ({_PLANTED})""")
+def parse_counters(spark, sf_dir):
+    """The planted files, and beside them pages, which no parser takes."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.col("html").cast("binary").alias("content"))
+    files = _planted(spark, sf_dir).unionByName(pages)
+    return parsing.counters(parsing.parse_results(files, parsing.diagnostics(files)))
+
+
+@query(f"SELECT path AS file_path, k % 4 = 0 AS has_errors, k % 4 <> 0 AS is_clean FROM ({_PLANTED})")
+def parse_flags(spark, sf_dir):
+    files = _planted(spark, sf_dir)
+    return parsing.with_flags(parsing.parse_results(files, parsing.diagnostics(files))).select("file_path", "has_errors", "is_clean")
+
+
+@query("""SELECT event_id, kind, kind IN ('class', 'function', 'method', 'parameter') AS definition, kind = 'class' AS type_definition, kind = 'parameter' AS variable_like, kind IN ('function', 'method') AS function_like, kind = 'import' AS dependency, kind = 'call' AS reference
+  FROM (SELECT event_id, CASE user_id % 7 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 2 THEN 'method' WHEN 3 THEN 'parameter' WHEN 4 THEN 'import' WHEN 5 THEN 'call' ELSE 'other' END AS kind FROM events)""")
+def capture_categories(spark, sf_dir):
+    names = ("class", "function", "method", "parameter", "import", "call", "other")
+    kind = F.element_at(F.array(*map(F.lit, names)), (F.col("user_id") % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"))
+    return rows.select("event_id", "kind", *(captures.is_of(F.col("kind"), c).alias(c) for c in captures.CATEGORIES if c != "metadata"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter(string_split(p_type, ' '), lambda x: x IN ('STEEL', 'SMALL', 'BRUSHED', 'steel', 'small')), ',') AS found FROM part""")
+def modifier_sets(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("modifiers"))
+    return parsing.modifiers_among(rows, ("STEEL", "SMALL", "BRUSHED", "steel", "small")).select("p_partkey", F.array_join("found", ",").alias("found"))
+
+
+@query("""SELECT source AS folder, string_agg(source || '/' || doc_id || '=' || sha256(text), ';' ORDER BY source || '/' || doc_id) AS hashes FROM documents WHERE doc_id % 5 <> 0 GROUP BY source""")
+def current_hash_maps(spark, sf_dir):
+    """Hashes of what stays, by folder; every fifth document is deleted."""
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents")
+    old = docs.select(path.alias("relative_path"), F.lit("x").alias("content_hash"))
+    new = docs.where("doc_id % 5 <> 0").select(path.alias("relative_path"), F.sha2("text", 256).alias("content_hash"))
+    found = snapshot.current_hashes(snapshot.diff(old, new))
+    pairs = F.transform(F.map_entries("hashes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("folder", F.array_join(pairs, ";").alias("hashes"))
+
+
+@query("""SELECT vec_id::VARCHAR AS point_id, label, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM embeddings""")
+def vector_table(spark, sf_dir):
+    """Every vector into a new table of points, a third of them again in a newer version, the last step twice."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("point_id"), F.col("embedding").cast("array<float>").alias("vector"), F.lit(1).cast("long").alias("version"), "label", "vec_id")
+    folder = f"{shared_folder(spark)}/fernweave/points-{uuid.uuid4().hex}"
+    points.ensure_table(spark, folder, vectors.select(F.size("vector")).first()[0], 16)
+    points.upsert(folder, vectors)
+    for _ in range(2):
+        points.upsert(folder, vectors.where("vec_id % 3 = 0").withColumn("version", F.lit(2).cast("long")))
+    return points.read_points(spark, folder, vectors.schema).select("point_id", "label", "version")

@@ -23,6 +23,23 @@ PRIORITIES = {"constructor": 1, "method": 2}
 DEFAULT_PRIORITY = 100
 
 
+#: What the captures of an adapter are, as their readers ask: a capture may be of several kinds.
+CATEGORIES = {
+    "definition": ("class", "function", "method", "constructor", "parameter", "variable"),
+    "type_definition": ("class",),
+    "variable_like": ("parameter", "variable"),
+    "function_like": ("function", "method", "constructor"),
+    "dependency": ("import",),
+    "reference": ("call", "attribute_access"),
+    "metadata": ("decorator", "base_type", "return_type"),
+}
+
+
+def is_of(capture: Column, category: str) -> Column:
+    """Whether a capture is of a category; false for null."""
+    return F.coalesce(capture.isin(*CATEGORIES[category]), F.lit(False))
+
+
 @udtf(returnType=TREE)
 class PythonTree:
     """The tree of one Python source (bytes), a row for each node that has a place; what does not parse is left out."""

@@ -70,6 +70,11 @@ class Registry:
     def names(self) -> tuple[str, ...]:
         return tuple(x.name for x in self.languages)
 
+    def rules(self, spark: SparkSession) -> DataFrame:
+        """kind, value, language: every pattern and suffix in the order in which they are tried."""
+        rows = [(kind, v, x.name, i) for i, x in enumerate(self.languages) for kind, values in (("pattern", x.patterns), ("suffix", x.suffixes)) for v in values]
+        return spark.createDataFrame(rows, "kind string, value string, language string, place int")
+
     def violations(self, spark: SparkSession) -> DataFrame:
         """kind, value, languages: names, patterns and suffixes that are registered more than once, and names that are empty."""
         rows = [("name", x.name.lower(), i, x.name) for i, x in enumerate(self.languages)]

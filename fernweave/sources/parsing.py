@@ -120,6 +120,22 @@ def parse_results(files: DataFrame, problems: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("language").isNull(), "unsupported").when(F.col("source_size_bytes").isNull(), "missing").when(F.col("n_problems") > 0, "partial").otherwise("success"))
 
 
+def with_flags(results: DataFrame) -> DataFrame:
+    """results with has_errors (a problem at all) and is_clean (parsed without any)."""
+    return results.withColumn("has_errors", F.col("n_problems") > 0).withColumn("is_clean", F.col("status") == "success")
+
+
+def counters(results: DataFrame) -> DataFrame:
+    """One row: files that were processed, those of them with problems, and those that were skipped."""
+    done = F.col("status").isin("success", "partial")
+    return results.agg(F.count_if(done).alias("processed"), F.count_if(F.col("status") == "partial").alias("partial"), F.count_if(~done).alias("skipped"))
+
+
+def modifiers_among(nodes: DataFrame, wanted: tuple[str, ...], name: str = "found") -> DataFrame:
+    """nodes with those of their modifiers that are wanted, in the order of the source, once each; empty for none."""
+    return nodes.withColumn(name, F.coalesce(F.array_intersect("modifiers", F.array(*map(F.lit, wanted))), F.array().cast("array<string>")))
+
+
 def for_call_graph(nodes: DataFrame) -> DataFrame:
     """UAST_NODES as the call graph joins want them."""
     return nodes.select(F.col("file_path").alias("file"), "id", "name", "start_byte", "end_byte", F.col("ordinal").alias("node_ordinal"), F.col("node_type").isin(*DEFINITIONS).alias("is_definition"), F.col("node_type").isin(*REFERENCES).alias("is_reference"))
