@@ -83,9 +83,17 @@ def parse_files(files: DataFrame) -> DataFrame:
     rows = files.select("file_path", paths.language(F.col("file_path")).alias("language"), "content").where(F.col("language").isNotNull() & F.col("content").isNotNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda nodes: pd.DataFrame(nodes, columns=list(COLUMNS), dtype=object)
         for batch in batches:
+            out: list[dict] = []
             for f in batch.itertuples(index=False):
-                yield pd.DataFrame(rows_of(f.file_path, f.language, bytes(f.content)), columns=list(COLUMNS), dtype=object)
+                out += rows_of(f.file_path, f.language, bytes(f.content))
+                # Small files share a frame, for a frame costs more than they do.
+                if len(out) >= 2_000:
+                    yield frame(out)
+                    out = []
+            if out:
+                yield frame(out)
 
     return rows.mapInPandas(run, UAST_NODES)
 
