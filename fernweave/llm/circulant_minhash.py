@@ -114,14 +114,19 @@ def _banded(s: Settings):
     return run
 
 
+#: Nodes of a bucket's main component that the others meet at once.
+_HEADS = 3
+
+
 def _open(blocks: DataFrame, label: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (h, node, place, label) of buckets, and for those with nodes of several labels (h, main, one, c, others): the
-    label of most, one node of it, and how many nodes the bucket has, of any label and of others.
+    """Rows (h, node, place, label) of buckets, and for those with nodes of several labels (h, main, heads, c, others): the
+    label of most, some nodes of it (others in each turn), and how many nodes the bucket has, of any label and of others.
     """
     named = jaccard_join._named(blocks, label)
-    labels = named.groupBy("h", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("h", "node", F.lit(turn)).alias("x"), "node", "place")).alias("one"))
-    split = labels.groupBy("h").agg(F.max_by(F.struct("label", "one", "c"), F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("labels")).where("labels > 1")
-    return named, split.select("h", F.col("top.label").alias("main"), F.col("top.one.node").alias("one"), F.col("top.one.place").alias("one_place"), "c", (F.col("c") - F.col("top.c")).alias("others"))
+    heads = [F.min(F.struct(F.xxhash64("h", "node", F.lit(_HEADS * turn + i)).alias("x"), "node", "place")) for i in range(_HEADS)]
+    labels = named.groupBy("h", "label").agg(F.count("*").alias("c"), F.array_distinct(F.transform(F.array(*heads), lambda x: F.struct(x["node"].alias("hub"), x["place"].alias("head_place")))).alias("heads"))
+    split = labels.groupBy("h").agg(F.max_by(F.struct("label", "heads", "c"), F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("labels")).where("labels > 1")
+    return named, split.select("h", F.col("top.label").alias("main"), F.col("top.heads").alias("heads"), "c", (F.col("c") - F.col("top.c")).alias("others"))
 
 
 def _pairs(s: Settings):
@@ -168,18 +173,21 @@ def _left_over(nodes: DataFrame, blocks: DataFrame, s: Settings):
     join = s.join
 
     def run(label: DataFrame) -> tuple[DataFrame, DataFrame]:
-        # Nodes outside a bucket's main component meet one of it, another each time, for as long as an eighth of them links.
+        # Nodes outside a bucket's main component meet some of it, others each time, for as long as a quarter of the pairs link.
         for turn in itertools.count():
             named, split = _open(blocks, label, turn)
-            met = named.join(split, "h").where(F.col("label") != F.col("main")).select("node", "place", F.col("one").alias("hub"), "one_place").where(jaccard_join._may_link(join, "place", "one_place"))
+            met = named.join(split, "h").where(F.col("label") != F.col("main")).select("node", "place", F.explode("heads").alias("head")).select("node", "place", "head.hub", "head.head_place")
+            met = met.where(jaccard_join._may_link(join, "place", "head_place"))
             near = jaccard_join._close(met.groupBy("hub", "node").agg(F.count("*").alias("shared"), F.lit(False).alias("must")), nodes, join)
-            best = stash(near.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("top")).select("node", F.col("top.hub").alias("hub")), "best")
+            # Of the heads of its buckets, a bounded number, a node takes those that it shares most buckets with.
+            likely = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("less"), "hub"))), 1, _HEADS)
+            best = stash(near.groupBy("node").agg(likely.alias("top")).select("node", F.explode("top.hub").alias("hub")), "best")
             links = jaccard_join.verify_pairs(nodes, best, join)
             asked, found = best.count(), links.count()
             if found:
                 label = jaccard_join.joined(label, links)
             discard(best, links)
-            if 8 * found < asked or not found:
+            if 4 * found < asked or not found:
                 break
         named, split = _open(blocks, label, 0)
         salts = lambda c: 1 + F.floor(F.col(c) / s.share)
