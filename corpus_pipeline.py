@@ -77,9 +77,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data; n_chars follows the new text, null for a null one. Every row stays; equal texts stay equal."""
+    """Replaces personal data; n_chars, if there is one, follows the new text, null for a null one. Every row stays; equal
+    texts stay equal.
+    """
     safe = pii.protect(docs, pii_key(spark))
-    return safe.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return safe.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else safe
 
 
 @stage

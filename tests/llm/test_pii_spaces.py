@@ -120,3 +120,13 @@ def test_a_key_is_asked_for_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError, match="pii.key"):
         pii_key(away)
     assert pii_key(spark)
+
+
+def test_stage_of_a_table_without_a_length(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "write to a@b.de"), (2, None)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.without_pii(spark, docs, "").collect()}
+    assert out[2] is None and "a@b.de" not in out[1]
+    counted = corpus_pipeline.without_pii(spark, docs.selectExpr("*", "99L AS n_chars"), "").collect()
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in counted)
