@@ -92,6 +92,39 @@ def parsed_script(spark, sf_dir):
     return _nodes(spark, sf_dir, ("js", "ts"))
 
 
+#: Destructuring, computed members, types inside expressions, index calls, code inside templates.
+_DEEP = ["const { a", "{k}", ", b: [c = get", "{k7}", "(), ...d] } = load<Row", "{k3}", ">(x);\nclass K", "{k}", " { [Symbol.iterator]() { return by[", "{k5}", "](this); } }\nlet v = `n${show", "{z}", "(w as Kind", "{k3}", ")}`;\nconst o = { run", "{k}", "(p?: T) { new a.Box(p); } };\n"]
+_DEEP_NODES = [
+    ("'variable'", "'{ a' || k || ', b: [c = get' || (k % 7) || '(), ...d] }'", "'a' || k || ',c,d'", "NULL"),
+    ("'call'", "'get' || (k % 7)", "NULL", "NULL"),
+    ("'call'", "'load'", "NULL", "NULL"),
+    ("'type_reference'", "'Row' || (k % 3)", "NULL", "NULL"),
+    ("'type-definition'", "'K' || k", "NULL", "NULL"),
+    ("'attribute_access'", "'iterator'", "NULL", "NULL"),
+    ("'function'", "'[Symbol.iterator]'", "NULL", "NULL"),
+    ("'call'", "(k % 5)", "NULL", "'by'"),
+    ("'attribute_access'", "(k % 5)", "NULL", "NULL"),
+    ("'variable'", "'v'", "NULL", "NULL"),
+    ("'call'", "'show' || z", "NULL", "NULL"),
+    ("'type_reference'", "'Kind' || (k % 3)", "NULL", "NULL"),
+    ("'variable'", "'o'", "NULL", "NULL"),
+    ("'function'", "'run' || k", "NULL", "NULL"),
+    ("'variable'", "'p'", "NULL", "NULL"),
+    ("'type_reference'", "'T'", "NULL", "NULL"),
+    ("'call'", "'Box'", "NULL", "'a'"),
+    ("'attribute_access'", "'Box'", "NULL", "NULL"),
+]
+_DEEP_SQL = ", ".join(f"{{'node_type': {t}, 'name': ({n})::VARCHAR, 'bindings': {b}, 'subject': {s}}}" for t, n, b, s in _DEEP_NODES)
+
+
+@query(f"SELECT 'd' || k || '.ts' AS file_path, n.* FROM (SELECT k, unnest([{_DEEP_SQL}]) AS n FROM ({_ROWS}))")
+def parsed_script_patterns(spark, sf_dir):
+    """What a TypeScript file says by patterns, computed names and types in expressions."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
+    files = rows.select(F.concat(F.lit("d"), F.col("k").cast("string"), F.lit(".ts")).alias("file_path"), _text(_DEEP).cast("binary").alias("content"))
+    return parsing.parse_files(files).where("kind is null or kind <> 'file'").select("file_path", "node_type", "name", F.col("metadata")["bindings"].alias("bindings"), "subject")
+
+
 @query(f"""SELECT path AS file_path, p.* FROM (SELECT path, unnest(CASE WHEN path LIKE '%.py' THEN [{{'kind': 'syntax_error', 'node_type': 'ERROR', 'start_byte': ({_at("'bad'")})::BIGINT, 'end_byte': (strpos(t, '= = 1') + 4)::BIGINT}}]
     ELSE list_transform([1, 2], lambda x: {{'kind': 'missing_node', 'node_type': 'MISSING', 'start_byte': (strlen(t) - 2)::BIGINT, 'end_byte': (strlen(t) - 2)::BIGINT}}) END) AS p FROM ({_PLANTED}) WHERE k % 4 = 0)""")
 def parse_problems(spark, sf_dir):

@@ -58,9 +58,7 @@ class _Walk:
         elif isinstance(node, ast.Call):
             f = node.func
             me = self.add(node, parent, "call", name=f.attr if isinstance(f, ast.Attribute) else f.id if isinstance(f, ast.Name) else None, subject=self.text(f.value) if isinstance(f, ast.Attribute) else None)
-            if isinstance(f, ast.Attribute):
-                self.visit(f.value, me, False)
-            elif not isinstance(f, ast.Name):
+            if not isinstance(f, ast.Name):
                 self.visit(f, me, False)
             for child in (*node.args, *(k.value for k in node.keywords)):
                 self.visit(child, me, False)
