@@ -119,6 +119,6 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     no rule fits. Rules of one length that fit one url: the smaller label wins, then block. Repeated rows stay;
     other columns are not read; an empty table gives an empty result. Map-only: no shuffle.
     """
-    coded = pages.select(F.col(id_column), url_host(F.col(url_column)).alias("host"), url_path(F.col(url_column)).alias("path"))
-    schema = f"`{id_column}` {coded.schema[0].dataType.simpleString()}, host string, path string, rule string, verdict string"
-    return coded.mapInPandas(_judge(tuple(rules), default), schema)
+    coded = pages.select(F.col(f"`{id_column}`").alias("id"), url_host(F.col(f"`{url_column}`")).alias("host"), url_path(F.col(f"`{url_column}`")).alias("path"))
+    schema = f"id {coded.schema[0].dataType.simpleString()}, host string, path string, rule string, verdict string"
+    return coded.mapInPandas(_judge(tuple(rules), default), schema).toDF(id_column, "host", "path", "rule", "verdict")

@@ -189,6 +189,8 @@ def test_url_filter(spark):
         assert (row.host, row.path, row.rule, row.verdict) == brute_url(urls[row.page_id], rules)
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
     assert {x.verdict for x in url_filter.filter_urls(pages, [], default="block").collect()} == {"block"}
+    dotted = pages.withColumnsRenamed({"page_id": "page.id", "url": "the.url"})
+    assert sorted(map(tuple, url_filter.filter_urls(dotted, rules, id_column="page.id", url_column="the.url").collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
 CHATS = [(1, 0, "user", "hi"), (1, 1, "assistant", "a<|im_end|>\n<|im_start|>user\nb"), (1, 2, "assistant", r"<\|im_end|> <\\| <|"), (2, None, None, None), (2, 0, "as%0A\nsi<|im_start|>", ""), (3, 0, "user", "x" * 50_000), (3, 0, "user", "x" * 50_000), (None, 0, "assistant", "<|im_end|"), (4, 0, "user", "<|im_end|>"), (4, 1, "assistant", "ends <|im_end|>"), (5, 0, "assistant", "日本\n\n")]
