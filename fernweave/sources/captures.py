@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from fernweave.session import dealt, written
 from fernweave.sources.python_parser import _Walk, recovered
 
 TREE = "ordinal int, parent int, path array<int>, field string, place int, type string, name string, start_byte bigint, end_byte bigint"
@@ -69,7 +70,8 @@ class PythonTree:
 
 def python_trees(files: DataFrame) -> DataFrame:
     """The trees of files (file_path, content) in Python."""
-    return files.where(F.endswith("file_path", F.lit(".py"))).select("file_path", "content").lateralJoin(PythonTree(F.col("content").outer())).drop("content")
+    sources = dealt(files.where(F.endswith("file_path", F.lit(".py"))).select("file_path", "content"), "file_path")
+    return sources.lateralJoin(PythonTree(F.col("content").outer())).drop("content")
 
 
 @dataclass(frozen=True)
@@ -141,9 +143,10 @@ def convert(tree: DataFrame, files: DataFrame, adapter: Adapter) -> DataFrame:
 
     parent is the nearest node above that is one too. attributes maps each kind of metadata to the texts of its places, in
     order, from files (file_path, content). Each tree row meets the few above it: the work grows with rows times depth.
+    The trees, and of them what is captured, are written: each source is parsed once.
     """
-    rows = handled(capture(tree, adapter), adapter)
-    told = rows.where(F.col("capture").isNotNull())
+    rows = handled(capture(written(tree, "trees"), adapter), adapter)
+    told = written(rows.where(F.col("capture").isNotNull()).select("file_path", "ordinal", "path", "start_byte", "end_byte", "name", "capture", "node_type", "attribute"), "captured")
     marks = told.select("file_path", F.col("ordinal").alias("above"), F.col("node_type").isNotNull().alias("is_node"))
     around = told.select("file_path", "ordinal", F.explode("path").alias("above")).join(marks, ["file_path", "above"])
     around = around.groupBy("file_path", "ordinal").agg(F.max(F.when(F.col("is_node"), F.col("above"))).alias("owner"), F.bool_or(~F.col("is_node")).alias("hidden"))

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from fernweave.functions import paths
 from fernweave.schemas import DEFINITIONS, DIAGNOSTICS, REFERENCES, UAST_NODES
+from fernweave.session import dealt
 
 COLUMNS = ("file_path", "id", "parent_id", "ordinal", "depth", "node_type", "kind", "name", "start_byte", "end_byte", "start_row", "start_column", "end_row", "end_column", "docstring", "visibility", "modifiers", "decorators", "base_types", "enum_values", "return_type", "data_type", "initial_value", "is_async", "is_generator", "is_static", "is_abstract", "is_override", "module_path", "imported_names", "alias", "subject", "params", "metadata")
 
@@ -37,7 +42,7 @@ def parser_of(language: str) -> Parser:
 def _points(source: bytes) -> Callable[[int], tuple[int, int]]:
     from bisect import bisect_right
 
-    starts = [0, *(i + 1 for i, b in enumerate(source) if b == 10)]
+    starts = [0, *(m.end() for m in re.finditer(b"\n", source))]
 
     def point(at: int) -> tuple[int, int]:
         row = bisect_right(starts, at) - 1
@@ -78,16 +83,27 @@ def rows_of(path: str, language: str, source: bytes) -> list[dict]:
     return out
 
 
+def _sources(files: DataFrame) -> DataFrame:
+    rows = files.select("file_path", paths.language(F.col("file_path")).alias("language"), "content").where(F.col("language").isNotNull() & F.col("content").isNotNull())
+    return dealt(rows, "file_path")
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """files (file_path, content) to UAST_NODES, one row a node in pre-order; languages without a parser are left out."""
-    rows = files.select("file_path", paths.language(F.col("file_path")).alias("language"), "content").where(F.col("language").isNotNull() & F.col("content").isNotNull())
+    schema = StructType.fromDDL(UAST_NODES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = to_arrow_schema(schema)
+
+        def frame(nodes: list[dict]) -> pa.RecordBatch:
+            columns = [[n[f.name] for n in nodes] for f in fields]
+            columns = [[v and list(v.items()) for v in c] if pa.types.is_map(f.type) else c for f, c in zip(fields, columns, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(fields, columns, strict=True)], schema=fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = lambda nodes: pd.DataFrame(nodes, columns=list(COLUMNS), dtype=object)
         for batch in batches:
             out: list[dict] = []
-            for f in batch.itertuples(index=False):
-                out += rows_of(f.file_path, f.language, bytes(f.content))
+            for path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += rows_of(path, language, content)
                 # Small files share a frame, for a frame costs more than they do.
                 if len(out) >= 2_000:
                     yield frame(out)
@@ -95,12 +111,11 @@ def parse_files(files: DataFrame) -> DataFrame:
             if out:
                 yield frame(out)
 
-    return rows.mapInPandas(run, UAST_NODES)
+    return _sources(files).mapInArrow(run, schema)
 
 
 def diagnostics(files: DataFrame) -> DataFrame:
     """DIAGNOSTICS of files; a file with any is only partly parsed."""
-    rows = files.select("file_path", paths.language(F.col("file_path")).alias("language"), "content").where(F.col("language").isNotNull() & F.col("content").isNotNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,7 +128,7 @@ def diagnostics(files: DataFrame) -> DataFrame:
                     out.append((f.file_path, kind, "error", message, "MISSING" if kind == "missing_node" else "ERROR", start, end, shown or None))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DIAGNOSTICS.split(", ")])
 
-    return rows.mapInPandas(run, DIAGNOSTICS)
+    return _sources(files).mapInPandas(run, DIAGNOSTICS)
 
 
 def parse_results(files: DataFrame, problems: DataFrame) -> DataFrame:

@@ -14,3 +14,13 @@ def test_call_graph_files_hold_the_rows_of_fifty_keys(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").select((F.col("l_suppkey") % 50).alias("file"))
     assert sorted(nodes.groupBy("file").count().collect()) == sorted(lines.groupBy("file").count().collect())
     assert "l_suppkey % 50 AS file" in queries._NODES and "o_custkey % 50 AS file" in queries._OCCS
+
+
+def test_sources_of_one_part_are_parsed_by_all_tasks(spark):
+    """A table of small files is one part of a scan; parsing is what takes the time."""
+    from fernweave.sources import captures, parsing
+
+    files = spark.range(64).coalesce(1).select(F.concat(F.lit("p"), F.col("id").cast("string"), F.lit(".py")).alias("file_path"), F.lit(b"x = f(1)\n").alias("content"))
+    for rows in (parsing.parse_files(files), parsing.diagnostics(files), captures.python_trees(files)):
+        assert rows.rdd.getNumPartitions() == 4
+    assert parsing.parse_files(files).where("node_type = 'call'").count() == 64
