@@ -70,18 +70,44 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Every node that edges (src, dst) reach from roots (id), them included. Cycles are fine.
 
     A frontier grows by joins; what is known leaves it by an anti join. Each round writes its new nodes only, so lineage
-    stays short and a lost executor costs one round. It ends when a round finds nothing new, however far that is.
+    stays short and a lost executor costs one round. It ends when a round finds nothing new, however far that is. After
+    each eight rounds chains are followed to their ends at once, so long ones cost rounds by the logarithm of their length.
     """
     shared_folder(edges.sparkSession)
+    edges = edges.select("src", "dst").where("src <> dst").distinct().checkpoint()
     frontier = roots.select("id").distinct().checkpoint()
-    known = [frontier]
+    known, rounds = [frontier], 0
     while not frontier.isEmpty():
+        rounds += 1
         step = frontier.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id")).distinct()
         frontier = step.join(_together(known), "id", "left_anti").checkpoint()
         known = _merged([*known, frontier])
+        if rounds % 8 == 0:
+            known = [_together(known).checkpoint()]
+            along = _along_chains(edges, known[0], frontier)
+            frontier, known = frontier.unionByName(along), [*known, along]
     return _together(known)
 
 
+def _along_chains(edges: DataFrame, known: DataFrame, frontier: DataFrame) -> DataFrame:
+    """What is reached from frontier over nodes with one edge to what is not known.
+
+    Each turn doubles the length of the steps: nodes at up to 2^i steps are found, then they and the next 2^i. At most one
+    step a node, so a turn's work is that of the edges.
+    """
+    after = edges.join(known.select(F.col("id").alias("dst")), "dst", "left_anti").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("dst"), F.count("*").alias("n"))
+    steps = after.where("n = 1").select("id", "dst").checkpoint()
+    found, whole = [frontier], []
+    while True:
+        reached = _together(found)
+        new = reached.join(steps, "id").select(F.col("dst").alias("id")).distinct().join(reached, "id", "left_anti").checkpoint()
+        if new.isEmpty():
+            return _together(whole) if whole else new
+        whole.append(new)
+        found.append(new)
+        steps = steps.join(steps.select(F.col("id").alias("dst"), F.col("dst").alias("to")), "dst").select("id", F.col("to").alias("dst")).checkpoint()
+
+
 def cascade(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """The nodes that stay when roots and all they reach are deleted."""
     return nodes.join(reachable(edges, roots), "id", "left_anti")

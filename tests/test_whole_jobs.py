@@ -24,3 +24,17 @@ def test_sources_of_one_part_are_parsed_by_all_tasks(spark):
     for rows in (parsing.parse_files(files), parsing.diagnostics(files), captures.python_trees(files)):
         assert rows.rdd.getNumPartitions() == 4
     assert parsing.parse_files(files).where("node_type = 'call'").count() == 64
+
+
+def test_reach_over_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain of 600 nodes with a branch at its end, and a cycle."""
+    from fernweave.operators import graph
+
+    rounds = []
+    checkpoint = type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda self, *a, **k: rounds.append(1) or checkpoint(self, *a, **k))
+    pairs = [(i, i + 1) for i in range(600)] + [(600, 700), (600, 701), (701, 0), (7, 7), (800, 3)] + [(i, 2) for i in range(2, 600, 50)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    got = sorted(r[0] for r in graph.reachable(edges, spark.createDataFrame([(0,), (900,)], "id long")).collect())
+    assert got == [*range(601), 700, 701, 900]
+    assert len(rounds) < 60
