@@ -11,6 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def bounded(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about `most` bytes of a column of texts: what is made of a slice is let go before the next."""
+    before = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64))])
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + most, side="right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def line_table(files: DataFrame, path: str = "file_path", text: str = "text") -> DataFrame:
     """path, line (from 0), line_text, start_byte. Lines end with \\n only; a \\r stays in its line. A null text has none.
 
@@ -19,7 +29,7 @@ def line_table(files: DataFrame, path: str = "file_path", text: str = "text") ->
     rows = files.select(F.col(path).alias("path"), F.col(text).alias("text")).where(F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole, 1)):
             lists = pc.split_pattern(batch.column(1), "\n")
             lines, n = lists.flatten(), lists.value_lengths().to_numpy()
             size = pc.binary_length(lines).to_numpy().astype(np.int64) + 1

@@ -38,3 +38,28 @@ def test_reach_over_a_long_chain_takes_few_rounds(spark, monkeypatch):
     got = sorted(r[0] for r in graph.reachable(edges, spark.createDataFrame([(0,), (900,)], "id long")).collect())
     assert got == [*range(601), 700, 701, 900]
     assert len(rounds) < 60
+
+
+def test_a_source_is_not_copied_to_its_chunks(spark):
+    """Rows that a window sorts hold their own chunk only."""
+    from fernweave.operators import chunking
+
+    files = spark.createDataFrame([("a", bytearray(b"ab\ncd\n")), ("b", bytearray(b"")), ("c", bytearray(b"xyz"))], "file_path string, content binary")
+    rows = [("a", 0, "p", "p", 0, 3, 3, "ab\n", None, None), ("a", 1, "p", "p", 2, 6, 4, "\nc??", None, None)]
+    chunks = spark.createDataFrame(rows, chunking.CHUNKS)
+    covered = chunking.coverage(chunks, files, 3)
+    plan = covered._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window ") :]
+    assert "source#" not in window[: window.index("Project") if "Project" in window else None]
+    got = {r["file_path"]: (r["missing_bytes"], r["overlap_bytes"], r["issues"], r["is_exact"]) for r in covered.collect()}
+    assert got == {"a": (0, 1, ["content mismatch", "exceeds max", "overlap"], False), "b": (0, 0, [], True), "c": (3, 0, ["no chunks", "trailing gap"][:1], False)}
+
+
+def test_lines_are_made_of_bounded_slices():
+    import pyarrow as pa
+
+    from fernweave.operators import positions
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["aa", "b" * 9, None, "", "cc", "dddd"])], ["path", "text"])
+    slices = [b.column(0).to_pylist() for b in positions.bounded(batch, 1, 4)]
+    assert slices == [[0], [1], [2, 3, 4], [5]]
