@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernweave.functions.measures import Measure, furthest, measure_of
@@ -20,6 +20,7 @@ from fernweave.functions.text import decode, word_size
 from fernweave.schemas import CHUNKS
 
 _WORDS = re.compile(r"\S+")
+_FRAME_BYTES, _FRAME_ROWS = 4_000_000, 10_000
 
 
 @dataclass(frozen=True)
@@ -194,9 +195,14 @@ def chunk_files(files: DataFrame, nodes: DataFrame | None = None, options: Chunk
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in CHUNKS.split(", ")]
         for batch in batches:
-            out = []
+            out, held = [], 0
             for file in batch.itertuples(index=False):
+                # A frame is bounded by bytes and by rows, not by the files that come at once.
+                if held > _FRAME_BYTES or len(out) > _FRAME_ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
                 source = bytes(file.content)
+                held += len(source)
                 root = build_tree([x if isinstance(x, dict) else x.asDict() for x in file.nodes]) if file.nodes is not None and len(file.nodes) else Node(0, len(source))
                 root.start, root.end, root.kind, root.name = 0, len(source), None, None
                 for i, (a, b, node) in enumerate(split_tree(root, source, options)):
@@ -272,36 +278,47 @@ def chunk_parsed(files: DataFrame, results: DataFrame, nodes: DataFrame, options
 
 
 def coverage(chunks: DataFrame, files: DataFrame, max_size: int, unit: str = "byte") -> DataFrame:
-    """file_path, total, covered, missing and overlap bytes, issues and is_exact, by windows over each file's chunks."""
+    """file_path, total, covered, missing and overlap bytes, issues and is_exact, by windows over each file's chunks.
+
+    A file's chunks become one row before they meet its source, which so is never copied to each.
+    """
     order = Window.partitionBy("file_path").orderBy("chunk_index")
     source = files.select("file_path", F.col("content").alias("source"), F.octet_length("content").cast("bigint").alias("total_bytes"))
-    c = chunks.join(source, "file_path")
-    cursor = F.coalesce(F.max("end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("cursor", F.least(cursor, F.col("total_bytes"))).withColumn("expected", F.row_number().over(order) - 1).withColumn("before", F.lag("start_byte").over(order))
-    own = decode(F.substr("source", (F.col("start_byte") + 1).cast("int"), F.greatest(F.col("end_byte") - F.col("start_byte"), F.lit(0)).cast("int")))
     size = F.octet_length("content").cast("bigint") if unit == "byte" else word_size(F.col("content")).cast("bigint") if unit == "word" else _measured(unit)("content")
-    valid = (F.col("start_byte") >= 0) & (F.col("end_byte") > F.col("start_byte")) & (F.col("end_byte") <= F.col("total_bytes"))
-    gap = F.greatest(F.col("start_byte") - F.col("cursor"), F.lit(0))
-    overlap = F.greatest(F.least("cursor", "end_byte") - F.col("start_byte"), F.lit(0))
-    tests = {
-        "index mismatch": F.col("chunk_index") != F.col("expected"),
-        "unordered": F.col("start_byte") < F.col("before"),
-        "invalid range": ~valid,
-        "gap": valid & (gap > 0),
-        "overlap": valid & (overlap > 0),
-        "content mismatch": valid & (F.col("content") != own),
-        "size mismatch": F.col("size") != size,
-        "exceeds max": F.col("size") > max_size,
-    }
-    issues = F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items())))
-    per = c.select("file_path", "end_byte", issues.alias("issues"), F.when(valid, gap).otherwise(0).alias("gap"), F.when(valid, overlap).otherwise(0).alias("overlap"))
-    agg = per.groupBy("file_path").agg(F.max("end_byte").alias("last"), F.sum("gap").alias("gaps"), F.sum("overlap").alias("overlap_bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("issues")))).alias("issues"))
-    both = source.drop("source").join(agg, "file_path", "left")
-    tail = F.greatest(F.col("total_bytes") - F.coalesce("last", F.lit(0)), F.lit(0))
-    missing = F.coalesce("gaps", F.lit(0)) + tail
-    extra = F.when(F.col("last").isNull() & (F.col("total_bytes") > 0), F.array(F.lit("no chunks"))).when(tail > 0, F.array(F.lit("trailing gap"))).otherwise(F.array().cast("array<string>"))
-    all_issues = F.concat(F.coalesce("issues", F.array().cast("array<string>")), extra)
-    return both.select("file_path", "total_bytes", (F.col("total_bytes") - missing).alias("covered_bytes"), missing.alias("missing_bytes"), F.coalesce("overlap_bytes", F.lit(0)).alias("overlap_bytes"), all_issues.alias("issues"), (F.size(all_issues) == 0).alias("is_exact"))
+    own = chunks.select("file_path", "chunk_index", F.col("start_byte").cast("bigint").alias("a"), F.col("end_byte").cast("bigint").alias("b"), "content", (F.col("size") != size).alias("other_size"), (F.col("size") > max_size).alias("large"))
+    cursor = F.coalesce(F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.select("file_path", "a", "b", "content", "other_size", "large", cursor.alias("cursor"), (F.col("chunk_index") != F.row_number().over(order) - 1).alias("misplaced"), (F.col("a") < F.lag("a").over(order)).alias("unordered"))
+    per = own.groupBy("file_path").agg(F.collect_list(F.struct("a", "b", "content", "other_size", "large", "cursor", "misplaced", "unordered")).alias("chunks"))
+    both = source.join(per, "file_path", "left")
+    n = F.col("total_bytes")
+
+    def judged(c: Column) -> Column:
+        at = F.least(c["cursor"], n)
+        valid = (c["a"] >= 0) & (c["b"] > c["a"]) & (c["b"] <= n)
+        gap = F.when(valid, F.greatest(c["a"] - at, F.lit(0))).otherwise(F.lit(0))
+        overlap = F.when(valid, F.greatest(F.least(at, c["b"]) - c["a"], F.lit(0))).otherwise(F.lit(0))
+        part = decode(F.substr("source", (c["a"] + 1).cast("int"), F.greatest(c["b"] - c["a"], F.lit(0)).cast("int")))
+        tests = {
+            "index mismatch": c["misplaced"],
+            "unordered": c["unordered"],
+            "invalid range": ~valid,
+            "gap": gap > 0,
+            "overlap": overlap > 0,
+            "content mismatch": valid & (c["content"] != part),
+            "size mismatch": c["other_size"],
+            "exceeds max": c["large"],
+        }
+        issues = F.array_compact(F.array(*(F.when(t, F.lit(name)) for name, t in tests.items())))
+        return F.struct(gap.cast("bigint").alias("gap"), overlap.cast("bigint").alias("overlap"), c["b"].alias("last"), issues.alias("issues"))
+
+    told = both.select("file_path", "total_bytes", F.transform("chunks", judged).alias("told"))
+    total = lambda name: F.coalesce(F.aggregate("told", F.lit(0).cast("bigint"), lambda x, c: x + c[name]), F.lit(0))
+    last = F.array_max(F.transform("told", lambda c: c["last"]))
+    tail = F.greatest(n - F.coalesce(last, F.lit(0)), F.lit(0))
+    issues = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("told", lambda c: c["issues"])))), F.array().cast("array<string>"))
+    extra = F.when(last.isNull() & (n > 0), F.array(F.lit("no chunks"))).when(tail > 0, F.array(F.lit("trailing gap"))).otherwise(F.array().cast("array<string>"))
+    told = told.select("file_path", "total_bytes", (total("gap") + tail).alias("missing_bytes"), total("overlap").alias("overlap_bytes"), F.concat(issues, extra).alias("issues"))
+    return told.select("file_path", "total_bytes", (n - F.col("missing_bytes")).alias("covered_bytes"), "missing_bytes", "overlap_bytes", "issues", (F.size("issues") == 0).alias("is_exact"))
 
 
 def totals(coverage_: DataFrame, chunks: DataFrame) -> DataFrame:
