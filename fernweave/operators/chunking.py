@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from fernweave.functions.measures import Measure, furthest, measure_of
 from fernweave.functions.text import decode, word_size
 from fernweave.schemas import CHUNKS
+from fernweave.session import written
 
 _WORDS = re.compile(r"\S+")
 _FRAME_BYTES, _FRAME_ROWS = 4_000_000, 10_000
@@ -270,7 +271,9 @@ def chunk_parsed(files: DataFrame, results: DataFrame, nodes: DataFrame, options
     chunks = chunk_files(checked, nodes, options)
     if not verify:
         return chunks
-    exact = coverage(chunks, checked, options.max_size, options.unit).select("file_path", "is_exact", "issues")
+    # Looked at twice, made once; what was wrong with a file has raised by then.
+    chunks = written(chunks, "chunks")
+    exact = coverage(chunks, files, options.max_size, options.unit).select("file_path", "is_exact", "issues")
     inexact = F.raise_error(F.concat(F.lit("inexact coverage of "), "file_path", F.lit(": "), F.array_join("issues", ", "))).cast("string")
     # A character that alone is over the limit is no gap: only what is missing, doubled or wrong counts.
     wrong = F.size(F.array_except("issues", F.array(F.lit("exceeds max"), F.lit("content mismatch")))) > 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fernweave.operators import chunking, project_graph, snapshot
 from fernweave.plans.queries import query, table
-from fernweave.session import shared_folder
+from fernweave.session import shared_folder, written
 from fernweave.sources import captures, languages, parsing, points, scip
 
 #: What a part k of size z plants. In the SQL a text is the same pieces joined by ||.
@@ -230,10 +230,11 @@ def graph_from_sources(spark, sf_dir):
 @query(f"SELECT path AS file_path, t AS content, true AS fits FROM ({_PLANTED})")
 def chunked_sources(spark, sf_dir):
     """Chunks along the nodes of each planted file, refused where they would not cover it; joined again, they are the file."""
-    files = _planted(spark, sf_dir)
+    files = written(_planted(spark, sf_dir), "planted")
     language, parser = languages.DEFAULT.language(F.col("file_path")), languages.DEFAULT.parser_name(F.col("file_path"))
     named = files.select("file_path", language.alias("language"), parser.alias("parser_name"), "content")
-    chunks = chunking.chunk_parsed(named, parsing.parse_results(files, parsing.diagnostics(files)), parsing.parse_files(files), chunking.ChunkOptions(max_size=60))
+    problems, nodes = written(parsing.diagnostics(files), "problems"), written(parsing.parse_files(files), "nodes")
+    chunks = chunking.chunk_parsed(named, parsing.parse_results(files, problems), nodes, chunking.ChunkOptions(max_size=60))
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "")
     return chunks.groupBy("file_path").agg(parts.alias("content"), (F.max("size") <= 60).alias("fits"))
 

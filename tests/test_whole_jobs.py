@@ -63,3 +63,12 @@ def test_lines_are_made_of_bounded_slices():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["aa", "b" * 9, None, "", "cc", "dddd"])], ["path", "text"])
     slices = [b.column(0).to_pylist() for b in positions.bounded(batch, 1, 4)]
     assert slices == [[0], [1], [2, 3, 4], [5]]
+
+
+def test_sources_are_parsed_once_for_chunks_and_graphs(spark):
+    """What is parsed is written before plans read it more than once, so no plan parses again or guesses its size."""
+    from fernweave.plans import code
+
+    for made in (code.chunked_sources(spark, SF), code.graph_from_sources(spark, SF)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "MapInPandas" not in plan
