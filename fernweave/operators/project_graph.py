@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernweave.functions import paths
 from fernweave.operators import callgraph, positions
-from fernweave.session import shared_folder
+from fernweave.session import dealt, written
 from fernweave.sources import parsing, scip
 
 
@@ -47,8 +47,8 @@ def located(files: DataFrame, occurrences: DataFrame) -> DataFrame:
 def build(files: DataFrame, index_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The syntax nodes of files (file_path, content), and the references between them that index files (content) tell: src, dst, type.
 
-    Each file and each index is parsed once; what comes of it is written before it is joined.
+    Each file and each index is parsed once; what comes of it is written before it is joined, as tables whose size is known:
+    guessed from the files' own, a table of nodes looks small enough to be broadcast and isn't.
     """
-    shared_folder(files.sparkSession)
-    nodes, occurrences = parsing.parse_files(files).checkpoint(), scip.read_occurrences(index_files).checkpoint()
-    return nodes, callgraph.build(parsing.for_call_graph(nodes), located(files, occurrences))
+    nodes, occurrences = written(parsing.parse_files(files), "nodes"), written(scip.read_occurrences(dealt(index_files)), "occurrences")
+    return nodes, callgraph.build(parsing.for_call_graph(nodes), written(located(written(files.select("file_path", "content"), "files"), occurrences), "located"))
