@@ -122,6 +122,23 @@ def test_a_key_is_asked_for_on_a_cluster(spark, monkeypatch):
     assert pii_key(spark)
 
 
+def test_pii_runs_on_a_cluster_without_a_key(spark, monkeypatch):
+    import corpus_pipeline
+    from fernweave.llm import queries
+
+    def asked(_):
+        raise ValueError("set spark.fernweave.pii.key")
+
+    monkeypatch.setattr(queries, "pii_key", asked)
+    docs = spark.createDataFrame([(1, "write to a@b.de"), (2, "or a@b.de, c@d.de")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="pii.key"):
+        key = queries._drawn_key("an application")
+    assert key == queries._drawn_key("an application") != queries._drawn_key("another") and len(key) == 64
+    out = {r.doc_id: r.text for r in corpus_pipeline.without_pii(spark, docs, "").collect()}
+    first = out[1].removeprefix("write to ")
+    assert "a@b.de" not in out[1] + out[2] and "c@d.de" not in out[2] and out[2].startswith(f"or {first}, ")
+
+
 def test_stage_of_a_table_without_a_length(spark):
     import corpus_pipeline
 
