@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fernweave.streaming.incremental import once
@@ -15,6 +16,7 @@ from fernweave.streaming.incremental import once
 EVENTS = "event_id bigint, branch_id bigint, ts timestamp, kind string, commit string"
 KINDS = ("request", "commit", "finish", "fail")
 DECISIONS = "branch_id bigint, event_id bigint, ts timestamp, decision string, status string, job bigint, commit string"
+_DECISION = Row(*(c.split()[0] for c in DECISIONS.split(", ")))
 _STATE = "status string, indexed string, head string, wanted string, job bigint, due bigint"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -66,7 +68,8 @@ class BranchProcessor(StatefulProcessor):
         self.state = handle.getValueState("branch", _STATE)
 
     def _load(self) -> Branch:
-        return Branch(*self.state.get()) if self.state.exists() else Branch()
+        held = self.state.get()
+        return Branch() if held is None else Branch(*held)
 
     def _save(self, b: Branch) -> None:
         self.state.update((b.status, b.indexed, b.head, b.wanted, b.job, b.due))
@@ -77,26 +80,23 @@ class BranchProcessor(StatefulProcessor):
         if after.due and before.due != after.due:
             self.handle.registerTimer(after.due)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         loaded = b = self._load()
-        out = []
-        for e in events.itertuples(index=False):
-            after, decision = step(b, e.kind, None if pd.isna(e.commit) else e.commit)
+        for e in sorted(rows, key=lambda e: (e.ts, e.event_id)):
+            after, decision = step(b, e.kind, e.commit)
             if after.status == "INDEXING" != b.status:
                 after = replace(after, due=int(e.ts.timestamp() * 1000) + self.timeout_ms)
-            out.append((key[0], e.event_id, e.ts, decision, after.status, after.job, after.wanted))
+            yield _DECISION(key[0], e.event_id, e.ts, decision, after.status, after.job, after.wanted)
             b = after
         self._arm(loaded, b)
         self._save(b)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         b, at = self._load(), expiredTimerInfo.getExpiryTimeInMs()
         if b.status == "INDEXING" and b.due == at:
             after, _ = step(b, "fail", None)
             self._save(after)
-            yield pd.DataFrame([(key[0], None, pd.Timestamp(at, unit="ms"), "timed_out", after.status, after.job, after.wanted)], columns=[c.split()[0] for c in DECISIONS.split(", ")]).astype({"event_id": "Int64"})
+            yield _DECISION(key[0], None, dt.datetime.fromtimestamp(at / 1000, dt.UTC), "timed_out", after.status, after.job, after.wanted)
 
     def close(self) -> None:
         pass
@@ -112,4 +112,4 @@ def decisions(events: DataFrame, timeout: str = "2 hours", late: str = "1 hour")
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     each = once(events, late=late)
     timeout_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    return each.groupBy("branch_id").transformWithStateInPandas(statefulProcessor=BranchProcessor(timeout_ms), outputStructType=DECISIONS, outputMode="Append", timeMode="EventTime")
+    return each.groupBy("branch_id").transformWithState(statefulProcessor=BranchProcessor(timeout_ms), outputStructType=DECISIONS, outputMode="Append", timeMode="EventTime")

@@ -114,3 +114,34 @@ def test_snapshots_keep_no_more_than_they_need(spark, tmp_path):
     with pytest.raises(ValueError, match="older than 3"):
         handle(rows(2, "z", of=9), 4)
     handle(spark.createDataFrame([], SNAPSHOT), 5)
+
+
+def test_a_branch_costs_one_read_and_one_write_of_state():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    calls, held = [], {}
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return held.get("branch")
+
+        def exists(self):
+            calls.append("exists")
+            return "branch" in held
+
+        def update(self, value):
+            calls.append("update")
+            held["branch"] = value
+
+    timers = SimpleNamespace(registerTimer=lambda at: calls.append("register"), deleteTimer=lambda at: calls.append("delete"))
+    processor = branches.BranchProcessor(60_000)
+    processor.init(SimpleNamespace(getValueState=lambda *a: State(), **vars(timers)))
+    event = lambda i, kind, commit=None: Row(event_id=i, branch_id=7, ts=minute(i).replace(tzinfo=dt.UTC), kind=kind, commit=commit)
+    first = list(processor.handleInputRows((7,), iter([event(2, "finish"), event(1, "request", "c1")]), None))
+    assert [(r.event_id, r.decision, r.status, r.job, r.commit) for r in first] == [(1, "new_job", "INDEXING", 1, "c1"), (2, "indexed", "INDEXED", 1, "c1")]
+    assert calls == ["get", "update"]
+    second = list(processor.handleInputRows((7,), iter([event(3, "commit", "c2"), event(4, "request")]), None))
+    assert [r.decision for r in second] == ["outdated", "new_job"] and calls == ["get", "update"] + ["get", "register", "update"]
