@@ -34,6 +34,12 @@ class Distinct:
     def __init__(self, size: int):
         self.last = np.zeros(size, np.int64)
 
+    def once(self, ids: np.ndarray) -> np.ndarray:
+        """Each id once."""
+        at = np.arange(len(ids))
+        self.last[ids] = at
+        return ids[self.last[ids] == at]
+
     def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each id once, and how often it is there."""
         at = np.arange(len(ids))
@@ -58,7 +64,7 @@ def _encode(held, s: Settings):
                 n = b - a
                 ends = np.cumsum(sizes)
                 for x, y in zip(ends - sizes, ends, strict=True):
-                    df[distinct.of(ids[x:y])[0]] += 1
+                    df[distinct.once(ids[x:y])] += 1
                 ids, sizes = with_end(ids, sizes, s.end_id)
                 blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.dtype(wide).itemsize), pa.py_buffer(ids.astype(wide))])
                 tokens += int(sizes.sum())
@@ -252,6 +258,10 @@ def deal(tails: DataFrame, s: Settings) -> Dealing:
     return dealing
 
 
+#: Words of more than this part of a shard's pieces may be whole rows.
+_DENSE = 16
+
+
 class ShardIndex:
     """BM25 over the pieces of one shard, as one sorted array of postings."""
 
@@ -265,17 +275,43 @@ class ShardIndex:
         where = np.repeat(np.arange(len(pieces)), sizes)
         length = np.array([len(p) for p in pieces], float)[where]
         weight = idf[token] * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * length / mean))
+        # The most frequent words are whole rows, as much as their postings take or a few times that: to add rows up is far
+        # cheaper than to gather postings.
+        spread = np.bincount(token, minlength=len(idf))
+        frequent = np.argsort(-spread, kind="stable")[: 2 * len(token) // len(pieces)]
+        frequent = frequent[_DENSE * spread[frequent] > len(pieces)]
+        self.row = np.full(len(idf), -1, np.int64)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), len(pieces)))
+        dense = self.row[token] >= 0
+        self.rows[self.row[token[dense]], where[dense]] = weight[dense]
+        token, where, weight = token[~dense], where[~dense], weight[~dense]
         order = np.argsort(token, kind="stable")
         self.where, self.weight = where[order], weight[order]
         self.bounds = np.searchsorted(token[order], np.arange(len(idf) + 1))
-        self.n = len(pieces)
+        #: Places of pieces among those that are still held.
+        self.held = np.arange(len(pieces))
+
+    def keep(self, left: np.ndarray) -> None:
+        """Holds those of the held pieces that are left; left: of all pieces."""
+        stay = left[self.held]
+        place = np.cumsum(stay) - 1
+        postings = stay[self.where]
+        self.bounds = np.concatenate([[0], np.cumsum(postings)])[self.bounds]
+        self.where, self.weight = place[self.where[postings]], self.weight[postings]
+        self.rows, self.held = self.rows[:, stay], self.held[stay]
 
     def scores(self, piece: int) -> np.ndarray:
-        """The BM25 score of every piece for the words of one."""
+        """The BM25 score of every held piece for the words of one."""
         terms = self.terms[piece]
-        a, b = self.bounds[terms], self.bounds[terms + 1]
+        row = self.row[terms]
+        few = terms[row < 0]
+        a, b = self.bounds[few], self.bounds[few + 1]
         at = runs(a, b - a)
-        return np.bincount(self.where[at], weights=self.weight[at], minlength=self.n)
+        found = np.bincount(self.where[at], weights=self.weight[at], minlength=len(self.held))
+        asked = np.zeros(len(self.rows))
+        asked[row[row >= 0]] = 1.0
+        return found + asked @ self.rows
 
 
 def pack_shard(pieces: list[np.ndarray], idf: np.ndarray, mean: float, s: Settings) -> list[list[tuple[int, int, int]]]:
@@ -292,15 +328,20 @@ def pack_shard(pieces: list[np.ndarray], idf: np.ndarray, mean: float, s: Settin
         window, room = [(seed, int(at[seed]), int(size[seed]))], s.window - int(size[seed] - at[seed])
         at[seed] = size[seed]
         if room:
-            scores = np.where(at < size, index.scores(seed), -1.0)
+            left = at < size
+            if 8 * np.count_nonzero(left[index.held]) < 7 * len(index.held):
+                index.keep(left)
+            held = index.held
+            scores = np.where(left[held], index.scores(seed), -1.0)
             few = min(48, len(scores))
-            best = np.argpartition(-scores, few - 1)[:few]
+            best = np.argpartition(-scores, few - 1)[:few] if few else held[:0]
             best = best[np.lexsort((best, -scores[best]))]
-            if (size - at)[best[scores[best] >= 0]].sum() < room:
+            if (size - at)[held[best[scores[best] >= 0]]].sum() < room:
                 best = np.lexsort((np.arange(len(scores)), -scores))
-            for piece in best.tolist():
-                if not room or scores[piece] < 0:
+            for place in best.tolist():
+                if not room or scores[place] < 0:
                     break
+                piece = int(held[place])
                 take = min(room, int(size[piece] - at[piece]))
                 window.append((piece, int(at[piece]), int(at[piece]) + take))
                 at[piece] += take

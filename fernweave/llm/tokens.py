@@ -23,8 +23,11 @@ _SLICE_BYTES = 6 << 20
 
 def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each run in turn."""
-    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    return at + np.arange(len(at))
+    shifts, n = starts - (np.cumsum(sizes) - sizes), int(sizes.sum())
+    small = np.int32 if n + int(np.abs(shifts).max(initial=0)) < 1 << 31 else np.int64
+    at = np.repeat(shifts.astype(small), sizes)
+    at += np.arange(n, dtype=small)
+    return at
 
 
 class WordCodec:

@@ -258,3 +258,35 @@ def test_pipeline_stages_against_one_process(spark, tmp_path):
     for r in docs.collect():
         assert [i for _, ids in sorted(pieces[r.doc_id]) for i in ids] == [*library.encode(r.text, add_special_tokens=False).ids, 1]
     assert corpus_pipeline.run(spark, sf).count() == sum(map(len, pieces.values()))
+
+
+def test_packing_index_drops_used_pieces():
+    import numpy as np
+
+    from fernweave.llm import packing
+
+    rng, s = np.random.default_rng(3), packing.Settings(window=64)
+    pieces = [np.minimum(rng.zipf(1.3, rng.integers(1, 60)), 499).astype(np.uint32) for _ in range(200)]
+    df = np.bincount(np.concatenate([np.unique(p) for p in pieces]), minlength=500)
+    idf = np.log1p((200 - df + 0.5) / (df + 0.5))
+    index = packing.ShardIndex(pieces, idf, 30.0, s)
+
+    def plain(piece):
+        out = np.zeros(200)
+        for i, p in enumerate(pieces):
+            ids, tf = np.unique(p, return_counts=True)
+            both = np.isin(ids, pieces[piece])
+            out[i] = (idf[ids] * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * len(p) / 30.0)))[both].sum()
+        return out
+
+    assert len(index.rows) and np.allclose(index.scores(7), plain(7))
+    before = len(index.where)
+    left = rng.random(200) < 0.4
+    index.keep(left)
+    assert index.held.tolist() == np.flatnonzero(left).tolist() and len(index.where) < 0.6 * before
+    assert all(np.allclose(index.scores(i), plain(i)[left]) for i in (7, 50, 199))
+    # All tokens are packed, each once, and every window but the last is full.
+    windows = packing.pack_shard(pieces, idf, 30.0, s)
+    assert all(sum(b - a for _, a, b in w) == 64 for w in windows[:-1])
+    got = sorted((p, i) for w in windows for p, a, b in w for i in range(a, b))
+    assert got == [(p, i) for p in range(200) for i in range(len(pieces[p]))]
