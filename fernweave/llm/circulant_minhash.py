@@ -121,9 +121,10 @@ _HEADS = 3
 def _open(blocks: DataFrame, label: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Rows (h, node, place, label) of buckets, and for those with nodes of several labels (h, main, heads, c, others): the
     label of most, some nodes of it (others in each turn), and how many nodes the bucket has, of any label and of others.
+    The order of heads is the same in all buckets, so buckets of the same texts mostly name the same ones.
     """
     named = jaccard_join._named(blocks, label)
-    heads = [F.min(F.struct(F.xxhash64("h", "node", F.lit(_HEADS * turn + i)).alias("x"), "node", "place")) for i in range(_HEADS)]
+    heads = [F.min(F.struct(F.xxhash64("node", F.lit(_HEADS * turn + i)).alias("x"), "node", "place")) for i in range(_HEADS)]
     labels = named.groupBy("h", "label").agg(F.count("*").alias("c"), F.array_distinct(F.transform(F.array(*heads), lambda x: F.struct(x["node"].alias("hub"), x["place"].alias("head_place")))).alias("heads"))
     split = labels.groupBy("h").agg(F.max_by(F.struct("label", "heads", "c"), F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("labels")).where("labels > 1")
     return named, split.select("h", F.col("top.label").alias("main"), F.col("top.heads").alias("heads"), "c", (F.col("c") - F.col("top.c")).alias("others"))

@@ -81,3 +81,16 @@ def test_signature_is_the_least_over_shifts():
     assert sorted(pi.tolist()) == list(range(1 << 10))
     assert all((circulant.shifted[:, i] == np.roll(pi, -i)).all() for i in range(12))
     assert shingles("a b", 3)
+
+
+def test_buckets_of_the_same_nodes_name_the_same_heads(spark):
+    rows = [(h, None, node, 100) for h in range(20) for node in [*range(30), 99]]
+    blocks = spark.createDataFrame(rows, "block long, hot long, node long, place long")
+    label = spark.createDataFrame([(node, 0) for node in range(30)], "node long, label long")
+    hubs = []
+    for turn in (0, 1):
+        got = cm._open(blocks, label, turn)[1].collect()
+        assert len(got) == 20 and all(r.main == 0 and r.c == 31 and r.others == 1 for r in got)
+        hubs.append({x.hub for r in got for x in r.heads})
+    # So an outsider meets three of them at most in all its buckets together, and others in the next turn.
+    assert all(1 <= len(x) <= 3 for x in hubs) and hubs[0] != hubs[1]
