@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.llm.common import give_back, mix, stash, thrifty
-from fernweave.llm.tokens import codec_of, runs, with_end
+from fernweave.llm.tokens import codec_of, forget_codec, runs, with_end
 
 _DF_SLICE = 4096
 
@@ -166,6 +166,7 @@ def _keyed(stats, s: Settings):
     """Columns key and other from the rows' tails, before all columns. Columns: uid, doc_id, n, tail."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_codec()
         idf, df, _ = stats.value
         draw = LexicalKeys(idf, df, s)
         for batch in batches:
@@ -388,6 +389,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, settings: Settings
         tails = tails.select(F.lit(0).cast("bigint").alias("shard"), "*")
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
+        forget_codec()
         group = group.sort_by("uid").combine_chunks()
         shard, field = key[0].as_py(), group.schema.field("doc_id").type
         ids, n, blobs = (group.column(c).to_pylist() for c in ("doc_id", "n", "tail"))

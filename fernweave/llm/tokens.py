@@ -17,8 +17,8 @@ from fernweave.llm.bpe import byte_letters
 #: Words of these characters only are lower-cased and cut here as the library would; all others go through it whole.
 _PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")
-#: Texts are encoded in slices of about so many bytes.
-_SLICE_BYTES = 6 << 20
+#: Texts are encoded in slices of about so many bytes; the encoder's arrays are many times a slice.
+_SLICE_BYTES = 2 << 20
 
 
 def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -131,6 +131,11 @@ def codec_of(tokenizer_json: str) -> WordCodec:
     return WordCodec(tokenizer_json)
 
 
+def forget_codec() -> None:
+    """For the tasks that come after the encoding ones, in the same workers: a codec with a full cache takes 100 MB and more."""
+    codec_of.cache_clear()
+
+
 def id_lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     """Ids of several texts in turn as an Arrow list column."""
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
