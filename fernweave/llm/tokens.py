@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from fernweave.llm.bpe import byte_letters
+from fernweave.llm.bpe import IntTable, byte_letters
 
 #: Words of these characters only are lower-cased and cut here as the library would; all others go through it whole.
 _PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+#: Of those, words that are one run of letters, or one and a mark: two pieces at most, known without a cut.
+_MARKS = ".,;:!?)"
+_SIMPLE = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{_MARKS}]?$"
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")
 #: Texts are encoded in slices of about so many bytes; the encoder's arrays are many times a slice.
 _SLICE_BYTES = 2 << 20
@@ -30,6 +35,74 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return at
 
 
+def _joined(words: pa.Array, by: str) -> pa.Scalar:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), by)[0]
+
+
+class Merges:
+    """Merge-order BPE of many short pieces side by side: in each round, each piece makes its first pair of the lowest rank one."""
+
+    #: Longer pieces (bytes) would need many rounds.
+    LONGEST = 64
+    #: Pieces that are side by side, at most.
+    BLOCK = 8_192
+
+    def __init__(self, model: dict):
+        ids, end, letters = model["vocab"], model.get("end_of_word_suffix") or "", byte_letters()
+        self.inner, self.last = (np.array([ids.get(c + e, -1) for c in letters], np.int64) for e in ("", end))
+        #: Without a token for each byte the library has to say what becomes of a piece.
+        self.complete = min(self.inner.min(), self.last.min()) >= 0
+        lefts, rights = zip(*(m if isinstance(m, list) else m.split(" ") for m in model["merges"]))
+        left, right, made = (np.fromiter(map(ids.__getitem__, names), np.int64, len(lefts)) for names in (lefts, rights, map("".join, zip(lefts, rights, strict=True))))
+        # Of equal pairs the last counts, as in the library.
+        pairs, rank = np.unique((left << 32 | right)[::-1], return_index=True)
+        self.none = len(lefts)
+        self.made = np.append(made, 0)
+        self.ranks = IntTable(pairs, self.none - 1 - rank)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        rank = self.ranks.get(left << 32 | right)
+        return np.where(rank < 0, self.none, rank)
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in turn, and how many each has. Pieces are not empty and hold no line end."""
+        made = [self._block(pieces[i : i + self.BLOCK]) for i in range(0, len(pieces), self.BLOCK)]
+        return tuple(np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _block(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer("".join([p + "\n" for p in pieces]).encode(), np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        ids = self.inner[raw]
+        ids[ends - 1] = self.last[raw[ends - 1]]
+        ids, size = ids[raw != 10], np.diff(ends, prepend=-1) - 1
+        start, own = np.cumsum(size) - size, np.arange(len(pieces))
+        rank = np.append(self._rank(ids[:-1], ids[1:]), self.none)
+        rank[start + size - 1] = self.none
+        flat, order, sizes = [], [], []
+        while len(own):
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), start)
+            at, live = least & 0xFFFFFFFF, least >> 32 < self.none
+            done = ~live
+            flat.append(ids[runs(start[done], size[done])])
+            order.append(own[done])
+            sizes.append(size[done])
+            stay = np.repeat(live, size)
+            at, before = at[live], (at - start)[live]
+            ids[at] = self.made[rank[at]]
+            stay[at + 1] = False
+            own, size, ids, rank = own[live], size[live] - 1, ids[stay], rank[stay]
+            start = np.cumsum(size) - size
+            at = start + before
+            rank[at] = self.none
+            pair = at[before < size - 1]
+            rank[pair] = self._rank(ids[pair], ids[pair + 1])
+            pair = at[before > 0]
+            rank[pair - 1] = self._rank(ids[pair - 1], ids[pair])
+        flat, order, sizes = np.concatenate(flat), np.concatenate(order), np.concatenate(sizes)
+        back = np.argsort(order)
+        return flat[runs((np.cumsum(sizes) - sizes)[back], sizes[back])].astype(np.uint32), sizes[back]
+
+
 class WordCodec:
     """Ids of texts under a lower-casing word BPE file (white space dropped), as the library's encode() gives them.
 
@@ -45,6 +118,7 @@ class WordCodec:
         self.tokenize = self.whole.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.size = self.whole.get_vocab_size()
+        self.merges = Merges(json.loads(tokenizer_json)["model"])
         self.cache, self.cache_chars = cache, cache_chars
         codec = self
 
@@ -70,25 +144,73 @@ class WordCodec:
         self.sizes.append(len(self.ids) - before)
         return len(self.sizes) - 1
 
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of distinct pieces; those that are new are learned together."""
+        at = np.fromiter(map(self.pieces.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = [pieces[i] for i in np.flatnonzero(at < 0).tolist()]
+        short = [p for p in new if 2 * len(p) <= self.merges.LONGEST] if self.merges.complete else []
+        n = len(self.sizes)
+        ids, sizes = self.merges.encode(short)
+        self.ids.frombytes(ids.tobytes())
+        self.sizes.frombytes(sizes.tobytes())
+        self.chars += sum(map(len, short))
+        self.pieces.update(zip(short, range(n, n + len(short))))
+        at[at < 0] = np.fromiter(map(self.pieces.__getitem__, new), np.int64, len(new))
+        return at
+
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct words: all in turn, and for each word where its own start and how many there are."""
         if len(self.sizes) > self.cache or self.chars > self.cache_chars:
             self._clear()
-        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+        simple = pc.match_substring_regex(words, _SIMPLE)
+        ids, base = [], 0
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for look_up, which in ((self._simple_words, simple), (self._other_words, pc.invert(simple))):
+            found, first, size = look_up(words.filter(which))
+            at = which.to_numpy(zero_copy_only=False)
+            starts[at], sizes[at] = first + base, size
+            ids.append(found)
+            base += len(found)
+        return np.concatenate(ids), starts, sizes
+
+    def _stored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all pieces: the ids in turn, and for each piece, -1 being none, where they start and how many there are."""
+        sizes = np.append(np.array(self.sizes, np.int64), 0)
+        return np.array(self.ids, np.uint32), np.cumsum(sizes) - sizes, sizes
+
+    def _simple_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_words() for words of _SIMPLE."""
+        words = pc.utf8_lower(words)
+        runs_of = pc.ascii_rtrim(words, _MARKS).dictionary_encode()
+        letters = _joined(runs_of.dictionary, "\n").as_py().split("\n") if len(words) else []
+        piece = self._numbers(letters)[runs_of.indices.to_numpy()]
+        # A word's last byte is its mark's number in ASCII, if it has one.
+        ends = np.cumsum(pc.binary_length(words).to_numpy())
+        last = np.frombuffer(_joined(words, "").as_buffer(), np.uint8)[ends - 1] if len(words) else np.zeros(0, np.uint8)
+        mark = np.full(256, -1, np.int64)
+        for m in _MARKS:
+            mark[ord(m)] = self.pieces[m]
+        tail = mark[last]
+        ids, first, size = self._stored()
+        starts, sizes = first[piece], size[piece] + size[tail]
+        marked = np.flatnonzero(tail >= 0)
+        both = np.column_stack([piece[marked], tail[marked]]).ravel()
+        starts[marked] = len(ids) + np.cumsum(sizes[marked]) - sizes[marked]
+        return np.concatenate([ids, ids[runs(first[both], size[both])]]), starts, sizes
+
+    def _other_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_words() for any words."""
         sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
         kept = words.filter(pa.array(plain))
-        cut = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), "\n")[0].as_py().lower()
+        cut = _joined(kept, "\n").as_py().lower()
         at = np.fromiter(map(self.pieces.__getitem__, _CUT.findall(cut)), np.int64)
-        # Counted over the pieces of this call only: the store may hold many more.
-        known, which = np.unique(at, return_inverse=True)
-        stored = np.append(np.array(self.sizes, np.int64), 0)
-        ends = np.cumsum(stored)
-        size, first = stored[known], (ends - stored)[known]
-        size[known < 0] = 0
+        stored, first, size = self._stored()
+        first, size = first[at], size[at]
         word = np.cumsum(at < 0)
-        flat = np.array(self.ids, np.uint32)[runs(first[which], size[which])]
+        flat = stored[runs(first, size)]
         if plain.any():
-            sizes[plain] = np.bincount(word, weights=size[which], minlength=int(plain.sum())).astype(np.int64)
+            sizes[plain] = np.bincount(word, weights=size, minlength=int(plain.sum())).astype(np.int64)
         starts[plain] = np.cumsum(sizes[plain]) - sizes[plain]
         odd, end = [], len(flat)
         for i in np.flatnonzero(~plain).tolist():

@@ -96,6 +96,25 @@ def test_token_orc(spark, library, tmp_path):
     assert token_orc.read_token_orc(spark, empty).count() == 0
 
 
+def test_words_are_known_without_the_library(library):
+    r = random.Random(4)
+    letters = [chr(c) for c in range(33, 256) if chr(c).isalpha()]
+    words = ["".join(r.choices(letters if i % 3 else "aeinrst", k=r.randint(1, 40))) + r.choice(["", "", *".,;:!?)", "..", "'s", "-a", "1"]) for i in range(20_000)]
+    words += ["aaaaaaaaaaaaaaaa", "ababababababab", "x" * 31, "x" * 32, "x" * 33, "ß" * 32, "ß" * 33, "é" * 5_000, "ª", "º", "µ", "'s", "('s)", "a<|", "<|endoftext|>", "Σίσυφος,", "e\u0301.", "İstanbul.", "\u212a.", "...", ")", "end."]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + ["", ".", "a", "\n", "A. \n b"]
+    want = [library[WORD_BPE].encode(t, add_special_tokens=False).ids for t in texts]
+    with open(WORD_BPE, encoding="utf-8") as f:
+        held = f.read()
+    for cache in (400_000, 100):
+        codec, learned = tokens.WordCodec(held, cache=cache), []
+        one = codec._learn
+        codec._learn = lambda piece: learned.append(piece) or one(piece)
+        assert [np.frombuffer(b, "<u4").tolist() for t in range(0, len(texts), 100) for b in codec.encode_many(texts[t : t + 100])] == want
+        # Runs of letters, most of the distinct pieces, are merged side by side.
+        if cache > 100:
+            assert len(learned) < len(codec.sizes) / 2
+
+
 def test_packing(spark, library):
     r = random.Random(1)
     words = ["the", "cat", "energy", "physics", "banana", "of", "river", "quantum"]
