@@ -32,20 +32,25 @@ class Distinct:
     """The distinct ids of texts, by one table of the vocabulary instead of a sort for each text."""
 
     def __init__(self, size: int):
-        self.last = np.zeros(size, np.int64)
+        self.last, self.places = np.zeros(size, np.int64), np.arange(4096)
+
+    def _last(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each id is last, and the places that are last ones."""
+        if len(ids) > len(self.places):
+            self.places = np.arange(2 * len(ids))
+        at, ids = self.places[: len(ids)], ids.astype(np.int64)
+        self.last[ids] = at
+        last = self.last[ids]
+        return last, np.flatnonzero(last == at)
 
     def once(self, ids: np.ndarray) -> np.ndarray:
         """Each id once."""
-        at = np.arange(len(ids))
-        self.last[ids] = at
-        return ids[self.last[ids] == at]
+        return ids[self._last(ids)[1]]
 
     def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each id once, and how often it is there."""
-        at = np.arange(len(ids))
-        self.last[ids] = at
-        last = self.last[ids]
-        return ids[last == at], np.bincount(last, minlength=len(ids))[last == at]
+        last, own = self._last(ids)
+        return ids[own], np.bincount(last, minlength=len(ids))[own]
 
 
 def _encode(held, s: Settings):
@@ -151,15 +156,18 @@ class LexicalKeys:
     def __init__(self, idf: np.ndarray, df: np.ndarray, s: Settings):
         self.s, self.distinct = s, Distinct(len(df))
         self.weight = np.where(df > 1, idf * (s.k1 + 1), 0.0)
-        self.draws = [-np.log((_mixed(np.arange(len(df)), salt) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) for salt in (1, 2)]
+        draws = [-np.log((_mixed(np.arange(len(df)), salt) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) for salt in (1, 2)]
+        #: By weight, but for the part of it that a text's count makes; infinite for words that no other text has.
+        self.draws = [np.divide(d, self.weight, out=np.full(len(df), np.inf), where=self.weight > 0) for d in draws]
 
     def of(self, ids: np.ndarray) -> tuple[int, int]:
-        terms, tf = self.distinct.of(ids[ids < len(self.weight)])
-        terms, tf = terms[self.weight[terms] > 0], tf[self.weight[terms] > 0]
+        terms, tf = self.distinct.of(ids if ids.max(initial=0) < len(self.weight) else ids[ids < len(self.weight)])
         if not len(terms):
             return -1, -1
-        weight = self.weight[terms] * tf / (tf + self.s.k1)
-        return tuple(int(terms[(draw[terms] / weight).argmin()]) for draw in self.draws)
+        by_count = 1 + self.s.k1 / tf
+        drawn = [draw[terms] * by_count for draw in self.draws]
+        least = [int(d.argmin()) for d in drawn]
+        return tuple(int(terms[i]) if d[i] < np.inf else -1 for d, i in zip(drawn, least, strict=True))
 
 
 def _keyed(stats, s: Settings):

@@ -143,6 +143,23 @@ def test_packing(spark, library):
     assert packing.pack_documents(docs.limit(0), WORD_BPE).count() == 0
 
 
+def test_distinct_ids_and_keys_equal_plain_ones():
+    rng, s = np.random.default_rng(5), packing.Settings()
+    df = np.where(rng.random(300) < 0.2, 1, rng.integers(2, 50, 300))
+    idf = np.log1p((50 - df + 0.5) / (df + 0.5))
+    distinct, keys = packing.Distinct(300), packing.LexicalKeys(idf, df, s)
+    draws = [-np.log((packing._mixed(np.arange(300), salt) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) for salt in (1, 2)]
+    for n in (0, 1, 50, 4_096, 4_097, 20_000, 3):
+        for ids in (rng.integers(0, 300, n).astype("<u2"), rng.choice(np.flatnonzero(df == 1), n).astype("<u4"), rng.integers(0, 400, n).astype("<u4")):
+            known = ids[ids < 300]
+            terms, tf = np.unique(known, return_counts=True)
+            assert sorted(distinct.once(known).tolist()) == terms.tolist()
+            assert sorted(zip(*(x.tolist() for x in distinct.of(known)), strict=True)) == list(zip(terms.tolist(), tf.tolist(), strict=True))
+            tf, terms = tf[df[terms] > 1], terms[df[terms] > 1]
+            weight = idf[terms] * (s.k1 + 1) * tf / (tf + s.k1)
+            assert keys.of(ids) == (tuple(int(terms[(d[terms] / weight).argmin()]) for d in draws) if len(terms) else (-1, -1))
+
+
 def test_packing_prefers_neighbours():
     rng = np.random.default_rng(0)
     pieces = [rng.integers(100 * t, 100 * t + 60, 500).astype("<u4") for t in (0, 5, 0, 5, 0, 5, 0, 5)]
