@@ -318,6 +318,47 @@ def test_quality_rules(spark):
     assert all(x.kept != x.base_failed for x in quality_rules.judge(docs.where("doc_id < 20"), none).collect())
 
 
+def test_quality_rules_learn_from_every_label(spark):
+    """The threshold and the ends of trees count all of 16,000 labelled ids and 20,000 more rows of one; against one process."""
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choices("the cat sat On a mat with Hats and bats under trees near Lakes! but not far?".split(), k=n))
+    texts = [say(r.randint(12, 40)) for _ in range(14_000)] + [" ".join(w + "*" * r.randint(0, 3) for w in say(30).split()) for _ in range(2_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.range(16_000).selectExpr("id doc_id", "int(id < 14000) quality", "0 toxic")
+    # Rows of one id are rows, and cost the driver nothing.
+    model = quality_rules.fit(docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(20_000)).drop("id")), labels)
+    grows = {x.doc_id for x in docs.where(F.xxhash64(F.lit(model.settings.seed), "doc_id") % 2 == 0).collect()}
+    times = np.where(np.arange(16_000) == 3, 20_001, 1)
+    own, good = np.isin(np.arange(16_000), list(grows)), np.arange(16_000) < 14_000
+    features = np.array([quality_rules.statistics(t)[1] for t in texts])
+    score = model.forest.score(features)
+    usual = np.sort(np.repeat(score[~own & good], times[~own & good]))
+    floor = np.quantile(usual, 1 - model.settings.lose_share, method="higher")
+    bad = score[~own & ~good]
+    assert len(usual) + len(bad) > 6_000 and (bad > floor).any()
+    assert abs(model.threshold - (floor + bad[bad > floor].min()) / 2) < 1e-12
+    few = model.settings.bad_share * times[own & good].sum() / times[own & ~good].sum()
+    weight = times * np.where(good, 1, min(1, few))
+    for feature, split, left, right, length in model.forest.trees[::9]:
+        mass, depth, todo = np.zeros(len(feature)), np.zeros(len(feature)), [(0, np.flatnonzero(own), 0)]
+        while todo:
+            at, rows, deep = todo.pop()
+            mass[at], depth[at] = weight[rows].sum(), deep
+            if feature[at] >= 0:
+                low = features[rows, feature[at]] < split[at]
+                todo += [(left[at], rows[low], deep + 1), (right[at], rows[~low], deep + 1)]
+        ends = feature < 0
+        assert abs(mass[ends].sum() - weight[own].sum()) < 1e-6
+        want = depth + quality_rules._average_path(mass * model.forest.size / weight[own].sum())
+        assert np.abs(length - want)[ends].max() < 1e-9
+
+
+def test_quality_rules_find_places(spark):
+    rows = [(0.5, 3), (0.25, 2), (0.25 + 2**-54, 1), (0.9, 4), (0.25 - 2**-55, 1)]
+    table, flat = spark.createDataFrame(rows, "v double, n long"), sorted(v for v, n in rows for _ in range(n))
+    assert [quality_rules._in_place(table, "v", "n", i, bins=2) for i in range(len(flat))] == flat
+
+
 def test_isolation_forest_path_lengths():
     rng = np.random.default_rng(5)
     rows = np.concatenate([rng.normal(0, 1, (500, 3)), [[9, 9, 9]]])
